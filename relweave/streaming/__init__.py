@@ -1,0 +1 @@
+"""Intentionally empty: the inventory has no streaming operator (time enters only as a cutoff)."""
