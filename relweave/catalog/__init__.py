@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("synthesis", "joins", "aggregates")
+MODULES = ("synthesis", "joins", "sources")
 
 
 def load():

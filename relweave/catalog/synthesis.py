@@ -28,9 +28,9 @@ SPARK_CUT = "timestamp_ntz '1998-01-01 00:00:00'"
            FROM o LEFT JOIN (SELECT * FROM lineitem WHERE l_shipdate < {CUT}) l ON l.l_orderkey = o.o_orderkey
            GROUP BY 1)
     SELECT t.c_custkey, t.c_nationkey, t.cutoff, n_name AS nation_n_name,
-           coalesce(n_orders, 0) AS "COUNT_orders", round(mean_price, 4) AS "MEAN_orders_o_totalprice",
+           coalesce(n_orders, 0) AS "COUNT_orders", round(mean_price, 6) AS "MEAN_orders_o_totalprice",
            m.o_orderpriority AS "MODE_orders_o_orderpriority", max_lines AS "MAX_orders_COUNT_lineitem",
-           coalesce(n_lines, 0) AS "COUNT_lineitem", round(mean_qty, 4) AS "MEAN_lineitem_l_quantity"
+           coalesce(n_lines, 0) AS "COUNT_lineitem", round(mean_qty, 6) AS "MEAN_lineitem_l_quantity"
     FROM task t LEFT JOIN nation ON n_nationkey = t.c_nationkey
     LEFT JOIN agg a ON a.o_custkey = t.c_custkey LEFT JOIN m ON m.o_custkey = t.c_custkey
     LEFT JOIN sk ON sk.o_custkey = t.c_custkey
@@ -46,8 +46,8 @@ def dfs(t: Tables):
                   "MAX(orders.COUNT(lineitem))", "COUNT(lineitem)", "MEAN(lineitem.l_quantity)"],
     )
     return out.withColumns({
-        "MEAN_orders_o_totalprice": F.round("MEAN_orders_o_totalprice", 4),
-        "MEAN_lineitem_l_quantity": F.round("MEAN_lineitem_l_quantity", 4),
+        "MEAN_orders_o_totalprice": F.round("MEAN_orders_o_totalprice", 6),
+        "MEAN_lineitem_l_quantity": F.round("MEAN_lineitem_l_quantity", 6),
     })
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from relweave.functions.scalar import HASH_BITS, col
 
@@ -42,8 +42,16 @@ def hash_bucket(h: str | Column, buckets: int) -> Column:
     return F.shiftright(col(h), HASH_BITS - (buckets.bit_length() - 1)).cast("int")
 
 
-def value_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """At most ``buckets - 1`` approximate cut points (one small driver row)."""
+def value_bounds(df: DataFrame, value: str, buckets: int) -> list:
+    """At most ``buckets - 1`` approximate cut points (a bounded driver list).
+
+    The cuts only balance the buckets; positions stay exact whatever they are.
+    """
+    if isinstance(df.schema[value].dataType, T.StringType):
+        v = col(value).alias("v")
+        some = df.select(v).filter("v is not null").distinct().orderBy(F.xxhash64("v"), "v").limit(16 * buckets)
+        found = sorted((r["v"] for r in some.collect()), key=lambda x: x.encode())
+        return found[16::16]
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(col(value).cast("double"), probs, 1000).alias("b")).first()
     return sorted(set(row["b"] or []))
@@ -55,7 +63,9 @@ def with_value_bucket(
     """Ordered bucket of a numeric value; bounds are per group when ``by`` is given."""
     n = buckets or bucket_count(df)
     if not by:
-        return df.withColumn(out, bisect(col(value).cast("double"), value_bounds(df, value, n)))
+        text = isinstance(df.schema[value].dataType, T.StringType)
+        x = col(value) if text else col(value).cast("double")
+        return df.withColumn(out, bisect(x, value_bounds(df, value, n)))
     probs = [i / n for i in range(1, n)]
     bounds = df.groupBy(*[col(c) for c in by]).agg(
         F.percentile_approx(col(value).cast("double"), probs, 1000).alias("__bounds")
