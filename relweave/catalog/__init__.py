@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("synthesis", "joins", "sources")
+MODULES = ("synthesis", "joins", "sources", "predicates", "scalars", "transforms", "structure")
 
 
 def load():

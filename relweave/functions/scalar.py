@@ -68,7 +68,8 @@ def epoch_nanos(c) -> Column:
 
 def from_epoch_nanos(c) -> Column:
     """int64 nanoseconds to a timestamp without zone (microsecond precision)."""
-    return F.timestamp_micros(F.floor(col(c) / F.lit(1000)).cast("long")).cast("timestamp_ntz")
+    whole = F.call_function("div", col(c) - F.pmod(col(c), F.lit(1000)), F.lit(1000))
+    return F.timestamp_micros(whole).cast("timestamp_ntz")
 
 
 def canon_numeric(c) -> Column:

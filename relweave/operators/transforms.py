@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions import scalar as S
@@ -186,9 +188,6 @@ class QuantileFit:
 
     def uniform(self, c: Column) -> Column:
         """Position in [0, 1]: mean of the lowest and highest position among equal quantiles."""
-        import numpy as np
-        import pandas as pd
-
         grid = np.asarray(self.q, dtype=float)
         ref = np.linspace(0.0, 1.0, len(grid))
 
@@ -461,8 +460,6 @@ def svd_components(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 
     The p x p Gram matrix is summed in one pass; only it reaches the driver.
     """
-    import numpy as np
-
     stats = df.agg(*[f(S.finite(col(c))).alias(f"{n}_{i}") for i, c in enumerate(columns)
                      for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     xs = [

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relweave.functions.scalar import HASH_BITS, col
 
@@ -26,13 +26,13 @@ def bucket_count(df: DataFrame) -> int:
     return n
 
 
-def bisect(x: Column, bounds: Sequence[float]) -> Column:
+def bisect(x: Column, bounds: Sequence[Column]) -> Column:
     """Number of bounds <= x, as a balanced CASE tree (log2 comparisons, code generated)."""
     def node(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(x < F.lit(bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
+        return F.when(x < bounds[mid], node(lo, mid)).otherwise(node(mid + 1, hi))
 
     return node(0, len(bounds))
 
@@ -42,19 +42,32 @@ def hash_bucket(h: str | Column, buckets: int) -> Column:
     return F.shiftright(col(h), HASH_BITS - (buckets.bit_length() - 1)).cast("int")
 
 
-def value_bounds(df: DataFrame, value: str, buckets: int) -> list:
-    """At most ``buckets - 1`` approximate cut points (a bounded driver list).
+def row_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> list:
+    """At most ``buckets - 1`` cut points of the whole order key (a bounded driver list).
 
-    The cuts only balance the buckets; positions stay exact whatever they are.
+    The cuts come from the rows with the lowest key hash.  Ties on the first column are cut
+    further by the next ones, and the cuts only balance the buckets: positions stay exact
+    whatever they are.
     """
-    if isinstance(df.schema[value].dataType, T.StringType):
-        v = col(value).alias("v")
-        some = df.select(v).filter("v is not null").distinct().orderBy(F.xxhash64("v"), "v").limit(16 * buckets)
-        found = sorted((r["v"] for r in some.collect()), key=lambda x: x.encode())
-        return found[16::16]
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(col(value).cast("double"), probs, 1000).alias("b")).first()
-    return sorted(set(row["b"] or []))
+    keys = [col(c).alias(f"k{i}") for i, c in enumerate(order)]
+    names = [f"k{i}" for i in range(len(order))]
+    per = 16
+    rows = df.select(*keys).orderBy(F.xxhash64(*names), *names).limit(per * buckets)
+    found = [tuple(r) for r in rows.orderBy(*names).collect()]
+    cuts = list(dict.fromkeys(found[per::per]))
+    return [c for c in cuts if all(v is not None for v in c)]
+
+
+def with_order_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None, out: str = "__b") -> DataFrame:
+    """Ordered bucket of the order key."""
+    types_ = [df.schema[c].dataType for c in order]
+
+    def key(parts: list[Column]) -> Column:
+        return parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+    cuts = [key([F.lit(v).cast(t) for v, t in zip(c, types_)])
+            for c in row_bounds(df, order, buckets or bucket_count(df))]
+    return df.withColumn(out, bisect(key([col(c) for c in order]), cuts))
 
 
 def with_value_bucket(
@@ -63,9 +76,7 @@ def with_value_bucket(
     """Ordered bucket of a numeric value; bounds are per group when ``by`` is given."""
     n = buckets or bucket_count(df)
     if not by:
-        text = isinstance(df.schema[value].dataType, T.StringType)
-        x = col(value) if text else col(value).cast("double")
-        return df.withColumn(out, bisect(x, value_bounds(df, value, n)))
+        return with_order_bucket(df, [value], n, out)
     probs = [i / n for i in range(1, n)]
     bounds = df.groupBy(*[col(c) for c in by]).agg(
         F.percentile_approx(col(value).cast("double"), probs, 1000).alias("__bounds")
@@ -127,7 +138,7 @@ def prefix_sums(
 
 def numbered(
     df: DataFrame,
-    order: Sequence[str | Column],
+    order: Sequence[str],
     by: Sequence[str] = (),
     out: str = "rn",
     bucket: Column | None = None,
@@ -136,15 +147,14 @@ def numbered(
     """1-based position of each row in ``order`` (within ``by``), without a one-task window.
 
     ``order`` must be total.  ``bucket`` must be monotone in the order; by default it comes
-    from approximate cut points of the first order column.
+    from cut points of the order key, or per group of its first column when ``by`` is given.
     """
-    first = order[0]
-    if bucket is None:
-        if not isinstance(first, str):
-            raise ValueError("give a bucket expression when ordering by an expression")
-        cut = with_value_bucket(df, first, by)
-    else:
+    if bucket is not None:
         cut = df.withColumn("__b", bucket)
+    elif by:
+        cut = with_value_bucket(df, order[0], by)
+    else:
+        cut = with_order_bucket(df, order)
     per = cut.groupBy(*[col(c) for c in by], F.col("__b")).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*[col(c) for c in by])
     before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
