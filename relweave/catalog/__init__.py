@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("synthesis", "joins", "sources", "predicates", "scalars", "transforms", "structure")
+MODULES = ("synthesis", "joins", "sources", "predicates", "scalars", "transforms", "structure", "splits", "quality")
 
 
 def load():

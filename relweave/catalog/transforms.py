@@ -294,10 +294,10 @@ def robust_scale(t: Tables):
 
 @query("flat_pipeline")
 def flat_pipeline(t: Tables):
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     out = None
     for method in ("none", "robust", "power", "quantile", "quantile_rtdl"):
-        part = T.flat_pipeline(li, ["l_quantity", "l_extendedprice"], method)
+        part = T.flat_pipeline(li, ["l_extendedprice"], method)
         stats = part.agg(
             F.count(F.lit(1)).alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"),
             F.round(F.stddev_pop("l_extendedprice"), 4).alias("std")).withColumn("method", F.lit(method))

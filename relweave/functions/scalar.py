@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 HASH_BITS = 60
@@ -107,30 +108,39 @@ def explode_vector(c: str, dim: int, prefix: str | None = None) -> list[Column]:
     return [col(c)[i].alias(f"{prefix or c}_{i}") for i in range(dim)]
 
 
-def normal_cdf_inverse(p: Column) -> Column:
-    """Standard normal quantile: Acklam's rational approximation as one column expression.
+# coefficients of Acklam's published approximation of the normal quantile (fixed values)
+_PPF_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
+          1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_PPF_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
+          6.680131188771972e01, -1.328068155288572e01)
+_PPF_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
+          -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_PPF_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+_PPF_LOW = 0.02425
 
-    Constants are fixed values of the published approximation (relative error 1.15e-9).
-    """
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
-         1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
-         6.680131188771972e01, -1.328068155288572e01)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
-         -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
-         3.754408661907416e00)
-
-    def poly(coef: Sequence[float], x: Column) -> Column:
-        out = F.lit(coef[0])
-        for k in coef[1:]:
-            out = out * x + F.lit(k)
-        return out
-
-    low = 0.02425
+
+def _horner(coef: Sequence[float], x):
+    out = coef[0]
+    for k in coef[1:]:
+        out = x * out + k
+    return out
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Standard normal quantile of an array (relative error 1.15e-9)."""
+    q_tail = np.sqrt(-2.0 * np.log(np.minimum(p, 1.0 - p)))
+    tail = _horner(_PPF_C, q_tail) / (_horner(_PPF_D, q_tail) * q_tail + 1.0)
+    q = p - 0.5
+    r = q * q
+    centre = _horner(_PPF_A, r) * q / (_horner(_PPF_B, r) * r + 1.0)
+    return np.where(p < _PPF_LOW, tail, np.where(p > 1.0 - _PPF_LOW, -tail, centre))
+
+
+def normal_cdf_inverse(p: Column) -> Column:
+    """The same quantile as one column expression."""
     q_tail = F.sqrt(F.lit(-2.0) * F.ln(F.least(p, F.lit(1.0) - p)))
-    tail = poly(c, q_tail) / (poly(d, q_tail) * q_tail + F.lit(1.0))
+    tail = _horner(_PPF_C, q_tail) / (_horner(_PPF_D, q_tail) * q_tail + F.lit(1.0))
     q = p - F.lit(0.5)
     r = q * q
-    centre = poly(a, r) * q / (poly(b, r) * r + F.lit(1.0))
-    return F.when(p < low, tail).when(p > 1.0 - low, -tail).otherwise(centre)
+    centre = _horner(_PPF_A, r) * q / (_horner(_PPF_B, r) * r + F.lit(1.0))
+    return F.when(p < _PPF_LOW, tail).when(p > 1.0 - _PPF_LOW, -tail).otherwise(centre)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
-from relweave.plans.ordering import bucket_count, top_per_group, with_value_bucket
+from relweave.plans.ordering import prefix_sums, top_per_group
 
 OPERATORS = {
     ">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v,
@@ -131,29 +131,13 @@ def classify_columns(names: DataFrame, name: str = "column", target: str | None
 def gap_runs(df: DataFrame, value: str, by: Sequence[str], gap: float, weight: str = "n") -> DataFrame:
     """Size of each run of ordered distinct values whose neighbours differ by at most ``gap``.
 
-    Input has one row per (by, value) with a count; runs may cross bucket borders, so each
-    bucket learns the largest value before it from a table of bucket ends.
+    Input has one row per (by, value) with a count.
     """
-    buckets = bucket_count(df)
-    cut = with_value_bucket(df, value, by, buckets)
-    keys = [col(c) for c in by]
-    ends = cut.groupBy(*keys, "__b").agg(F.max(col(value)).alias("__end"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    prev = ends.select(*[col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__pb"),
-                       F.max("__end").over(before).alias("__prev"))
-    cond = [col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)] + [F.col("__b") == F.col("__pb")]
-    inside = Window.partitionBy(*keys, "__b").orderBy(col(value))
-    last = F.coalesce(F.lag(col(value)).over(inside), F.col("__prev"))
-    flagged = cut.join(prev, cond, "inner").withColumn(
-        "__new", F.when(last.isNull() | (col(value) - last > gap), 1).otherwise(0))
-    local = F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    runs = flagged.withColumn("__lr", local)
-    news = flagged.groupBy(*keys, "__b").agg(F.sum("__new").alias("__nn"))
-    offs = news.select(*[col(c).alias(f"__j{i}") for i, c in enumerate(by)], F.col("__b").alias("__jb"),
-                       F.coalesce(F.sum("__nn").over(before), F.lit(0)).alias("__off"))
-    cond2 = [col(c).eqNullSafe(F.col(f"__j{i}")) for i, c in enumerate(by)] + [F.col("__b") == F.col("__jb")]
-    ids = runs.join(offs, cond2, "inner").withColumn("run", F.col("__lr") + F.col("__off"))
-    return ids.groupBy(*keys, "run").agg(F.sum(col(weight)).alias("n"))
+    seen = prefix_sums(df, value, {}, by, previous="__prev")
+    new = F.when(F.col("__prev").isNull() | (col(value) - F.col("__prev") > gap), 1).otherwise(0)
+    runs = prefix_sums(seen.withColumn("__new", new), value, {"__upto": "__new"}, by)
+    return runs.withColumn("run", F.col("__upto") + F.col("__new")).groupBy(*[col(c) for c in by], "run").agg(
+        F.sum(col(weight)).alias("n"))
 
 
 def dominant_ratio(df: DataFrame, by: Sequence[str], columns: Sequence[str], atol: float) -> DataFrame:

@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions import scalar as S
@@ -188,11 +189,18 @@ class QuantileFit:
 
     def uniform(self, c: Column) -> Column:
         """Position in [0, 1]: mean of the lowest and highest position among equal quantiles."""
+        return self._scores(c, normal=False)
+
+    def normal(self, c: Column) -> Column:
+        """Normal scores, kept inside the quantiles of 1e-7 and 1 - 1e-7."""
+        return self._scores(c, normal=True)
+
+    def _scores(self, c: Column, normal: bool) -> Column:
         grid = np.asarray(self.q, dtype=float)
         ref = np.linspace(0.0, 1.0, len(grid))
 
         @F.pandas_udf("double")
-        def position(x: pd.Series) -> pd.Series:
+        def score(x: pd.Series) -> pd.Series:
             v = x.to_numpy(dtype=float)
             up = np.interp(v, grid, ref)
             down = -np.interp(-v, -grid[::-1], -ref[::-1])
@@ -200,14 +208,9 @@ class QuantileFit:
             out[v <= grid[0]] = 0.0
             out[v >= grid[-1]] = 1.0
             out[np.isnan(v)] = np.nan
-            return pd.Series(out)
+            return pd.Series(S.normal_quantile(np.clip(out, 1e-7, 1.0 - 1e-7)) if normal else out)
 
-        return position(c.cast("double"))
-
-    def normal(self, c: Column) -> Column:
-        """Normal scores, kept inside the quantiles of 1e-7 and 1 - 1e-7."""
-        p = F.greatest(F.lit(1e-7), F.least(F.lit(1.0 - 1e-7), self.uniform(c)))
-        return S.normal_cdf_inverse(p)
+        return score(c.cast("double"))
 
 
 def fit_quantiles(df: DataFrame, column: str, points: int) -> QuantileFit:
@@ -306,47 +309,43 @@ def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- power transform
 
 
-def yeo_johnson(c: Column, lam: float) -> Column:
+def yeo_johnson(c: Column, lam: float | Column) -> Column:
     """Yeo-Johnson with a given lambda."""
-    def near(a: float, b: float) -> bool:
-        return abs(a - b) < 1e-12
-
-    pos = F.log1p(c) if near(lam, 0) else (F.pow(c + 1, F.lit(lam)) - 1) / F.lit(lam)
-    neg = -F.log1p(-c) if near(lam, 2) else -(F.pow(1 - c, F.lit(2 - lam)) - 1) / F.lit(2 - lam)
+    k = lam if isinstance(lam, Column) else F.lit(float(lam))
+    pos = F.when(F.abs(k) < 1e-12, F.log1p(c)).otherwise((F.pow(c + 1, k) - 1) / k)
+    neg = F.when(F.abs(k - 2) < 1e-12, -F.log1p(-c)).otherwise(-(F.pow(1 - c, 2 - k) - 1) / (2 - k))
     return F.when(c >= 0, pos).otherwise(neg)
 
 
 def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], low: float = -4.0, high: float = 4.0,
-                    points: int = 17, rounds: int = 4) -> dict[str, float | None]:
+                    points: int = 9, rounds: int = 5) -> dict[str, float | None]:
     """Maximum-likelihood lambda per column by a shrinking grid; one pass per round for all columns.
 
-    None (column unchanged) when the likelihood is never finite, such as a constant column.
+    Each value meets every lambda of the round and is combined before the shuffle, so a round
+    exchanges columns x lambdas rows.  None (column unchanged) when the likelihood is never
+    finite, such as a constant column.
     """
     span = {c: (low, high) for c in columns}
     best: dict[str, float | None] = {c: None for c in columns}
     for _ in range(rounds):
-        aggs, grids = [], {}
+        items = []
         for i, c in enumerate(columns):
             a, b = span[c]
-            grids[c] = [a + (b - a) * k / (points - 1) for k in range(points)]
-            x = S.finite(col(c))
-            aggs.append(F.count(x).alias(f"n_{i}"))
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j_{i}"))
-            aggs += [F.var_pop(yeo_johnson(x, lam)).alias(f"v_{i}_{k}") for k, lam in enumerate(grids[c])]
-        row = df.agg(*aggs).first()
+            grid = F.array(*[F.lit(a + (b - a) * k / (points - 1)) for k in range(points)])
+            items.append(F.struct(F.lit(i).alias("i"), S.finite(col(c)).alias("x"), grid.alias("grid")))
+        long = df.select(F.inline(F.array(*items))).filter("x is not null")
+        rows = long.select("i", "x", F.explode("grid").alias("lam")).groupBy("i", "lam").agg(
+            F.count("x").alias("n"), F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v"),
+            F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("j")).collect()
         for i, c in enumerate(columns):
-            n, jac = row[f"n_{i}"], row[f"j_{i}"]
-            scored = []
-            for k, lam in enumerate(grids[c]):
-                v = row[f"v_{i}_{k}"]
-                if v is not None and math.isfinite(v) and v > 1e-300:
-                    scored.append((-n / 2 * math.log(v) + (lam - 1) * jac, -abs(lam - 1), lam))
-            if not scored:
-                best[c] = None
-                continue
-            best[c] = max(scored)[2]
-            width = (span[c][1] - span[c][0]) / (points - 1)
-            span[c] = (best[c] - width, best[c] + width)
+            scored = [
+                (-r["n"] / 2 * math.log(r["v"]) + (r["lam"] - 1) * r["j"], -abs(r["lam"] - 1), r["lam"])
+                for r in rows if r["i"] == i and r["v"] is not None and math.isfinite(r["v"]) and r["v"] > 1e-300
+            ]
+            best[c] = max(scored)[2] if scored else None
+            if scored:
+                width = (span[c][1] - span[c][0]) / (points - 1)
+                span[c] = (best[c] - width, best[c] + width)
     return best
 
 
@@ -389,8 +388,11 @@ def fit_power(df: DataFrame, columns: Sequence[str], standardize: bool = True, t
 
 
 def flat_pipeline(df: DataFrame, columns: Sequence[str], method: str = "power", threshold: float = 4.0) -> DataFrame:
-    """Standard scale with clip, normalise, then clip outliers."""
-    x = standard_clip(df, columns)
+    """Standard scale with clip, normalise, then clip outliers.
+
+    Every fit scans its input, so both stage results are kept on the executors.
+    """
+    x = standard_clip(df, columns).persist(StorageLevel.DISK_ONLY)
     if method == "power":
         x = fit_power(x, columns).apply(x, revert=False)
     elif method == "quantile":
@@ -404,6 +406,7 @@ def flat_pipeline(df: DataFrame, columns: Sequence[str], method: str = "power",
         x = robust_scale(x, columns)
     elif method != "none":
         raise ValueError(f"Unknown normalization method: {method}")
+    x = x.persist(StorageLevel.DISK_ONLY)
     return clip_outliers(x, outlier_bounds(x, columns, threshold))
 
 

@@ -100,17 +100,19 @@ def prefix_sums(
     by: Sequence[str] = (),
     totals: dict[str, str] | None = None,
     buckets: int | None = None,
+    previous: str | None = None,
 ) -> DataFrame:
     """Exclusive running sums in ``order`` (unique per group) plus optional group totals.
 
-    ``sums`` maps output name to summed column; ``totals`` maps output name to column.
-    Input is expected pre-aggregated to one row per (group, order value).
+    ``sums`` maps output name to summed column; ``totals`` maps output name to column;
+    ``previous`` names a column for the preceding order value.  Input is expected
+    pre-aggregated to one row per (group, order value).
     """
     totals = totals or {}
     cut = with_value_bucket(df, order, by, buckets)
     need = sorted(set(sums.values()) | set(totals.values()))
     per = cut.groupBy(*[col(c) for c in by], F.col("__b")).agg(
-        *[F.sum(col(c)).alias(f"__s_{c}") for c in need]
+        *[F.sum(col(c)).alias(f"__s_{c}") for c in need], F.max(col(order)).alias("__end")
     )
     whole = Window.partitionBy(*[col(c) for c in by])
     before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,6 +121,7 @@ def prefix_sums(
         F.col("__b").alias("__ob"),
         *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in set(sums.values())],
         *[F.sum(f"__s_{c}").over(whole).alias(f"__t_{c}") for c in set(totals.values())],
+        *([F.max("__end").over(before).alias("__prev")] if previous else []),
     )
     if not by:
         offsets = F.broadcast(offsets)  # at most `buckets` rows
@@ -133,9 +136,21 @@ def prefix_sums(
             for out, c in sums.items()
         ],
         *[F.col(f"__t_{c}").alias(out) for out, c in totals.items()],
+        *([F.coalesce(F.lag(col(order)).over(inside), F.col("__prev")).alias(previous)] if previous else []),
     )
 
 
+def running_max(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Inclusive running maximum of ``value`` over a total order."""
+    cut = with_order_bucket(df, order)
+    before = Window.orderBy("__ob").rowsBetween(Window.unboundedPreceding, -1)
+    per = cut.groupBy(F.col("__b").alias("__ob")).agg(F.max(col(value)).alias("__m"))
+    offsets = F.broadcast(per.select("__ob", F.max("__m").over(before).alias("__prev")))  # one row per bucket
+    inside = Window.partitionBy("__b").orderBy(*[col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(offsets, F.col("__b") == F.col("__ob")).select(
+        *[col(c) for c in df.columns], F.greatest(F.max(col(value)).over(inside), F.col("__prev")).alias(out))
+
+
 def numbered(
     df: DataFrame,
     order: Sequence[str],

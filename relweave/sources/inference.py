@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from relweave.functions.scalar import col
 from relweave.session import materialize
@@ -206,8 +206,3 @@ def evaluation_manifest(
             raise RuntimeError(f"Expected {expected} classification tasks, found {found}")
     return out
 
-
-def last_of(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """Latest row per key."""
-    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
