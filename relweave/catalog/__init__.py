@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("synthesis", "joins", "sources", "predicates", "scalars", "transforms", "structure", "splits", "quality")
+MODULES = ("synthesis", "joins", "sources", "predicates", "scalars", "transforms", "structure", "splits", "quality", "metrics", "graph", "corpus")
 
 
 def load():

@@ -41,7 +41,8 @@ def task_candidates(
     """(candidate, kind, n_rows, n_distinct, balance) of every label a focal table could have.
 
     To-one terminals offer their columns directly (balance: share of the largest class);
-    others every column aggregate (balance: share above the median of the groups).  One join
+    others every column aggregate (balance: share above the median of the groups; values are
+    compared to 9 places, as sums depend on their order).  One join
     chain per terminal table, all its aggregates together.
     """
     aggs, direct = [], []
@@ -64,7 +65,7 @@ def task_candidates(
             pairs = [(a, c) for c in numeric for a in aggregates]
             wide = walk.groupBy("focal_pk").agg(*[
                 LABEL_AGGREGATES[a](S.finite(col(c))).cast("double").alias(f"x{i}") for i, (a, c) in enumerate(pairs)])
-            items = [F.struct(F.lit(f"{a}({name}.{c})").alias("candidate"), S.finite(F.col(f"x{i}")).alias("v"))
+            items = [F.struct(F.lit(f"{a}({name}.{c})").alias("candidate"), F.round(S.finite(F.col(f"x{i}")), 9).alias("v"))
                      for i, (a, c) in enumerate(pairs)]
             aggs.append(wide.select(F.inline(F.array(*items))))
     out = None
