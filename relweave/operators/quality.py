@@ -18,7 +18,7 @@ from relweave.operators import metrics as M
 from relweave.operators.joins import shortest_path, walk_keys
 from relweave.operators.structure import LABEL_AGGREGATES, effective_rank
 from relweave.plans.ordering import numbered_by_hash, prefix_sums
-from relweave.plans.quantiles import exact_quantiles
+from relweave.plans.quantiles import column_quantiles, exact_quantile_values, exact_quantiles
 
 # screening thresholds (fixed values)
 POSITIVE_SHARE = (0.05, 0.95)
@@ -162,8 +162,8 @@ def out_of_fold(
     base = _folds(df.select(*[col(k) for k in key], col(label).cast("double").alias("y"), *[col(f) for f in features]),
                   key, folds, seed)
     filled = base.select(*[col(k) for k in key], "y", "__fold", *[S.finite(col(f)).alias(f) for f in features])
-    med = {f: m for f, m in zip(features, _medians(filled, features))}
-    filled = filled.withColumns({f: F.coalesce(col(f), F.lit(med[f])) for f in features})
+    med = column_quantiles(filled, {f: col(f) for f in features}, [0.5])
+    filled = filled.withColumns({f: F.coalesce(col(f), F.lit(med[f][0] if med[f][0] is not None else 0.0)) for f in features})
     vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(filled).select(
         *[col(k) for k in key], "y", "__fold", "__x").persist()
     out = None
@@ -175,13 +175,6 @@ def out_of_fold(
     return out
 
 
-def _medians(df: DataFrame, columns: Sequence[str]) -> list[float]:
-    from relweave.plans.quantiles import exact_quantile_values
-
-    got = [exact_quantile_values(df.select(col(c).alias("x")), "x", [0.5])[0] for c in columns]
-    return [0.0 if m is None else m for m in got]
-
-
 def forest(trees: int = 64, depth: int = 12, seed: int = 42):
     return lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
 
@@ -369,8 +362,6 @@ def corpus_compare(
 
 def feature_label_mi(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each feature, in equal-frequency bins, with label > median."""
-    from relweave.plans.quantiles import exact_quantile_values
-
     (cut,) = exact_quantile_values(df, label, [0.5])
     items = F.array(*[F.struct(F.lit(f).alias("feature"), S.finite(col(f)).alias("x")) for f in features])
     long = df.select((col(label) > F.lit(cut)).cast("int").alias("y"), F.inline(items)).filter("x is not null")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.operators.predicates import predicate
-from relweave.plans.quantiles import exact_quantile_values, exact_quantiles
+from relweave.plans.quantiles import column_quantiles, exact_quantile_values, exact_quantiles
 
 MONTHS = 612  # 1970 to 2020 (fixed value)
 NULL_RATE_EDGES = (0.0, 0.01, 0.05, 0.10, 0.15, 0.20, 0.30, 0.50, 1.0)
@@ -218,7 +218,7 @@ def feature_label_corr(df: DataFrame, features: Sequence[str], label: str, by: S
 
 def median_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-finite values replaced by the column median (0 when there is none)."""
-    fills = {c: exact_quantile_values(df.select(S.finite(col(c)).alias("x")), "x", [0.5])[0] for c in columns}
+    fills = {c: q[0] for c, q in column_quantiles(df, {c: S.finite(col(c)) for c in columns}, [0.5]).items()}
     return df.select(*[F.coalesce(S.finite(col(c)), F.lit(fills[c] if fills[c] is not None else 0.0)).alias(c) for c in columns])
 
 

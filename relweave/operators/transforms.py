@@ -22,7 +22,7 @@ from relweave.functions.scalar import col
 from relweave.model import CATEGORY, DATETIME, FLOAT, TEXT, TIMESTAMP, ColumnMeta, RelationalDataset, TableMeta
 from relweave.operators.joins import ensure_parents
 from relweave.plans.ordering import numbered
-from relweave.plans.quantiles import exact_quantile_values, quantile_grid
+from relweave.plans.quantiles import column_quantiles, exact_quantile_values, quantile_grid
 
 # ---------------------------------------------------------------- codes
 
@@ -299,8 +299,7 @@ NORMAL_IQR = 1.3489795003921634  # distance of the normal quartiles (fixed value
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - median) / IQR, scaled to unit variance for normal data."""
     out = {}
-    for c in columns:
-        q1, q2, q3 = exact_quantile_values(df, c, [0.25, 0.5, 0.75])
+    for c, (q1, q2, q3) in column_quantiles(df, {c: col(c) for c in columns}, [0.25, 0.5, 0.75]).items():
         scale = (q3 - q1) / NORMAL_IQR or 1.0
         out[c] = (col(c).cast("double") - F.lit(q2)) / F.lit(scale)
     return df.withColumns(out)
@@ -552,8 +551,7 @@ def fill_numeric(df: DataFrame, columns: Sequence[str], fill: str = "median", tr
         row = fit.agg(*[F.avg(S.finite(col(c))).alias(f"a{i}") for i, c in enumerate(columns)]).first()
         values = {c: row[f"a{i}"] for i, c in enumerate(columns)}
     elif fill == "median":
-        for c in columns:
-            values[c] = exact_quantile_values(fit.select(S.finite(col(c)).alias("x")), "x", [0.5])[0]
+        values = {c: q[0] for c, q in column_quantiles(fit, {c: S.finite(col(c)) for c in columns}, [0.5]).items()}
     elif fill != "zero":
         raise ValueError(f"unknown fill {fill!r}")
     return df.withColumns({

@@ -1,15 +1,15 @@
 """Exact quantiles of data-sized columns.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer.  Here the
-values are counted, put in order over buckets, and the two neighbours of each wanted rank are
-picked by their running count, so the work spreads over all tasks.
+The built-in exact percentile keeps every distinct value of a group in one buffer.  Here a
+few quantiles are found by bracketing their ranks, and a whole grid by running counts over
+ordered buckets, so the work spreads over all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relweave.functions.scalar import col
 from relweave.plans.ordering import prefix_sums
@@ -25,43 +25,75 @@ def ranked_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     return prefix_sums(counts, "v", {"before": "n"}, by, {"total": "n"})
 
 
-def _pick(rank: Column) -> Column:
-    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("v")))
+# rank error of the approximate pass; the exact pass keeps a few times that share of the values
+ACCURACY = 100_000
+MARGIN = 3.0 / ACCURACY
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Linearly interpolated quantiles, one output column per entry of ``probs``."""
-    ranked = ranked_values(df, value, by)
-    aggs = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        aggs += [
-            _pick(F.floor(pos)).alias(f"__lo_{name}"),
-            _pick(F.ceil(pos)).alias(f"__hi_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"__w_{name}"),
-        ]
-    got = ranked.groupBy(*[col(c) for c in by]).agg(*aggs)
-    return got.select(
-        *[col(c) for c in by],
-        *[
-            (
-                F.col(f"__lo_{n}")
-                + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")
-            ).alias(n)
-            for n in probs
-        ],
-    )
+    """Linearly interpolated quantiles, one output column per entry of ``probs``.
+
+    An approximate pass brackets each wanted rank; the exact pass counts the values inside the
+    brackets and folds everything outside into one cell per side, so a tiny share of the
+    values is shuffled and each (group, quantile) window is that small as well.
+    """
+    names = list(probs)
+    x = col(value).cast("double")
+    rows = df.select(*[col(c) for c in by], x.alias("__v")).filter("__v is not null and not isnan(__v)")
+    keys = [col(c) for c in by]
+    edges = [e for p in probs.values() for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    near = rows.groupBy(*keys).agg(
+        F.percentile_approx("__v", edges, ACCURACY).alias("__e"), F.count(F.lit(1)).alias("__n"))
+    right = near.select(*[col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__e", "__n")
+    if by:
+        joined = rows.join(right, [col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], "inner")
+    else:
+        joined = rows.join(F.broadcast(right))  # one row of bounds
+    inf = float("inf")
+    # below that size the margin is less than a few ranks, and all values are few enough
+    large = F.col("__n") > 2 * ACCURACY
+    cells = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
+            F.when(large & (F.col("__v") < F.col("__e")[2 * i]), F.lit(-inf))
+            .when(large & (F.col("__v") > F.col("__e")[2 * i + 1]), F.lit(inf))
+            .otherwise(F.col("__v")).alias("c"),
+        )
+        for i, p in enumerate(probs.values())
+    ])
+    counts = joined.select(*keys, "__n", F.inline(cells)).groupBy(*keys, "i", "p", "c").agg(
+        F.count(F.lit(1)).alias("n"), F.max("__n").alias("total"))
+    w = Window.partitionBy(*keys, "i").orderBy("c")
+    placed = counts.withColumn("upto", F.sum("n").over(w)).withColumn("pos", F.col("p") * (F.col("total") - 1))
+
+    def pick(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("c")))
+
+    lo, hi = pick(F.floor("pos")), pick(F.ceil("pos"))
+    at = lo + (hi - lo) * F.max(F.col("pos") - F.floor("pos"))
+    missed = (F.abs(lo) == inf) | (F.abs(hi) == inf)
+    exact = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
+        F.when(lo == hi, lo).otherwise(at))
+    per = placed.groupBy(*keys, "i").agg(exact.alias("q"))
+    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
 
 
 def exact_quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
     """The quantiles of one column as driver scalars (a fit)."""
-    row = exact_quantiles(df.select(col(value).cast("double").alias("x")), "x",
-                          {f"q{i}": p for i, p in enumerate(probs)}).first()
+    row = exact_quantiles(df, value, {f"q{i}": p for i, p in enumerate(probs)}).first()
     return [row[f"q{i}"] for i in range(len(probs))] if row else [None] * len(probs)
 
 
+def column_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Quantiles of several columns in one job: the columns are unpivoted and grouped by name."""
+    items = F.array(*[F.struct(F.lit(n).alias("column"), c.cast("double").alias("x")) for n, c in columns.items()])
+    got = exact_quantiles(df.select(F.inline(items)), "x", {f"q{i}": p for i, p in enumerate(probs)}, ["column"]).collect()
+    found = {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in got}
+    return {n: found.get(n, [None] * len(probs)) for n in columns}
+
+
 def quantile_grid(df: DataFrame, value: str, points: int, by: Sequence[str] = ()) -> DataFrame:
     """Evenly spaced exact quantiles (k / (points-1), value) without one aggregate per point.
 
