@@ -22,6 +22,7 @@ DEFAULT_PRIMITIVES = (
 )
 _ARRAY = ("arraymax", "arraymin", "arraymean")
 _CUT = "__cut"
+_NEVER = "0001-01-01 00:00:00"
 
 
 @dataclass(frozen=True)
@@ -240,27 +241,38 @@ class _Builder:
             cur = up.join(down, cond, "left").drop("__up")  # a childless parent keeps its group
         return cur
 
-    def expand(self, v: Visit, rows: DataFrame, keep: list[str]) -> DataFrame:
-        """Add the features of a visit to its rows; columns are named ``f:<feature>``."""
-        cut = [_CUT] if self.per_row else []
-        cols = [col(k) for k in keep] + [F.col(c) for c in cut if c not in keep]
+    def expand(
+        self, v: Visit, rows: DataFrame, keep: list[str], unique: bool = True, known: dict[str, DataFrame] | None = None
+    ) -> DataFrame:
+        """Add the features of a visit to its rows; columns are named ``f:<feature>``.
+
+        ``unique`` says that rows do not repeat a (primary key, cutoff); ``known`` holds pairs
+        of a key and the cutoff that already cover these rows.
+        """
+        cut = [_CUT] if self.per_row and _CUT not in keep else []
         need = {r.fk for r, _, _ in v.parents} | {path[0].pk for path, _, _ in v.children}
-        cols += [col(k).alias(f"__need_{k}") for k in sorted(need)]
-        out = rows.select(*cols, *[col(f.name).alias(f"f:{f.name}") for f in v.identity])
+        out = rows.select(
+            *[col(k) for k in [*keep, *cut]], *[col(k).alias(f"__need_{k}") for k in sorted(need)],
+            *[col(f.name).alias(f"f:{f.name}") for f in v.identity],
+        )
         for r, sub, mapped in v.parents:
             par = self.parent_rows(r, sub, mapped, out)
             cond = F.col(f"__need_{r.fk}") == F.col("__pk")
             if self.per_row:
-                cond = cond & F.col(_CUT).eqNullSafe(F.col("__pcut"))
+                cond = cond & (F.col(_CUT) == F.col("__pcut"))
             out = out.join(par, cond, "left").drop("__pk", "__pcut")
         for path, sub, aggs in v.children:
+            key = path[0].pk
             pairs = None
             if self.per_row:
-                pairs = out.select(F.col(f"__need_{path[0].pk}").alias("__key"), _CUT).distinct()
+                pairs = (known or {}).get(key)
+                if pairs is None:
+                    pairs = out.select(F.col(f"__need_{key}").alias("__key"), _CUT)
+                    pairs = pairs if unique else pairs.distinct()
             agg = self.child_aggregate(path, sub, aggs, pairs)
-            cond = F.col(f"__need_{path[0].pk}") == F.col("__gkey")
+            cond = F.col(f"__need_{key}") == F.col("__gkey")
             if self.per_row:
-                cond = cond & F.col(_CUT).eqNullSafe(F.col("__gcut"))
+                cond = cond & (F.col(_CUT) == F.col("__gcut"))
             out = out.join(agg, cond, "left").drop("__gkey", "__gcut")
         return out.drop(*[f"__need_{k}" for k in need])
 
@@ -276,7 +288,9 @@ class _Builder:
         ts = self.ds.meta[r.parent].time_column
         if ts:
             cond = cond & self._before(col(ts), F.col(_CUT))
-        full = self.expand(sub, par.join(pairs, cond, "inner"), [r.pk, _CUT])
+        # without a time limit on the parent its own children can start from the same pairs
+        known = {} if ts else {r.pk: pairs}
+        full = self.expand(sub, par.join(pairs, cond, "inner").drop("__key"), [r.pk, _CUT], known=known)
         return full.select(col(r.pk).alias("__pk"), F.col(_CUT).alias("__pcut"), *rename)
 
     def child_aggregate(self, path, sub: Visit, aggs, pairs: DataFrame | None) -> DataFrame:
@@ -349,7 +363,6 @@ def synthesize(
         n, d = task.agg(F.count(col(pk)), F.count_distinct(col(pk))).first()
         key_is_unique = n == d
 
-    # distinct (keys, cutoff): one aggregation per pair, not per task row
     root = Visit("__task__")
     if pk in keys and key_is_unique:
         whole = plan_visit(ds, target_table, depth, primitives, frozenset(), skip)
@@ -382,23 +395,17 @@ def synthesize(
         if low == high and n_cut == n_all:
             uniform = latest
     builder = _Builder(ds, uniform, cutoff is not None, latest, inclusive)
-    keyset = list(dict.fromkeys([*keys, *([cutoff] if cutoff else [])]))
-    pairs = task.select(*[col(k) for k in keyset]).distinct()
+    rows = task
     if builder.per_row:
-        pairs = pairs.withColumn(_CUT, col(cutoff))
-    wide = builder.expand(root, pairs, keyset)
-    right = wide.select(*[col(k).alias(f"__j_{k}") for k in keyset],
-                        *[col(f"f:{f.name}") for f in root.features()])
-    cond = None
-    for k in keyset:
-        c = col(k).eqNullSafe(col(f"__j_{k}"))
-        cond = c if cond is None else cond & c
-    joined = task.join(right, cond, "left")
+        # no row is before the first instant, so it stands for a missing cutoff
+        never = F.lit(_NEVER).cast(task.schema[cutoff].dataType)
+        rows = task.withColumn(_CUT, F.coalesce(col(cutoff), never))
+    wide = builder.expand(root, rows, task.columns, unique=bool(key_is_unique))
     final = []
     for f in root.features():
         c = col(f"f:{f.name}")
         final.append((F.coalesce(c, F.lit(0)) if f.open_count else c).alias(name(f.name)))
-    return joined.select(*[col(c) for c in task.columns], *final)
+    return wide.select(*[col(c) for c in task.columns], *final)
 
 
 def feature_names(ds: RelationalDataset, target_table: str, keys: Sequence[str], depth: int,
