@@ -81,7 +81,21 @@ _GRAPH = """
 """
 
 
-@query("neighbor_sample_global")
+_FANOUT = """row_number() OVER (PARTITION BY etype, dst ORDER BY ('0x' || substr(md5('0:{hop}|' || etype || '|' || src || '|' || dst), 1, 15))::BIGINT, src)"""
+
+
+@query(
+    "neighbor_sample_global",
+    f"""WITH {_GRAPH}, tm AS (SELECT o_orderkey AS n, o_orderdate < TIMESTAMP '1998-01-01' OR o_orderdate = TIMESTAMP '1998-01-01' AS ok FROM orders),
+        s AS (SELECT 'customer' AS ty, c_custkey AS n FROM customer WHERE c_mktsegment = 'BUILDING'),
+        h0 AS (SELECT * FROM (SELECT e.*, {_FANOUT.format(hop=0)} AS rn FROM e JOIN s ON s.ty = dt AND s.n = dst) WHERE rn <= 10
+               AND (st <> 'orders' OR src IN (SELECT n FROM tm WHERE ok)) AND (dt <> 'orders' OR dst IN (SELECT n FROM tm WHERE ok))),
+        f AS (SELECT * FROM s UNION SELECT st, src FROM h0),
+        h1 AS (SELECT * FROM (SELECT e.*, {_FANOUT.format(hop=1)} AS rn FROM e JOIN f ON f.ty = dt AND f.n = dst) WHERE rn <= 5
+               AND (st <> 'orders' OR src IN (SELECT n FROM tm WHERE ok)) AND (dt <> 'orders' OR dst IN (SELECT n FROM tm WHERE ok)))
+        SELECT 0 AS hop, etype, st AS src_type, src, dt AS dst_type, dst FROM h0
+        UNION ALL SELECT 1, etype, st, src, dt, dst FROM h1""",
+)
 def neighbor_sample_global(t: Tables):
     edges, times, seeds = order_graph(t)
     out = G.neighbor_sample(edges, times, seeds, [5, 10], threshold=883612800000000)  # 1998-01-01

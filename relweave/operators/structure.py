@@ -146,15 +146,15 @@ def monthly_activity(events: DataFrame, name: str, ts: str) -> DataFrame:
         "name", "month", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
 
 
-def calendar_synchrony(curves: DataFrame) -> DataFrame:
-    """Pearson correlation of the monthly curves of each pair of tables.
+def calendar_synchrony(curves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pearson correlation of the monthly curves of each pair of tables of a database.
 
-    Curves are sparse sums: for share vectors over a fixed axis the correlation only needs
-    the products of months both tables have, so the pair join runs on the month.
+    The pairs are the result: a database has few tables, and ``by`` keeps databases apart.
     """
-    left = curves.select(F.col("name").alias("a"), "month", F.col("share").alias("x"))
-    right = curves.select(F.col("name").alias("b"), "month", F.col("share").alias("y"))
-    return left.join(right, "month").filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    keys = [col(c) for c in by]
+    left = curves.select(*keys, F.col("name").alias("a"), "month", F.col("share").alias("x"))
+    right = curves.select(*keys, F.col("name").alias("b"), "month", F.col("share").alias("y"))
+    return left.join(right, [*by, "month"]).filter("a < b").groupBy(*keys, "a", "b").agg(F.corr("x", "y").alias("r"))
 
 
 # ---------------------------------------------------------------- correlations

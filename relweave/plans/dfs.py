@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions.scalar import col
 from relweave.model import CATEGORY, FLOAT, TEXT, TOKENS, ForeignKey, RelationalDataset
+from relweave.operators.aggregates import concat_tokens, join_text
 
 DEFAULT_PRIMITIVES = (
     "max", "min", "mean", "count", "mode", "concat", "join", "arraymax", "arraymin", "arraymean",
@@ -163,7 +164,7 @@ def prune(v: Visit, wanted: set[str]) -> Visit:
     return out
 
 
-def aggregate_column(prim, c: Column | None, in_size: int = 1, order: Sequence[Column] = ()) -> Column:
+def aggregate_column(prim, c: Column, in_size: int = 1) -> Column:
     """The aggregate expression of one primitive."""
     if isinstance(prim, CustomAgg):
         return prim.build(c)
@@ -178,11 +179,6 @@ def aggregate_column(prim, c: Column | None, in_size: int = 1, order: Sequence[C
     if prim == "mode":
         # category columns have bounded cardinality, so the value counts of a group stay small
         return F.mode(c, deterministic=True)
-    if prim in ("join", "concat"):
-        packed = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(*order, c.alias("x")))))
-        values = F.transform(packed, lambda s: s["x"])
-        some = F.size(packed) > 0
-        return F.when(some, F.array_join(values, "\n") if prim == "join" else F.flatten(values))
     if prim in _ARRAY:
         # the dimension is fixed and known, so each position is one plain aggregate:
         # partial aggregation works and no row is exploded
@@ -308,17 +304,29 @@ class _Builder:
         keep = ["__group"] + ([marker] if marker else []) + [f"__o{i}" for i in range(len(extra))]
         keep += [_CUT] if pairs is not None else []
         full = self.expand(sub, rows, keep)
-        order = [F.col(f"__o{i}") for i in range(len(extra))]
+        order = [f"__o{i}" for i in range(len(extra))]
         sizes = {f.name: f.in_size for f in sub.features()}
-        exprs = []
+        keys = ["__group"] + ([_CUT] if pairs is not None else [])
+        renamed = [F.col(k).alias({"__group": "__gkey", _CUT: "__gcut"}[k]) for k in keys]
+        plain, lists = [], []
         for f, p, source in aggs:
-            if p == "count":
-                c = F.col(marker) if marker else F.lit(1)
+            if p in ("join", "concat"):
+                lists.append((f, p, source))
             else:
-                c = col(f"f:{source}")
-            exprs.append(aggregate_column(p, c, sizes.get(source, 1), order).alias(f"f:{f.name}"))
-        by = [F.col("__group").alias("__gkey")] + ([F.col(_CUT).alias("__gcut")] if pairs is not None else [])
-        return full.groupBy(*by).agg(*exprs)
+                c = (F.col(marker) if marker else F.lit(1)) if p == "count" else col(f"f:{source}")
+                plain.append(aggregate_column(p, c, sizes.get(source, 1)).alias(f"f:{f.name}"))
+        out = full.groupBy(*renamed).agg(*plain) if plain else full.select(*renamed).distinct()
+        for f, p, source in lists:
+            # long lists are built in chunks of bounded length, never as one buffer of a group
+            build = join_text if p == "join" else concat_tokens
+            x = full.select(*keys, *order, col(f"f:{source}").alias("__x"))
+            part = build(x, keys, "__x", order)
+            right = part.select(*[F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)], F.col("__x").alias(f"f:{f.name}"))
+            cond = F.col("__gkey") == F.col("__l0")
+            if pairs is not None:
+                cond = cond & (F.col("__gcut") == F.col("__l1"))
+            out = out.join(right, cond, "left").drop("__l0", "__l1")
+        return out
 
 
 def safe_name(feature: str) -> str:

@@ -1,9 +1,9 @@
 """Global order without a single partition.
 
-A window with no partition key, or with one hot key, runs in one task.  Here rows are first
-cut into ordered buckets (by value bounds or by the high bits of a hash), counted per bucket,
-and numbered inside their bucket; the bucket offsets are a table of at most ``buckets`` rows
-per group.  No task ever holds more than one (group, bucket) cell.
+A window with no partition key, or with one hot key, runs in one task.  Here such rows are
+first cut into ordered buckets (by sampled bounds or by the high bits of a hash), counted per
+bucket, and numbered inside their bucket; the bucket offsets are a table of at most
+``buckets`` rows per group.  Groups of ordinary size keep one bucket and cost one window.
 """
 
 from __future__ import annotations
@@ -14,27 +14,45 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relweave.functions.scalar import HASH_BITS, col
 
-DEFAULT_BUCKETS = 32
+MIN_BUCKETS, MAX_BUCKETS = 32, 4096
+SAMPLES_PER_BUCKET = 16
+FAN = 64
+# a group above this many rows is cut into buckets; below it one task sorts the group
+HOT_GROUP_ROWS = 1_000_000
+# hot groups are looked up by broadcast up to this many, by a plain join beyond
+MAX_BROADCAST_GROUPS = 10_000
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Power of two near the shuffle width of the session."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = DEFAULT_BUCKETS
-    while n < min(width, 512):
+    """Power of two, about twice the shuffle width of the session."""
+    width = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = MIN_BUCKETS
+    while n < min(width, MAX_BUCKETS):
         n *= 2
     return n
 
 
 def bisect(x: Column, bounds: Sequence[Column]) -> Column:
-    """Number of bounds <= x, as a balanced CASE tree (log2 comparisons, code generated)."""
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < bounds[mid], node(lo, mid)).otherwise(node(mid + 1, hi))
+    """Number of bounds <= x.
 
-    return node(0, len(bounds))
+    Up to 64 bounds are a balanced CASE tree (six comparisons, code generated); more are
+    reached through a tree over every 64th bound and a constant array of the rest.
+    """
+    def tree(parts: Sequence[Column]) -> Column:
+        def node(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(x < parts[mid], node(lo, mid)).otherwise(node(mid + 1, hi))
+
+        return node(0, len(parts))
+
+    if len(bounds) <= FAN:
+        return tree(bounds)
+    chunks = [list(bounds[i:i + FAN]) for i in range(0, len(bounds), FAN)]
+    top = tree([c[0] for c in chunks[1:]])
+    rows = F.array(*[F.array(*c) for c in chunks])
+    return top * FAN + F.size(F.filter(F.get(rows, top), lambda b: b <= x))
 
 
 def hash_bucket(h: str | Column, buckets: int) -> Column:
@@ -42,55 +60,87 @@ def hash_bucket(h: str | Column, buckets: int) -> Column:
     return F.shiftright(col(h), HASH_BITS - (buckets.bit_length() - 1)).cast("int")
 
 
-def row_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> list:
+def row_bounds(df: DataFrame, order: Sequence[str], buckets: int, by: Sequence[str] = ()) -> list:
     """At most ``buckets - 1`` cut points of the whole order key (a bounded driver list).
 
-    The cuts come from the rows with the lowest key hash.  Ties on the first column are cut
-    further by the next ones, and the cuts only balance the buckets: positions stay exact
-    whatever they are.
+    The cuts come from the rows with the lowest key hash, so larger groups get more of them.
+    Ties on the first column are cut further by the next ones, and the cuts only balance the
+    buckets: positions stay exact whatever they are.
     """
-    keys = [col(c).alias(f"k{i}") for i, c in enumerate(order)]
     names = [f"k{i}" for i in range(len(order))]
-    per = 16
-    rows = df.select(*keys).orderBy(F.xxhash64(*names), *names).limit(per * buckets)
+    keys = [col(c).alias(n) for c, n in zip(order, names)]
+    h = F.xxhash64(*[col(c) for c in (*by, *order)]).alias("h")
+    rows = df.select(*keys, h).orderBy("h", *names).limit(SAMPLES_PER_BUCKET * buckets).drop("h")
     found = [tuple(r) for r in rows.orderBy(*names).collect()]
-    cuts = list(dict.fromkeys(found[per::per]))
+    step = max(1, len(found) // buckets)
+    cuts = list(dict.fromkeys(found[step::step]))
     return [c for c in cuts if all(v is not None for v in c)]
 
 
-def with_order_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None, out: str = "__b") -> DataFrame:
-    """Ordered bucket of the order key."""
+def order_bucket(df: DataFrame, order: Sequence[str], buckets: int, by: Sequence[str] = ()) -> Column:
+    """Ordered bucket of the order key, as an expression over ``df``."""
     types_ = [df.schema[c].dataType for c in order]
 
     def key(parts: list[Column]) -> Column:
         return parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
-    cuts = [key([F.lit(v).cast(t) for v, t in zip(c, types_)])
-            for c in row_bounds(df, order, buckets or bucket_count(df))]
-    return df.withColumn(out, bisect(key([col(c) for c in order]), cuts))
+    cuts = [key([F.lit(v).cast(t) for v, t in zip(c, types_)]) for c in row_bounds(df, order, buckets, by)]
+    return bisect(key([col(c) for c in order]), cuts)
 
 
-def with_value_bucket(
-    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None, out: str = "__b"
-) -> DataFrame:
-    """Ordered bucket of a numeric value; bounds are per group when ``by`` is given."""
-    n = buckets or bucket_count(df)
+def _match(by: Sequence[str], prefix: str = "__k") -> list[Column]:
+    return [col(c).eqNullSafe(F.col(f"{prefix}{i}")) for i, c in enumerate(by)]
+
+
+def _keys(by: Sequence[str], prefix: str = "__k") -> list[Column]:
+    return [col(c).alias(f"{prefix}{i}") for i, c in enumerate(by)]
+
+
+def hot_groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame | None, bool]:
+    """(keys of groups above the hot size, whether their number allows a broadcast)."""
+    counts = df.groupBy(*_keys(by)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_GROUP_ROWS).drop("__n")
+    found = counts.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    if not found:
+        return None, True
+    if len(found) <= MAX_BROADCAST_GROUPS:
+        return df.sparkSession.createDataFrame(found, counts.schema), True
+    return counts, False
+
+
+def _cut(
+    df: DataFrame, order: Sequence[str], by: Sequence[str], bucket: Column | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with ``__b``, rows that need offsets); ordinary groups have the one bucket 0."""
+    n = bucket_count(df)
     if not by:
-        return with_order_bucket(df, [value], n, out)
-    probs = [i / n for i in range(1, n)]
-    bounds = df.groupBy(*[col(c) for c in by]).agg(
-        F.percentile_approx(col(value).cast("double"), probs, 1000).alias("__bounds")
-    )
-    keys = [F.col(f"__k{i}") for i in range(len(by))]
-    right = bounds.select(*[col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__bounds")
-    cond = [col(c).eqNullSafe(k) for c, k in zip(by, keys)]
-    return (
-        df.join(right, cond, "inner")
-        .withColumn(
-            out, F.size(F.filter("__bounds", lambda b: b <= col(value).cast("double")))
-        )
-        .drop("__bounds", *[f"__k{i}" for i in range(len(by))])
-    )
+        cut = df.withColumn("__b", order_bucket(df, order, n) if bucket is None else bucket)
+        return cut, cut
+    hot, small = hot_groups(df, by)
+    if hot is None:
+        return df.withColumn("__b", F.lit(0)), None
+    hot = F.broadcast(hot) if small else hot
+    marked = df.join(hot.withColumn("__hot", F.lit(True)), _match(by), "left").drop(*[f"__k{i}" for i in range(len(by))])
+    if bucket is None:
+        bucket = order_bucket(df.join(hot, _match(by), "left_semi"), order, n, by)
+    cut = marked.withColumn("__b", F.when(F.col("__hot"), bucket).otherwise(0))
+    return cut.drop("__hot"), cut.filter("__hot").drop("__hot")
+
+
+def _with_offsets(cut: DataFrame, need: DataFrame | None, by: Sequence[str], aggs: dict[str, Column],
+                  windows: dict[str, tuple]) -> DataFrame:
+    """Attach per-bucket offsets; ``windows`` maps output to (column, how, type)."""
+    if need is None:
+        return cut.withColumns({n: F.lit(None).cast(t) for n, (_, _, t) in windows.items()})
+    per = need.groupBy(*[col(c) for c in by], "__b").agg(*[a.alias(n) for n, a in aggs.items()])
+    whole = Window.partitionBy(*[col(c) for c in by])
+    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    how = {"before": lambda c: F.sum(c).over(before), "total": lambda c: F.sum(c).over(whole),
+           "last": lambda c: F.max(c).over(before)}
+    offsets = per.select(*_keys(by), F.col("__b").alias("__ob"), *[how[h](c).alias(n) for n, (c, h, _) in windows.items()])
+    if not by:
+        offsets = F.broadcast(offsets)  # at most `buckets` rows
+    cond = [*_match(by), F.col("__b").eqNullSafe(F.col("__ob"))]
+    return cut.join(offsets, cond, "left").drop("__ob", *[f"__k{i}" for i in range(len(by))])
 
 
 def prefix_sums(
@@ -99,7 +149,6 @@ def prefix_sums(
     sums: dict[str, str],
     by: Sequence[str] = (),
     totals: dict[str, str] | None = None,
-    buckets: int | None = None,
     previous: str | None = None,
 ) -> DataFrame:
     """Exclusive running sums in ``order`` (unique per group) plus optional group totals.
@@ -109,46 +158,34 @@ def prefix_sums(
     pre-aggregated to one row per (group, order value).
     """
     totals = totals or {}
-    cut = with_value_bucket(df, order, by, buckets)
-    need = sorted(set(sums.values()) | set(totals.values()))
-    per = cut.groupBy(*[col(c) for c in by], F.col("__b")).agg(
-        *[F.sum(col(c)).alias(f"__s_{c}") for c in need], F.max(col(order)).alias("__end")
-    )
-    whole = Window.partitionBy(*[col(c) for c in by])
-    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(
-        *[col(c).alias(f"__k{i}") for i, c in enumerate(by)],
-        F.col("__b").alias("__ob"),
-        *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in set(sums.values())],
-        *[F.sum(f"__s_{c}").over(whole).alias(f"__t_{c}") for c in set(totals.values())],
-        *([F.max("__end").over(before).alias("__prev")] if previous else []),
-    )
-    if not by:
-        offsets = F.broadcast(offsets)  # at most `buckets` rows
-    cond = [col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]
-    joined = cut.join(offsets, [*cond, F.col("__b") == F.col("__ob")], "inner")
-    inside = Window.partitionBy(*[col(c) for c in by], F.col("__b")).orderBy(col(order))
+    types_ = dict(df.dtypes)
+    cut, need = _cut(df, [order], by, None)
+    used = sorted(set(sums.values()) | set(totals.values()))
+    aggs = {f"__s_{c}": F.sum(col(c)) for c in used} | {"__end": F.max(col(order))}
+    windows = {f"__o_{c}": (f"__s_{c}", "before", types_[c]) for c in sorted(set(sums.values()))}
+    windows |= {f"__t_{c}": (f"__s_{c}", "total", types_[c]) for c in sorted(set(totals.values()))}
+    if previous:
+        windows["__prev"] = ("__end", "last", types_[order])
+    joined = _with_offsets(cut, need, by, aggs, windows)
+    cell = Window.partitionBy(*[col(c) for c in by], F.col("__b"))
+    inside = cell.orderBy(col(order))
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
     return joined.select(
         *[col(c) for c in df.columns],
-        *[
-            (F.col(f"__o_{c}") + F.coalesce(F.sum(col(c)).over(running), F.lit(0))).alias(out)
-            for out, c in sums.items()
-        ],
-        *[F.col(f"__t_{c}").alias(out) for out, c in totals.items()],
+        *[(F.coalesce(f"__o_{c}", zero) + F.coalesce(F.sum(col(c)).over(running), zero)).alias(out) for out, c in sums.items()],
+        *[F.coalesce(f"__t_{c}", F.sum(col(c)).over(cell)).alias(out) for out, c in totals.items()],
         *([F.coalesce(F.lag(col(order)).over(inside), F.col("__prev")).alias(previous)] if previous else []),
     )
 
 
 def running_max(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Inclusive running maximum of ``value`` over a total order."""
-    cut = with_order_bucket(df, order)
-    before = Window.orderBy("__ob").rowsBetween(Window.unboundedPreceding, -1)
-    per = cut.groupBy(F.col("__b").alias("__ob")).agg(F.max(col(value)).alias("__m"))
-    offsets = F.broadcast(per.select("__ob", F.max("__m").over(before).alias("__prev")))  # one row per bucket
+    cut, need = _cut(df, order, (), None)
+    kind = dict(df.dtypes)[value]
+    joined = _with_offsets(cut, need, (), {"__m": F.max(col(value))}, {"__prev": ("__m", "last", kind)})
     inside = Window.partitionBy("__b").orderBy(*[col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(offsets, F.col("__b") == F.col("__ob")).select(
-        *[col(c) for c in df.columns], F.greatest(F.max(col(value)).over(inside), F.col("__prev")).alias(out))
+    return joined.select(*[col(c) for c in df.columns], F.greatest(F.max(col(value)).over(inside), F.col("__prev")).alias(out))
 
 
 def numbered(
@@ -162,31 +199,16 @@ def numbered(
     """1-based position of each row in ``order`` (within ``by``), without a one-task window.
 
     ``order`` must be total.  ``bucket`` must be monotone in the order; by default it comes
-    from cut points of the order key, or per group of its first column when ``by`` is given.
+    from cut points of the order key.
     """
-    if bucket is not None:
-        cut = df.withColumn("__b", bucket)
-    elif by:
-        cut = with_value_bucket(df, order[0], by)
-    else:
-        cut = with_order_bucket(df, order)
-    per = cut.groupBy(*[col(c) for c in by], F.col("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    whole = Window.partitionBy(*[col(c) for c in by])
-    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(
-        *[col(c).alias(f"__k{i}") for i, c in enumerate(by)],
-        F.col("__b").alias("__ob"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-        F.sum("__n").over(whole).alias("__tot"),
-    )
-    if not by:
-        offsets = F.broadcast(offsets)  # at most `buckets` rows
-    cond = [col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]
-    joined = cut.join(offsets, [*cond, F.col("__b").eqNullSafe(F.col("__ob"))], "inner")
-    inside = Window.partitionBy(*[col(c) for c in by], F.col("__b")).orderBy(*[col(c) for c in order])
-    cols = [*[col(c) for c in df.columns], (F.row_number().over(inside) + F.col("__off")).alias(out)]
+    cut, need = _cut(df, order, by, bucket)
+    windows = {"__off": ("__n", "before", "bigint")} | ({"__tot": ("__n", "total", "bigint")} if total else {})
+    joined = _with_offsets(cut, need, by, {"__n": F.count(F.lit(1))}, windows)
+    cell = Window.partitionBy(*[col(c) for c in by], F.col("__b"))
+    rank = F.row_number().over(cell.orderBy(*[col(c) for c in order]))
+    cols = [*[col(c) for c in df.columns], (rank + F.coalesce("__off", F.lit(0).cast("long"))).alias(out)]
     if total:
-        cols.append(F.col("__tot").alias(total))
+        cols.append(F.coalesce("__tot", F.count(F.lit(1)).over(cell)).alias(total))
     return joined.select(*cols)
 
 
@@ -202,7 +224,8 @@ def top_per_group(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rn", salts: int = 16
 ) -> DataFrame:
     """First ``k`` rows per group in two steps, so a hot group is cut in parallel first."""
-    salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns if not c.startswith("__")]), F.lit(salts))
+    plain = [c for c, t in df.dtypes if not c.startswith("__") and not t.startswith("map")]
+    salt = F.pmod(F.xxhash64(*[col(c) for c in plain]), F.lit(salts))
     local = Window.partitionBy(*[col(c) for c in by], F.col("__salt")).orderBy(*order)
     final = Window.partitionBy(*[col(c) for c in by]).orderBy(*order)
     return (

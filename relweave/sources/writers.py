@@ -60,10 +60,13 @@ def write_csv(df: DataFrame, path: str, null: str = "?") -> str:
 
 
 def write_npz(df: DataFrame, folder: str) -> DataFrame:
-    """One ``.npz`` shard per partition in a shared folder; returns (path, rows).
+    """One ``.npz`` shard per partition in a mounted shared folder; returns (path, rows).
 
     File names come from the partition number, so a retried task replaces its own shard.
     """
+    folder = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("npz shards need a mounted folder; write parquet to object stores")
     os.makedirs(folder, exist_ok=True)
 
     def save(batches):

@@ -270,3 +270,35 @@ def test_hub_sampling_respects_fanout_and_time(spark):
     assert every.filter("dst = 0").count() == 101
     late = G.neighbor_sample(edges, times, seeds.select("node_type", "node"), [None], threshold=650)
     assert late.agg(F.max("src")).first()[0] == 650
+
+
+def test_hot_group_paths_agree(spark, monkeypatch):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 11).cast("string"))).alias("g"),
+        (F.col("id") * 7919 % 4001).alias("v"), F.lit(1).alias("n"))
+    calls = {
+        "numbered": lambda: O.numbered(df, ["v"], ["g"], total="t"),
+        "hashed": lambda: O.numbered_by_hash(df.withColumn("h", S.stable_hash(1, "v")), "h", ["v"], ["g"], total="t"),
+        "prefix": lambda: O.prefix_sums(df, "v", {"b": "n"}, ["g"], {"t": "n"}, previous="p"),
+        "global": lambda: O.prefix_sums(df, "v", {"b": "n"}, (), {"t": "n"}, previous="p"),
+    }
+    for name, make in calls.items():
+        monkeypatch.setattr(O, "HOT_GROUP_ROWS", 1_000_000)
+        plain = sorted(tuple(r) for r in make().fillna(-1).collect())
+        monkeypatch.setattr(O, "HOT_GROUP_ROWS", 500)
+        hot = sorted(tuple(r) for r in make().fillna(-1).collect())
+        assert plain == hot, name
+    monkeypatch.setattr(O, "MAX_BROADCAST_GROUPS", 0)
+    assert sorted(tuple(r) for r in O.numbered(df, ["v"], ["g"]).collect()) == sorted(
+        tuple(r) for r in O.numbered(df.repartition(5), ["v"], ["g"]).collect())
+
+
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(O, "MIN_BUCKETS", 512)
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("v"), F.col("id").cast("string").alias("s"))
+    got = O.numbered(df, ["v"]).filter("rn <> v + 1").count()
+    assert got == 0
+    texts = [r["s"] for r in O.numbered(df, ["s"]).orderBy("rn").collect()]
+    assert texts == sorted(texts)
+    pairs = O.numbered(df.select((F.col("v") % 3).alias("a"), "s"), ["a", "s"]).orderBy("rn").collect()
+    assert [(r["a"], r["s"]) for r in pairs] == sorted((r["a"], r["s"]) for r in pairs)

@@ -138,3 +138,20 @@ def test_paired_join_rejects_duplicates(spark):
     a = spark.createDataFrame([("d", 1, 0.5), ("d", 1, 0.6)], "dataset string, seed int, v double")
     with pytest.raises(ValueError):
         J.paired_join(a, a, ["dataset", "seed"], "v")
+
+
+def test_text_and_token_features(spark):
+    meta = {
+        "u": TableMeta("u", (ColumnMeta("id", "primary_key"),)),
+        "m": TableMeta("m", (ColumnMeta("u", "foreign_key", "u.id"), ColumnMeta("at", "datetime"), ColumnMeta("t", "text"),
+                             ColumnMeta("w", "tokens")), "at"),
+    }
+    msgs = spark.createDataFrame(
+        [(1, T(2), "b", ["x", "y"]), (1, T(1), "a", None), (1, T(9), "late", ["z"]), (2, T(1), None, None)],
+        "u long, at timestamp_ntz, t string, w array<string>")
+    ds = RelationalDataset("d", {"u": spark.range(1, 4), "m": msgs}, meta)
+    for task in (spark.createDataFrame([(1, T(5)), (2, T(5)), (3, T(5))], "id long, cut timestamp_ntz"),
+                 spark.createDataFrame([(1, T(5)), (2, T(6)), (3, T(7))], "id long, cut timestamp_ntz")):
+        out = by_key(synthesize(ds, task, "u", ["id"], 1, ("join", "concat", "count"), "cut"), "id")
+        assert out[(1,)]["JOIN_m_t"] == "a\nb" and out[(1,)]["CONCAT_m_w"] == ["x", "y"] and out[(1,)]["COUNT_m"] == 2
+        assert out[(2,)]["JOIN_m_t"] is None and out[(2,)]["CONCAT_m_w"] is None and out[(3,)]["COUNT_m"] == 0
