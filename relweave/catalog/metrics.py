@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from relweave.catalog.base import Tables, query
@@ -178,9 +180,29 @@ def paired_bootstrap(t: Tables):
     return rnd(rnd(out, ["higher", "tied", "lower"], 9), [c for c in out.columns if c.split("_")[0] in ("left", "right", "diff")], 5)
 
 
-@query("paired_bootstrap_interval")
+def poisson_sql(u: str) -> str:
+    """Poisson(1) weight of a uniform number, capped at 8, in SQL."""
+    acc, p, cuts = 0.0, math.exp(-1.0), []
+    for k in range(8):
+        acc += p
+        cuts.append(f"WHEN {u} < {acc!r} THEN {k}")
+        p /= k + 1
+    return f"CASE {' '.join(cuts)} ELSE 8 END"
+
+
+@query(
+    "paired_bootstrap_interval",
+    f"""WITH p AS (SELECT c_custkey AS u, max(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-06-01') AS x,
+                     max(o_totalprice) FILTER (o_orderdate >= TIMESTAMP '1998-06-01') AS z FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+        e AS (SELECT draw, z - x AS d, ('0x' || substr(md5('20270720|' || u || '|' || draw), 1, 15))::BIGINT / 1152921504606846976.0 AS h
+              FROM p, range(200) g(draw) WHERE x IS NOT NULL AND z IS NOT NULL),
+        w AS (SELECT draw, d, sum({poisson_sql("h")}) AS w FROM e GROUP BY ALL HAVING sum({poisson_sql("h")}) > 0),
+        c AS (SELECT draw, d, sum(w) OVER (PARTITION BY draw ORDER BY d) AS upto, sum(w) OVER (PARTITION BY draw) AS t FROM w),
+        m AS (SELECT draw, (min(d) FILTER (upto > floor((t - 1) / 2.0)) + min(d) FILTER (upto > ceil((t - 1) / 2.0))) / 2 AS m FROM c GROUP BY 1)
+        SELECT count(*) AS draws, round(quantile_cont(m, 0.025), 4) AS ci_low, round(quantile_cont(m, 0.975), 4) AS ci_high FROM m""",
+)
 def paired_bootstrap_interval(t: Tables):
-    return rnd(C.bootstrap_median_interval(customer_pairs(t), "unit", "x", "z", 200), ["ci_low", "ci_high"], 2)
+    return rnd(C.bootstrap_median_interval(customer_pairs(t), "unit", "x", "z", 200), ["ci_low", "ci_high"], 4)
 
 
 @query(

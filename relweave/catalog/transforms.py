@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.catalog.base import Tables, query, testdata_dataset
-from relweave.functions.scalar import normal_cdf_inverse
 from relweave.model import ColumnMeta, RelationalDataset, TableMeta
 from relweave.operators import transforms as T
 
@@ -267,20 +266,41 @@ def standard_clip(t: Tables):
     return rounded(out, ["z"], 7)
 
 
-@query("quantile_normal")
-def quantile_normal(t: Tables):
-    out = T.quantile_normal(t.events.select("event_id", "value"), "value", "z")
-    from relweave.plans.ordering import numbered
+def ppf_sql(p: str) -> str:
+    """The normal quantile approximation in SQL."""
+    from relweave.functions.scalar import _PPF_A, _PPF_B, _PPF_C, _PPF_D, _PPF_LOW
+
+    def poly(coef, x):
+        out = repr(coef[0])
+        for k in coef[1:]:
+            out = f"({x} * {out} + {k!r})"
+        return out
 
-    ranked = numbered(out, ["value", "event_id"], out="rn", total="n")
-    ideal = normal_cdf_inverse((F.col("rn") - 0.5) / F.col("n"))
-    central = F.abs(ideal) < 2
-    return ranked.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.corr("rn", "z") > 0.9).alias("monotone"),
-        (F.abs(F.avg("z")) < 0.02).alias("centred"),
-        (F.max(F.when(central, F.abs(F.col("z") - ideal))) < 0.1).alias("close_to_rank"),
-    )
+    t = f"sqrt(-2.0 * ln(least({p}, 1.0 - {p})))"
+    tail = f"({poly(_PPF_C, t)} / ({poly(_PPF_D, t)} * {t} + 1.0))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    centre = f"({poly(_PPF_A, r)} * {q} / ({poly(_PPF_B, r)} * {r} + 1.0))"
+    return f"CASE WHEN {p} < {_PPF_LOW} THEN {tail} WHEN {p} > {1 - _PPF_LOW} THEN -{tail} ELSE {centre} END"
+
+
+# the event table has about 30 rows per reference point, so the point count is read from it
+@query(
+    "quantile_normal",
+    f"""WITH n AS (SELECT greatest(least(count(*) // 30, 1000), 10) AS m, count(*) AS n FROM events),
+        r AS (SELECT value AS x, row_number() OVER (ORDER BY value) - 1 AS i FROM events),
+        k AS (SELECT k, k * (n - 1) / (m - 1)::DOUBLE AS pos FROM n, range(1001) g(k) WHERE k < m),
+        g AS (SELECT k, lo.x + (hi.x - lo.x) * (pos - floor(pos)) AS q FROM k JOIN r lo ON lo.i = floor(pos) JOIN r hi ON hi.i = ceil(pos)),
+        v AS (SELECT DISTINCT value AS x FROM events),
+        e AS (SELECT v.x, max(k) FILTER (q <= v.x) AS a, max(q) FILTER (q <= v.x) AS qa, min(k) FILTER (q >= v.x) AS b, min(q) FILTER (q >= v.x) AS qb
+              FROM v, g GROUP BY 1),
+        u AS (SELECT x, CASE WHEN x <= (SELECT min(q) FROM g) THEN 0.0 WHEN x >= (SELECT max(q) FROM g) THEN 1.0
+                     WHEN qa = x THEN (a + b) / 2.0 / (m - 1) ELSE (a + (x - qa) / (qb - qa)) / (m - 1) END AS p FROM e, n),
+        c AS (SELECT x, greatest(1e-7, least(1 - 1e-7, p)) AS p FROM u)
+        SELECT event_id, round({ppf_sql("p")}, 5) AS z FROM events JOIN c ON c.x = value""",
+)
+def quantile_normal(t: Tables):
+    return rounded(T.quantile_normal(t.events.select("event_id", "value"), "value", "z"), ["z"], 5).drop("value")
 
 
 @query(
@@ -373,7 +393,12 @@ def bin_rank(t: Tables):
     return t.events.select("event_id", T.bin_by_thresholds(F.col("value"), cuts).alias("bin"))
 
 
-@query("bin_value")
+@query(
+    "bin_value",
+    f"""WITH u AS (SELECT {_U.format(seed=3)} AS p FROM range(4) s(i)), th AS (SELECT {ppf_sql("p")} AS t FROM u),
+        e AS (SELECT event_id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM events)
+        SELECT event_id, (SELECT count(*) FROM th WHERE greatest(-100, least(100, z)) > t)::INTEGER AS bin FROM e""",
+)
 def bin_value(t: Tables):
     z = T.standard_clip(t.events.select("event_id", "value"), ["value"], eps=0.0)
     cuts = T.normal_thresholds(t.spark, 5, 3)
