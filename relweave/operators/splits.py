@@ -23,10 +23,15 @@ TRAIN, VALIDATION, TEST = "train", "validation", "test"
 # ---------------------------------------------------------------- order and numbering
 
 
-def query_index(df: DataFrame, id_columns: Sequence[str], out: str = "query_idx") -> DataFrame:
-    """Dense number, from 0, of the group of all non-id columns in sorted key order."""
+def query_index(
+    df: DataFrame, id_columns: Sequence[str], out: str = "query_idx", domain: DataFrame | None = None
+) -> DataFrame:
+    """Dense number, from 0, of the group of all non-id columns in sorted key order.
+
+    ``domain`` may name smaller rows that already hold every group.
+    """
     keys = [c for c in df.columns if c not in id_columns]
-    groups = numbered(df.select(*[col(k) for k in keys]).distinct(), keys, out="__q")
+    groups = numbered((df if domain is None else domain).select(*[col(k) for k in keys]).distinct(), keys, out="__q")
     right = groups.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__q") - 1).alias(out))
     cond = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     return df.join(right, cond, "inner").drop(*[f"__k{i}" for i in range(len(keys))])
@@ -316,7 +321,7 @@ def eval_negatives(
     """
     cols = rows.columns
     others = [c for c in cols if c != id_column]
-    ids = numbered(rows.withColumn("__h", S.stable_hash(seed, *cols)), [*cols], out="__ri")
+    ids = numbered(rows, cols, out="__ri")
     (n,) = rows.agg(F.count(F.lit(1))).first()
     draws = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("__k")).withColumn(
         "__want", F.pmod(S.stable_hash(f"{seed}n", *cols, "__k"), F.lit(n)) + 1)
@@ -324,7 +329,8 @@ def eval_negatives(
     neg = draws.join(pool, F.col("__want") == F.col("__ri")).select(*[col(c) for c in others], F.col("__new").alias(id_column))
     neg = neg.distinct().join(positives.select(*[col(c) for c in cols]).distinct(), cols, "left_anti")
     both = rows.withColumn(label, F.lit(1)).unionByName(neg.withColumn(label, F.lit(0)))
-    return query_index(both.select(*cols, label), [id_column, label])
+    # negatives only change the id, so the rows hold every query
+    return query_index(both.select(*cols, label), [id_column, label], domain=rows)
 
 
 def batch_negatives(
