@@ -205,11 +205,14 @@ def paired_bootstrap_interval(t: Tables):
     return rnd(C.bootstrap_median_interval(customer_pairs(t), "unit", "x", "z", 200), ["ci_low", "ci_high"], 4)
 
 
+_T975 = "CASE n " + " ".join(f"WHEN {n} THEN {C.t_quantile(0.975, n - 1)!r}" for n in range(2, 41)) + " END"
+
+
 @query(
     "paired_t_interval",
     f"""WITH {SCORES}, d AS (SELECT dataset, l.metric_value - r.metric_value AS d FROM lhs l JOIN rhs r USING (dataset, task, seed)),
         s AS (SELECT dataset, count(d) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(d)) AS se FROM d GROUP BY 1)
-        SELECT dataset, n, round(m, 8) AS mean, round(m - 2.0322445093 * se, 8) AS ci_low, round(m + 2.0322445093 * se, 8) AS ci_high FROM s""",
+        SELECT dataset, n, round(m, 8) AS mean, round(m - {_T975} * se, 8) AS ci_low, round(m + {_T975} * se, 8) AS ci_high FROM s""",
 )
 def paired_t_interval(t: Tables):
     from relweave.operators.joins import paired_join

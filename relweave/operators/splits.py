@@ -111,8 +111,10 @@ def split_cutoff(df: DataFrame, ts: str, out: str, split: str = "split") -> Data
 
 
 def tail_temporal(df: DataFrame, ts: str, n: int) -> DataFrame:
-    """Rows strictly later than the (1 - n/N) quantile of time."""
+    """Rows strictly later than the (1 - n/N) quantile of time; every row when there are at most ``n``."""
     total = df.count()
+    if n >= total:
+        return df
     (cut,) = exact_quantile_values(df.select(S.epoch_micros(ts).alias("t")), "t", [1 - n / total])
     return df.filter(S.epoch_micros(ts) > cut)
 
