@@ -65,11 +65,11 @@ def graph_task(t: Tables):
 
 
 def order_graph(t: Tables):
-    """(edges, node times, seeds): customers, orders and lines' parts; seeds are the customers of one segment."""
+    """(edges, order times, customer nodes) of nations, customers and orders."""
     ds = testdata_dataset(t.spark, t.sf_dir, ["nation", "customer", "orders"])
     edges = G.build_edges(ds)
     times = t.orders.select(F.lit("orders").alias("node_type"), F.col("o_orderkey").alias("node"), epoch_micros("o_orderdate").alias("ts"))
-    seeds = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node"))
+    seeds = t.customer.select(F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node"), "c_mktsegment")
     return edges, times, seeds
 
 
@@ -87,7 +87,7 @@ _FANOUT = """row_number() OVER (PARTITION BY etype, dst ORDER BY ('0x' || substr
 @query(
     "neighbor_sample_global",
     f"""WITH {_GRAPH}, tm AS (SELECT o_orderkey AS n, o_orderdate < TIMESTAMP '1998-01-01' OR o_orderdate = TIMESTAMP '1998-01-01' AS ok FROM orders),
-        s AS (SELECT 'customer' AS ty, c_custkey AS n FROM customer WHERE c_mktsegment = 'BUILDING'),
+        s AS (SELECT 'customer' AS ty, c_custkey AS n FROM customer),
         h0 AS (SELECT * FROM (SELECT e.*, {_FANOUT.format(hop=0)} AS rn FROM e JOIN s ON s.ty = dt AND s.n = dst) WHERE rn <= 10
                AND (st <> 'orders' OR src IN (SELECT n FROM tm WHERE ok)) AND (dt <> 'orders' OR dst IN (SELECT n FROM tm WHERE ok))),
         f AS (SELECT * FROM s UNION SELECT st, src FROM h0),
@@ -102,24 +102,28 @@ def neighbor_sample_global(t: Tables):
     return out.drop("eid")
 
 
+_TIMED = """row_number() OVER (PARTITION BY etype, et.dst, {s}.ts ORDER BY
+             ('0x' || substr(md5('0:{hop}|' || etype || '|' || src || '|' || et.dst), 1, 15))::BIGINT, src)"""
+
+
 @query(
     "neighbor_sample_temporal",
-    f"""WITH {_GRAPH}, s AS (SELECT DISTINCT 'customer' AS ty, o_custkey AS n, epoch_us(o_orderdate) AS ts FROM orders WHERE o_orderpriority = '1-URGENT'),
+    f"""WITH {_GRAPH}, s AS (SELECT DISTINCT 'customer' AS ty, o_custkey AS n, epoch_us(o_orderdate) AS ts FROM orders),
         tm AS (SELECT 'orders' AS ty, o_orderkey AS n, epoch_us(o_orderdate) AS ts FROM orders),
         et AS (SELECT e.*, tm.ts AS ets FROM e LEFT JOIN tm ON tm.ty = st AND tm.n = src),
-        h0 AS (SELECT etype, st, src, dt, dst, s.ts AS seed_ts FROM et JOIN s ON s.ty = dt AND s.n = dst WHERE ets IS NULL OR ets <= s.ts),
-        f1 AS (SELECT * FROM s UNION SELECT st, src, seed_ts FROM h0),
-        h1 AS (SELECT etype, st, src, dt, dst, f1.ts AS seed_ts FROM et JOIN f1 ON f1.ty = dt AND f1.n = dst WHERE ets IS NULL OR ets <= f1.ts),
-        u AS (SELECT 0 AS hop, * FROM h0 UNION ALL SELECT 1, * FROM h1)
-        SELECT hop, etype, seed_ts, count(*) AS n, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum FROM u GROUP BY ALL""",
+        h0 AS (SELECT * FROM (SELECT etype, st, src, dt, et.dst, s.ts AS seed_ts, {_TIMED.format(s="s", hop=0)} AS rn
+               FROM et JOIN s ON s.ty = dt AND s.n = et.dst WHERE ets IS NULL OR ets <= s.ts) WHERE rn <= 4),
+        f AS (SELECT ty, n, ts FROM s UNION SELECT st, src, seed_ts FROM h0),
+        h1 AS (SELECT * FROM (SELECT etype, st, src, dt, et.dst, f.ts AS seed_ts, {_TIMED.format(s="f", hop=1)} AS rn
+               FROM et JOIN f ON f.ty = dt AND f.n = et.dst WHERE ets IS NULL OR ets <= f.ts) WHERE rn <= 2)
+        SELECT 0 AS hop, etype, st AS src_type, src, dt AS dst_type, dst, seed_ts FROM h0
+        UNION ALL SELECT 1, etype, st, src, dt, dst, seed_ts FROM h1""",
 )
 def neighbor_sample_temporal(t: Tables):
     edges, times, _ = order_graph(t)
-    seeds = t.orders.filter("o_orderpriority = '1-URGENT'").select(
+    seeds = t.orders.select(
         F.lit("customer").alias("node_type"), F.col("o_custkey").alias("node"), epoch_micros("o_orderdate").alias("seed_ts"))
-    out = G.neighbor_sample_temporal(edges, times, seeds, [None, None])
-    return out.groupBy("hop", "etype", "seed_ts").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"))
+    return G.neighbor_sample_temporal(edges, times, seeds, [2, 4]).drop("eid")
 
 
 @query(
@@ -131,7 +135,8 @@ def neighbor_sample_temporal(t: Tables):
         WHERE etype <> 'customer:customer-c_nationkey:nation'""",
 )
 def khop_subgraph(t: Tables):
-    edges, _, seeds = order_graph(t)
+    edges, _, nodes = order_graph(t)
+    seeds = nodes.filter("c_mktsegment = 'BUILDING'")  # the part of the graph around one segment
     edges = G.with_edge_id(edges)
     gone = edges.filter("etype = 'customer:customer-c_nationkey:nation'")
     return G.khop_subgraph(edges, None, seeds, [None], exclude=gone).select("etype", "src", "dst")

@@ -14,6 +14,7 @@ from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.model import RelationalDataset, TableMeta, TaskMeta
 from relweave.plans.ordering import numbered, top_per_group
+from relweave.session import materialize
 
 EDGE_SCHEMA = ("etype", "src_type", "src", "dst_type", "dst", "ts")
 
@@ -143,13 +144,22 @@ def _in_edges(edges: DataFrame, seeds: DataFrame, carry: Sequence[str] = ()) ->
     return edges.join(s, (F.col("dst_type") == F.col("__t")) & (F.col("dst") == F.col("__n")), "inner").drop("__t", "__n")
 
 
-def _fan(edges: DataFrame, by: Sequence[str], fanout: int | None, seed: int | str) -> DataFrame:
+def _hashed(edges: DataFrame, seed: int | str) -> DataFrame:
+    """Sampling priority of each edge: one hash per edge, whatever seeds reach it."""
+    return edges.withColumn("__h", S.stable_hash(seed, "etype", "src", "dst"))
+
+
+def _fan(edges: DataFrame, by: Sequence[str], fanout: int | None) -> DataFrame:
     """At most ``fanout`` edges per group in hash order; None or a negative number keeps all."""
     if fanout is None or fanout < 0:
         return edges
-    keys = ["etype", "src", "dst", *[b for b in by if b not in ("etype", "src", "dst")]]
-    h = edges.withColumn("__h", S.stable_hash(seed, *keys))
-    return top_per_group(h, by, [F.col("__h"), F.col("src"), F.col("eid")], fanout, "__rn").drop("__h", "__rn")
+    return top_per_group(edges, by, [F.col("__h"), F.col("src"), F.col("eid")], fanout, "__rn").drop("__rn")
+
+
+def _hop(got: DataFrame, hop: int, more: bool, columns: Sequence[str]) -> DataFrame:
+    """The edges of one hop; a hop that feeds another is written, so its sampling runs once."""
+    block = got.select(F.lit(hop).alias("hop"), *[col(c) for c in columns])
+    return materialize(block) if more else block
 
 
 def with_edge_id(edges: DataFrame) -> DataFrame:
@@ -171,15 +181,15 @@ def neighbor_sample(
     frontier = seeds.select("node_type", "node").distinct()
     blocks = None
     for hop, fanout in enumerate(reversed(list(fanouts))):
-        got = _fan(_in_edges(edges, frontier), ["etype", "dst"], fanout, f"{seed}:{hop}")
+        got = _fan(_in_edges(_hashed(edges, f"{seed}:{hop}"), frontier), ["etype", "dst"], fanout)
         if node_times is not None and threshold is not None:
             for side in ("src", "dst"):
                 tm = node_times.select(F.col("node_type").alias("__t"), F.col("node").alias("__n"), F.col("ts").alias("__ts"))
                 got = got.join(tm, (F.col(f"{side}_type") == F.col("__t")) & (F.col(side) == F.col("__n")), "left").filter(
                     F.col("__ts").isNull() | (F.col("__ts") <= threshold)).drop("__t", "__n", "__ts")
-        block = got.select(F.lit(hop).alias("hop"), "etype", "src_type", "src", "dst_type", "dst", "eid")
+        block = _hop(got, hop, hop + 1 < len(fanouts), ["etype", "src_type", "src", "dst_type", "dst", "eid"])
         blocks = block if blocks is None else blocks.unionByName(block)
-        frontier = frontier.unionByName(got.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"))).distinct()
+        frontier = frontier.unionByName(block.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"))).distinct()
     return blocks
 
 
@@ -187,19 +197,27 @@ def neighbor_sample_temporal(
     edges: DataFrame, node_times: DataFrame, seeds: DataFrame, fanouts: Sequence[int | None], seed: int = 0
 ) -> DataFrame:
     """Per-seed times: only neighbours at or before the seed's time are candidates, and sampled
-    nodes inherit it.  ``seeds`` (node_type, node, seed_ts)."""
+    nodes inherit it.  ``seeds`` (node_type, node, seed_ts).
+
+    Neighbours without a time suit every seed, so they are cut to the fanout once per node
+    before they meet the seeds; a hub of such neighbours is never multiplied by seed times.
+    """
     edges = with_edge_id(edges)
     tm = node_times.select(F.col("node_type").alias("__t"), F.col("node").alias("__n"), F.col("ts").alias("__ts"))
     timed = edges.join(tm, (F.col("src_type") == F.col("__t")) & (F.col("src") == F.col("__n")), "left").drop("__t", "__n")
     frontier = seeds.select("node_type", "node", "seed_ts").distinct()
     blocks = None
     for hop, fanout in enumerate(reversed(list(fanouts))):
-        near = _in_edges(timed, frontier, ["seed_ts"]).filter(F.col("__ts").isNull() | (F.col("__ts") <= F.col("seed_ts")))
-        got = _fan(near, ["etype", "dst", "seed_ts"], fanout, f"{seed}:{hop}")
-        block = got.select(F.lit(hop).alias("hop"), "etype", "src_type", "src", "dst_type", "dst", "seed_ts", "eid")
+        ranked = _hashed(timed, f"{seed}:{hop}")
+        late = _in_edges(ranked.filter("__ts IS NOT NULL"), frontier, ["seed_ts"]).filter(F.col("__ts") <= F.col("seed_ts"))
+        nodes = frontier.select("node_type", "node").distinct()
+        always = _fan(_in_edges(ranked.filter("__ts IS NULL"), nodes), ["etype", "dst"], fanout)
+        near = late.unionByName(_in_edges(always, frontier, ["seed_ts"]))
+        got = _fan(near, ["etype", "dst", "seed_ts"], fanout)
+        block = _hop(got, hop, hop + 1 < len(fanouts), ["etype", "src_type", "src", "dst_type", "dst", "seed_ts", "eid"])
         blocks = block if blocks is None else blocks.unionByName(block)
         frontier = frontier.unionByName(
-            got.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"), "seed_ts")).distinct()
+            block.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"), "seed_ts")).distinct()
     return blocks
 
 

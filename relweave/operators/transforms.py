@@ -22,7 +22,7 @@ from relweave.functions.scalar import col
 from relweave.model import CATEGORY, DATETIME, FLOAT, TEXT, TIMESTAMP, ColumnMeta, RelationalDataset, TableMeta
 from relweave.operators.joins import ensure_parents
 from relweave.plans.ordering import numbered
-from relweave.plans.quantiles import column_quantiles, exact_quantile_values, quantile_grid
+from relweave.plans.quantiles import column_quantiles, exact_quantile_values, exact_quantiles, reference_grid
 
 # ---------------------------------------------------------------- codes
 
@@ -214,11 +214,8 @@ class QuantileFit:
 
 
 def fit_quantiles(df: DataFrame, column: str, points: int) -> QuantileFit:
-    """Evenly spaced exact quantiles of a column, at most ``points`` and at most one per row."""
-    x = df.select(col(column).cast("double").alias("x")).filter("x is not null")
-    n = x.count()
-    grid = quantile_grid(x, "x", max(2, min(points, n)))
-    return QuantileFit([r["q"] for r in grid.orderBy("k").collect()])
+    """Evenly spaced quantiles of a column, at most ``points`` and at most one per row."""
+    return QuantileFit(reference_grid(df, column, points))
 
 
 def quantile_normal(
@@ -522,12 +519,8 @@ def normal_thresholds(spark, n_classes: int, seed: int) -> list[float]:
 
 def bin_balanced(df: DataFrame, column: str, out: str) -> DataFrame:
     """1 above the lower median, else 0."""
-    from relweave.plans.quantiles import ranked_values
-
-    ranked = ranked_values(df.select(col(column).alias("x")), "x")
-    rank = F.floor((F.col("total") - 1) / 2)
-    lower = ranked.filter((F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))).first()
-    return df.withColumn(out, (col(column) > F.lit(lower["v"])).cast("int"))
+    row = exact_quantiles(df, column, {"m": 0.5}, lower=True).first()
+    return df.withColumn(out, (col(column) > F.lit(row["m"])).cast("int"))
 
 
 def permute_classes(df: DataFrame, column: str, out: str, seed: int) -> DataFrame:

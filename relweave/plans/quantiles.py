@@ -1,28 +1,18 @@
 """Exact quantiles of data-sized columns.
 
 The built-in exact percentile keeps every distinct value of a group in one buffer.  Here a
-few quantiles are found by bracketing their ranks, and a whole grid by running counts over
-ordered buckets, so the work spreads over all tasks.
+few quantiles are found by bracketing their ranks, so the work spreads over all tasks, and
+reference grids of fitted transforms take one pass.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relweave.functions.scalar import col
-from relweave.plans.ordering import prefix_sums
-
-
-def ranked_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, value): ``n`` copies, ``before`` = rows below, ``total`` rows."""
-    counts = (
-        df.filter(col(value).isNotNull())
-        .groupBy(*[col(c) for c in by], col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return prefix_sums(counts, "v", {"before": "n"}, by, {"total": "n"})
 
 
 # rank error of the approximate pass; the exact pass keeps a few times that share of the values
@@ -31,9 +21,9 @@ MARGIN = 3.0 / ACCURACY
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), lower: bool = False
 ) -> DataFrame:
-    """Linearly interpolated quantiles, one output column per entry of ``probs``.
+    """Linearly interpolated (or lower) quantiles, one output column per entry of ``probs``.
 
     An approximate pass brackets each wanted rank; the exact pass counts the values inside the
     brackets and folds everything outside into one cell per side, so a tiny share of the
@@ -71,7 +61,8 @@ def exact_quantiles(
     def pick(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("c")))
 
-    lo, hi = pick(F.floor("pos")), pick(F.ceil("pos"))
+    lo = pick(F.floor("pos"))
+    hi = lo if lower else pick(F.ceil("pos"))
     at = lo + (hi - lo) * F.max(F.col("pos") - F.floor("pos"))
     missed = (F.abs(lo) == inf) | (F.abs(hi) == inf)
     exact = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
@@ -94,33 +85,20 @@ def column_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[
     return {n: found.get(n, [None] * len(probs)) for n in columns}
 
 
-def quantile_grid(df: DataFrame, value: str, points: int, by: Sequence[str] = ()) -> DataFrame:
-    """Evenly spaced exact quantiles (k / (points-1), value) without one aggregate per point.
+def reference_grid(df: DataFrame, value: str, points: int) -> list[float]:
+    """Evenly spaced quantiles of a column as driver scalars, in one aggregation pass.
 
-    Each distinct value knows which grid ranks fall on it, so it emits just those.
+    Both neighbours of every grid rank come from one quantile summary.  Up to half a million
+    rows the summary keeps every value, so the grid is exact; beyond, ranks are off by at most
+    one millionth of the rows, a thousandth of the spacing of the largest grid.
     """
-    ranked = ranked_values(df, value, by)
-    step = (F.col("total") - 1) / F.lit(float(points - 1))
-    # grid points that can fall on this value; widened by one against rounding, then checked
-    k_low = F.when(step == 0, F.lit(0)).otherwise(
-        F.greatest(F.lit(0), F.floor((F.col("before") - 1) / step) - 1))
-    k_high = F.when(step == 0, F.lit(points - 1)).otherwise(
-        F.least(F.lit(points - 1), F.ceil((F.col("before") + F.col("n")) / step) + 1))
-
-    def side(rank_of) -> DataFrame:
-        return (
-            ranked.withColumn("step", step)
-            .withColumn("k", F.explode(F.sequence(k_low, k_high)))
-            .withColumn("r", rank_of(F.col("k") * F.col("step")))
-            .filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("n")))
-            .select(*[col(c) for c in by], "k", "v", "step")
-        )
-
-    low = side(F.floor).groupBy(*[col(c) for c in by], "k").agg(
-        F.max("v").alias("lo"), F.max("step").alias("step"))
-    high = side(F.ceil).groupBy(*[col(c) for c in by], "k").agg(F.max("v").alias("hi"))
-    pos = F.col("k") * F.col("step")
-    return low.join(high, [*by, "k"]).select(
-        *[col(c) for c in by], "k",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (pos - F.floor(pos))).alias("q"),
-    )
+    x = df.select(col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    n = x.count()
+    if n == 0:
+        return []
+    points = max(2, min(points, n))
+    pos = [k * (n - 1) / (points - 1) for k in range(points)]
+    ranks = sorted({r for p in pos for r in (math.floor(p), math.ceil(p))})
+    row = x.agg(F.percentile_approx("x", [(r + 0.5) / n for r in ranks], 1_000_000).alias("v")).first()
+    at = dict(zip(ranks, row["v"]))
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in pos]

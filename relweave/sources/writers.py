@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
 from collections.abc import Sequence
@@ -59,10 +58,11 @@ def write_csv(df: DataFrame, path: str, null: str = "?") -> str:
     return path
 
 
-def write_npz(df: DataFrame, folder: str) -> DataFrame:
-    """One ``.npz`` shard per partition in a mounted shared folder; returns (path, rows).
+def write_npz(df: DataFrame, folder: str, shard_rows: int = 1_000_000) -> DataFrame:
+    """``.npz`` shards of bounded size in a mounted shared folder; returns (path, rows).
 
-    File names come from the partition number, so a retried task replaces its own shard.
+    File names come from the partition and shard number, so a retried task replaces its own
+    shards.
     """
     folder = folder.removeprefix("file://").removeprefix("file:")
     if "://" in folder:
@@ -74,21 +74,28 @@ def write_npz(df: DataFrame, folder: str) -> DataFrame:
         import pandas as pd
         from pyspark import TaskContext
 
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.npz")
-        buf = io.BytesIO()
-        np.savez(buf, **{
-            c: np.stack(pdf[c].to_numpy()) if pdf[c].dtype == object and not isinstance(pdf[c].iloc[0], str)
-            else (pdf[c].to_numpy().astype(str) if pdf[c].dtype == object else pdf[c].to_numpy())
-            for c in pdf.columns
-        })
-        with open(name + ".tmp", "wb") as f:
-            f.write(buf.getvalue())
-        os.replace(name + ".tmp", name)
-        yield pd.DataFrame({"path": [name], "rows": [len(pdf)]})
+        def column(s):
+            if s.dtype != object:
+                return s.to_numpy()
+            return s.to_numpy().astype(str) if isinstance(s.iloc[0], str) else np.stack(s.to_numpy())
+
+        def flush(frames, shard):
+            pdf = pd.concat(frames, ignore_index=True)
+            name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}-{shard:05d}.npz")
+            with open(name + ".tmp", "wb") as f:
+                np.savez(f, **{c: column(pdf[c]) for c in pdf.columns})
+            os.replace(name + ".tmp", name)
+            return pd.DataFrame({"path": [name], "rows": [len(pdf)]})
+
+        frames, rows, shard = [], 0, 0
+        for pdf in batches:
+            frames.append(pdf)
+            rows += len(pdf)
+            if rows >= shard_rows:
+                yield flush(frames, shard)
+                frames, rows, shard = [], 0, shard + 1
+        if rows:
+            yield flush(frames, shard)
 
     return df.mapInPandas(save, "path string, rows long")
 
