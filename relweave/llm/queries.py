@@ -8,6 +8,7 @@ from relweave.llm.licenses import scan_licenses, scan_sql
 from relweave.llm.lines import dedup_lines
 from relweave.llm.mixing import mix_sources
 from relweave.llm.scratch import Scratch
+from relweave.llm.toxicity import PREDICT_AT, fit, held_out, score_documents
 from relweave.llm.warc import mark_revisits, read_archives, resolve_revisits, write_archives
 from relweave.session import shared_dir, tune
 
@@ -43,6 +44,15 @@ FROM m GROUP BY doc_id
 """
 
 
+@query("op1_toxicity")
+def toxicity(spark, table):
+    """Toxicity score of every document, learnt from the rows that are not held out."""
+    docs = table("documents")
+    out = score_documents(docs, fit(docs, table("labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), "n_words", "n_passages")
+
+
 @query("op2_license_scan", scan_sql())
 def license_scan(spark, table):
     """Every line, paragraph or text that is a known licence notice."""
