@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from relweave.llm.licenses import scan_licenses, scan_sql
 from relweave.llm.lines import dedup_lines
 from relweave.llm.mixing import mix_sources
+from relweave.llm.pages import extract_pages
 from relweave.llm.scratch import Scratch
 from relweave.llm.toxicity import PREDICT_AT, fit, held_out, score_documents
 from relweave.llm.warc import mark_revisits, read_archives, resolve_revisits, write_archives
@@ -31,6 +32,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op6_html_text")
+def html_text(spark, table):
+    """Main text of every page."""
+    return extract_pages(table("pages"))
+
+
 _LINES_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
