@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from relweave.llm.decontaminate import find_contamination
 from relweave.llm.licenses import scan_licenses, scan_sql
 from relweave.llm.lines import dedup_lines
 from relweave.llm.mixing import mix_sources
@@ -117,3 +118,9 @@ SELECT doc_id, size, source_size, target, source,
 def source_mixing(spark, table):
     """Words of each document that the mix of all sources takes."""
     return mix_sources(table("documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op10_decontamination")
+def decontamination(spark, table):
+    """Benchmark items that documents hold, exactly or nearly."""
+    return find_contamination(table("documents"), table("benchmark"))
