@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -50,104 +51,91 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return float(np.minimum(a, b).sum() / most) if most else 0.0
 
 
-class _Class:
-    """Items of one number of words: shingles, fingerprints and the block tables."""
+def build_index(items: list[tuple[int, str | None]]) -> dict:
+    """Index of a block of items: by number of words, and all shingles by shingle length.
 
-    def __init__(self, n_words: int):
-        self.n_words, self.k = n_words, min(SHINGLE, n_words)
-        self.m = n_words - self.k + 1
-        self.ids: list[int] = []
-        self.hash: list[np.ndarray] = []
-        self.weight: list[np.ndarray] = []
-
-    def seal(self) -> None:
-        self.prints = np.concatenate([fingerprints(h, w, self.m) for h, w in zip(self.hash, self.weight)])
-        # near[b, v]: bit set of the items whose block b differs from v in one bit at most
-        self.near = np.stack([np.packbits(_WITHIN_ONE[:, self.prints[:, b]], axis=1) for b in range(BLOCKS)])
-        h = np.concatenate(self.hash)
-        item = np.repeat(np.arange(len(self.ids)), self.m)
+    Items of one number of words share fingerprints and block tables; ``near[b, v]`` is the bit
+    set of the items whose block ``b`` differs from the byte ``v`` in one bit at most.
+    """
+    groups: dict[int, list] = {}
+    w = words([t for _, t in items])
+    for i, n in enumerate(w.counts().tolist()):
+        if n:
+            a, z = int(w.first[i]), int(w.first[i + 1])
+            s = shingles(Words(1, w.hash[a:z], w.length[a:z], np.zeros(n, np.int64), np.array([0, n])), min(SHINGLE, n))
+            groups.setdefault(n, []).append((items[i][0], s.hash, s.size))
+    classes = {}
+    for n, rows in groups.items():
+        c = classes[n] = SimpleNamespace(n_words=n, k=min(SHINGLE, n))
+        c.m = n - c.k + 1
+        c.ids, c.hash, c.weight = ([r[j] for r in rows] for j in range(3))
+        c.prints = np.concatenate([fingerprints(h, x, c.m) for h, x in zip(c.hash, c.weight)])
+        c.near = np.stack([np.packbits(_WITHIN_ONE[:, c.prints[:, b]], axis=1) for b in range(BLOCKS)])
+        h = np.concatenate(c.hash)
         order = np.argsort(h, kind="stable")
-        self.keys, first = np.unique(h[order], return_index=True)
-        self.first, self.item = np.append(first, len(h)), item[order]
-
-
-class Index:
-    """A block of benchmark items, ready to be searched for in documents."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.classes: dict[int, _Class] = {}
-        w = words([t for _, t in items])
-        for i, n in enumerate(w.counts().tolist()):
-            if n:
-                c = self.classes.setdefault(n, _Class(n))
-                a, z = int(w.first[i]), int(w.first[i + 1])
-                s = shingles(Words(1, w.hash[a:z], w.length[a:z], np.zeros(n, np.int64), np.array([0, n])), c.k)
-                c.ids.append(items[i][0])
-                c.hash.append(s.hash)
-                c.weight.append(s.size)
-        for c in self.classes.values():
-            c.seal()
-        self.by_k: dict[int, np.ndarray] = {}
-        for k in {c.k for c in self.classes.values()}:
-            self.by_k[k] = np.unique(np.concatenate([c.keys for c in self.classes.values() if c.k == k]))
-
-    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
-        """``(text, item id, similarity, first word, words)`` of each text and item that match.
-
-        Only windows that share a shingle with an item can match, so fingerprints are made
-        around shared shingles; every window there is tried.
-        """
-        w = words(texts)
-        counts = w.counts()
-        for k, keys in self.by_k.items():
-            s = shingles(w, k)
-            at = np.searchsorted(keys, s.hash)
-            hit = (keys[np.minimum(at, len(keys) - 1)] == s.hash) & (counts[s.doc] >= k)
-            bounds = np.searchsorted(s.doc, np.arange(len(texts) + 1))
-            for d in np.unique(s.doc[hit]):
-                a, z = bounds[d], bounds[d + 1]
-                for c in self.classes.values():
-                    if c.k == k and z - a >= c.m:
-                        yield from self._in_text(int(d), c, s.hash[a:z], s.size[a:z], hit[a:z])
-
-    @staticmethod
-    def _in_text(d: int, c: _Class, h: np.ndarray, weight: np.ndarray, hit: np.ndarray):
-        found = np.flatnonzero(hit)
-        at = np.searchsorted(c.keys, h[found])
-        own = c.keys[np.minimum(at, len(c.keys) - 1)] == h[found]
-        found, at = found[own], at[own]
-        if not len(found):
-            return
-        sharing = np.zeros(len(c.ids), dtype=bool)
-        for j in np.unique(at):
-            sharing[c.item[c.first[j]:c.first[j + 1]]] = True
-        sharing = np.packbits(sharing)
-        n = len(h) - c.m + 1
-        mark = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(mark, np.clip(found - c.m + 1, 0, n), 1)
-        np.add.at(mark, np.minimum(found + 1, n), -1)
-        starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        best: dict[int, tuple[float, int]] = {}
-        cuts = np.flatnonzero(np.diff(starts) > 1) + 1
-        for run in np.split(starts, cuts):
-            for lo in range(0, len(run), _WINDOWS):
-                part = run[lo:lo + _WINDOWS]
-                a, z = int(part[0]), int(part[-1]) + c.m
-                prints = fingerprints(h[a:z], weight[a:z], c.m)
-                near = c.near[np.arange(BLOCKS)[None, :], prints]  # windows x blocks x bits of items
-                maybe = np.unpackbits(np.bitwise_or.reduce(near, axis=1) & sharing, axis=1, count=len(c.ids))
-                for win, item in zip(*np.nonzero(maybe)):
-                    if _POP[prints[win] ^ c.prints[item]].sum() > RADIUS:
-                        continue
-                    p = a + int(win)
-                    sim = weighted_jaccard(h[p:p + c.m], weight[p:p + c.m], c.hash[item], c.weight[item])
-                    if sim >= SIMILARITY and sim > best.get(item, (0.0, 0))[0]:
-                        best[item] = (sim, p)
-        for item, (sim, p) in best.items():
-            yield d, c.ids[item], sim, p, c.n_words
-
-
-def index_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
+        c.keys, first = np.unique(h[order], return_index=True)
+        c.first, c.item = np.append(first, len(h)), np.repeat(np.arange(len(rows)), c.m)[order]
+    by_k = {k: np.unique(np.concatenate([c.keys for c in classes.values() if c.k == k])) for k in {c.k for c in classes.values()}}
+    return {"classes": classes, "by_k": by_k}
+
+
+def search_index(index: dict, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
+    """``(text, item id, similarity, first word, words)`` of each text and item that match.
+
+    Only windows that share a shingle with an item can match, so fingerprints are made around
+    shared shingles; every window there is tried.
+    """
+    w = words(texts)
+    counts = w.counts()
+    for k, keys in index["by_k"].items():
+        s = shingles(w, k)
+        at = np.searchsorted(keys, s.hash)
+        hit = (keys[np.minimum(at, len(keys) - 1)] == s.hash) & (counts[s.doc] >= k)
+        bounds = np.searchsorted(s.doc, np.arange(len(texts) + 1))
+        for d in np.unique(s.doc[hit]):
+            a, z = bounds[d], bounds[d + 1]
+            for c in index["classes"].values():
+                if c.k == k and z - a >= c.m:
+                    yield from _search_text(int(d), c, s.hash[a:z], s.size[a:z], hit[a:z])
+
+
+def _search_text(d: int, c: SimpleNamespace, h: np.ndarray, weight: np.ndarray, hit: np.ndarray):
+    found = np.flatnonzero(hit)
+    at = np.searchsorted(c.keys, h[found])
+    own = c.keys[np.minimum(at, len(c.keys) - 1)] == h[found]
+    found, at = found[own], at[own]
+    if not len(found):
+        return
+    sharing = np.zeros(len(c.ids), dtype=bool)
+    for j in np.unique(at):
+        sharing[c.item[c.first[j]:c.first[j + 1]]] = True
+    sharing = np.packbits(sharing)
+    n = len(h) - c.m + 1
+    mark = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(mark, np.clip(found - c.m + 1, 0, n), 1)
+    np.add.at(mark, np.minimum(found + 1, n), -1)
+    starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    best: dict[int, tuple[float, int]] = {}
+    cuts = np.flatnonzero(np.diff(starts) > 1) + 1
+    for run in np.split(starts, cuts):
+        for lo in range(0, len(run), _WINDOWS):
+            part = run[lo:lo + _WINDOWS]
+            a, z = int(part[0]), int(part[-1]) + c.m
+            prints = fingerprints(h[a:z], weight[a:z], c.m)
+            near = c.near[np.arange(BLOCKS)[None, :], prints]  # windows x blocks x bits of items
+            maybe = np.unpackbits(np.bitwise_or.reduce(near, axis=1) & sharing, axis=1, count=len(c.ids))
+            for win, item in zip(*np.nonzero(maybe)):
+                if _POP[prints[win] ^ c.prints[item]].sum() > RADIUS:
+                    continue
+                p = a + int(win)
+                sim = weighted_jaccard(h[p:p + c.m], weight[p:p + c.m], c.hash[item], c.weight[item])
+                if sim >= SIMILARITY and sim > best.get(item, (0.0, 0))[0]:
+                    best[item] = (sim, p)
+    for item, (sim, p) in best.items():
+        yield d, c.ids[item], sim, p, c.n_words
+
+
+def index_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[dict]:
     """Indexes over blocks of the benchmark, each over about ``INDEX_CHARS`` characters."""
     items = clean(benchmark, **{item_id: "long", text: "string"}).filter(F.col(item_id).isNotNull() & F.col(text).isNotNull())
     total = items.select(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first()["n"]
@@ -156,7 +144,7 @@ def index_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
         part = items.filter(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == b) if blocks > 1 else items
         rows = sorted((r[0], r[1]) for r in part.distinct().collect())
         if rows:
-            yield Index(rows)
+            yield build_index(rows)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -180,7 +168,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
                 for lo, hi in slices(texts):
-                    rows = list(known.value.search(texts[lo:hi]))
+                    rows = list(search_index(known.value, texts[lo:hi]))
                     if rows:
                         d, item, sim, at, n = zip(*rows)
                         yield arrow(schema, doc_id=[ids[lo + i] for i in d], item_id=item, similarity=sim, first_word=at, n_words=n)
@@ -203,7 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 good = np.ones(len(texts), dtype=bool)
                 for lo, hi in slices(texts):
-                    good[[lo + r[0] for r in known.value.search(texts[lo:hi])]] = False
+                    good[[lo + r[0] for r in search_index(known.value, texts[lo:hi])]] = False
                 yield b.filter(pa.array(good))
 
         docs = docs.mapInArrow(keep, docs.schema)

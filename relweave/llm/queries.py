@@ -8,6 +8,7 @@ from relweave.llm.decontaminate import find_contamination
 from relweave.llm.licenses import scan_licenses, scan_sql
 from relweave.llm.lines import dedup_lines
 from relweave.llm.mixing import mix_sources
+from relweave.llm.neighbours import nearest_products
 from relweave.llm.pages import extract_pages
 from relweave.llm.scratch import Scratch
 from relweave.llm.toxicity import PREDICT_AT, fit, held_out, score_documents
@@ -33,6 +34,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op4_nearest_products")
+def nearest(spark, table):
+    """The 20 largest inner products of every twentieth vector."""
+    return nearest_products(table("embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query("op6_html_text")
 def html_text(spark, table):
     """Main text of every page."""
