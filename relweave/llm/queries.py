@@ -8,6 +8,7 @@ from relweave.llm.decontaminate import find_contamination
 from relweave.llm.licenses import scan_licenses, scan_sql
 from relweave.llm.lines import dedup_lines
 from relweave.llm.mixing import mix_sources
+from relweave.llm.nearcopies import near_copies
 from relweave.llm.neighbours import nearest_products
 from relweave.llm.pages import extract_pages
 from relweave.llm.scratch import Scratch
@@ -34,6 +35,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op3_near_copies")
+def near_copy_classes(spark, table):
+    """Class of near copies of every document."""
+    return near_copies(table("documents"))
+
+
 @query("op4_nearest_products")
 def nearest(spark, table):
     """The 20 largest inner products of every twentieth vector."""
