@@ -157,3 +157,29 @@ def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFra
         yield arrow(schema, doc_id=b.column("doc_id"), text=b.column("text"), n_lines=n, n_dropped=k, kept=out)
 
     return map_batches(docs.join(lost, "doc_id", "left"), apply, schema)
+
+
+def drop_repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
+    """``docs`` with all columns and rows, its texts without repeated lines.
+
+    A null text stays null. ``n_chars``, where there is one, follows the text.
+    """
+    lost = dropped_lines(docs, least, documents).select(F.col("doc_id").alias("_of"), F.col("digests").alias("_lost"))
+    joined = docs.join(lost, docs["doc_id"].cast("long") == lost["_of"], "left").drop("_of")
+    names, place = docs.columns, docs.columns.index("text")
+
+    def apply(batches):
+        for b in batches:
+            texts = []
+            for t, gone in zip(b.column(place), b.column(b.num_columns - 1)):
+                text, gone = t.as_py(), set(gone.as_py() or ())
+                drop = {i for d, i in _digests(text, least) if d in gone} if gone else ()
+                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text)
+            arrays = b.columns[:-1]
+            arrays[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    out = joined.mapInArrow(apply, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

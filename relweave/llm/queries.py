@@ -12,6 +12,7 @@ from relweave.llm.nearcopies import near_copies
 from relweave.llm.neighbours import nearest_products
 from relweave.llm.pages import extract_pages
 from relweave.llm.scratch import Scratch
+from relweave.llm.substrings import remove_repeats
 from relweave.llm.toxicity import PREDICT_AT, fit, held_out, score_documents
 from relweave.llm.warc import mark_revisits, read_archives, resolve_revisits, write_archives
 from relweave.session import shared_dir, tune
@@ -47,6 +48,30 @@ def nearest(spark, table):
     return nearest_products(table("embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+e AS (SELECT doc_id, unnest(b) AS x, unnest(range(len(b))) AS p FROM d),
+a AS (SELECT doc_id, x, p, count(*) OVER f = 50 AS whole, md5(string_agg(x, '') OVER f) AS w FROM e
+      WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT w, min(doc_id) AS least FROM a WHERE whole GROUP BY w),
+h AS (SELECT a.doc_id, x, p, whole AND least < a.doc_id AS hit FROM a LEFT JOIN m USING (w)),
+g AS (SELECT doc_id, x, p, coalesce(p - max(CASE WHEN hit THEN p END) OVER (PARTITION BY doc_id ORDER BY p) < 50, false) AS gone FROM h),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM g),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+             string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op5_repeated_strings", _REPEATS_SQL)
+def repeated_strings(spark, table):
+    """Bytes left of every document without 50-byte strings of smaller documents."""
+    out = remove_repeats(table("documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_html_text")
 def html_text(spark, table):
     """Main text of every page."""

@@ -6,7 +6,8 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relweave.llm.kernel import distinct_per_doc, slices, words
 from relweave.llm.scratch import Scratch, add_blocks, arrow, clean, rows_per_task, share_of
@@ -121,15 +122,21 @@ def _count_tokens(rows: DataFrame) -> np.ndarray:
     return out.astype(np.float64)
 
 
-_SEGMENTS = "doc_id long, y int, n int, scores array<float>, firsts array<int>, ends array<int>"
+_FOUND = "n int, scores array<float>, firsts array<int>, ends array<int>"
 
 
 def _find_segments(rows: DataFrame, tables) -> DataFrame:
-    """Segments above the floor of every text; ``tables`` holds scores by label (null, 0, 1)."""
+    """Segments above the floor of every ``text``; ``tables`` holds scores by ``y`` (null, 0, 1).
+
+    All columns but the text come along.
+    """
+    carried = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType(carried + T.StructType.fromDDL(_FOUND).fields)
 
     def find(batches):
         for b in batches:
-            texts, ys = b.column("text").to_pylist(), b.column("y").to_pylist()
+            place = {n: i for i, n in enumerate(b.schema.names)}
+            texts, ys = b.column(place["text"]).to_pylist(), b.column(place["y"]).to_pylist()
             for lo, hi in slices(texts):
                 w = words(texts[lo:hi])
                 t = token_buckets(w)
@@ -141,9 +148,12 @@ def _find_segments(rows: DataFrame, tables) -> DataFrame:
                     scores.append([s[0] for s in found])
                     firsts.append([s[1] for s in found])
                     ends.append([s[2] for s in found])
-                yield arrow(_SEGMENTS, doc_id=b.column("doc_id")[lo:hi], y=b.column("y")[lo:hi], n=n, scores=scores, firsts=firsts, ends=ends)
+                made = arrow(_FOUND, n=n, scores=scores, firsts=firsts, ends=ends)
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(place[f.name]) for f in carried] + made.columns, names=[f.name for f in carried] + made.schema.names)
 
-    return rows.select("doc_id", "text", "y").mapInArrow(find, _SEGMENTS)
+    return rows.mapInArrow(find, schema)
 
 
 def _surprise(rate: float, scale: float) -> Column:
@@ -201,6 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     return m
 
 
+def _probability(model: Model) -> Column:
+    x = F.log1p(_surprise(model.rate, model.scale))
+    return 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * x)))
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score, n_words, n_passages, passages)`` for every row of ``docs``.
 
@@ -216,7 +231,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     passages = F.filter(
         F.arrays_zip(F.col("firsts").alias("first"), F.col("ends").alias("end"), F.col("scores").alias("score")),
         lambda p: (p["score"].cast("double") - FLOOR) / model.scale > base)
-    x = F.log1p(_surprise(model.rate, model.scale))
     return found.select(
-        "doc_id", (1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * x)))).alias("score"),
-        F.col("n").alias("n_words"), passages.alias("passages")).withColumn("n_passages", F.size("passages"))
+        "doc_id", _probability(model).alias("score"), F.col("n").alias("n_words"), passages.alias("passages")).withColumn("n_passages", F.size("passages"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, at: float = PREDICT_AT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``at``."""
+    tables = docs.sparkSession.sparkContext.broadcast({None: model.score})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    found = _find_segments(rows.withColumn("y", F.lit(None).cast("int")), tables)
+    return found.filter(_probability(model) < at).select("row.*")
