@@ -9,17 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relweave.llm.scratch import Scratch, add_blocks, arrow, clean, map_batches, rows_per_task, share_of
+from relweave.llm.bloom import BLOCK_BITS, bits_for, fold_bits, positions, set_bits, test_bits
+from relweave.llm.scratch import Scratch, arrow, clean, map_batches
 
 STRIP = " \t\n\x0b\f\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: bits of each Bloom filter: 32 MB at most on a worker. A fuller filter only sends more
 #: lines to the exact step; the result never depends on it.
 MOST_BITS = 1 << 28
-LEAST_BITS = 1 << 20
 BITS_A_LINE = 12
-PROBES = 3
-BLOCK_BITS = 1 << 19
 
 
 def line_key(line: str) -> str:
@@ -40,19 +38,8 @@ def _digests(text: str | None, least: int) -> list[tuple[bytes, int]]:
 
 
 def _probes(digests: list[bytes], bits: int) -> np.ndarray:
-    """Bit positions, a row per digest: halves of the digest combined with odd steps."""
     x = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
-    with np.errstate(over="ignore"):
-        return np.stack([(x[:, 0] + np.uint64(i) * (x[:, 1] | np.uint64(1))) & np.uint64(bits - 1) for i in range(PROBES)], axis=1).astype(np.int64)
-
-
-def _get(filt: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((filt[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _set(filt: np.ndarray, at: np.ndarray) -> None:
-    at = at.ravel()
-    np.bitwise_or.at(filt, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return positions(x[:, 0], x[:, 1], bits)
 
 
 def repeated_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
@@ -62,7 +49,7 @@ def repeated_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     a key is seen twice if either part saw it twice or both saw it once. A document adds a
     key once, however often it holds the line.
     """
-    block = min(bits, BLOCK_BITS)
+    step = min(bits, BLOCK_BITS) >> 3
 
     def build(batches):
         once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
@@ -78,23 +65,15 @@ def repeated_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
             # a key that comes again in this batch, or came in an earlier one
             keys = np.frombuffer(b"".join(held), dtype="V16")
             _, index, count = np.unique(keys, return_index=True, return_counts=True)
-            seen = _get(once, at[index]) | (count > 1)
-            _set(twice, at[index][seen])
-            _set(once, at[index])
+            seen = test_bits(once, at[index]) | (count > 1)
+            set_bits(twice, at[index][seen])
+            set_bits(once, at[index])
         if used:
-            step = block >> 3
             for i in range(0, bits >> 3, step):
                 data = once[i:i + step].tobytes() + twice[i:i + step].tobytes()
-                yield arrow("block int, share int, data binary", block=[i // step], share=[0], data=[zlib.compress(data, 1)])
-
-    partial = docs.select("text").mapInArrow(build, "block int, share int, data binary")
-    n = max(1, rows_per_task(docs) // max(1, bits // block))
-    partial = partial.withColumn("share", share_of(n))
-    out = np.zeros(bits >> 3, np.uint8)
-    step = block >> 3
-    for r in add_blocks(partial, block, "uint8", "twice").collect():
-        out[r["block"] * step:(r["block"] + 1) * step] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)[step:]
-    return out
+                yield arrow("block int, data binary", block=[i // step], data=[zlib.compress(data, 1)])
+
+    return fold_bits(docs.select("text").mapInArrow(build, "block int, data binary"), bits, "twice")
 
 
 def dropped_lines(docs: DataFrame, least: int = 40, documents: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -107,9 +86,7 @@ def dropped_lines(docs: DataFrame, least: int = 40, documents: int = 5, scratch:
     spark = docs.sparkSession
     docs = clean(docs, doc_id="long", text="string").filter("doc_id is not null")
     total = docs.select(F.coalesce(F.sum(F.floor(F.octet_length("text") / F.lit(least))), F.lit(0)).alias("n")).first()["n"]
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, total * BITS_A_LINE // 2):
-        bits <<= 1
+    bits = bits_for(total, BITS_A_LINE // 2, MOST_BITS)
     known = spark.sparkContext.broadcast(repeated_filter(docs, least, bits))
     schema = "doc_id long, digest binary"
 
@@ -118,7 +95,7 @@ def dropped_lines(docs: DataFrame, least: int = 40, documents: int = 5, scratch:
         for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
             own = list({x for x, _ in _digests(t.as_py(), least)})
             if own:
-                hit = _get(known.value, _probes(own, bits))
+                hit = test_bits(known.value, _probes(own, bits))
                 keys.extend(x for x, h in zip(own, hit) if h)
                 ids.extend([d] * int(hit.sum()))
         if ids:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,7 @@ class Scratch:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
         self.spark._jvm.System.gc()
 
 
@@ -70,7 +72,7 @@ def add_blocks(partial: DataFrame, width: int, dtype: str, how: str = "sum") ->
 
     Two rounds: blocks are first folded in parallel shares and then across shares, and a task
     keeps one array per block it meets, so memory does not depend on the number of inputs.
-    ``how`` is ``sum``, or ``twice`` for a pair of bit arrays (seen once, seen twice).
+    ``how`` is ``sum``, ``or``, or ``twice`` for a pair of bit arrays (seen once, seen twice).
     """
     import zlib
 
@@ -85,6 +87,8 @@ def add_blocks(partial: DataFrame, width: int, dtype: str, how: str = "sum") ->
                     held[block] = x.copy()
                 elif how == "sum":
                     held[block] += x
+                elif how == "or":
+                    held[block] |= x
                 else:
                     a, half = held[block], len(x) // 2
                     a[half:] |= x[half:] | (a[:half] & x[:half])

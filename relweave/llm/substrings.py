@@ -8,40 +8,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from relweave.llm.bloom import bits_for, key_filter, key_positions, test_bits
 from relweave.llm.kernel import mix, slices
 from relweave.llm.scratch import Scratch, arrow, clean, map_batches
 
 LENGTH = 50
-#: length of the strings that make the first buckets; doubled once, then shifted to LENGTH
-FIRST = 16
+#: length of the strings that make the buckets whose holders are compared
+FIRST = 24
 WINDOW = LENGTH - FIRST + 1
 #: window starts that one run holds at most, so that its first and last window cover it
 RUN = WINDOW
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-_STEPS = tuple(mix(np.arange(11, 16, dtype=np.uint64)) | np.uint64(1))
+#: bits of the filter of shared buckets (128 MB at most); fuller, it only lets more rows through
+MOST_BITS = 1 << 30
+_A, _B, _C, _D = (int(x) for x in mix(np.arange(11, 15, dtype=np.uint64)) | np.uint64(1))
+
+
+def _refine(x: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Bucket identifiers refined by the bucket identifiers of a later offset."""
+    z = x * np.uint64(_A)
+    z ^= z >> np.uint64(32)
+    z += later
+    z *= np.uint64(_B)
+    z ^= z >> np.uint64(29)
+    z *= np.uint64(_C)
+    z ^= z >> np.uint64(32)
+    return z
 
 
 def bucket_ids(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers of the 16 and of the 50 bytes from each position.
+    """Bucket identifiers of the 8 bytes and of the 24 bytes from each position.
 
-    The bucket of a position at twice the length is refined by the bucket of the position as
-    far ahead: 1 to 2 to 4 to 8 to 16 to 32 bytes, and at last 32 and 32 bytes that overlap. An
-    identifier is a 64-bit function of the bytes, so all tasks agree on it without numbering.
+    The 8 bytes are their own identifier. A bucket is refined by the identifier of the bytes
+    that follow: 8 and 8 more, then 8 more. An identifier is a 64-bit function of the bytes, so
+    all tasks agree on it without numbering the buckets.
     """
-    h = buf.astype(np.uint64) + np.uint64(1)
-    first = h
-    length = 1
-    for step in _STEPS:
-        if len(h) <= length:
-            return (first if length > FIRST else np.zeros(0, np.uint64)), np.zeros(0, np.uint64)
-        h = h[:-length] * step + h[length:]
-        length *= 2
-        if length in (4, FIRST, 2 * FIRST):
-            h = mix(h)
-        if length == FIRST:
-            first = h
-    shift = LENGTH - length
-    return first, mix(h[:-shift] * _STEPS[0] + h[shift:]) if len(h) > shift else np.zeros(0, np.uint64)
+    if len(buf) < FIRST:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    raw = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=np.ascontiguousarray(buf), strides=(1,)).copy()
+    return raw, _refine(_refine(raw[:-8], raw[8:])[:-8], raw[16:])
+
+
+def string_ids(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Identifiers of the 50 bytes from the given positions: the bucket there, refined by the
+    buckets 24 and 26 bytes later, which end where the string ends."""
+    return _refine(_refine(first[at], first[at + FIRST]), first[at + LENGTH - FIRST])
 
 
 def _sliding_min(v: np.ndarray, n: int) -> np.ndarray:
@@ -63,32 +73,31 @@ def _encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes
 def text_runs(texts: list[str | None]):
     """``(text, bucket, identity, first start, starts)`` of the runs of window starts.
 
-    Every 50-byte string belongs to the least 16-byte bucket inside it, whatever surrounds it;
+    Every 50-byte string belongs to the least 24-byte bucket inside it, whatever surrounds it;
     consecutive starts with the same least bucket make a run. Equal identities of a bucket are
     equal bytes from the run's first start to the end of its last window.
     """
     buf, at, raw = _encode(texts)
-    first, whole = bucket_ids(buf)
-    if not len(whole):
-        z = np.zeros(0, np.int64)
+    z = np.zeros(0, np.int64)
+    if len(buf) < LENGTH:
         return z, z.astype(np.uint64), z.astype(np.uint64), z, z, raw
-    least = _sliding_min(first, WINDOW)[:len(whole)]
-    starts = np.arange(len(whole))
-    doc = np.searchsorted(at[1:], starts, side="right")
-    inside = starts + LENGTH <= at[1:][doc]
-    new = np.ones(len(whole), dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
-    head = np.flatnonzero(new & inside)
-    order = np.flatnonzero(inside)
-    run_of = np.searchsorted(head, order, side="right") - 1
-    place = order - head[run_of]
-    cut = order[place % RUN == 0]
-    bounds = np.searchsorted(order, cut)
-    last = order[np.append(bounds[1:], len(order)) - 1]
-    n = last - cut + 1
-    identity = mix(whole[cut] * _STEPS[1] + whole[last] * _STEPS[2] + n.astype(np.uint64))
-    d = doc[cut]
-    return d, least[cut], identity, cut - at[d], n, raw
+    _, first = bucket_ids(buf)
+    least = _sliding_min(first, WINDOW)
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    head = np.union1d(change, at[:-1][at[:-1] < len(least)])
+    doc = np.searchsorted(at[1:], head, side="right")
+    limit = at[1:][doc] - LENGTH + 1  # first start whose window would leave the text
+    stop = np.minimum(np.append(head[1:], len(least)), limit)
+    good = stop > head
+    head, stop, doc = head[good], stop[good], doc[good]
+    parts = -(-(stop - head) // RUN)
+    if len(parts) and parts.max() > 1:  # periodic text: a long run in pieces
+        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        head, stop, doc = np.repeat(head, parts) + place * RUN, np.repeat(stop, parts), np.repeat(doc, parts)
+        stop = np.minimum(stop, head + RUN)
+    n = stop - head
+    identity = _refine(_refine(string_ids(first, head), string_ids(first, stop - 1)), n.astype(np.uint64))
+    return doc, least[head], identity, head - at[doc], n, raw
 
 
 _RUNS = "g long, t long, doc long, run long"
@@ -103,8 +112,9 @@ def _unpack(run):
     return F.shiftrightunsigned(run, 46).alias("v"), F.shiftrightunsigned(run, 6).bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), run.bitwiseAND(F.lit(63)).alias("n")
 
 
-def _runs(docs: DataFrame, narrow: bool) -> DataFrame:
-    """Runs of all texts; ``narrow`` leaves all but the bucket and the document out."""
+def _runs(docs: DataFrame, known=None) -> DataFrame:
+    """Buckets and documents of all runs, or the whole runs of the buckets in a filter."""
+    narrow = known is None
     schema = "g long, doc long" if narrow else _RUNS
 
     def emit(batches):
@@ -118,6 +128,8 @@ def _runs(docs: DataFrame, narrow: bool) -> DataFrame:
                 if narrow:
                     yield arrow(schema, g=pa.array(g.view(np.int64)), doc=pa.array(doc))
                 else:
+                    own = test_bits(known.value, key_positions(g, len(known.value) << 3))
+                    d, g, t, s, n, doc = d[own], g[own], t[own], s[own], n[own], doc[own]
                     version = np.array([zlib.crc32(r) & 0xFFFF for r in raw], np.int64)[d]
                     yield arrow(schema, g=pa.array(g.view(np.int64)), t=pa.array(t.view(np.int64)), doc=pa.array(doc), run=pa.array(_pack(version, s, n)))
 
@@ -127,18 +139,20 @@ def _runs(docs: DataFrame, narrow: bool) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc, v, spans)``: starts and ends of repeated strings of each document, unmerged.
 
-    1. Buckets of 16 bytes that two documents share; all others end here.
-    2. Runs of the shared buckets, each with the identity of its bytes. A run whose bytes a
+    1. Buckets of 24 bytes that two documents share; all others end here.
+    2. Runs of the shared buckets (a filter of them spares most others the shuffle), each with the identity of its bytes. A run whose bytes a
        smaller document has is repeated as a whole.
     3. What is left differs somewhere from every smaller document with the bucket: only the
        smallest holder of each identity matters, and its 50-byte strings are compared one by one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    shared = _runs(docs, True).groupBy("g").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("g")
+    shared = _runs(docs).groupBy("g").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("g")
     shared = scratch.save(shared)
     scratch.drop()
-    runs = scratch.save(_runs(docs, False).join(shared, "g"))
+    bits = bits_for(shared.count(), 10, MOST_BITS)
+    known = spark.sparkContext.broadcast(key_filter(shared, "g", bits))
+    runs = scratch.save(_runs(docs, known).join(shared, "g"))
     scratch.drop(shared)
     holders = scratch.save(runs.groupBy("g", "t").agg(F.min("doc").alias("holder")))
     mixed = holders.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", F.lit(True).alias("mixed"))
@@ -154,11 +168,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             texts, ids, versions, runs = (b.column(c).to_pylist() for c in ("text", "doc_id", "v", "runs"))
             for lo, hi in slices(texts):
                 buf, at, _ = _encode(texts[lo:hi])
-                _, whole = bucket_ids(buf)
+                _, first = bucket_ids(buf)
                 start = np.concatenate([np.arange(r["s"], r["s"] + r["n"]) + at[i] for i in range(hi - lo) for r in runs[lo + i]])
                 d = np.searchsorted(at[1:], start, side="right")
                 place = (np.array(versions[lo:hi], np.int64)[d] << 40) | (start - at[d])
-                yield arrow(schema, w=pa.array(whole[start].view(np.int64)), doc=pa.array(np.array(ids[lo:hi])[d]), at=pa.array(place))
+                yield arrow(schema, w=pa.array(string_ids(first, start).view(np.int64)), doc=pa.array(np.array(ids[lo:hi])[d]), at=pa.array(place))
 
     keyed = docs.withColumn("v", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFF)))
     single = keyed.join(edges.withColumnRenamed("doc", "doc_id"), ["doc_id", "v"]).mapInArrow(windows, schema)
