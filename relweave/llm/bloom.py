@@ -29,6 +29,21 @@ def set_bits(filt: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(filt, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
 
+def see(once: np.ndarray, twice: np.ndarray, at: np.ndarray, again: np.ndarray) -> None:
+    """Enter distinct keys; ``again`` marks those that this batch alone holds twice."""
+    set_bits(twice, at[test_bits(once, at) | again])
+    set_bits(once, at)
+
+
+def twice_blocks(once: np.ndarray, twice: np.ndarray):
+    """Partial blocks of a pair of filters, for ``fold_bits`` with ``twice``."""
+    step = min(len(once) << 3, BLOCK_BITS) >> 3
+    for i in range(0, len(once), step):
+        if once[i:i + step].any():
+            data = once[i:i + step].tobytes() + twice[i:i + step].tobytes()
+            yield arrow("block int, data binary", block=[i // step], data=[zlib.compress(data, 1)])
+
+
 def bits_for(keys: int, per_key: int, most: int, least: int = 1 << 20) -> int:
     bits = least
     while bits < min(most, keys * per_key):

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relweave.llm.bloom import BLOCK_BITS, bits_for, fold_bits, positions, set_bits, test_bits
+from relweave.llm.bloom import bits_for, fold_bits, positions, see, test_bits, twice_blocks
 from relweave.llm.scratch import Scratch, arrow, clean, map_batches
 
 STRIP = " \t\n\x0b\f\r"
@@ -49,29 +48,16 @@ def repeated_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     a key is seen twice if either part saw it twice or both saw it once. A document adds a
     key once, however often it holds the line.
     """
-    step = min(bits, BLOCK_BITS) >> 3
-
     def build(batches):
         once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
-        used = False
         for b in batches:
             held: list[bytes] = []
             for t in b.column("text"):
                 held.extend({d for d, _ in _digests(t.as_py(), least)})
-            if not held:
-                continue
-            used = True
-            at = _probes(held, bits)
-            # a key that comes again in this batch, or came in an earlier one
-            keys = np.frombuffer(b"".join(held), dtype="V16")
-            _, index, count = np.unique(keys, return_index=True, return_counts=True)
-            seen = test_bits(once, at[index]) | (count > 1)
-            set_bits(twice, at[index][seen])
-            set_bits(once, at[index])
-        if used:
-            for i in range(0, bits >> 3, step):
-                data = once[i:i + step].tobytes() + twice[i:i + step].tobytes()
-                yield arrow("block int, data binary", block=[i // step], data=[zlib.compress(data, 1)])
+            if held:
+                _, index, count = np.unique(np.frombuffer(b"".join(held), dtype="V16"), return_index=True, return_counts=True)
+                see(once, twice, _probes(held, bits)[index], count > 1)
+        yield from twice_blocks(once, twice)
 
     return fold_bits(docs.select("text").mapInArrow(build, "block int, data binary"), bits, "twice")
 

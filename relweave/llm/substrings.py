@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relweave.llm.bloom import bits_for, key_filter, key_positions, test_bits
+from relweave.llm.bloom import bits_for, fold_bits, key_filter, key_positions, see, test_bits, twice_blocks
 from relweave.llm.kernel import mix, slices
 from relweave.llm.scratch import Scratch, arrow, clean, map_batches
 
@@ -143,7 +143,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     2. Runs of the shared buckets (a filter of them spares most others the shuffle), each with the identity of its bytes. A run whose bytes a
        smaller document has is repeated as a whole.
     3. What is left differs somewhere from every smaller document with the bucket: only the
-       smallest holder of each identity matters, and its 50-byte strings are compared one by one.
+       smallest holder of each identity matters, and its 50-byte strings are compared one by one
+       if two filters, of strings seen and seen again, can't rule them out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -160,23 +161,45 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     state = scratch.save(runs.join(known, ["g", "t"]).filter("holder < doc or mixed").select(
         "doc", *_unpack(F.col("run")), (F.col("holder") < F.col("doc")).alias("whole")))
     scratch.drop(runs, holders)
-    edges = state.filter("not whole").distinct().groupBy("doc", "v").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    edges = state.filter("not whole").distinct()
+    bits = bits_for(edges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 8, MOST_BITS >> 1)
+    edges = edges.groupBy(F.col("doc").alias("doc_id"), "v").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
+    keyed = docs.withColumn("v", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFF)))
+    asked = keyed.join(edges, ["doc_id", "v"]).select("doc_id", "v", "text", "s", "n")
+
+    def strings(b):
+        """Identifier, row and start of every string of the runs in a batch, slice by slice."""
+        texts = b.column("text").to_pylist()
+        s, n = b.column("s"), b.column("n")
+        for lo, hi in slices(texts):
+            buf, at, _ = _encode(texts[lo:hi])
+            _, first = bucket_ids(buf)
+            part, many = s.slice(lo, hi - lo), n.slice(lo, hi - lo).flatten().to_numpy()
+            row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
+            begin, row = np.repeat(part.flatten().to_numpy(), many), np.repeat(row, many)
+            begin = begin + np.arange(len(begin)) - np.repeat(np.cumsum(many) - many, many)
+            yield string_ids(first, begin + at[row]), lo + row, begin
+
+    def twice_seen(batches):
+        once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
+        for b in batches:
+            for w, _, _ in strings(b):
+                w, count = np.unique(w, return_counts=True)
+                see(once, twice, key_positions(w, bits), count > 1)
+        yield from twice_blocks(once, twice)
+
+    maybe = spark.sparkContext.broadcast(fold_bits(asked.mapInArrow(twice_seen, "block int, data binary"), bits, "twice"))
+    scratch.drop()
     schema = "w long, doc long, at long"
 
-    def windows(batches):
-        for b in batches:
-            texts, ids, versions, runs = (b.column(c).to_pylist() for c in ("text", "doc_id", "v", "runs"))
-            for lo, hi in slices(texts):
-                buf, at, _ = _encode(texts[lo:hi])
-                _, first = bucket_ids(buf)
-                start = np.concatenate([np.arange(r["s"], r["s"] + r["n"]) + at[i] for i in range(hi - lo) for r in runs[lo + i]])
-                d = np.searchsorted(at[1:], start, side="right")
-                place = (np.array(versions[lo:hi], np.int64)[d] << 40) | (start - at[d])
-                yield arrow(schema, w=pa.array(string_ids(first, start).view(np.int64)), doc=pa.array(np.array(ids[lo:hi])[d]), at=pa.array(place))
+    def windows(b):
+        ids, versions = b.column("doc_id").to_numpy(), b.column("v").to_numpy()
+        for w, row, begin in strings(b):
+            own = test_bits(maybe.value, key_positions(w, bits))
+            row = row[own]
+            yield arrow(schema, w=pa.array(w[own].view(np.int64)), doc=pa.array(ids[row]), at=pa.array((versions[row] << 40) | begin[own]))
 
-    keyed = docs.withColumn("v", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFF)))
-    single = keyed.join(edges.withColumnRenamed("doc", "doc_id"), ["doc_id", "v"]).mapInArrow(windows, schema)
-    single = scratch.save(single)
+    single = scratch.save(map_batches(asked, windows, schema))
     least = single.groupBy("w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("w", "a")
     hit = single.join(least, "w").filter("a < doc").select(
         "doc", F.shiftrightunsigned("at", 40).alias("v"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), F.lit(1).cast("long").alias("n"))
