@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 15
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -43,7 +44,7 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tu
     at, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if i > at and size + n > limit:
+        if i > at and (size + n > limit or i - at >= SLICE_ROWS):
             yield at, i
             at, size = i, 0
         size += n
@@ -124,15 +125,17 @@ def shingles(w: Words, k: int = 5) -> Shingles:
     return Shingles(h, size, doc, at)
 
 
-def distinct_per_doc(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, count) of each distinct hash of a document, documents in order."""
-    if not len(h):
-        return doc, h, np.zeros(0, dtype=np.int64)
-    order = np.lexsort((h, doc))
-    d, v = doc[order], h[order]
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1])])
-    at = np.flatnonzero(new)
-    return d[at], v[at], np.diff(np.append(at, len(v)))
+def distinct_per_doc(doc: np.ndarray, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, count) of each distinct key below ``2**bits`` of a document, in order.
+
+    Both fit one integer, as a slice has fewer than ``SLICE_ROWS`` documents.
+    """
+    both = np.sort((doc.astype(_U) << _U(bits)) | key.astype(_U))
+    if not len(both):
+        return np.zeros(0, np.int64), both, np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    kept = both[at]
+    return (kept >> _U(bits)).astype(np.int64), kept & _U((1 << bits) - 1), np.diff(np.append(at, len(both)))
 
 
 def sequence_hash(w: Words) -> tuple[np.ndarray, np.ndarray]:

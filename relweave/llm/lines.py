@@ -88,10 +88,12 @@ def dropped_lines(docs: DataFrame, least: int = 40, documents: int = 5, scratch:
             yield arrow(schema, doc_id=ids, digest=keys)
 
     found = map_batches(docs, suspects, schema)
-    found = (scratch or Scratch(spark)).save(found)
+    scratch = scratch or Scratch(spark)
+    found = scratch.save(found)
     # repeated rows of one document count once
     per = found.groupBy("digest").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= documents)
-    lost = found.join(per.select("digest", "keep"), "digest").filter("doc_id < keep")
+    # written first, so that the join can split the documents of a hot line
+    lost = found.join(scratch.save(per.select("digest", "keep")), "digest").filter("doc_id < keep")
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
 
 

@@ -74,7 +74,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     offsets = rows.groupBy("s", "r").agg(F.sum("size").alias("words")).select(
         "s", "r", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     inside = W.partitionBy("s", "r").orderBy("key", "doc_id", "body").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["s", "r"])
+    # without its own exchange the window would keep the join's partitions by source alone
+    rows = rows.repartition("s", "r").withColumn("upto", F.sum("size").over(inside)).join(offsets, ["s", "r"])
     start = F.col("offset") + F.col("upto") - F.col("size")
     whole = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)

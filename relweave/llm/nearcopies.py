@@ -15,6 +15,8 @@ from relweave.llm.scratch import Scratch, add_blocks, arrow, clean, rows_per_tas
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: bits of a shingle's identifier
+SHINGLE_BITS = 48
 #: samples per document, in bands that must agree as a whole: a pair at similarity 0.8 misses
 #: all bands with a probability of 2e-4
 BANDS, BAND_ROWS = 16, 4
@@ -47,8 +49,8 @@ def shingle_weights(docs: DataFrame) -> np.ndarray:
             n += len(texts)
             for lo, hi in slices(texts):
                 s = shingles(words(texts[lo:hi]), SHINGLE)
-                d, h, _ = distinct_per_doc(s.doc, (s.hash & np.uint64(COUNTERS - 1)).astype(np.int64))
-                held += np.bincount(h, minlength=COUNTERS).astype(np.uint64)
+                _, h, _ = distinct_per_doc(s.doc, s.hash & np.uint64(COUNTERS - 1), COUNTERS.bit_length() - 1)
+                held += np.bincount(h.astype(np.int64), minlength=COUNTERS).astype(np.uint64)
         for i in range(0, COUNTERS, _BLOCK):
             part = held[i:i + _BLOCK]
             if part.any():
@@ -67,7 +69,7 @@ def shingle_weights(docs: DataFrame) -> np.ndarray:
 def weighted_shingles(texts: list[str | None], weights: np.ndarray):
     """``(document, shingle, weight)`` of each distinct shingle: repeats times rarity."""
     s = shingles(words(texts), SHINGLE)
-    d, h, n = distinct_per_doc(s.doc, s.hash)
+    d, h, n = distinct_per_doc(s.doc, s.hash & np.uint64((1 << SHINGLE_BITS) - 1), SHINGLE_BITS)
     return d, h, n * weights[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.float64)
 
 
@@ -92,7 +94,7 @@ def signatures(n_docs: int, doc: np.ndarray, h: np.ndarray, weight: np.ndarray,
     for lo in range(0, len(h), _PIECE):
         part = h[lo:lo + _PIECE]
         i = ((part >> np.uint64(24)) & np.uint64(_DRAWS - 1)).astype(np.int64)
-        j = ((part >> np.uint64(44)) & np.uint64(_DRAWS - 1)).astype(np.int64)
+        j = ((part >> np.uint64(36)) & np.uint64(_DRAWS - 1)).astype(np.int64)
         rj, bj = r[j], beta[j]
         t = np.floor(log_w[lo:lo + _PIECE, None] / rj + bj)
         a = c[i] - rj * (t - bj + 1)
@@ -142,11 +144,11 @@ def _sign(docs: DataFrame, tools) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, tools) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, tools, scratch: Scratch) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the similarity. Pairs of one ``b`` share tasks in
     bounded parts, and its shingles are made once per part."""
     share = F.pmod(F.xxhash64("a"), F.col("parts"))
-    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_ROWS).alias("parts"))
+    size = scratch.save(pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_ROWS).alias("parts")))
     left = pairs.join(size, "b").withColumn("part", share).join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
     right = size.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("b", "part", "right")
@@ -200,7 +202,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     same = worded.join(nodes.drop("bands"), ["one", "two"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     links = [scratch.save(same)]
     members = nodes.select("node", F.explode("bands").alias("key"))
-    full = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # totals are written before they are joined to their rows, so that a hot key can be split
+    full = scratch.save(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = scratch.save(members.join(full, "key").distinct())
     wanted = members.select("node").distinct()
     texts = known.join(wanted, known.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
@@ -208,7 +211,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     open_members, tested, comps = members, None, None
     for turn in range(ROUNDS):
         order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        centre = open_members.groupBy("key").agg(F.min_by("node", order).alias("b"))
+        centre = scratch.save(open_members.groupBy("key").agg(F.min_by("node", order).alias("b")))
         pairs = open_members.join(centre, "key").filter("node <> b")
         if comps is not None:
             # a member in the centre's class has nothing to prove
@@ -219,9 +222,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links.append(scratch.save(_verify(pairs, texts, tools)))
+        links.append(scratch.save(_verify(pairs, texts, tools, scratch)))
         comps = components(_union(links), scratch)
-        open_members = scratch.save(_open(members, comps))
+        open_members = scratch.save(_open(members, comps, scratch))
         if not open_members.limit(1).count():
             break
     else:
@@ -233,7 +236,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         other = two.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"), "pair")
         rest = two.join(other, "pair").filter("node < b and comp <> comp_b").select(F.col("node").alias("a"), "b").distinct()
         rest = scratch.save(rest.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-        links.append(scratch.save(_verify(rest, texts, tools)))
+        links.append(scratch.save(_verify(rest, texts, tools, scratch)))
         comps = components(_union(links), scratch)
     return docs.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
@@ -246,10 +249,10 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets that span several classes, with their class."""
     rows = members.select("node", "key").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    split = scratch.save(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
     return rows.join(split, "key")
 
 

@@ -157,7 +157,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     scratch.drop(shared)
     holders = scratch.save(runs.groupBy("g", "t").agg(F.min("doc").alias("holder")))
     mixed = holders.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", F.lit(True).alias("mixed"))
-    known = holders.join(mixed, "g", "left")
+    known = scratch.save(holders.join(mixed, "g", "left"))
     state = scratch.save(runs.join(known, ["g", "t"]).filter("holder < doc or mixed").select(
         "doc", *_unpack(F.col("run")), (F.col("holder") < F.col("doc")).alias("whole")))
     scratch.drop(runs, holders)
@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield arrow(schema, w=pa.array(w[own].view(np.int64)), doc=pa.array(ids[row]), at=pa.array((versions[row] << 40) | begin[own]))
 
     single = scratch.save(map_batches(asked, windows, schema))
-    least = single.groupBy("w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("w", "a")
+    least = scratch.save(single.groupBy("w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("w", "a"))
     hit = single.join(least, "w").filter("a < doc").select(
         "doc", F.shiftrightunsigned("at", 40).alias("v"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), F.lit(1).cast("long").alias("n"))
     spans = state.filter("whole").select("doc", "v", "s", "n").unionByName(hit)

@@ -104,7 +104,8 @@ def _count_tokens(rows: DataFrame) -> np.ndarray:
             texts, ys = b.column("text").to_pylist(), b.column("y").to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts):
                 w = words(texts[lo:hi])
-                d, t, _ = distinct_per_doc(w.doc, token_buckets(w))
+                d, t, _ = distinct_per_doc(w.doc, token_buckets(w), BUCKETS.bit_length() - 1)
+                t = t.astype(np.int64)
                 y = ys[lo:hi][d] if len(d) else d
                 held[0] += np.bincount(t, minlength=BUCKETS).astype(np.uint64)
                 for k, v in ((1, 1), (2, 0)):
