@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,8 +35,10 @@ class Scratch:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round frees still holds the last shuffles
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def clean(df: DataFrame, **columns: str) -> DataFrame:

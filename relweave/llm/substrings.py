@@ -162,7 +162,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "doc", *_unpack(F.col("run")), (F.col("holder") < F.col("doc")).alias("whole")))
     scratch.drop(runs, holders)
     edges = state.filter("not whole").distinct()
-    bits = bits_for(edges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 8, MOST_BITS >> 1)
+    bits = bits_for(edges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 4, MOST_BITS >> 1)
     edges = edges.groupBy(F.col("doc").alias("doc_id"), "v").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
     keyed = docs.withColumn("v", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFF)))
     asked = keyed.join(edges, ["doc_id", "v"]).select("doc_id", "v", "text", "s", "n")
