@@ -103,13 +103,12 @@ def array_explode_cols(t: Tables):
 
 @query(
     "flatten_feature_frame",
-    """SELECT vec_id, label AS "label_class", embedding[1] AS e_0, embedding[2] AS e_1, embedding[3] AS e_2, embedding[4] AS e_3
-       FROM embeddings""",
+    f"""SELECT vec_id, label AS "label_class", {', '.join(f'embedding[{i + 1}] AS e_{i}' for i in range(64))} FROM embeddings""",
 )
 def flatten_feature_frame(t: Tables):
-    e = t.embeddings.select("vec_id", F.col("label").alias("label(class)"), F.slice("embedding", 1, 4).alias("e"),
+    e = t.embeddings.select("vec_id", F.col("label").alias("label(class)"), F.col("embedding").alias("e"),
                             F.lit("note").alias("note"))
-    return X.flatten_features(e, keys=["vec_id"], categories=["label(class)"], vectors={"e": 4})
+    return X.flatten_features(e, keys=["vec_id"], categories=["label(class)"], vectors={"e": 64})
 
 
 @query(

@@ -296,9 +296,8 @@ def seeded_eval_sample(t: Tables):
     "stratified_split",
     f"""WITH r AS (SELECT o_orderkey, o_orderstatus, {h("'f'", 'o_orderkey')} AS h, count(*) OVER (PARTITION BY o_orderstatus) AS n,
                      row_number() OVER (PARTITION BY o_orderstatus ORDER BY {h("'f'", 'o_orderkey')}, o_orderkey) AS rn FROM orders),
-        s AS (SELECT *, CASE WHEN rn <= round(n * 0.3) THEN 'test' ELSE 'train' END AS split FROM r),
-        c AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h, o_orderkey) AS k FROM s)
-        SELECT o_orderkey, o_orderstatus, split FROM c WHERE k <= 1000""",
+        s AS (SELECT *, CASE WHEN rn <= round(n * 0.3) THEN 'test' ELSE 'train' END AS split FROM r)
+        SELECT o_orderkey, o_orderstatus, split FROM s""",
 )
 def stratified_split(t: Tables):
     return P.stratified_split(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"], 0.3, "f")
@@ -306,9 +305,9 @@ def stratified_split(t: Tables):
 
 @query(
     "stratified_exact",
-    f"""WITH c AS (SELECT o_orderpriority AS y, count(*) AS n, floor(count(*) * 1024.0 / (SELECT count(*) FROM orders))::BIGINT AS a FROM orders GROUP BY 1),
-        short AS (SELECT 1024 - sum(a) AS k FROM c),
-        q AS (SELECT y, a + (row_number() OVER (ORDER BY n - a DESC, y) <= (SELECT k FROM short))::INT AS quota FROM c),
+    f"""WITH c AS (SELECT o_orderpriority AS y, count(*) AS n, count(*) * 1024.0::DOUBLE / (SELECT count(*) FROM orders) AS raw FROM orders GROUP BY 1),
+        short AS (SELECT 1024 - sum(floor(raw)) AS k FROM c),
+        q AS (SELECT y, floor(raw) + (row_number() OVER (ORDER BY raw - floor(raw) DESC, y) <= (SELECT k FROM short))::INT AS quota FROM c),
         r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {h("'0'", "'0'", 'o_orderkey')}, o_orderkey) AS rn FROM orders)
         SELECT o_orderkey, o_orderpriority, 0 AS set_id FROM r JOIN q ON y = o_orderpriority WHERE rn <= quota""",
 )
@@ -321,8 +320,7 @@ def stratified_exact(t: Tables):
     """SELECT o_orderkey, c AS class, (o_orderstatus = c)::INT AS ovr_label FROM orders, (SELECT DISTINCT o_orderstatus AS c FROM orders)""",
 )
 def ovr_labels(t: Tables):
-    classes = [r[0] for r in t.orders.select("o_orderstatus").distinct().limit(1000).collect()]
-    return P.ovr_labels(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", classes).drop("o_orderstatus")
+    return P.ovr_labels(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus").drop("o_orderstatus")
 
 
 @query(

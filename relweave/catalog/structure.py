@@ -133,10 +133,12 @@ _CURVES = """
     m AS (SELECT 'orders ' || o_orderstatus AS name, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS month FROM orders
           UNION ALL SELECT 'lineitem ' || l_returnflag, (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 FROM lineitem
           UNION ALL SELECT 'events', (year(ts) - 1970) * 12 + month(ts) - 1 FROM events),
-    k AS (SELECT name, month, count(*) AS n FROM m WHERE month BETWEEN 0 AND 611 GROUP BY ALL),
-    s AS (SELECT name, sum(n) AS total FROM k GROUP BY 1 HAVING sum(n) >= 2),
-    c AS (SELECT s.name, i::INTEGER AS month, coalesce(n, 0) / total AS share FROM s CROSS JOIN range(612) r(i)
-          LEFT JOIN k ON k.name = s.name AND k.month = i)
+    k AS (SELECT name, month, count(*) AS n FROM m GROUP BY ALL),
+    x AS (SELECT min(month) AS lo, max(month) AS hi FROM k),
+    s AS (SELECT name, sum(n) AS total FROM k GROUP BY 1
+          HAVING sum(n) >= 2 AND (count(*) < (SELECT hi - lo + 1 FROM x) OR min(n) < max(n))),
+    c AS (SELECT s.name, i::INTEGER AS month, coalesce(n, 0) / total AS share
+          FROM s CROSS JOIN (SELECT unnest(range(lo, hi + 1)) AS i FROM x) r LEFT JOIN k ON k.name = s.name AND k.month = i)
 """
 
 

@@ -154,16 +154,16 @@ _TOK = "unnest(regexp_split_to_array(lower(text), '\\s+'))"
     f"""WITH tok AS (SELECT doc_id, {_TOK} AS w FROM documents),
        voc AS (SELECT w, (min(doc_id) % (SELECT count(*) FROM embeddings)) AS vid FROM tok WHERE w <> '' GROUP BY 1 HAVING count(*) >= 3),
        hit AS (SELECT doc_id, embedding FROM tok JOIN voc USING (w) JOIN embeddings ON vec_id = vid),
-       m AS (SELECT doc_id, avg(embedding[1]::DOUBLE) AS a, avg(embedding[2]::DOUBLE) AS b FROM hit GROUP BY 1)
-       SELECT d.doc_id, round(coalesce(a, 0), 7) AS e0, round(coalesce(b, 0), 7) AS e1 FROM documents d LEFT JOIN m USING (doc_id)""",
+       m AS (SELECT doc_id, {', '.join(f'avg(embedding[{i + 1}]::DOUBLE) AS a{i}' for i in range(64))} FROM hit GROUP BY 1)
+       SELECT d.doc_id, {', '.join(f'round(coalesce(a{i}, 0), 7) AS e{i}' for i in range(64))} FROM documents d LEFT JOIN m USING (doc_id)""",
 )
 def glove_embed(t: Tables):
     words = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''")
     n = t.embeddings.count()
     vocab = words.groupBy("w").agg((F.min("doc_id") % n).alias("vid"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    table = vocab.join(t.embeddings, F.col("vid") == F.col("vec_id")).select("w", F.slice("embedding", 1, 2).alias("v"))
-    out = T.mean_token_embedding(t.documents.select("doc_id", "text"), "doc_id", "text", table, "w", "v", 2)
-    return out.select("doc_id", F.round(F.col("embedding")[0], 7).alias("e0"), F.round(F.col("embedding")[1], 7).alias("e1"))
+    table = vocab.join(t.embeddings, F.col("vid") == F.col("vec_id")).select("w", F.col("embedding").alias("v"))
+    out = T.mean_token_embedding(t.documents.select("doc_id", "text"), "doc_id", "text", table, "w", "v", 64)
+    return out.select("doc_id", *[F.round(F.col("embedding")[i], 7).alias(f"e{i}") for i in range(64)])
 
 
 _TRAIN = "o_orderdate < TIMESTAMP '1999-01-01'"

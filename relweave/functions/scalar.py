@@ -144,3 +144,9 @@ def normal_cdf_inverse(p: Column) -> Column:
     r = q * q
     centre = _horner(_PPF_A, r) * q / (_horner(_PPF_B, r) * r + F.lit(1.0))
     return F.when(p < _PPF_LOW, tail).when(p > 1.0 - _PPF_LOW, -tail).otherwise(centre)
+
+
+def corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs; null if a side is constant."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -32,7 +32,7 @@ def row_fingerprint(
     """SHA-256 of the salted row as a double in [0, 1).
 
     In training mode equal rows get different fingerprints: copy k is hashed with salt + k.
-    Copies are numbered in sixteen parts per value, so a hot row value is not one task.
+    Copies are numbered by ``key``; a hot row value is cut along that order, not one task.
     """
     def fp(extra):
         text = F.concat_ws("|", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in columns],
@@ -42,8 +42,7 @@ def row_fingerprint(
     plain = df.withColumn(out, fp(F.lit(0)))
     if not training:
         return plain
-    part = F.pmod(F.xxhash64(col(key)), F.lit(16))
-    copies = numbered(plain, [key], [out], "__copy", bucket=part)
+    copies = numbered(plain, [key], [out], "__copy")
     return copies.withColumn(out, F.when(F.col("__copy") == 1, col(out)).otherwise(fp(F.col("__copy") - 1))).drop("__copy")
 
 

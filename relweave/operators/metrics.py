@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.plans.ordering import numbered, prefix_sums
 
@@ -58,8 +59,8 @@ def average_precision(df: DataFrame, y: Column, score: str, by: Sequence[str] =
     counts = score_counts(df, y, score, by).withColumn("__d", -F.col("__s"))
     ranked = prefix_sums(counts, "__d", {"__bp": "__pos", "__bn": "__neg"}, by, {"__p": "__pos"})
     upto = F.col("__bp") + F.col("__pos")
-    precision = upto / (upto + F.col("__bn") + F.col("__neg"))
-    step = F.col("__pos") / F.col("__p")
+    precision = F.try_divide(upto, upto + F.col("__bn") + F.col("__neg"))
+    step = F.try_divide(F.col("__pos"), F.col("__p"))
     return ranked.groupBy(*_by(by)).agg(F.when(F.max("__p") > 0, F.sum(precision * step)).alias("ap"))
 
 
@@ -97,14 +98,18 @@ def hinge(df: DataFrame, y: str, scores: dict, by: Sequence[str] = ()) -> DataFr
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """mae, mse, msle, rmse, pearson and r2 in one pass; errors are not negated."""
+    """mae, mse, msle, rmse, pearson and r2 in one pass; errors are not negated.
+
+    msle is null if a value is at or below -1, pearson and r2 are null for a constant side.
+    """
     t, p = col(y).cast("double"), col(pred).cast("double")
     err = p - t
     log_err = F.log1p(p) - F.log1p(t)
+    msle = F.when(F.min(F.least(p, t)) > -1, F.avg(log_err * log_err))
     return df.groupBy(*_by(by)).agg(
-        F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.avg(log_err * log_err).alias("msle"),
-        F.sqrt(F.avg(err * err)).alias("rmse"), F.corr(t, p).alias("pearson"),
-        (1 - F.sum(err * err) / (F.var_pop(t) * F.count(t))).alias("r2"))
+        F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), msle.alias("msle"),
+        F.sqrt(F.avg(err * err)).alias("rmse"), S.corr(t, p).alias("pearson"),
+        (1 - F.try_divide(F.sum(err * err), F.var_pop(t) * F.count(t))).alias("r2"))
 
 
 # ---------------------------------------------------------------- retrieval

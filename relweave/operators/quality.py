@@ -15,6 +15,7 @@ from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.model import FLOAT, RelationalDataset
 from relweave.operators import metrics as M
+from relweave.operators.compare import POISSON_TOP
 from relweave.operators.joins import shortest_path, walk_keys
 from relweave.operators.structure import LABEL_AGGREGATES, effective_rank
 from relweave.plans.ordering import numbered_by_hash, prefix_sums
@@ -191,9 +192,9 @@ def bootstrap_auc(oof: DataFrame, key: Sequence[str], draws: int = 100, seed: in
     """
     draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
     u = S.stable_uniform(seed, *key, "draw")
-    weight, acc, p = F.lit(8), 0.0, float(np.exp(-1.0))
+    weight, acc, p = F.lit(POISSON_TOP), 0.0, float(np.exp(-1.0))
     cuts = []
-    for k in range(8):
+    for k in range(POISSON_TOP):
         acc += p
         cuts.append((acc, k))
         p /= k + 1

@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window, Column, DataFrame, functions as F
 
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
@@ -120,12 +120,10 @@ def tail_temporal(df: DataFrame, ts: str, n: int) -> DataFrame:
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: Sequence[str], test: float = 0.3, seed: int | str = 0, cap: int | None = 1000,
+    df: DataFrame, label: str, key: Sequence[str], test: float = 0.3, seed: int | str = 0, cap: int | None = None,
     out: str = "split",
 ) -> DataFrame:
-    """Per label: round(test * n) test rows in hash order; each side then keeps ``cap`` rows by hash.
-
-    The cap is the operator's sampling feature; None keeps every row.
+    """Per label: round(test * n) test rows in hash order; with a ``cap`` each side keeps so many by hash.
     """
     hashed = df.withColumn("__h", S.stable_hash(seed, *key))
     ranked = numbered_by_hash(hashed, "__h", key, [label], "__rn", "__n")
@@ -135,49 +133,57 @@ def stratified_split(
     return cut.drop("__h", "__rn", "__n")
 
 
-def stratified_allocation(counts: dict, size: int) -> dict:
-    """Rows per class: proportional, at least one, repaired to the exact total."""
-    total = sum(counts.values())
-    alloc = {c: min(n, max(1, math.floor(n * size / total))) for c, n in counts.items()}
-    names = sorted(counts, key=str)
-    while sum(alloc.values()) > size and any(a > 1 for a in alloc.values()):
-        alloc[max(names, key=lambda c: alloc[c] if alloc[c] > 1 else -1)] -= 1
-    while sum(alloc.values()) < size and any(alloc[c] < counts[c] for c in names):
-        alloc[max(names, key=lambda c: counts[c] - alloc[c])] += 1
-    return alloc
+def class_quotas(classes: DataFrame, size: int) -> DataFrame:
+    """``(__label, __quota)`` for ``classes (__label, n)``: ``size`` rows in class proportion.
+
+    Every class gets the whole part of its share, and at least one row. Rows still missing go
+    to the largest remainders; rows too many (from small classes) are taken from the others in
+    proportion to what they have above one, again by largest remainder. Ties go to the lower
+    label. With more classes than ``size`` every class gets one.
+    """
+    every = Window.partitionBy(F.lit(1))  # one row per class
+    share = F.col("n") * F.lit(float(size)) / F.sum("n").over(every)
+    base = classes.select("*", share.alias("share")).withColumn("base", F.greatest(F.lit(1), F.floor("share")).cast("long"))
+    base = base.select("*", (F.lit(size) - F.sum("base").over(every)).alias("diff"), F.sum(F.col("base") - 1).over(every).alias("spare"))
+    more = F.row_number().over(Window.orderBy(F.desc(F.col("share") - F.col("base")), "__label")) <= F.col("diff")
+    less = F.least(-F.col("diff"), F.col("spare")) * F.try_divide(F.col("base") - 1, F.col("spare"))
+    base = base.select("*", more.cast("long").alias("more"), F.coalesce(less, F.lit(0.0)).alias("less"))
+    left = F.least(-F.col("diff"), F.col("spare")) - F.sum(F.floor("less")).over(every)
+    cut = F.row_number().over(Window.orderBy(F.desc(F.col("less") - F.floor("less")), "__label")) <= left
+    quota = F.when(F.col("diff") >= 0, F.col("base") + F.col("more")).otherwise(F.col("base") - F.floor("less") - cut.cast("long"))
+    return base.select("__label", quota.cast("long").alias("__quota"))
 
 
 def stratified_exact(
-    df: DataFrame, label: str, key: Sequence[str], size: int = 1024, ensemble_below: int = 10_000, seed: int = 0
+    df: DataFrame, label: str, key: Sequence[str], size: int = 1024, sets: int = 1, seed: int = 0
 ) -> DataFrame:
-    """Sample sets of exactly ``size`` rows in class proportion, with a ``set_id``.
+    """``sets`` samples of exactly ``size`` rows in class proportion, with a ``set_id``.
 
-    ceil(n / size) sets below ``ensemble_below`` rows, else one; few classes are assumed and
-    their counts are the only thing on the driver.
+    A table of at most ``size`` rows is its only sample.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(col(label)).count().limit(100_001).collect()}
-    if len(counts) > 100_000:
-        raise ValueError("not a classification label")
-    n = sum(counts.values())
-    if n <= size:
+    classes = df.groupBy(col(label).alias("__label")).agg(F.count(F.lit(1)).alias("n"))
+    if (classes.agg(F.sum("n")).first()[0] or 0) <= size:
         return df.withColumn("set_id", F.lit(0))
-    sets = math.ceil(n / size) if n < ensemble_below else 1
-    alloc = stratified_allocation(counts, size)
-    quota = df.sparkSession.createDataFrame(
-        [(i, c, a) for i in range(sets) for c, a in alloc.items()],
-        f"set_id int, __label {df.schema[label].dataType.simpleString()}, __quota int")
+    quota = class_quotas(classes, size).withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     # each row meets its class quota once per set, then competes by hash inside the class
-    rows = df.join(F.broadcast(quota), col(label).eqNullSafe(F.col("__label")))
+    rows = df.join(quota, col(label).eqNullSafe(F.col("__label")))
     hashed = rows.withColumn("__h", S.stable_hash(seed, "set_id", *key))
     ranked = numbered_by_hash(hashed, "__h", key, ["set_id", label], "__rn")
     return ranked.filter("__rn <= __quota").drop("__h", "__rn", "__quota", "__label")
 
 
-def ovr_labels(df: DataFrame, label: str, classes: Sequence) -> DataFrame:
-    """One row per (row, class) with a 0/1 label."""
+def ovr_labels(df: DataFrame, label: str, classes: Sequence | None = None) -> DataFrame:
+    """One row per (row, class) with a 0/1 label, over the given classes or all in the table.
+
+    The result holds every class for every row; the class table is one row, whatever it lists.
+    """
     kind = df.schema[label].dataType
-    each = F.explode(F.array(*[F.lit(c).cast(kind) for c in classes])).alias("class")
-    return df.select("*", each).withColumn("ovr_label", (col(label) == F.col("class")).cast("int"))
+    if classes is None:
+        known = df.select(col(label).alias("__c")).filter("__c is not null").distinct().agg(F.sort_array(F.collect_list("__c")).alias("__classes"))
+    else:
+        known = df.sparkSession.range(1).select(F.array(*[F.lit(c).cast(kind) for c in classes]).alias("__classes"))
+    each = df.crossJoin(known).select(*[col(c) for c in df.columns], F.explode("__classes").alias("class"))
+    return each.withColumn("ovr_label", (col(label) == F.col("class")).cast("int"))
 
 
 # ---------------------------------------------------------------- samples

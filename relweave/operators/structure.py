@@ -15,7 +15,6 @@ from relweave.functions.scalar import col
 from relweave.operators.predicates import predicate
 from relweave.plans.quantiles import column_quantiles, exact_quantile_values, exact_quantiles
 
-MONTHS = 612  # 1970 to 2020 (fixed value)
 NULL_RATE_EDGES = (0.0, 0.01, 0.05, 0.10, 0.15, 0.20, 0.30, 0.50, 1.0)
 
 LABEL_AGGREGATES = {
@@ -134,14 +133,21 @@ def multi_parent_nmi(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def monthly_activity(events: DataFrame, name: str, ts: str) -> DataFrame:
-    """(name, month, share) over the fixed month axis; names with < 2 rows or a flat curve drop out."""
+    """(name, month, share) over the months from the first to the last of all events.
+
+    Months count from January 1970. Names with < 2 rows or a flat curve drop out.
+    """
     month = (F.year(col(ts)) - 1970) * 12 + F.month(col(ts)) - 1
     counts = events.filter(col(ts).isNotNull()).groupBy(col(name).alias("name"), month.alias("month")).agg(
-        F.count(F.lit(1)).alias("n")).filter((F.col("month") >= 0) & (F.col("month") < MONTHS))
+        F.count(F.lit(1)).alias("n"))
+    first, last = counts.agg(F.min("month"), F.max("month")).first()
+    if first is None:
+        first, last = 0, 0
+    months = last - first + 1
     totals = counts.groupBy("name").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")
-    ).filter((F.col("total") >= 2) & ((F.col("k") < MONTHS) | (F.col("lo") < F.col("hi"))))
-    axis = totals.select("name", "total", F.explode(F.sequence(F.lit(0), F.lit(MONTHS - 1))).alias("month"))
+    ).filter((F.col("total") >= 2) & ((F.col("k") < months) | (F.col("lo") < F.col("hi"))))
+    axis = totals.select("name", "total", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("month"))
     return axis.join(counts, ["name", "month"], "left").select(
         "name", "month", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
 
@@ -154,7 +160,7 @@ def calendar_synchrony(curves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keys = [col(c) for c in by]
     left = curves.select(*keys, F.col("name").alias("a"), "month", F.col("share").alias("x"))
     right = curves.select(*keys, F.col("name").alias("b"), "month", F.col("share").alias("y"))
-    return left.join(right, [*by, "month"]).filter("a < b").groupBy(*keys, "a", "b").agg(F.corr("x", "y").alias("r"))
+    return left.join(right, [*by, "month"]).filter("a < b").groupBy(*keys, "a", "b").agg(S.corr(F.col("x"), F.col("y")).alias("r"))
 
 
 # ---------------------------------------------------------------- correlations
@@ -166,7 +172,7 @@ def pairwise_corr(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
         return F.coalesce(S.finite(col(c)), F.lit(0.0)) if clean else col(c)
 
     pairs = list(itertools.combinations(columns, 2))
-    row = df.groupBy(*[col(c) for c in by]).agg(*[F.corr(x(a), x(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.groupBy(*[col(c) for c in by]).agg(*[S.corr(x(a), x(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     items = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(f"r{i}"), F.col(f"r{i}")).alias("r"))
         for i, (a, b) in enumerate(pairs)
@@ -174,17 +180,17 @@ def pairwise_corr(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     return row.select(*[col(c) for c in by], F.inline(items))
 
 
-def feature_variance_corr(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), max_columns: int = 50) -> DataFrame:
+def feature_variance_corr(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Median and mean of the sample variances and of the absolute pairwise correlations.
 
-    Non-finite values count as zero for the correlations, over at most 50 columns.
+    Non-finite values count as zero for the correlations.
     """
     keys = [col(c) for c in by]
     var = df.groupBy(*keys).agg(*[F.var_samp(S.finite(col(c))).alias(f"v{i}") for i, c in enumerate(columns)])
     items = F.array(*[F.col(f"v{i}") for i in range(len(columns))])
     long = var.select(*keys, F.explode(items).alias("v")).filter("v is not null and not isnan(v)")
     vs = long.groupBy(*keys).agg(F.median("v").alias("feature_var_p50"), F.avg("v").alias("feature_var_mean"))
-    pairs = pairwise_corr(df, list(columns)[:max_columns], by).filter("r is not null")
+    pairs = pairwise_corr(df, list(columns), by).filter("r is not null")
     rs = pairs.groupBy(*keys).agg(F.median(F.abs("r")).alias("avg_abs_corr_p50"), F.avg(F.abs("r")).alias("avg_abs_corr_mean"))
     joined = vs.join(rs, list(by), "left") if by else vs.join(rs)
     return joined.withColumn("n_features", F.lit(len(columns)))
@@ -211,7 +217,7 @@ def group_abs_corr(pairs: DataFrame, groups: DataFrame, by: Sequence[str] = ())
 def feature_label_corr(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
     """Long (by..., feature, abs_corr) of |Pearson(feature, label)|; constant sides drop out."""
     row = df.groupBy(*[col(c) for c in by]).agg(*[
-        F.abs(F.corr(col(f).cast("double"), col(label).cast("double"))).alias(f"c{i}") for i, f in enumerate(features)])
+        F.abs(S.corr(col(f).cast("double"), col(label).cast("double"))).alias(f"c{i}") for i, f in enumerate(features)])
     items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("abs_corr")) for i, f in enumerate(features)])
     return row.select(*[col(c) for c in by], F.inline(items)).filter("abs_corr is not null and not isnan(abs_corr)")
 

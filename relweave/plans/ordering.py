@@ -85,7 +85,9 @@ def order_bucket(df: DataFrame, order: Sequence[str], buckets: int, by: Sequence
         return parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
     cuts = [key([F.lit(v).cast(t) for v, t in zip(c, types_)]) for c in row_bounds(df, order, buckets, by)]
-    return bisect(key([col(c) for c in order]), cuts)
+    found = bisect(key([col(c) for c in order]), cuts)
+    # a null compares with nothing, but sorts first; inside a struct it already does
+    return F.when(col(order[0]).isNull(), 0).otherwise(found) if len(order) == 1 else found
 
 
 def _match(by: Sequence[str], prefix: str = "__k") -> list[Column]:

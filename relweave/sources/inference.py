@@ -34,36 +34,37 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def infer_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column, role, parent) for primary keys, foreign keys and time columns.
 
-    A primary key matches the table name, or is an ``*id`` column with one row per value; a
-    foreign key is named like another table's primary key.
+    A primary key is the first column named ``id`` or after its table (with or without the
+    plural's s, with or without an underscore before ``id``), or else the first ``*id`` column
+    with one row per value. A foreign key is named like another table's primary key, the first
+    such table in the given order. All rules run over one catalogue of the tables' columns.
     """
     spark = next(iter(tables.values())).sparkSession
-    pk: dict[str, str | None] = {}
-    for name, df in tables.items():
-        single = name.rstrip("s")
-        wanted = (f"{name}id", f"{single}id", f"{name}_id", f"{single}_id", "id")
-        named = [c for c in df.columns if c.lower() in wanted]
-        if not named:
-            ids = [c for c in df.columns if c.lower().endswith("id")]
-            if ids:
-                rows = df.count()
-                unique = {r["column"] for r in distinct_counts(df, ids).collect() if r["distinct"] == rows}
-                named = [c for c in ids if c in unique]
-        pk[name] = named[0] if named else None
-    found = []
-    for name, df in tables.items():
-        if pk[name]:
-            found.append((name, pk[name], "primary_key", None))
-        for c in df.columns:
-            if c == pk[name]:
-                continue
-            other = next((o for o in tables if o != name and pk[o] and c.lower() == pk[o].lower()), None)
-            if other:
-                found.append((name, c, "foreign_key", f"{other}.{pk[other]}"))
-        times = [c for c in df.columns if c.lower() in TIME_NAMES]
-        if times:
-            found.append((name, times[0], "time", None))
-    return spark.createDataFrame(found, "table_name string, column string, role string, parent string")
+    names = [(t, i, c, j) for i, (t, df) in enumerate(tables.items()) for j, c in enumerate(df.columns)]
+    columns = spark.createDataFrame(names, "table_name string, t int, column string, c int").withColumn("low", F.lower("column"))
+    stem = F.regexp_replace("table_name", "s+$", "")
+    short = F.regexp_replace("low", "_?id$", "")
+    called = F.col("low").endswith("id") & ((F.col("low") == "id") | (~F.col("low").isin("_id") & ((short == F.col("table_name")) | (short == stem))))
+    marked = columns.withColumn("named", called)
+    plain = [r[0] for r in marked.groupBy("table_name").agg(F.bool_or("named").alias("has")).filter("not has").select("table_name").collect()]
+    unique = []
+    for name in plain:  # one scan for each table without a key by name
+        ids = [c for c in tables[name].columns if c.lower().endswith("id")]
+        if ids:
+            rows = tables[name].count()
+            unique += [(name, r["column"]) for r in distinct_counts(tables[name], ids).filter(F.col("distinct") == rows).collect()]
+    by_value = spark.createDataFrame(unique, "table_name string, column string").withColumn("single", F.lit(True))
+    keyed = marked.join(by_value, ["table_name", "column"], "left").filter("named or single")
+    pk = keyed.groupBy("table_name", "t").agg(F.min_by("column", "c").alias("column"))
+    primary = pk.select("table_name", "column", F.lit("primary_key").alias("role"), F.lit(None).cast("string").alias("parent"))
+    others = columns.join(pk.select("table_name", "column"), ["table_name", "column"], "left_anti")
+    target = pk.select(F.col("table_name").alias("p_name"), F.col("t").alias("p_t"), F.col("column").alias("p_column"), F.lower("column").alias("low"))
+    foreign = others.join(target, "low").filter("p_name <> table_name").groupBy("table_name", "column").agg(
+        F.min_by(F.concat_ws(".", "p_name", "p_column"), "p_t").alias("parent"))
+    foreign = foreign.select("table_name", "column", F.lit("foreign_key").alias("role"), "parent")
+    times = columns.filter(F.col("low").isin(list(TIME_NAMES))).groupBy("table_name").agg(F.min_by("column", "c").alias("column"))
+    times = times.select("table_name", "column", F.lit("time").alias("role"), F.lit(None).cast("string").alias("parent"))
+    return primary.unionByName(foreign).unionByName(times)
 
 
 def infer_dtypes(df: DataFrame) -> DataFrame:
@@ -105,7 +106,10 @@ def infer_dtypes(df: DataFrame) -> DataFrame:
             .when(F.col("n") < STRING_CATEGORY_BELOW, "category")
             .otherwise("text")
         )
-        got = stats.select("column", dtype.alias("dtype"))
+        names = spark.createDataFrame([(c, c in strings) for c in scanned], "column string, is_text boolean")
+        # a column of nulls has no values: text is a category, a number stays a number
+        empty = F.when(F.col("is_text"), "category").otherwise("float")
+        got = names.join(stats.drop("is_text"), "column", "left").select("column", F.when(F.col("n").isNull(), empty).otherwise(dtype).alias("dtype"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -118,16 +122,19 @@ def table_archetype(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("db", "table_name").agg(kind.alias("archetype"))
 
 
-def schema_topology(tables: DataFrame, edges: DataFrame, max_tables: int = 64) -> DataFrame:
+def schema_topology(tables: DataFrame, edges: DataFrame) -> DataFrame:
     """Tables, unique parent edges and longest key path per database; a cycle is an error.
 
     ``tables`` (db, table_name), ``edges`` (db, child, parent).  Level k holds the tables ending
-    a path of length k, so the loop runs once per level for all databases together.
+    a path of length k, so the loop runs once per level for all databases together; a path longer than the largest
+    database has tables must come back to one of them.
     """
     e = edges.select("db", "child", "parent").distinct()
+    nodes = e.select("db", F.col("child").alias("node")).unionByName(e.select("db", F.col("parent").alias("node"))).distinct()
+    most = nodes.groupBy("db").count().agg(F.max("count")).first()[0] or 0
     level = e.select("db", F.col("child").alias("node"), F.lit(1).alias("depth")).distinct()
     levels = [level]
-    for depth in range(2, max_tables + 1):
+    for depth in range(2, max(most, 2) + 1):
         level = materialize(
             level.join(e, (level["node"] == e["parent"]) & (level["db"] == e["db"]))
             .select(level["db"], F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
@@ -136,7 +143,7 @@ def schema_topology(tables: DataFrame, edges: DataFrame, max_tables: int = 64) -
             break
         levels.append(level)
     else:
-        raise ValueError("Schema metadata contains a cycle")
+        raise ValueError("the keys of a database lead back to one of its tables")
     deep = levels[0]
     for more in levels[1:]:
         deep = deep.unionByName(more)

@@ -27,11 +27,9 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def target_column(columns: Sequence[str]) -> str:
     """The first known target name (any case), else the last column."""
-    lookup = {c.lower(): c for c in columns}
-    for name in TARGET_NAMES:
-        if name in lookup:
-            return lookup[name]
-    return columns[-1]
+    place = {name: i for i, name in enumerate(TARGET_NAMES)}
+    best = min(columns, key=lambda c: place.get(c.lower(), len(place)))
+    return best if best.lower() in place else columns[-1]
 
 
 def scan_csv_flat(spark: SparkSession, path: str, schema=None, target: str | None = None) -> tuple[DataFrame, str]:

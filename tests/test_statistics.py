@@ -126,16 +126,18 @@ def test_aligned_sample_keeps_rows_together(spark):
     assert {r["x"] for r in plain} == {r["x"] for r in rows}
 
 
-def test_stratified_allocation_is_exact():
-    for counts in ({"a": 5000, "b": 3, "c": 1}, {"a": 10, "b": 10}, {"a": 700, "b": 400, "c": 50}):
+def test_class_quotas_are_exact(spark):
+    many = {f"s{i}": 1 for i in range(300)} | {"big": 1000, "mid": 200}
+    for counts in ({"a": 5000, "b": 3, "c": 1}, {"a": 10, "b": 10}, {"a": 700, "b": 400, "c": 50}, many):
         size = min(1024, sum(counts.values()) - 1)
-        got = P.stratified_allocation(counts, size)
+        rows = P.class_quotas(spark.createDataFrame(list(counts.items()), "__label string, n long"), size).collect()
+        got = {r["__label"]: r["__quota"] for r in rows}
         assert sum(got.values()) == size and all(1 <= got[c] <= counts[c] for c in counts)
 
 
 def test_stratified_sets(spark):
     df = spark.range(2500).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("y"))
-    sets = P.stratified_exact(df, "y", ["k"], 1024).groupBy("set_id").count().collect()
+    sets = P.stratified_exact(df, "y", ["k"], 1024, 3).groupBy("set_id").count().collect()
     assert {r["set_id"] for r in sets} == {0, 1, 2} and all(r["count"] == 1024 for r in sets)
 
 
@@ -302,3 +304,74 @@ def test_many_buckets(spark, monkeypatch):
     assert texts == sorted(texts)
     pairs = O.numbered(df.select((F.col("v") % 3).alias("a"), "s"), ["a", "s"]).orderBy("rn").collect()
     assert [(r["a"], r["s"]) for r in pairs] == sorted((r["a"], r["s"]) for r in pairs)
+
+
+def test_constant_sides_give_null(spark):
+    from relweave.operators import metrics as M, structure as A
+
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, 4.5), (3.0, 5.0, 6.0)], "a double, b double, c double")
+    r = {(x["a"], x["b"]): x["r"] for x in A.pairwise_corr(df, ["a", "b", "c"]).collect()}
+    assert r[("a", "b")] is None and r[("b", "c")] is None and 0.9 < r[("a", "c")] <= 1
+    assert [x["feature"] for x in A.feature_label_corr(df, ["a", "b"], "c").collect()] == ["a"]
+    row = M.regression_metrics(df, "b", "a").first()
+    assert row["pearson"] is None and row["r2"] is None and row["mae"] == 3
+    row = M.regression_metrics(df.withColumn("a", -F.col("a")), "c", "a").first()
+    assert row["msle"] is None
+
+
+def test_average_precision_without_positives(spark):
+    from relweave.operators import metrics as M
+
+    df = spark.createDataFrame([(0, 0.1), (0, 0.2)], "y int, s double")
+    assert M.average_precision(df, F.col("y") == 1, "s").first()["ap"] is None
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 100])
+def test_nulls_come_first_in_an_order(spark, monkeypatch, hot):
+    from relweave.plans import ordering
+
+    monkeypatch.setattr(ordering, "HOT_GROUP_ROWS", hot)
+    df = spark.range(900).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("g")).unionByName(
+        spark.createDataFrame([(None, 1), (float("nan"), 1)], "x double, g int"))
+    got = {r["x"]: r["rn"] for r in ordering.numbered(df, ["x"], ["g"]).collect() if r["x"] is None or r["x"] == r["x"]}
+    assert got[None] == 1 and got[0.0] == 2 and got[899.0] == 901
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 20])
+def test_fingerprints_do_not_depend_on_the_group_size(spark, monkeypatch, hot):
+    from relweave.operators import features as X
+    from relweave.plans import ordering
+
+    monkeypatch.setattr(ordering, "HOT_GROUP_ROWS", hot)
+    df = spark.range(200).select("id", F.lit("same").alias("v"))
+    got = sorted((r["id"], r["fingerprint"]) for r in X.row_fingerprint(df, ["v"], "id").collect())
+    assert len({f for _, f in got}) == 200
+    expected = getattr(test_fingerprints_do_not_depend_on_the_group_size, "seen", got)
+    test_fingerprints_do_not_depend_on_the_group_size.seen = got
+    assert got == expected
+
+
+def test_key_chains_of_any_length_and_cycles(spark):
+    from relweave.sources import inference as I
+
+    chain = [("d", f"t{i}", f"t{i + 1}") for i in range(5)]
+    tables = spark.createDataFrame([("d", f"t{i}") for i in range(6)], "db string, table_name string")
+    assert I.schema_topology(tables, spark.createDataFrame(chain, "db string, child string, parent string")).first()["depth"] == 5
+    with pytest.raises(ValueError):
+        I.schema_topology(tables, spark.createDataFrame(chain + [("d", "t5", "t0")], "db string, child string, parent string"))
+
+
+def test_columns_of_nulls_keep_a_row(spark):
+    from relweave.sources import inference as I
+
+    df = spark.createDataFrame([(1, None), (2, None)], "a int, b string")
+    assert {r["column"] for r in I.infer_dtypes(df).collect()} == {"a", "b"}
+
+
+def test_pivot_names_must_be_complete(spark):
+    from relweave.operators import compare as C
+
+    rows = spark.createDataFrame([("m", "d", f"t{i}", 0, 0.5) for i in range(3)], "model string, dataset string, task string, seed int, metric_value double")
+    assert len(C.results_pivot(rows).columns) == 5
+    with pytest.raises(ValueError):
+        C.results_pivot(rows, names=["d/t0"])
