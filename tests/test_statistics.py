@@ -94,13 +94,42 @@ def test_quantiles_against_numpy(spark):
             assert N.reference_grid(df, "x", 11) == pytest.approx(list(np.quantile(x, np.linspace(0, 1, points))))
 
 
-def test_large_quantile_bracket(spark, monkeypatch):
-    monkeypatch.setattr(N, "ACCURACY", 1000)
-    monkeypatch.setattr(N, "MARGIN", 0.003)
+def test_large_quantile_bracket(spark):
     df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("x"))
     assert N.exact_quantile_values(df, "x", [0.1, 0.5, 0.999]) == pytest.approx([4999.9, 24999.5, 49949.001])
 
 
+@pytest.mark.parametrize("values", [
+    1e9 + np.random.default_rng(3).random(700),
+    np.random.default_rng(4).integers(-3, 4, 700).astype(float),
+    np.array([0.0, 1e-300, -1e-300, 1e307, -1e307, 7.0]),
+])
+def test_quantiles_of_close_tied_and_extreme_values(spark, values):
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    probs = [0.0, 0.3, 0.5, 0.999]
+    assert N.exact_quantile_values(df, "x", probs) == pytest.approx(list(np.quantile(values, probs)), rel=1e-12, abs=0)
+    grid = np.interp(np.linspace(0, len(values) - 1, min(50, len(values))), np.arange(len(values)), np.sort(values))
+    assert N.reference_grid(df, "x", 50) == pytest.approx(list(grid), rel=1e-12, abs=0)
+
+
+def test_quantiles_per_group_do_not_depend_on_the_hot_size(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=603)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * 500 + ["b"] * 3 + [None] * 100, "x": x}))
+    want = {"a": x[:500], "b": x[500:503], None: x[503:]}
+
+    def found():
+        return {r["g"]: r["m"] for r in N.exact_quantiles(df, "x", {"m": 0.37}, ["g"]).collect()}
+
+    cold = found()
+    monkeypatch.setattr(O, "HOT_GROUP_ROWS", 1)
+    assert cold == found() == pytest.approx({g: np.quantile(v, 0.37) for g, v in want.items()}, rel=1e-12)
+
+
+def test_grid_is_exact_on_many_rows(spark):
+    df = spark.range(700_000).select((F.col("id") * 7919 % 700_000).cast("double").alias("x"))
+    assert N.reference_grid(df, "x", 1000) == pytest.approx(list(np.linspace(0, 699_999, 1000)), rel=1e-12)
+
+
 def test_exact_splits(spark):
     df = spark.range(1003).withColumnRenamed("id", "k")
     for make in (lambda d: P.ratio_split(d, ["k"], 0.8, 0.1), lambda d: P.shuffled_split(d, ["k"], 0.8, 0.1, "s")):
