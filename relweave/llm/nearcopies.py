@@ -205,6 +205,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = scratch.save(worded.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     same = worded.join(nodes.select("one", "two", "node"), ["one", "two"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     links = [scratch.save(same)]
+    scratch.drop(signed)
     members = nodes.select("node", F.explode("bands").alias("key"))
     # totals are written before they are joined to their rows, so that a hot key can be split
     full = scratch.save(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
@@ -213,6 +214,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = known.join(wanted, known.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = scratch.save(texts.dropDuplicates())
     prints = scratch.save(nodes.join(wanted, "node").select("node", "bands", "sig"))
+    scratch.drop(nodes, full)
     comps = components(_union(links), scratch)
     tested = None
     for turn in range(ROUNDS):
@@ -234,6 +236,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             break
         links.append(new)
         comps = components(_union(links), scratch)
+    scratch.drop(members, texts, prints, apart)
     return docs.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
 
