@@ -124,7 +124,8 @@ def candidate_ranks(df: DataFrame, query: str, score: str, candidate: str, out:
 def retrieval_metrics(ranked: DataFrame, query: str, relevant: Column, k: int | None = None, rank: str = "rank") -> DataFrame:
     """hr, mrr and ndcg per query, then averaged; queries without a relevant candidate score 0.
 
-    The ideal gain of a query needs only its number of relevant candidates.
+    The ideal gain of a query needs only its number of relevant candidates: one running sum of
+    the discount, up to the largest such number, serves all queries.
     """
     r = col(rank)
     seen = relevant & (r <= k) if k else relevant
@@ -134,11 +135,10 @@ def retrieval_metrics(ranked: DataFrame, query: str, relevant: Column, k: int |
         F.coalesce(1.0 / F.min(F.when(relevant, r)), F.lit(0.0)).alias("mrr"),
         F.sum(F.when(seen, gain).otherwise(0.0)).alias("dcg"),
         F.sum(relevant.cast("long")).alias("n_rel"))
-    # ideal gain per number of relevant candidates: prefix sums of the discount, one per distinct count
     top = F.least(F.col("n_rel"), F.lit(k)) if k else F.col("n_rel")
-    sizes = per.select(top.alias("m")).distinct().filter("m > 0")
-    ideal = sizes.select("m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("i")).groupBy("m").agg(
-        F.sum(1.0 / F.log2(F.col("i") + 1)).alias("idcg"))
+    (most,) = per.agg(F.max(top)).first()
+    places = ranked.sparkSession.range(1, (most or 0) + 1).withColumnRenamed("id", "m").withColumn("own", 1.0 / F.log2(F.col("m") + 1))
+    ideal = prefix_sums(places, "m", {"before": "own"}).select("m", (F.col("before") + F.col("own")).alias("idcg"))
     joined = per.withColumn("m", top).join(ideal, "m", "left")
     return joined.agg(
         F.count(F.lit(1)).alias("n_queries"), F.avg(F.col("hr").cast("double")).alias("hr"), F.avg("mrr").alias("mrr"),

@@ -401,7 +401,7 @@ def flat_pipeline(df: DataFrame, columns: Sequence[str], method: str = "power",
     elif method == "robust":
         x = robust_scale(x, columns)
     elif method != "none":
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"no such way to normalise: {method!r}")
     x = x.persist(StorageLevel.DISK_ONLY)
     return clip_outliers(x, outlier_bounds(x, columns, threshold))
 
@@ -608,7 +608,7 @@ def encode_categorical(df: DataFrame, columns: Sequence[str], strategy: str = "o
             shown = values[1:] if len(values) == 2 else values
             made |= {f"{c}_{v}": (col(c).eqNullSafe(F.lit(v))).cast("int") for v in shown}
         return out.withColumns(made).drop(*columns)
-    raise ValueError(f"Unknown categorical transform {strategy}")
+    raise ValueError(f"no such encoding of categories: {strategy!r}")
 
 
 def binarize_labels(df: DataFrame, label: str, out: str, key: Sequence[str], split: str = "split", seed: int = 0) -> DataFrame:

@@ -392,7 +392,7 @@ def synthesize(
         raise ValueError(f"no such features at this depth: {sorted(missing)}")
     root = prune(root, wanted)
     if not root.features():
-        raise RuntimeError("No feature to compute, try to increase the depth.")
+        raise RuntimeError("the target table has no features within this depth")
 
     uniform = latest = None
     if cutoff:

@@ -63,14 +63,16 @@ def hash_bucket(h: str | Column, buckets: int) -> Column:
 def row_bounds(df: DataFrame, order: Sequence[str], buckets: int, by: Sequence[str] = ()) -> list:
     """At most ``buckets - 1`` cut points of the whole order key (a bounded driver list).
 
-    The cuts come from the rows with the lowest key hash, so larger groups get more of them.
+    The cuts come from the rows with a key hash below the share of rows wanted, so larger groups
+    get more of them and only about the wanted number of rows leaves its task.
     Ties on the first column are cut further by the next ones, and the cuts only balance the
     buckets: positions stay exact whatever they are.
     """
     names = [f"k{i}" for i in range(len(order))]
     keys = [col(c).alias(n) for c, n in zip(order, names)]
-    h = F.xxhash64(*[col(c) for c in (*by, *order)]).alias("h")
-    rows = df.select(*keys, h).orderBy("h", *names).limit(SAMPLES_PER_BUCKET * buckets).drop("h")
+    h = F.pmod(F.xxhash64(*[col(c) for c in (*by, *order)]), F.lit(1 << 40))
+    share = min(1.0, SAMPLES_PER_BUCKET * buckets / max(1, df.count()))
+    rows = df.filter(h < F.lit(int(share * (1 << 40)))).select(*keys).distinct()
     found = [tuple(r) for r in rows.orderBy(*names).collect()]
     step = max(1, len(found) // buckets)
     cuts = list(dict.fromkeys(found[step::step]))
@@ -223,9 +225,14 @@ def numbered_by_hash(
 
 
 def top_per_group(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rn", salts: int = 16
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rn", salts: int | None = None
 ) -> DataFrame:
-    """First ``k`` rows per group in two steps, so a hot group is cut in parallel first."""
+    """First ``k`` rows per group in two steps, so a hot group is cut in parallel first.
+
+    A group is dealt over ``salts`` parts, by default as many as a shuffle has partitions; the
+    second step meets at most ``k`` rows of each part.
+    """
+    salts = salts or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plain = [c for c, t in df.dtypes if not c.startswith("__") and not t.startswith("map")]
     salt = F.pmod(F.xxhash64(*[col(c) for c in plain]), F.lit(salts))
     local = Window.partitionBy(*[col(c) for c in by], F.col("__salt")).orderBy(*order)

@@ -210,6 +210,6 @@ def evaluation_manifest(
     if expected is not None:
         found = out.count()
         if found != expected:
-            raise RuntimeError(f"Expected {expected} classification tasks, found {found}")
+            raise RuntimeError(f"{found} classification tasks where {expected} were announced")
     return out
 
