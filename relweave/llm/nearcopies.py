@@ -215,7 +215,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = scratch.save(texts.dropDuplicates())
     prints = scratch.save(nodes.join(wanted, "node").select("node", "bands", "sig"))
     scratch.drop(nodes, full)
-    comps = components(_union(links), scratch)
+    comps = None
     tested = None
     for turn in range(ROUNDS):
         pairs = scratch.save(_pairs(_open(members, comps, scratch), turn, tested, prints, scratch))
@@ -261,11 +261,14 @@ def _pairs(members: DataFrame, turn: int, tested: DataFrame | None, prints: Data
     return pairs.join(sig("a"), "a").join(sig("b"), "b").filter(same >= AGREE).select("a", "b").distinct()
 
 
-def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of buckets that span several classes, with their class."""
+def _open(members: DataFrame, comps: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Members of buckets that span several classes, with their class; without classes yet,
+    each node is one."""
+    if comps is None:
+        return members.select("node", "key", F.col("node").alias("comp"))
     rows = members.select("node", "key").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = scratch.save(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
-    return rows.join(split, "key")
+    return scratch.save(rows.join(split, "key"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
