@@ -31,8 +31,10 @@ _PIECE = 1 << 13
 #: samples that must agree before texts are compared: at similarity 0.8 about 51 of 64 do, with
 #: a standard deviation of 3.2
 AGREE = 40
-#: rounds of comparing the members of a bucket with one of them, before buckets of two bands
+#: rounds of comparing the members of a bucket with one of them, before all that are left meet
 ROUNDS = 2
+#: members of a bucket in one block; two blocks meet in a task
+BLOCK_ROWS = 512
 #: pairs that share a centre and a task
 CENTRE_ROWS = 512
 
@@ -187,9 +189,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Texts with the same words are one node. Two nodes are linked if the weighted Jaccard
     similarity of their five-word shingles (repeats times a rarity weight counted over the
     whole corpus) is at least 0.8. Nodes that share a band of samples are candidates. In a
-    bucket every member is compared with one centre, not with every other; buckets whose
-    members are not all in one class after that get other centres, then buckets of two bands do,
-    until a round finds no link. A class is a connected component.
+    bucket every member is first compared with one centre, twice; in buckets whose members are
+    not all in one class after that, every two members of different classes are, by samples in
+    bounded blocks and then by text, until no such pair is left. A class is a connected component.
 
     A text without words is a class of its own, as is any text like no other. A null id takes no
     part and gets a null class. Rows that repeat an id are one document: its class joins the near
@@ -222,21 +224,27 @@ def near_copies(docs: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         links.append(scratch.save(_verify(pairs, texts, tools, scratch)))
         comps = components(_union(links), scratch)
-    # members that an open bucket holds apart meet again where a second band agrees
-    apart = _open(members, comps, scratch).select("node", "key").join(prints.select("node", F.explode("bands").alias("other")), "node")
-    both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-    apart = apart.filter("key <> other").select("node", both.alias("key")).distinct()
-    apart = scratch.save(apart)
-    while True:
-        turn += 1
-        pairs = scratch.save(_pairs(_open(apart, comps, scratch), turn, tested, prints, scratch))
-        tested = tested.unionByName(pairs)
-        new = scratch.save(_verify(pairs, texts, tools, scratch))
-        if not new.limit(1).count():
+    left = scratch.save(_untested(_meet(_open(members, comps, scratch), prints, scratch), tested))
+    # one pair of two classes, then one of a node and a class, then all that are still apart;
+    # all at once if they are no more than the nodes
+    few = prints.count()
+    for by in (["low", "high"], ["a", "far"], None):
+        left = scratch.save(_apart(left, comps))
+        n = left.count()
+        if not n:
             break
-        links.append(new)
-        comps = components(_union(links), scratch)
-    scratch.drop(members, texts, prints, apart)
+        pairs = left
+        if by and n > few:
+            best = left.groupBy(*by).agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p"))
+            pairs = scratch.save(best.select("p.a", "p.b").distinct())
+            left = _untested(left, pairs)
+        else:
+            left = left.limit(0)
+        new = scratch.save(_verify(pairs.select("a", "b"), texts, tools, scratch))
+        if new.limit(1).count():
+            links.append(new)
+            comps = components(_union(links), scratch)
+    scratch.drop(members, texts, prints)
     return docs.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
 
@@ -261,6 +269,77 @@ def _pairs(members: DataFrame, turn: int, tested: DataFrame | None, prints: Data
     return pairs.join(sig("a"), "a").join(sig("b"), "b").filter(same >= AGREE).select("a", "b").distinct()
 
 
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` with ``a < b`` that ``tested`` holds in neither order."""
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different classes: ``low`` and ``high``, with ``far`` that of ``b``."""
+    side = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+    rows = pairs.select("a", "b", "same").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rows = rows.select("a", "b", "same", F.coalesce("a_comp", "a").alias("near"), F.coalesce("b_comp", "b").alias("far")).filter("near <> far")
+    return rows.select("a", "b", "same", "far", F.least("near", "far").alias("low"), F.greatest("near", "far").alias("high"))
+
+
+def _meet(members: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(a, b, same)``: every two members of a bucket that are in different classes and agree in
+    enough samples, each pair in its first common band only.
+
+    A bucket is dealt into blocks by node, and every two blocks meet in a group of their own, so
+    no task holds more than two blocks at a time, however many members a bucket has.
+    """
+    size = scratch.save(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = members.join(prints.select("node", "sig"), "node").join(size, "key").withColumn("part", part)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "sig")
+    schema = "a long, b long, same int"
+
+    def group(t):
+        key, i, j = t["key"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
+        node, comp, of = (t[c].to_numpy() for c in ("node", "comp", "part"))
+        if comp.min() == comp.max():
+            return
+        sig = np.ascontiguousarray(t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES))
+        x, y = np.flatnonzero(of == i), np.flatnonzero(of == j)
+        left, right = np.ascontiguousarray(sig[x].T), np.ascontiguousarray(sig[y].T)
+        same = np.zeros((len(x), len(y)), np.uint8)
+        for p, q in zip(left, right):
+            same += p[:, None] == q[None, :]
+        r, c = np.nonzero((same >= AGREE) & (comp[x][:, None] != comp[y][None, :]))
+        if i == j:
+            r, c = r[r < c], c[r < c]
+        if not len(r):
+            return
+        bands = band_keys(sig).view(np.int64)
+        for lo in range(0, len(r), _BLOCK):
+            rr, cc = r[lo:lo + _BLOCK], c[lo:lo + _BLOCK]
+            ours, theirs = bands[x[rr]], bands[y[cc]]
+            own = ours[np.arange(len(rr)), (ours == theirs).argmax(axis=1)] == key
+            a, b, n = node[x[rr[own]]], node[y[cc[own]]], same[rr[own], cc[own]]
+            if len(a):
+                yield arrow(schema, a=np.minimum(a, b), b=np.maximum(a, b), same=n.astype(np.int32))
+
+    def meet(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            if not len(t):
+                continue
+            cols = [t[c].to_numpy() for c in ("key", "i", "j")]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], cuts.tolist()):
+                yield from group(t.slice(lo, hi - lo))
+            rest = t.slice(int(cuts[-1]) if len(cuts) else 0)
+        if rest is not None and len(rest):
+            yield from group(rest)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, schema)
+
+
 def _open(members: DataFrame, comps: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Members of buckets that span several classes, with their class; without classes yet,
     each node is one."""

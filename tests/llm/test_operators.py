@@ -149,6 +149,30 @@ def test_near_copies_match_brute_force(spark):
     assert one.columns == df.columns and {r["doc_id"] for r in one.select("doc_id").collect()} == {d for d, c in got.items() if c == d}
 
 
+def test_near_copies_in_buckets_of_a_shared_passage(spark):
+    """A pair that meets in no bucket but those which a passage of 80 other texts fills. No draw of a
+    centre by ``xxhash64(node, turn)`` picks its ids early."""
+    rng = random.Random(377)
+    passage = prose(rng, 79)
+    rows = [(i, passage + " " + prose(rng, 24)) for i in range(80)]
+    common = prose(rng, 16)
+    rows += [(i, f"{passage} {common} {prose(rng, 6)}") for i in (2547, 4054)]
+    df = docs_frame(spark, rows)
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.near_copies(df).collect()}
+    assert got == brute_classes(rows, nearcopies.shingle_weights(df)) and got[4054] == 2547
+
+
+def test_blocks_of_a_bucket_meet_all_others(spark, monkeypatch):
+    rng = random.Random(9)
+    first = prose(rng, 80)
+    rows = [(i, first + " " + prose(rng, 3)) for i in range(40)]
+    rows += [(100 + i, first + " " + prose(rng, 30)) for i in range(60)]
+    df = docs_frame(spark, rows)
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", 7)
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.near_copies(df).collect()}
+    assert got == brute_classes(rows, nearcopies.shingle_weights(df))
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = random.Random(1)
     weights = np.linspace(1, 2, nearcopies.COUNTERS).astype(np.float32)
