@@ -75,6 +75,7 @@ def build_index(items: list[tuple[int, str | None]]) -> dict:
         order = np.argsort(h, kind="stable")
         c.keys, first = np.unique(h[order], return_index=True)
         c.first, c.item = np.append(first, len(h)), np.repeat(np.arange(len(rows)), c.m)[order]
+        c.least = min(int(x.sum()) for x in c.weight)
     by_k = {k: np.unique(np.concatenate([c.keys for c in classes.values() if c.k == k])) for k in {c.k for c in classes.values()}}
     return {"classes": classes, "by_k": by_k}
 
@@ -83,7 +84,8 @@ def search_index(index: dict, texts: list[str | None]) -> Iterator[tuple[int, in
     """``(text, item id, similarity, first word, words)`` of each text and item that match.
 
     Only windows that share a shingle with an item can match, so fingerprints are made around
-    shared shingles; every window there is tried.
+    shared shingles; every window there is tried. A text shorter than the item is one window,
+    unless its whole weight is too small for the similarity.
     """
     w = words(texts)
     counts = w.counts()
@@ -95,7 +97,7 @@ def search_index(index: dict, texts: list[str | None]) -> Iterator[tuple[int, in
         for d in np.unique(s.doc[hit]):
             a, z = bounds[d], bounds[d + 1]
             for c in index["classes"].values():
-                if c.k == k and z - a >= c.m:
+                if c.k == k and (z - a >= c.m or s.size[a:z].sum() >= SIMILARITY * c.least):
                     yield from _search_text(int(d), c, s.hash[a:z], s.size[a:z], hit[a:z])
 
 
@@ -110,9 +112,10 @@ def _search_text(d: int, c: SimpleNamespace, h: np.ndarray, weight: np.ndarray,
     for j in np.unique(at):
         sharing[c.item[c.first[j]:c.first[j + 1]]] = True
     sharing = np.packbits(sharing)
-    n = len(h) - c.m + 1
+    m = min(c.m, len(h))
+    n = len(h) - m + 1
     mark = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(mark, np.clip(found - c.m + 1, 0, n), 1)
+    np.add.at(mark, np.clip(found - m + 1, 0, n), 1)
     np.add.at(mark, np.minimum(found + 1, n), -1)
     starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
     best: dict[int, tuple[float, int]] = {}
@@ -120,19 +123,19 @@ def _search_text(d: int, c: SimpleNamespace, h: np.ndarray, weight: np.ndarray,
     for run in np.split(starts, cuts):
         for lo in range(0, len(run), _WINDOWS):
             part = run[lo:lo + _WINDOWS]
-            a, z = int(part[0]), int(part[-1]) + c.m
-            prints = fingerprints(h[a:z], weight[a:z], c.m)
+            a, z = int(part[0]), int(part[-1]) + m
+            prints = fingerprints(h[a:z], weight[a:z], m)
             near = c.near[np.arange(BLOCKS)[None, :], prints]  # windows x blocks x bits of items
             maybe = np.unpackbits(np.bitwise_or.reduce(near, axis=1) & sharing, axis=1, count=len(c.ids))
             for win, item in zip(*np.nonzero(maybe)):
                 if _POP[prints[win] ^ c.prints[item]].sum() > RADIUS:
                     continue
                 p = a + int(win)
-                sim = weighted_jaccard(h[p:p + c.m], weight[p:p + c.m], c.hash[item], c.weight[item])
+                sim = weighted_jaccard(h[p:p + m], weight[p:p + m], c.hash[item], c.weight[item])
                 if sim >= SIMILARITY and sim > best.get(item, (0.0, 0))[0]:
                     best[item] = (sim, p)
     for item, (sim, p) in best.items():
-        yield d, c.ids[item], sim, p, c.n_words
+        yield d, c.ids[item], sim, p, m + c.k - 1
 
 
 def index_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[dict]:
@@ -151,7 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)`` of each document and item that match.
 
     A document matches an item if a window of as many words as the item has a weighted-shingle
-    similarity of at least 0.8 with it: runs of five words (all words of a shorter item),
+    similarity of at least 0.8 with it (the whole document, if it has fewer words): runs of five words (all words of a shorter item),
     weighted by the bytes of their words, counted with repeats. The best window is returned, the
     first of equal ones. Whole texts are searched; documents are never shuffled.
 

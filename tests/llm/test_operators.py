@@ -234,6 +234,27 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_shortened_items(spark):
+    rng = random.Random(11)
+    items = [(i, prose(rng, n)) for i, n in enumerate((40, 40, 25, 12, 6, 5))]
+    docs = [(100 * i + cut, " ".join(t.split()[cut // 2:len(t.split()) - cut + cut // 2])) for i, t in items for cut in (0, 1, 2, 4, 7, 10) if cut < len(t.split())]
+    want = set()
+    for d, x in docs:
+        for i, t in items:
+            v, w = decontaminate.words([x]), decontaminate.words([t])
+            if len(v.hash) >= 5:
+                r, s = decontaminate.shingles(v, 5), decontaminate.shingles(w, 5)
+                m = min(len(r.hash), len(s.hash))
+                if max(decontaminate.weighted_jaccard(r.hash[p:p + m], r.size[p:p + m], s.hash, s.size) for p in range(len(r.hash) - m + 1)) >= 0.8:
+                    want.add((d, i, min(len(v.hash), len(w.hash))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs_frame(spark, docs)
+    got = {(r["doc_id"], r["item_id"], r["n_words"]) for r in decontaminate.find_contamination(df, bench).collect()}
+    assert got == want and {(1, 0, 39), (4, 0, 36), (101, 1, 39)} <= want and (10, 0, 30) not in want
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _, _ in want}
+
+
 # ---------------------------------------------------------------- nearest products
 
 
