@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from relweave.llm.audit import audit_filters
 from relweave.llm.decontaminate import find_contamination
 from relweave.llm.licenses import scan_licenses, scan_sql
 from relweave.llm.lines import dedup_lines
 from relweave.llm.mixing import mix_sources
 from relweave.llm.nearcopies import near_copies
 from relweave.llm.neighbours import nearest_products
+from relweave.llm.packing import pack_documents
 from relweave.llm.pages import extract_pages
 from relweave.llm.scratch import Scratch
 from relweave.llm.substrings import remove_repeats
 from relweave.llm.toxicity import PREDICT_AT, fit, held_out, score_documents
 from relweave.llm.warc import mark_revisits, read_archives, resolve_revisits, write_archives
+from relweave.llm.whitening import whiten
 from relweave.session import shared_dir, tune
 
 QUERIES: dict = {}
@@ -163,3 +166,51 @@ def source_mixing(spark, table):
 def decontamination(spark, table):
     """Benchmark items that documents hold, exactly or nearly."""
     return find_contamination(table("documents"), table("benchmark"))
+
+
+@query("op11_whitening")
+def whitening(spark, table):
+    """The first 32 whitened components of every vector."""
+    out = whiten(table("embeddings"), 32)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op12_packing")
+def packing(spark, table):
+    """Every document's tokens in sequences of power-of-two length."""
+    import public_tokenizers
+
+    out = pack_documents(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 1)
+    return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, (len(words) < 50)::INT AS a, (100 * len(list_distinct(words)) < 65 * len(words))::INT AS b,
+             (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT AS c,
+             regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS e FROM w),
+m AS (SELECT part, [a, b, c, d, e] AS fails, sum(1)::BIGINT AS n, coalesce(sum(good), 0)::BIGINT AS good, coalesce(sum(toxic), 0)::BIGINT AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+p AS (SELECT [p1.i, p2.i, p3.i, p4.i, p5.i] AS o FROM x p1, x p2, x p3, x p4, x p5
+      WHERE len(list_distinct([p1.i, p2.i, p3.i, p4.i, p5.i])) = 5),
+s AS (SELECT part, n, good, toxic, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, step,
+             fails[o[step]] AS fail, coalesce(list_sum(list_transform(o[1:step - 1], lambda i: fails[i])), 0) AS earlier, list_sum(fails) AS all_fails
+      FROM m, p, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+g AS (SELECT part, filter_order, step, sum(n) FILTER (fail + earlier = 0) AS kept, sum(n) FILTER (fail = 1 AND earlier = 0) AS removed,
+             sum(n) FILTER (fail = 1 AND earlier > 0) AS redundant, sum(n) FILTER (fail = 1 AND all_fails = 1) AS unique_fails,
+             sum(good) FILTER (fail = 1 AND earlier = 0) AS good_lost, sum(toxic) FILTER (fail = 1 AND earlier = 0) AS toxic_lost
+      FROM s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, filter_order[step]), 0)::BIGINT AS shapley
+FROM g
+"""
+
+
+@query("op13_filter_audit", _AUDIT_SQL)
+def filter_audit(spark, table):
+    """What each of five filters removes at each step of each of their orders, per source."""
+    return audit_filters(table("documents"), table("labels"))
