@@ -106,24 +106,35 @@ def whole():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t ", "a", "It's", "'s", "12", "é", "汉字", ".", " ", "　", "\x1c", "\x85", "Word", "<|endoftext|>", "🙂"]), max_size=25))
-def test_chunks_keep_every_id(parts):
-    tok = packing.ChunkTokenizer(VOCABULARY)
+@pytest.fixture(scope="module")
+def tok():
+    return packing.ByteTokenizer(VOCABULARY)
+
+
+ODD = [" ", "  ", "\n", "\t ", "a", "It's", "'s", "12", "é", "汉字", ".", "\u00a0", "\u3000", "\x1c", "\x85", "Word", "<|endoftext|>", "🙂", "½", "Ⅷ", "\u0301", "\u200b"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(parts=st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=3)), max_size=25))
+def test_ranks_give_the_ids_of_the_library(tok, whole, parts):
     text = "".join(parts)
-    assert "".join(tok.chunks(text)) == text
-    assert tok.ids(text).tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
-    assert tok.ids(text).tolist() == tok.ids(text).tolist()  # from memory
+    assert tok.ids(text).tolist() == whole(text)
+
+
+def test_every_character_is_split_alike(tok, whole):
+    chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(chars), 5000):
+        text = "".join(f"a{c}1 {c}{c} .{c}\n" for c in chars[i:i + 5000])
+        assert tok.ids(text).tolist() == whole(text)
 
 
-def test_rounds_keep_every_id(monkeypatch, whole):
+def test_rounds_keep_every_id(monkeypatch, tok, whole):
     monkeypatch.setattr(packing, "ROUND_CHARS", 40)
-    monkeypatch.setattr(packing, "REMEMBERED", 20)
     rng = random.Random(2)
     text = "".join(rng.choice(["abc", " ", " ", "\n", "  ", "Zeit", "ß", "don't", "x" * 60]) for _ in range(900))
-    tok = packing.ChunkTokenizer(VOCABULARY)
-    assert tok.long_ids(text).tolist() == whole(text)
-    assert tok.long_ids("y" * 200).tolist() == whole("y" * 200)
+    assert "".join(tok.rounds(text)) == text and len(list(tok.rounds(text))) > 5
+    assert tok.ids(text).tolist() == whole(text)
+    assert tok.ids("y" * 200).tolist() == whole("y" * 200)
 
 
 def test_packing_matches_the_plain_cut(spark, whole):
