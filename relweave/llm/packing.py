@@ -16,6 +16,8 @@ from relweave.session import shared_dir
 
 #: characters of text tokenized at once; longer texts go on in further rounds
 ROUND_CHARS = 1 << 20
+#: tokens that leave a task together
+BATCH_TOKENS = 1 << 19
 #: how a byte-level vocabulary splits a text before merging (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = "doc_id long, start long, length int, doc_tokens long, ids array<int>, ids_crc32 long"
@@ -116,24 +118,39 @@ def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: in
     if most < 1 or most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
 
+    def record(held: list[tuple]) -> pa.RecordBatch:
+        """One batch of the pieces of some documents: (doc, number of its ids, all of them, bounds of the pieces)."""
+        bounds = [h[3] for h in held]
+        lengths = np.concatenate([np.diff(b) for b in bounds])
+        counts = [len(b) - 1 for b in bounds]
+        ids = np.concatenate([ids[b[0]:b[-1]] for (_, _, ids, b) in held])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        raw = memoryview(ids.tobytes())
+        return pa.RecordBatch.from_arrays([
+            pa.array([d for (d, _, _, _), c in zip(held, counts) for _ in range(c)], pa.int64()),
+            pa.array(np.concatenate([b[:-1] for b in bounds]), pa.int64()), pa.array(lengths, pa.int32()),
+            pa.array(np.repeat([n for _, n, _, _ in held], counts), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32))),
+            pa.array([zlib.crc32(raw[4 * u:4 * v]) for u, v in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64()),
+        ], names=[f.split(" ")[0] for f in _PIECES.split(", ")])
+
     def cut(batches):
         tok = _tokenizer(tokenizer)
+        held, tokens = [], 0
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.append(tok.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                lengths = piece_lengths(len(ids), most)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                step = 4096  # pieces of a very long document leave in parts
-                for i in range(0, len(lengths), step):
-                    s, e = starts[i:i + step], ends[i:i + step]
-                    part = ids[s[0]:e[-1]].astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]) - s[0], pa.int32()), pa.array(part))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([doc] * len(s), pa.int64()), pa.array(s, pa.int64()), pa.array(e - s, pa.int32()),
-                        pa.array([len(ids)] * len(s), pa.int64()), lists,
-                        pa.array([zlib.crc32(ids[u:v].tobytes()) for u, v in zip(s, e)], pa.int64()),
-                    ], names=[f.split(" ")[0] for f in _PIECES.split(", ")])
+                ids = np.append(tok.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4", copy=False)
+                bounds = np.concatenate([[0], np.cumsum(piece_lengths(len(ids), most))])
+                step = max(1, BATCH_TOKENS // most)  # pieces of a very long document leave in parts
+                for i in range(0, len(bounds) - 1, step):
+                    part = bounds[i:i + step + 1]
+                    held.append((doc, len(ids), ids, part))
+                    tokens += part[-1] - part[0]
+                    if tokens >= BATCH_TOKENS:
+                        yield record(held)
+                        held, tokens = [], 0
+        if held:
+            yield record(held)
 
     spark = docs.sparkSession
     pieces = clean(docs, doc_id="long", text="string").mapInArrow(cut, _PIECES)

@@ -137,7 +137,9 @@ def test_rounds_keep_every_id(monkeypatch, tok, whole):
     assert tok.ids("y" * 200).tolist() == whole("y" * 200)
 
 
-def test_packing_matches_the_plain_cut(spark, whole):
+@pytest.mark.parametrize("batch", [1, 100, 1 << 19])
+def test_packing_matches_the_plain_cut(spark, whole, batch, monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_TOKENS", batch)  # where the tasks get it from is the pickled function
     rng = random.Random(1)
     words = ["the", "cat", "sat", "Zürich", "naïve", "12,5", "don't", "\n", "", "汉字"]
     texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 5, 60, 300, 2500)]
