@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relweave.catalog.base import Tables, query, testdata_dataset
 from relweave.model import ColumnMeta, RelationalDataset, TableMeta
 from relweave.operators import joins as J
+from relweave.plans.pointintime import Spec
 
 CUT = "TIMESTAMP '1998-01-01'"
 
@@ -58,11 +59,27 @@ def _user_pairs(t: Tables):
 
 @query(
     "asof_cutoff_join",
+    """SELECT p.o_custkey, p.cutoff, count(o.o_orderkey) AS n_before, round(avg(o.o_totalprice), 6) AS mean_price,
+              max(o.o_totalprice) AS max_price, min(o.o_totalprice) AS min_price
+       FROM (SELECT DISTINCT o_custkey, o_orderdate AS cutoff FROM orders) p
+       LEFT JOIN orders o ON o.o_custkey = p.o_custkey AND o.o_orderdate < p.cutoff GROUP BY 1, 2""",
+)
+def asof_cutoff_join(t: Tables):
+    out = J.asof_aggregate(
+        _user_pairs(t), t.orders, "o_custkey", "cutoff", "o_custkey", "o_orderdate",
+        [Spec("n_before", "count", "o_orderkey"), Spec("mean_price", "mean", "o_totalprice"),
+         Spec("max_price", "max", "o_totalprice"), Spec("min_price", "min", "o_totalprice")], counts=["n_before"])
+    return out.withColumn("mean_price", F.round("mean_price", 6))
+
+
+@query(
+    "asof_cutoff_rows",
     """SELECT p.o_custkey, p.cutoff, o.o_orderkey, o.o_totalprice
        FROM (SELECT DISTINCT o_custkey, o_orderdate AS cutoff FROM orders) p
        LEFT JOIN orders o ON o.o_custkey = p.o_custkey AND o.o_orderdate < p.cutoff""",
 )
-def asof_cutoff_join(t: Tables):
+def asof_cutoff_rows(t: Tables):
+    """The rows themselves, where a user wants them: as many as pairs of a cutoff and an earlier row."""
     return J.asof_join(
         _user_pairs(t), t.orders, "o_custkey", "cutoff", "o_custkey", "o_orderdate", ["o_orderkey", "o_totalprice"]
     )
@@ -78,11 +95,12 @@ def asof_cutoff_join(t: Tables):
        SELECT DISTINCT p_partkey, cutoff FROM d2 LEFT JOIN part ON p_partkey = l_partkey""",
 )
 def cutoff_propagation(t: Tables):
-    d1 = J.propagate_cutoff(_user_pairs(t), t.orders, "o_custkey", "cutoff", "o_custkey", ["o_orderkey"],
-                            "o_orderdate", forward=False)
-    d2 = J.propagate_cutoff(d1, t.lineitem, "o_orderkey", "cutoff", "l_orderkey", ["l_partkey"],
-                            "l_shipdate", forward=False)
-    return J.propagate_cutoff(d2, t.part, "l_partkey", "cutoff", "p_partkey", ["p_partkey"], None, forward=True)
+    pairs = _user_pairs(t)
+    seen = J.start_visibility(pairs, "o_custkey", "cutoff")
+    seen = J.follow(seen, t.orders, "o_custkey", "o_orderkey", "o_orderdate")
+    seen = J.follow(seen, t.lineitem, "l_orderkey", "l_partkey", "l_shipdate")
+    seen = J.follow(seen, t.part, "p_partkey", "p_partkey", None)
+    return J.expand_visibility(pairs, seen, "o_custkey", "cutoff", "p_partkey")
 
 
 @query(
@@ -94,9 +112,8 @@ def cutoff_propagation(t: Tables):
        LEFT JOIN f ON f.o_custkey = orders.o_custkey AND f.cutoff = orders.o_orderdate""",
 )
 def cutoff_feature_join(t: Tables):
-    pairs = _user_pairs(t)
-    seen = J.asof_join(pairs, t.orders, "o_custkey", "cutoff", "o_custkey", "o_orderdate", ["o_orderkey"], how="left")
-    f = seen.groupBy("o_custkey", "cutoff").agg(F.count("o_orderkey").alias("n_before"))
+    f = J.asof_aggregate(_user_pairs(t), t.orders, "o_custkey", "cutoff", "o_custkey", "o_orderdate",
+                         [Spec("n_before", "count", "o_orderkey")], counts=["n_before"])
     rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("cutoff"))
     return J.cutoff_feature_join(rows, f, "o_custkey", "cutoff", "o_custkey", "cutoff", ["n_before"]).drop("o_custkey")
 

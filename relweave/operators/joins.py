@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relweave.functions.scalar import col
 from relweave.model import FOREIGN_KEY, ColumnMeta, ForeignKey, RelationalDataset, TableMeta
+from relweave.plans.ordering import running
+from relweave.plans.pointintime import Spec, always, before, clock, instant
+from relweave.session import materialize
 
 
 def unique_parent(parent: DataFrame, pk: str, columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +73,11 @@ def asof_join(
     pairs: DataFrame, child: DataFrame, key: str, cutoff: str, fk: str, ts: str | None,
     columns: Sequence[str], inclusive: bool = False, how: str = "left",
 ) -> DataFrame:
-    """Child rows strictly before each pair's cutoff: equi key plus a residual range."""
+    """Child rows strictly before each pair's cutoff: equi key plus a residual range.
+
+    The result itself holds a row per pair and child row; aggregates of it are better asked of
+    ``asof_aggregate``, which never forms those rows.
+    """
     right = child.select(col(fk).alias("__fk"), *([col(ts).alias("__ts")] if ts else []), *[col(c) for c in columns])
     cond = col(key) == F.col("__fk")
     if ts:
@@ -78,17 +85,101 @@ def asof_join(
     return pairs.join(right, cond, how).drop("__fk", "__ts")
 
 
+def asof_aggregate(
+    pairs: DataFrame, child: DataFrame, key: str, cutoff: str, fk: str, ts: str, specs: Sequence[Spec],
+    inclusive: bool = False, counts: Sequence[str] = (),
+) -> DataFrame:
+    """Aggregates of the child rows before each distinct (key, cutoff): the grouped point-in-time join.
+
+    Rows and cutoffs of a key are merged into one stream with running states, so n rows and m
+    cutoffs cost n + m, and a hot key is cut into time buckets.  Pairs without an earlier row keep
+    nulls (0 for names in ``counts``); a null key or cutoff sees nothing.
+    """
+    how = clock([pairs.schema[cutoff].dataType, child.schema[ts].dataType])
+    probes = pairs.select(col(key).alias("__key"), instant(col(cutoff), how).alias("__at"))
+    used = dict.fromkeys(s.source for s in specs if s.source)
+    events = child.select(col(fk).alias("__key"), instant(col(ts), how).alias("__at"), *[col(c) for c in used])
+    found = before(probes, events, specs, inclusive)
+    cond = (col(key) == F.col("__key")) & (instant(col(cutoff), how) == F.col("__at"))
+    out = pairs.join(found, cond, "left").drop("__key", "__at")
+    return out.withColumns({n: F.coalesce(col(n), F.lit(0).cast("long")) for n in counts}) if counts else out
+
+
 def propagate_cutoff(
     pairs: DataFrame, table: DataFrame, key: str, cutoff: str, on: str, carry: Sequence[str],
     ts: str | None, forward: bool, inclusive: bool = False,
 ) -> DataFrame:
-    """(keys, cutoff) of the next hop; distinct after a forward hop only."""
+    """(keys, cutoff) of a single hop; distinct after a forward hop only.  Chains use ``follow``."""
     out = asof_join(pairs, table, key, cutoff, on, ts, carry, inclusive).select(
         *[col(c) for c in carry], col(cutoff)
     )
     return out.distinct() if forward else out
 
 
+@dataclass(frozen=True)
+class Visibility:
+    """What a set of (key, cutoff) pairs sees of a table, kept per key and not per cutoff.
+
+    ``nodes``: (__key, __node, __since), each node once per key with the earliest instant that sees
+    it; a cutoff after ``__since`` sees the node.  ``blanks``: (__key, __since, __until), ranges of
+    cutoffs that see a row above but nothing here (null ``__until``: for good).
+    """
+
+    nodes: DataFrame
+    blanks: DataFrame
+    how: str
+
+
+def start_visibility(pairs: DataFrame, key: str, cutoff: str, times: Sequence[T.DataType] = ()) -> Visibility:
+    """Every key of the pairs, in sight from the beginning; ``times`` are the types of later time columns."""
+    how = clock([pairs.schema[cutoff].dataType, *times])
+    keys = pairs.select(col(key).alias("__key")).distinct()
+    nodes = keys.select("__key", F.col("__key").alias("__node"), always(how).alias("__since"))
+    blanks = nodes.select("__key", "__since", F.col("__since").alias("__until")).filter("false")
+    return Visibility(nodes, blanks, how)
+
+
+def follow(seen: Visibility, table: DataFrame, on: str, carry: str, ts: str | None) -> Visibility:
+    """One hop: rows of ``table`` whose ``on`` is a visible node, as nodes named by ``carry``.
+
+    A row is in sight once the node above and its own time are, so a hop keeps the least such
+    instant per (key, node): its rows are bounded by distinct (key, node), whatever the cutoffs.
+    """
+    own = instant(col(ts), seen.how) if ts else always(seen.how)
+    rows = table.select(col(on).alias("__on"), col(carry).alias("__next"), own.alias("__own"))
+    rows = rows.filter("__on IS NOT NULL AND __own IS NOT NULL")
+    met = seen.nodes.join(rows, F.col("__node") == F.col("__on"))
+    nodes = met.groupBy("__key", F.col("__next").alias("__node")).agg(F.min(F.greatest("__since", "__own")).alias("__since"))
+    # until its first row comes into sight, a node above stands there with nothing below it
+    first = seen.nodes.join(rows.groupBy("__on").agg(F.min("__own").alias("__own")), F.col("__node") == F.col("__on"), "left")
+    blanks = first.select("__key", "__since", F.when(F.col("__own").isNotNull(), F.greatest("__since", "__own")).alias("__until"))
+    blanks = blanks.filter("__until IS NULL OR __until > __since").groupBy("__key", "__until").agg(F.min("__since").alias("__since"))
+    blanks = seen.blanks.unionByName(blanks.select("__key", "__since", "__until"))
+    # both read these nodes, and so does the next hop
+    return Visibility(materialize(nodes), blanks, seen.how)
+
+
+def expand_visibility(
+    pairs: DataFrame, seen: Visibility, key: str, cutoff: str, out: str, inclusive: bool = False
+) -> DataFrame:
+    """Distinct (node, cutoff) that the pairs reach: the one place where keys meet their cutoffs."""
+    at = pairs.select(col(key).alias("__pk"), col(cutoff), instant(col(cutoff), seen.how).alias("__at"))
+    after = (lambda c: F.col("__at") >= c) if inclusive else (lambda c: F.col("__at") > c)
+    found = at.join(seen.nodes, (F.col("__pk") == F.col("__key")) & after(F.col("__since"))).select(F.col("__node").alias(out), col(cutoff))
+    # a cutoff lies in some blank range if more of its key's ranges have begun than ended
+    turn = F.lit(0 if inclusive else 1)
+    one = F.lit(1).cast("long")
+    marks = seen.blanks.select("__key", F.col("__since").alias("__at"), turn.alias("__turn"), one.alias("__open")).unionByName(
+        seen.blanks.filter("__until IS NOT NULL").select("__key", F.col("__until").alias("__at"), turn.alias("__turn"), (-one).alias("__open")))
+    marks = materialize(marks.groupBy("__key", "__at", "__turn").agg(F.sum("__open").alias("__open")))
+    asked = at.filter("__at IS NOT NULL").select(F.col("__pk").alias("__key"), "__at", (1 - turn).alias("__turn"), col(cutoff), F.lit(True).alias("__probe"))
+    blank = running(marks.unionByName(asked, allowMissingColumns=True), ["__at", "__turn"], ["__key"], {"__open": "sum"})
+    # a missing cutoff is after nothing, so it sees nothing
+    blank = blank.filter("__probe AND __open > 0").select(col(cutoff)).unionByName(at.filter("__at IS NULL").select(col(cutoff)))
+    none = F.lit(None).cast(dict(seen.nodes.dtypes)["__node"])
+    return found.unionByName(blank.select(none.alias(out), col(cutoff))).distinct()
+
+
 def cutoff_feature_join(
     rows: DataFrame, features: DataFrame, key: str, cutoff: str, feature_key: str, feature_cutoff: str,
     columns: Sequence[str],

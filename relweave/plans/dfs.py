@@ -17,6 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relweave.functions.scalar import col
 from relweave.model import CATEGORY, FLOAT, TEXT, TOKENS, ForeignKey, RelationalDataset
 from relweave.operators.aggregates import concat_tokens, join_text
+from relweave.plans.ordering import hot_groups
+from relweave.plans.pointintime import (
+    CHANGING_PRIMITIVES, STATIC_PRIMITIVES, Spec, always, before, clock, during, instant,
+)
+from relweave.session import materialize
 
 DEFAULT_PRIMITIVES = (
     "max", "min", "mean", "count", "mode", "concat", "join", "arraymax", "arraymin", "arraymean",
@@ -24,6 +29,8 @@ DEFAULT_PRIMITIVES = (
 _ARRAY = ("arraymax", "arraymin", "arraymean")
 _CUT = "__cut"
 _NEVER = "0001-01-01 00:00:00"
+# a key of so many cutoffs at most joins its rows with them; beyond, rows and cutoffs are merged
+MANY_CUTOFFS = 32
 
 
 @dataclass(frozen=True)
@@ -190,11 +197,22 @@ def aggregate_column(prim, c: Column, in_size: int = 1) -> Column:
     raise ValueError(f"unknown aggregation primitive {prim!r}")
 
 
+def moves(ds: RelationalDataset, v: Visit) -> bool:
+    """Whether features of the visit depend on the instant they are seen at."""
+    return any(ds.meta[r.parent].time_column or moves(ds, sub) for r, sub, _ in v.parents) or any(
+        branch_moves(ds, path, sub) for path, sub, _ in v.children)
+
+
+def branch_moves(ds: RelationalDataset, path: list[ForeignKey], sub: Visit) -> bool:
+    return any(ds.meta[hop.child].time_column for hop in path) or moves(ds, sub)
+
+
 class _Builder:
     def __init__(self, ds: RelationalDataset, uniform_cut: Column | None, has_cut: bool, max_cut: Column | None,
-                 inclusive: bool):
+                 inclusive: bool, clock: str = "time"):
         self.ds, self.cut_value, self.has_cut, self.max_cut = ds, uniform_cut, has_cut, max_cut
-        self.inclusive = inclusive
+        self.inclusive, self.clock = inclusive, clock
+        self.few = False
         self.per_row = has_cut and uniform_cut is None
 
     def _before(self, ts: Column, cut: Column) -> Column:
@@ -289,7 +307,142 @@ class _Builder:
         full = self.expand(sub, par.join(pairs, cond, "inner").drop("__key"), [r.pk, _CUT], known=known)
         return full.select(col(r.pk).alias("__pk"), F.col(_CUT).alias("__pcut"), *rename)
 
+    def source_moves(self, sub: Visit, name: str) -> bool:
+        return moves(self.ds, prune(sub, {name}))
+
+    def runs(self, sub: Visit, prim, source: str | None) -> bool:
+        """Whether an aggregate over the visit's rows has a form without pairs of rows and cutoffs."""
+        if prim == "count":
+            return True
+        if not isinstance(prim, str) or prim not in STATIC_PRIMITIVES:
+            return False
+        if not self.source_moves(sub, source):
+            return True
+        if prim not in CHANGING_PRIMITIVES:
+            return False
+        for path, inner, aggs in sub.children:
+            for f, p, s in aggs:
+                if f.name == source:
+                    return self.runs(inner, p, s)
+        return False  # the feature of a parent that is itself limited in time
+
+    def timed_rows(self, path: list[ForeignKey], keys: DataFrame | None = None) -> DataFrame:
+        """Rows of the last child of ``path`` with ``__group`` and ``__vis``, the instant they come into sight.
+
+        ``keys`` (__asked) limits them to the groups that anything is asked of.
+        """
+        def seen_at(table: str) -> Column:
+            ts = self.ds.meta[table].time_column
+            return instant(col(ts), self.clock) if ts else always(self.clock)
+
+        first = path[0]
+        cur = self.base(first.child).withColumns({"__group": col(first.fk), "__vis": seen_at(first.child)})
+        cur = cur.filter("__group IS NOT NULL AND __vis IS NOT NULL")
+        if keys is not None:
+            cur = cur.join(keys, F.col("__group") == F.col("__asked"), "left_semi")
+        for hop in path[1:]:
+            up = cur.select("__group", F.col("__vis").alias("__up_vis"), col(hop.pk).alias("__up"))
+            down = self.base(hop.child).withColumn("__own", seen_at(hop.child)).filter("__own IS NOT NULL")
+            cur = up.join(down, F.col("__up") == col(hop.fk)).withColumn("__vis", F.greatest("__up_vis", "__own")).drop("__up", "__up_vis", "__own")
+        return cur
+
+    def change_times(self, sub: Visit, key: str, keys: DataFrame | None = None) -> DataFrame:
+        """(__key, __at): distinct instants at which features of a row of the visit's table may change."""
+        parts = []
+        for path, inner, _ in sub.children:
+            if path[0].pk != key or not branch_moves(self.ds, path, inner):
+                continue
+            rows = self.timed_rows(path, keys)
+            parts.append(rows.select(F.col("__group").alias("__key"), F.col("__vis").alias("__at")))
+            for own in {p[0].pk for p, i, _ in inner.children if branch_moves(self.ds, p, i)}:
+                later = self.change_times(inner, own).withColumnRenamed("__key", "__own")
+                parts.append(rows.join(later, col(own) == F.col("__own")).select(
+                    F.col("__group").alias("__key"), F.greatest("__vis", "__at").alias("__at")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.distinct()
+
+    def timed_aggregate(self, path, sub: Visit, aggs, probes: DataFrame, inclusive: bool) -> DataFrame:
+        """Aggregates of a path as of each probe (__key, __at, ...); none of them pairs rows with probes."""
+        flat = _Builder(self.ds, None, False, None, False)
+        carried = [c for c in probes.columns if c not in ("__key", "__at")]
+        still, moving = [], []
+        for a in aggs:
+            (moving if a[2] and self.source_moves(sub, a[2]) else still).append(a)
+        sizes = {f.name: f.in_size for f in sub.features()}
+        keys = probes.select(F.col("__key").alias("__asked")).distinct()
+        rows = self.timed_rows(path, keys).withColumn("__m", F.lit(1))
+        # the count of rows is what says that a group exists, so it is always there
+        specs = [Spec(f"f:{f.name}", p, "__m" if p == "count" else f"f:{s}", sizes.get(s, 1)) for f, p, s in still]
+        events = flat.expand(prune(sub, {s for _, _, s in still if s}), rows, ["__group", "__vis", "__m"])
+        events = events.withColumnsRenamed({"__group": "__key", "__vis": "__at"}).withColumn("__first", F.lit(True))
+        if len(path) > 1:  # a childless parent keeps its group
+            firsts = self.timed_rows(path[:1], keys).select(F.col("__group").alias("__key"), F.col("__vis").alias("__at"), F.lit(True).alias("__first"))
+            events = events.withColumn("__first", F.lit(False)).unionByName(firsts, allowMissingColumns=True)
+        out = before(probes, materialize(events), specs, inclusive, "__first")
+        by_pk: dict[str, list] = {}
+        for f, p, s in moving:
+            inner = next(c for c in sub.children if any(x[0].name == s for x in c[2]))
+            by_pk.setdefault(inner[0][0].pk, []).append((f, p, s))
+        for i, (pk, some) in enumerate(by_pk.items()):
+            need = prune(sub, {s for _, _, s in some})
+            # equal rows count together, so that a row is told from another by what it holds; these
+            # tables are read by every inner aggregate and again by the checks for hot keys
+            owners = materialize(rows.groupBy("__group", "__vis", col(pk).alias("__own")).agg(F.count("*").alias("__w")))
+            at = materialize(self.change_times(need, pk, owners.select(F.col("__own").alias("__asked")).distinct()))
+            known = at
+            for inner_path, inner, inner_aggs in need.children:
+                part = self.timed_aggregate(inner_path, inner, inner_aggs, at, True)
+                known = known.join(part, ["__key", "__at"], "left")
+            known = known.withColumnsRenamed({"__key": "__pk", "__at": "__tau"})
+            steps = owners.join(known, F.col("__own") == F.col("__pk")).select(
+                F.col("__group").alias("__key"), F.struct("__own", "__vis").alias("__row"), F.greatest("__vis", "__tau").alias("__from"),
+                "__tau", "__w", *[col(f"f:{s}") for s in sorted({s for _, _, s in some})])
+            part = during(probes.select("__key", "__at"), materialize(steps), [Spec(f"f:{f.name}", p, f"f:{s}") for f, p, s in some], inclusive)
+            out = out.join(part, ["__key", "__at"], "left")
+        return out.select("__key", "__at", *[col(c) for c in carried], *[col(f"f:{f.name}") for f, _, _ in aggs])
+
     def child_aggregate(self, path, sub: Visit, aggs, pairs: DataFrame | None) -> DataFrame:
+        if pairs is None:
+            return self.paired_aggregate(path, sub, aggs, None)
+        if not branch_moves(self.ds, path, sub):
+            # no cutoff limits these rows: one aggregate for all cutoffs of a key
+            once = _Builder(self.ds, None, False, None, False).paired_aggregate(path, sub, aggs, None)
+            return pairs.join(once, F.col("__key") == F.col("__gkey")).drop("__key").withColumnRenamed(_CUT, "__gcut")
+        if self.few:
+            return self.paired_aggregate(path, sub, aggs, pairs)
+        many, small = hot_groups(pairs, ["__key"], MANY_CUTOFFS)
+        few = self.with_few_cutoffs()
+        if many is None:
+            return few.paired_aggregate(path, sub, aggs, pairs)
+        many = F.broadcast(many) if small else many
+        ordinary = few.paired_aggregate(path, sub, aggs, pairs.join(many, F.col("__key") == F.col("__k0"), "left_anti"))
+        crowded = self.crowded_aggregate(path, sub, aggs, pairs.join(many, F.col("__key") == F.col("__k0"), "left_semi"))
+        return ordinary.unionByName(crowded)
+
+    def with_few_cutoffs(self) -> _Builder:
+        """The same plan for keys of at most ``MANY_CUTOFFS`` cutoffs: a row meets no more than those."""
+        out = _Builder(self.ds, self.cut_value, self.has_cut, self.max_cut, self.inclusive, self.clock)
+        out.few = True
+        return out
+
+    def crowded_aggregate(self, path, sub: Visit, aggs, pairs: DataFrame) -> DataFrame:
+        """Aggregates for keys of many cutoffs, in time linear in rows and cutoffs where a form exists."""
+        fast = [a for a in aggs if self.runs(sub, a[1], a[2])]
+        slow = [a for a in aggs if a not in fast]
+        out = None
+        if fast:
+            probes = materialize(pairs.select("__key", instant(F.col(_CUT), self.clock).alias("__at"), _CUT))
+            out = self.timed_aggregate(path, prune(sub, {s for _, _, s in fast if s}), fast, probes, self.inclusive)
+            out = out.drop("__at").withColumnsRenamed({"__key": "__gkey", _CUT: "__gcut"})
+        if slow:
+            # lists and user aggregates need the rows themselves at every cutoff
+            rest = self.with_few_cutoffs().paired_aggregate(path, prune(sub, {s for _, _, s in slow if s}), slow, pairs)
+            out = rest if out is None else out.join(rest, ["__gkey", "__gcut"], "full")
+        return out.select("__gkey", "__gcut", *[col(f"f:{f.name}") for f, _, _ in aggs])
+
+    def paired_aggregate(self, path, sub: Visit, aggs, pairs: DataFrame | None) -> DataFrame:
         rows = self.child_rows(path, pairs)
         meta = self.ds.meta[sub.table]
         marker = "__m" if len(path) > 1 else None
@@ -402,7 +555,9 @@ def synthesize(
         latest = F.lit(high).cast(task.schema[cutoff].dataType)
         if low == high and n_cut == n_all:
             uniform = latest
-    builder = _Builder(ds, uniform, cutoff is not None, latest, inclusive)
+    timed = [(t, m.time_column) for t, m in ds.meta.items() if m.time_column]
+    kinds = [task.schema[cutoff].dataType, *[ds.tables[t].schema[c].dataType for t, c in timed]] if cutoff else []
+    builder = _Builder(ds, uniform, cutoff is not None, latest, inclusive, clock(kinds) if cutoff else "time")
     rows = task
     if builder.per_row:
         # no row is before the first instant, so it stands for a missing cutoff

@@ -100,9 +100,10 @@ def _keys(by: Sequence[str], prefix: str = "__k") -> list[Column]:
     return [col(c).alias(f"{prefix}{i}") for i, c in enumerate(by)]
 
 
-def hot_groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame | None, bool]:
-    """(keys of groups above the hot size, whether their number allows a broadcast)."""
-    counts = df.groupBy(*_keys(by)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_GROUP_ROWS).drop("__n")
+def hot_groups(df: DataFrame, by: Sequence[str], size: int | None = None) -> tuple[DataFrame | None, bool]:
+    """(keys ``__k0``... of groups above the hot size, whether their number allows a broadcast)."""
+    size = HOT_GROUP_ROWS if size is None else size
+    counts = df.groupBy(*_keys(by)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > size).drop("__n")
     found = counts.limit(MAX_BROADCAST_GROUPS + 1).collect()
     if not found:
         return None, True
@@ -139,7 +140,7 @@ def _with_offsets(cut: DataFrame, need: DataFrame | None, by: Sequence[str], agg
     whole = Window.partitionBy(*[col(c) for c in by])
     before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     how = {"before": lambda c: F.sum(c).over(before), "total": lambda c: F.sum(c).over(whole),
-           "last": lambda c: F.max(c).over(before)}
+           "last": lambda c: F.max(c).over(before), "least": lambda c: F.min(c).over(before)}
     offsets = per.select(*_keys(by), F.col("__b").alias("__ob"), *[how[h](c).alias(n) for n, (c, h, _) in windows.items()])
     if not by:
         offsets = F.broadcast(offsets)  # at most `buckets` rows
@@ -192,6 +193,34 @@ def running_max(df: DataFrame, order: Sequence[str], value: str, out: str) -> Da
     return joined.select(*[col(c) for c in df.columns], F.greatest(F.max(col(value)).over(inside), F.col("__prev")).alias(out))
 
 
+FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+_BEFORE = {"sum": "before", "max": "last", "min": "least"}
+_MERGE = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}
+
+
+def running(
+    df: DataFrame, order: Sequence[str], by: Sequence[str], states: dict[str, str], exclusive: bool = False
+) -> DataFrame:
+    """Each column of ``states`` replaced by its running ``sum``, ``max`` or ``min`` in ``order`` within ``by``.
+
+    Nulls are skipped.  Rows of equal order may see each other or not.  ``exclusive`` leaves
+    the row itself out.
+    """
+    types_ = dict(df.dtypes)
+    cut, need = _cut(df, order, by, None)
+    aggs = {f"__s_{c}": FOLDS[how](col(c)) for c, how in states.items()}
+    windows = {f"__o_{c}": (f"__s_{c}", _BEFORE[how], types_[c]) for c, how in states.items()}
+    joined = _with_offsets(cut, need, by, aggs, windows)
+    inside = Window.partitionBy(*[col(c) for c in by], F.col("__b")).orderBy(*[col(c) for c in order]).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0)
+
+    def state(c: str, how: str) -> Column:
+        here = FOLDS[how](col(c)).over(inside)
+        return here if need is None else _MERGE[how](here, F.col(f"__o_{c}"))
+
+    return joined.select(*[state(c, states[c]).alias(c) if c in states else col(c) for c in df.columns])
+
+
 def numbered(
     df: DataFrame,
     order: Sequence[str],
@@ -216,6 +245,41 @@ def numbered(
     return joined.select(*cols)
 
 
+# bits of a hash that one counting pass looks at, and rows that one task may sort in the end
+PREFIX_BITS = 12
+LAST_CELL_ROWS = 20_000
+
+
+def lowest_hashes(df: DataFrame, h: str, ties: Sequence[str], cap: int) -> DataFrame:
+    """The ``cap`` rows lowest in (hash, ties), found by counting hash prefixes.
+
+    A pass counts the cells of a prefix (at most 4096 numbers for the driver) and the next one
+    looks into the cell that holds the cap-th hash, so two or three narrow passes leave a
+    threshold and a cell of few rows to order; nothing of the size of ``cap`` is merged.
+    """
+    if cap <= 0:
+        return df.filter("false")
+    need, shift, prefix, rows = cap, HASH_BITS, 0, None
+    inside = df
+    while shift > 0 and (rows is None or rows > LAST_CELL_ROWS):
+        shift -= PREFIX_BITS
+        cells = inside.groupBy(F.shiftright(col(h), shift).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if sum(c["n"] for c in cells) <= need:
+            return df if rows is None else df.filter(col(h) < F.lit((prefix + 1) << (shift + PREFIX_BITS)))
+        for c in sorted(cells, key=lambda c: c["cell"]):
+            if c["n"] >= need:
+                prefix, rows = c["cell"], c["n"]
+                break
+            need -= c["n"]
+        inside = df.filter(F.shiftright(col(h), shift) == F.lit(prefix))
+    sure = df.filter(col(h) < F.lit(prefix << shift))
+    if rows > LAST_CELL_ROWS:  # so many rows of one hash: repeated keys
+        edge = numbered(inside, [h, *ties], out="__rn").filter(F.col("__rn") <= need).drop("__rn")
+    else:
+        edge = inside.orderBy(col(h), *[col(c) for c in ties]).limit(need)
+    return sure.unionByName(edge)
+
+
 def numbered_by_hash(
     df: DataFrame, h: str, ties: Sequence[str], by: Sequence[str] = (), out: str = "rn",
     total: str | None = None,
