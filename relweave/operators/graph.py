@@ -5,15 +5,17 @@ Keys are expected to be mapped integers (see ``KeyMapping``); -1 marks a missing
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.model import RelationalDataset, TableMeta, TaskMeta
-from relweave.plans.ordering import numbered, top_per_group
+from relweave.plans.ordering import hot_groups, numbered, top_per_group
 from relweave.session import materialize
 
 EDGE_SCHEMA = ("etype", "src_type", "src", "dst_type", "dst", "ts")
@@ -193,27 +195,90 @@ def neighbor_sample(
     return blocks
 
 
+#: before every time: neighbours without one suit every seed
+_UNTIMED = -(1 << 62)
+_LISTED = "etype string, src_type string, src long, dst_type string, dst long, eid long, __ts long, __h long, __part int, __until long"
+
+
+def lowest_over_time(edges: DataFrame, k: int) -> DataFrame:
+    """Edges that are ever among the ``k`` lowest of their (etype, dst), with ``__until``.
+
+    ``edges`` carry ``__ts`` (long) and ``__h``.  An edge is on its node's list from its own time
+    until the k-th lower one arrives (null: for good); at any time the list holds the sample of
+    all edges up to then.  A list is built in one pass over sorted rows that keeps k edges in
+    memory, and as hashes are random, a node with n edges has about k (1 + ln(n/k)) such edges.
+    A hub is first cut into parallel parts: an edge that misses the list of its part misses
+    the whole list too.
+    """
+    names = [f.split(" ")[0] for f in _LISTED.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    types = [kinds[f.split(" ")[1]] for f in _LISTED.split(", ")]
+
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def scan(batches):
+        node, top, arrival = None, [], 0
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            done = []
+            for i, (etype, src, dst, eid, ts, h, part) in enumerate(zip(*[cols[j] for j in (0, 2, 4, 5, 6, 7, 8)])):
+                if (etype, dst, part) != node:
+                    done += [(*e[1], None) for e in top]
+                    node, top = (etype, dst, part), []
+                arrival += 1
+                key = (-h, -src, -eid, -arrival)  # the worst edge kept is on top of the heap
+                if len(top) < k:
+                    heapq.heappush(top, (key, tuple(c[i] for c in cols)))
+                elif top[0][0] < key:
+                    gone = heapq.heapreplace(top, (key, tuple(c[i] for c in cols)))[1]
+                    if gone[6] < ts:
+                        done.append((*gone, ts))
+            if done:
+                yield record(done)
+        if top:
+            yield record([(*e[1], None) for e in top])
+
+    def lists(df: DataFrame) -> DataFrame:
+        group = ["etype", "dst", "__part"]
+        return df.select(*names[:-1]).repartition(*group).sortWithinPartitions(*group, "__ts", "__h", "src", "eid").mapInArrow(scan, _LISTED)
+
+    edges = edges.withColumn("__part", F.lit(0))
+    hot, small = hot_groups(edges, ["etype", "dst"])
+    if hot is not None:
+        hot = F.broadcast(hot) if small else hot
+        hub = (F.col("etype") == F.col("__k0")) & (F.col("dst") == F.col("__k1"))
+        width = max(16, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        hubs = edges.join(hot, hub, "left_semi").withColumn("__part", F.pmod(F.xxhash64("src", "eid"), F.lit(width)).cast("int"))
+        first = lists(hubs).drop("__until").withColumn("__part", F.lit(0))
+        edges = edges.join(hot, hub, "left_anti").select(*first.columns).unionByName(first)
+    return lists(edges).drop("__part")
+
+
 def neighbor_sample_temporal(
     edges: DataFrame, node_times: DataFrame, seeds: DataFrame, fanouts: Sequence[int | None], seed: int = 0
 ) -> DataFrame:
     """Per-seed times: only neighbours at or before the seed's time are candidates, and sampled
     nodes inherit it.  ``seeds`` (node_type, node, seed_ts).
 
-    Neighbours without a time suit every seed, so they are cut to the fanout once per node
-    before they meet the seeds; a hub of such neighbours is never multiplied by seed times.
+    A node's samples at all times are one short list of edges with the ranges of time in which
+    they are drawn (``lowest_over_time``), so a seed meets that list and never the hub's edges.
+    Neighbours without a time suit every seed.  Without a fanout every earlier edge is wanted.
     """
     edges = with_edge_id(edges)
-    tm = node_times.select(F.col("node_type").alias("__t"), F.col("node").alias("__n"), F.col("ts").alias("__ts"))
+    tm = node_times.select(F.col("node_type").alias("__t"), F.col("node").alias("__n"), F.col("ts").cast("long").alias("__ts"))
     timed = edges.join(tm, (F.col("src_type") == F.col("__t")) & (F.col("src") == F.col("__n")), "left").drop("__t", "__n")
+    timed = timed.withColumn("__ts", F.coalesce("__ts", F.lit(_UNTIMED).cast("long")))
     frontier = seeds.select("node_type", "node", "seed_ts").distinct()
     blocks = None
     for hop, fanout in enumerate(reversed(list(fanouts))):
-        ranked = _hashed(timed, f"{seed}:{hop}")
-        late = _in_edges(ranked.filter("__ts IS NOT NULL"), frontier, ["seed_ts"]).filter(F.col("__ts") <= F.col("seed_ts"))
-        nodes = frontier.select("node_type", "node").distinct()
-        always = _fan(_in_edges(ranked.filter("__ts IS NULL"), nodes), ["etype", "dst"], fanout)
-        near = late.unionByName(_in_edges(always, frontier, ["seed_ts"]))
-        got = _fan(near, ["etype", "dst", "seed_ts"], fanout)
+        reached = _in_edges(timed, frontier.select("node_type", "node").distinct())
+        if fanout is None or fanout < 0:
+            listed = reached.withColumn("__until", F.lit(None).cast("long"))
+        else:
+            listed = lowest_over_time(_hashed(reached, f"{seed}:{hop}"), fanout) if fanout else reached.filter("false").withColumn("__until", F.col("__ts"))
+        got = _in_edges(listed, frontier, ["seed_ts"]).filter(
+            (F.col("__ts") <= F.col("seed_ts")) & (F.col("__until").isNull() | (F.col("seed_ts") < F.col("__until"))))
         block = _hop(got, hop, hop + 1 < len(fanouts), ["etype", "src_type", "src", "dst_type", "dst", "seed_ts", "eid"])
         blocks = block if blocks is None else blocks.unionByName(block)
         frontier = frontier.unionByName(
