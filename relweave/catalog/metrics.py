@@ -165,23 +165,8 @@ def customer_pairs(t: Tables):
         side(early).alias("x"), side(~early).alias("z"))
 
 
-@query(
-    "paired_bootstrap",
-    """WITH p AS (SELECT c_custkey, c_mktsegment AS metric, max(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-06-01') AS x,
-                    max(o_totalprice) FILTER (o_orderdate >= TIMESTAMP '1998-06-01') AS z FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-       f AS (SELECT *, z - x AS d FROM p WHERE x IS NOT NULL AND z IS NOT NULL)
-       SELECT metric, count(*) AS n_pairs, round(avg((d > 1e-12)::INT), 9) AS higher, round(avg((abs(d) <= 1e-12)::INT), 9) AS tied,
-              round(avg((d < -1e-12)::INT), 9) AS lower, round(median(x), 5) AS left_median, round(quantile_cont(x, 0.25), 5) AS left_q1,
-              round(quantile_cont(x, 0.75), 5) AS left_q3, round(median(z), 5) AS right_median, round(quantile_cont(z, 0.25), 5) AS right_q1,
-              round(quantile_cont(z, 0.75), 5) AS right_q3, round(median(d), 5) AS diff_median FROM f GROUP BY 1""",
-)
-def paired_bootstrap(t: Tables):
-    out = C.paired_summary(customer_pairs(t), ["metric"], "x", "z")
-    return rnd(rnd(out, ["higher", "tied", "lower"], 9), [c for c in out.columns if c.split("_")[0] in ("left", "right", "diff")], 5)
-
-
 def poisson_sql(u: str) -> str:
-    """Poisson(1) weight of a uniform number, capped at 8, in SQL."""
+    """Poisson(1) weight of a uniform number of 16 bits, which never exceeds 7, in SQL."""
     acc, p, cuts = 0.0, math.exp(-1.0), []
     for k in range(8):
         acc += p
@@ -190,19 +175,44 @@ def poisson_sql(u: str) -> str:
     return f"CASE {' '.join(cuts)} ELSE 8 END"
 
 
+_PAIRS = """p AS (SELECT c_custkey AS u, c_mktsegment AS metric, max(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-06-01') AS x,
+                    max(o_totalprice) FILTER (o_orderdate >= TIMESTAMP '1998-06-01') AS z FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+       f AS (SELECT *, z - x AS d FROM p WHERE x IS NOT NULL AND z IS NOT NULL)"""
+
+
+def _bootstrap_sql(group: str) -> str:
+    """Medians of 10,000 draws per group; a hash of (unit, block) gives the weights of sixteen draws."""
+    digits = "substr(hash, 1 + 4 * j, 4)"
+    return f"""
+       hs AS (SELECT {group} AS g, d, blk, sha256('20270720|' || u || '|' || blk) AS hash FROM f, range(625) b(blk)),
+       e AS (SELECT g, d, blk * 16 + j AS draw, {poisson_sql(f"(('0x' || {digits})::BIGINT / 65536.0)")} AS w FROM hs, range(16) i(j)),
+       ws AS (SELECT g, draw, d, sum(w) AS w FROM e WHERE w > 0 GROUP BY ALL),
+       c AS (SELECT g, draw, d, sum(w) OVER (PARTITION BY g, draw ORDER BY d) AS upto, sum(w) OVER (PARTITION BY g, draw) AS t FROM ws),
+       m AS (SELECT g, draw, (min(d) FILTER (upto > floor((t - 1) / 2.0)) + min(d) FILTER (upto > ceil((t - 1) / 2.0))) / 2 AS m FROM c GROUP BY ALL),
+       ci AS (SELECT g, count(*) AS draws, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY 1)"""
+
+
+@query(
+    "paired_bootstrap",
+    f"""WITH {_PAIRS}, {_bootstrap_sql("metric")}
+       SELECT metric, count(*) AS n_pairs, round(avg((d > 1e-12)::INT), 9) AS higher, round(avg((abs(d) <= 1e-12)::INT), 9) AS tied,
+              round(avg((d < -1e-12)::INT), 9) AS lower, round(median(x), 5) AS left_median, round(quantile_cont(x, 0.25), 5) AS left_q1,
+              round(quantile_cont(x, 0.75), 5) AS left_q3, round(median(z), 5) AS right_median, round(quantile_cont(z, 0.25), 5) AS right_q1,
+              round(quantile_cont(z, 0.75), 5) AS right_q3, round(median(d), 5) AS diff_median,
+              round(any_value(ci_low), 4) AS ci_low, round(any_value(ci_high), 4) AS ci_high FROM f JOIN ci ON g = metric GROUP BY 1""",
+)
+def paired_bootstrap(t: Tables):
+    out = C.paired_summary(customer_pairs(t), ["metric"], "x", "z", "unit")
+    out = rnd(rnd(out, ["higher", "tied", "lower"], 9), [c for c in out.columns if c.split("_")[0] in ("left", "right", "diff")], 5)
+    return rnd(out, ["ci_low", "ci_high"], 4)
+
+
 @query(
     "paired_bootstrap_interval",
-    f"""WITH p AS (SELECT c_custkey AS u, max(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-06-01') AS x,
-                     max(o_totalprice) FILTER (o_orderdate >= TIMESTAMP '1998-06-01') AS z FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-        e AS (SELECT draw, z - x AS d, ('0x' || substr(md5('20270720|' || u || '|' || draw), 1, 15))::BIGINT / 1152921504606846976.0 AS h
-              FROM p, range(200) g(draw) WHERE x IS NOT NULL AND z IS NOT NULL),
-        w AS (SELECT draw, d, sum({poisson_sql("h")}) AS w FROM e GROUP BY ALL HAVING sum({poisson_sql("h")}) > 0),
-        c AS (SELECT draw, d, sum(w) OVER (PARTITION BY draw ORDER BY d) AS upto, sum(w) OVER (PARTITION BY draw) AS t FROM w),
-        m AS (SELECT draw, (min(d) FILTER (upto > floor((t - 1) / 2.0)) + min(d) FILTER (upto > ceil((t - 1) / 2.0))) / 2 AS m FROM c GROUP BY 1)
-        SELECT count(*) AS draws, round(quantile_cont(m, 0.025), 4) AS ci_low, round(quantile_cont(m, 0.975), 4) AS ci_high FROM m""",
+    f"""WITH {_PAIRS}, {_bootstrap_sql("0")} SELECT draws, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ci""",
 )
 def paired_bootstrap_interval(t: Tables):
-    return rnd(C.bootstrap_median_interval(customer_pairs(t), "unit", "x", "z", 200), ["ci_low", "ci_high"], 4)
+    return rnd(C.bootstrap_median_interval(customer_pairs(t), "unit", "x", "z"), ["ci_low", "ci_high"], 4)
 
 
 _T975 = "CASE n " + " ".join(f"WHEN {n} THEN {C.t_quantile(0.975, n - 1)!r}" for n in range(2, 41)) + " END"

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.model import FLOAT, RelationalDataset
 from relweave.operators import metrics as M
-from relweave.operators.compare import POISSON_TOP
+from relweave.operators.compare import poisson_weights
 from relweave.operators.joins import shortest_path, walk_keys
+from relweave.operators.splits import capped_rows
 from relweave.operators.structure import LABEL_AGGREGATES, effective_rank
-from relweave.plans.ordering import numbered_by_hash, prefix_sums
-from relweave.plans.quantiles import column_quantiles, exact_quantile_values, exact_quantiles
+from relweave.plans.logistic import fit_logistic, score_logistic
+from relweave.plans.ordering import bucket_count, numbered_by_hash, order_bucket, prefix_sums
+from relweave.plans.quantiles import exact_quantile_values, exact_quantiles
+from relweave.session import materialize
 
 # screening thresholds (fixed values)
 POSITIVE_SHARE = (0.05, 0.95)
@@ -143,104 +149,160 @@ def manifest(verdicts: DataFrame, db: str, task: str, passed: str) -> DataFrame:
         col(db), col(task), "db_tasks", "db_passing")
 
 
-# ---------------------------------------------------------------- stage B
+def screen(stage_a_rows: DataFrame, learned: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One verdict per task from both stages: rules first, then learnability and leaks.
+
+    ``learned`` (by..., auc, ci_low, ci_high, gray, b_pass and, if known, leaks) needs a row for
+    each task that passes the rules; one without a row fails closed.
+    """
+    names = [f"__k{i}" for i in range(len(by))]
+    leaks = F.coalesce(F.col("leaks"), F.lit(False)) if "leaks" in learned.columns else F.lit(False)
+    b = learned.select(*[col(c).alias(n) for c, n in zip(by, names)], "auc", "ci_low", "ci_high", "b_pass", leaks.alias("__leaks"), F.lit(True).alias("__seen"))
+    both = stage_a_rows.join(b, [F.col("a_pass"), *[col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)]], "left").drop(*names)
+    failed = F.array_join(F.array_compact(F.array(
+        F.when(F.col("failures") != "", F.col("failures")),
+        F.when(F.col("a_pass") & F.col("__seen").isNull(), "audit_error"),
+        F.when(F.col("a_pass") & ~F.col("b_pass"), "b2_unlearnable"),
+        F.when(F.col("a_pass") & F.col("__leaks"), "b3_leakage"))), ",")
+    out = both.withColumn("failures", failed).withColumn("passed", F.col("failures") == "")
+    stage = F.when(~F.col("a_pass"), "A").when(~F.col("passed"), "B").otherwise("PASS")
+    return out.withColumn("stage", stage).drop("__leaks", "__seen", "b_pass")
 
 
-def _folds(df: DataFrame, key: Sequence[str], folds: int, seed: int) -> DataFrame:
-    """Stratified folds: positions in hash order inside each class, dealt round robin."""
-    h = df.withColumn("__h", S.stable_hash(seed, *key))
-    ranked = numbered_by_hash(h, "__h", key, ["y"], "__rn")
-    return ranked.withColumn("__fold", F.pmod("__rn", F.lit(folds)).cast("int")).drop("__h", "__rn")
+# ---------------------------------------------------------------- stage B
 
 
-def out_of_fold(
-    df: DataFrame, key: Sequence[str], label: str, features: Sequence[str], make_model, folds: int = 3, seed: int = 42,
+def probe_rows(
+    rows: DataFrame, task: str, key: Sequence[str], label: str, features: Sequence[str], folds: int = 3, seed: int = 42
 ) -> DataFrame:
-    """(key..., y, score): each fold scored by a model fitted on the others.
+    """(key..., task, y, fold, x): features filled by the task's median, stratified folds in hash order.
 
-    Fits run on the cluster; the driver loops over folds only.
+    Rows of all tasks lie in one table, so every later step runs once for all of them.
     """
-    base = _folds(df.select(*[col(k) for k in key], col(label).cast("double").alias("y"), *[col(f) for f in features]),
-                  key, folds, seed)
-    filled = base.select(*[col(k) for k in key], "y", "__fold", *[S.finite(col(f)).alias(f) for f in features])
-    med = column_quantiles(filled, {f: col(f) for f in features}, [0.5])
-    filled = filled.withColumns({f: F.coalesce(col(f), F.lit(med[f][0] if med[f][0] is not None else 0.0)) for f in features})
-    vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(filled).select(
-        *[col(k) for k in key], "y", "__fold", "__x").persist()
-    out = None
-    for k in range(folds):
-        model = make_model().setFeaturesCol("__x").setLabelCol("y").fit(vec.filter(F.col("__fold") != k))
-        scored = model.transform(vec.filter(F.col("__fold") == k)).select(
-            *[col(c) for c in key], "y", vector_to_array("probability")[1].alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    names = [f"__f{i}" for i in range(len(features))]
+    base = rows.select(*[col(k) for k in key], col(task).cast("string").alias("task"), col(label).cast("double").alias("y"),
+                       *[S.finite(col(f)).alias(n) for f, n in zip(features, names)])
+    items = F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("v")) for n in names])
+    med = exact_quantiles(base.select("task", F.inline(items)), "v", {"m": 0.5}, ["task", "f"])
+    wide = med.groupBy(F.col("task").alias("__t")).agg(*[F.max(F.when(F.col("f") == n, F.col("m"))).alias(f"__m{i}") for i, n in enumerate(names)])
+    h = base.withColumn("__h", S.stable_hash(seed, *key))
+    dealt = numbered_by_hash(h, "__h", key, ["task", "y"], "__rn")
+    x = F.array(*[F.coalesce(F.col(n), F.col(f"__m{i}"), F.lit(0.0)) for i, n in enumerate(names)])
+    out = dealt.join(wide, F.col("task") == F.col("__t"), "left")
+    return out.select(*[col(k) for k in key], "task", "y", F.pmod("__rn", F.lit(folds)).cast("int").alias("fold"), x.alias("x"))
 
 
 def forest(trees: int = 64, depth: int = 12, seed: int = 42):
     return lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def logistic(max_iter: int = 50):
-    return lambda: LogisticRegression(maxIter=max_iter)
+def forest_scores(probe: DataFrame, key: Sequence[str], trees: int = 64, depth: int = 12, folds: int = 3, seed: int = 42, at_once: int = 8) -> DataFrame:
+    """(key..., task, y, score): each fold of each task scored by a forest grown on the others.
 
+    Every fit is a Spark job of its own and ``at_once`` of them run side by side, each in its own
+    scheduler pool, so small tasks don't queue behind each other.
+    """
+    spark = probe.sparkSession
+    ready = materialize(probe.withColumn("v", array_to_vector("x")))
+    tasks = [r["task"] for r in ready.select("task").distinct().orderBy("task").collect()]
 
-def bootstrap_auc(oof: DataFrame, key: Sequence[str], draws: int = 100, seed: int = 42) -> tuple[float, float, float]:
-    """Mean and 95% interval of the AUC under resampling of the scored rows.
+    def fit(work: tuple[str, int]):
+        name, fold = work
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"forest-{name}-{fold}")
+        mine = ready.filter(F.col("task") == name)
+        model = forest(trees, depth, seed)().setFeaturesCol("v").setLabelCol("y").fit(mine.filter(F.col("fold") != fold))
+        scored = model.transform(mine.filter(F.col("fold") == fold))
+        return scored.select(*[col(k) for k in key], "task", "y", vector_to_array("probability")[1].alias("score"))
 
-    Each (row, draw) gets a Poisson(1) weight from a hash; weights are summed per distinct
-    score before any ranking, and only the draw AUCs reach the driver.
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(inheritable_thread_target(fit), [(t, k) for t in tasks for k in range(folds)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def bootstrap_auc(scored: DataFrame, key: Sequence[str], draws: int = 100, seed: int = 42) -> DataFrame:
+    """(task, auc, ci_low, ci_high): mean and 95% interval of each task's AUC under resampling of its rows.
+
+    A row's Poisson(1) weights in all draws are one vector.  Rows are cut into ordered buckets of
+    scores; a bucket sums its positives, its negatives and the wins inside it as vectors in one
+    pass, and buckets are put together in order, so no row is made per draw.
     """
-    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    u = S.stable_uniform(seed, *key, "draw")
-    weight, acc, p = F.lit(POISSON_TOP), 0.0, float(np.exp(-1.0))
-    cuts = []
-    for k in range(POISSON_TOP):
-        acc += p
-        cuts.append((acc, k))
-        p /= k + 1
-    for edge, k in reversed(cuts):
-        weight = F.when(u < edge, k).otherwise(weight)
-    cells = oof.select(*[col(k) for k in key], "y", "score", draw).withColumn("w", weight).groupBy("draw", "score").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-    ranked = prefix_sums(cells, "score", {"below": "neg"}, ["draw"], {"p": "pos", "q": "neg"})
-    pairs = F.max(F.col("p").cast("double") * F.col("q"))
-    rows = ranked.groupBy("draw").agg(
-        F.when(pairs > 0, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / pairs).otherwise(0.5).alias("a")).collect()
-    aucs = np.array([r["a"] for r in rows])
-    return float(aucs.mean()), float(np.percentile(aucs, 2.5)), float(np.percentile(aucs, 97.5))
+    rows = materialize(scored.select("task", F.concat_ws("|", *[col(k).cast("string") for k in key]).alias("u"), "y", "score"))
+    cut = rows.withColumn("b", order_bucket(rows, ["score"], bucket_count(rows)))
+    dealt = cut.repartition("task", "b").sortWithinPartitions("task", "b", "score").select("task", "b", "score", "y", "u")
+
+    def sums(batches):
+        here, value = None, None
+        pos = neg = wins = tied_pos = tied_neg = None
+
+        def settle():
+            nonlocal pos, neg, wins, tied_pos, tied_neg
+            wins = wins + tied_pos * (neg + tied_neg / 2)
+            pos, neg = pos + tied_pos, neg + tied_neg
+            tied_pos, tied_neg = np.zeros(draws), np.zeros(draws)
+
+        def end():
+            settle()
+            return pa.RecordBatch.from_pydict({
+                "task": [here[0]], "b": pa.array([here[1]], pa.int32()), "pos": [pos.tobytes()], "neg": [neg.tobytes()], "wins": [wins.tobytes()]})
+
+        for batch in batches:
+            for task, b, score, y, u in zip(*[batch.column(c).to_pylist() for c in ("task", "b", "score", "y", "u")]):
+                if (task, b) != here:
+                    if here is not None:
+                        yield end()
+                    here, value = (task, b), score
+                    pos, neg, wins, tied_pos, tied_neg = (np.zeros(draws) for _ in range(5))
+                if score != value:
+                    settle()
+                    value = score
+                w = poisson_weights(u, draws, seed)
+                if y == 1:
+                    tied_pos += w
+                else:
+                    tied_neg += w
+        if here is not None:
+            yield end()
+
+    def combine(task: tuple, parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("b")
+        pos, neg, wins = (np.stack([np.frombuffer(v, float) for v in parts.column(c).to_pylist()]) for c in ("pos", "neg", "wins"))
+        before = np.cumsum(neg, axis=0) - neg
+        pairs = pos.sum(0) * neg.sum(0)
+        auc = np.where(pairs > 0, (wins + pos * before).sum(0) / np.where(pairs > 0, pairs, 1), 0.5)
+        return pa.table({"task": [task[0].as_py()], "auc": [float(auc.mean())], "ci_low": [float(np.percentile(auc, 2.5))], "ci_high": [float(np.percentile(auc, 97.5))]})
+
+    # a task has at most as many buckets as a shuffle has tasks
+    buckets = dealt.mapInArrow(sums, "task string, b int, pos binary, neg binary, wins binary")
+    return buckets.groupBy("task").applyInArrow(combine, "task string, auc double, ci_low double, ci_high double")
+
+
+def learnability(scored: DataFrame, key: Sequence[str], draws: int = 100, seed: int = 42) -> DataFrame:
+    """(task, auc, ci_low, ci_high, gray, b_pass) from out-of-fold scores of any model.
+
+    An AUC of at most 0.52 is rejected, one from 0.58 is accepted; between them a task passes if
+    its bootstrap interval reaches 0.55, and its AUC is the mean of the draws.  One class alone counts as 0.5.
+    """
+    auc = materialize(M.auroc(scored, F.col("y") == 1, "score", ["task"]).select("task", F.coalesce("auroc", F.lit(0.5)).alias("auc")))
+    gray = (F.col("auc") > AUC_HARD_REJECT) & (F.col("auc") < AUC_HARD_ACCEPT)
+    doubtful = scored.join(auc.filter(gray).select(F.col("task").alias("__t")), F.col("task") == F.col("__t"), "left_semi")
+    drawn = bootstrap_auc(doubtful, key, draws, seed).withColumnsRenamed({"task": "__t", "auc": "__mean"})
+    return auc.join(drawn, F.col("task") == F.col("__t"), "left").select(
+        "task", F.coalesce("__mean", "auc").alias("auc"), "ci_low", "ci_high", gray.alias("gray"),
+        F.when(gray, F.col("ci_high") >= AUC_BASELINE).otherwise(F.col("auc") >= AUC_HARD_ACCEPT).alias("b_pass"))
 
 
 def stage_b(
-    tasks: dict[str, DataFrame], key: Sequence[str], label: str, features: Sequence[str], trees: int = 64, depth: int = 12,
+    rows: DataFrame, task: str, key: Sequence[str], label: str, features: Sequence[str], trees: int = 64, depth: int = 12,
     draws: int = 100, seed: int = 42,
 ) -> DataFrame:
-    """Out-of-fold tree AUC per task: reject at most 0.52, accept from 0.58, between by bootstrap."""
-    out, spark = [], None
-    for name, df in tasks.items():
-        spark = df.sparkSession
-        oof = out_of_fold(df, key, label, features, forest(trees, depth, seed), 3, seed).persist()
-        row = M.auroc(oof, F.col("y") == 1, "score").first()
-        auc = 0.5 if row is None or row["auroc"] is None else row["auroc"]
-        mean, low, high, gray = auc, None, None, False
-        if auc <= AUC_HARD_REJECT:
-            passed = False
-        elif auc >= AUC_HARD_ACCEPT:
-            passed = True
-        else:
-            gray = True
-            mean, low, high = bootstrap_auc(oof, key, draws, seed)
-            passed = high >= AUC_BASELINE
-        oof.unpersist()
-        out.append((name, float(mean), low, high, gray, passed))
-    return spark.createDataFrame(out, "task string, auc double, ci_low double, ci_high double, gray boolean, b_pass boolean")
+    """Out-of-fold tree AUC of every task of a long table: see ``learnability``."""
+    probe = probe_rows(rows, task, key, label, features, 3, seed)
+    return learnability(materialize(forest_scores(probe, key, trees, depth, 3, seed)), key, draws, seed)
 
 
 def single_column_auc(df: DataFrame, columns: Sequence[str], y: Column) -> DataFrame:
     """(column, auc): rank AUC of each column alone, whichever direction; nulls take the column median."""
-    items = F.array(*[
-        F.struct(F.lit(c).alias("column"), (S.epoch_micros(c) if "timestamp" in df.schema[c].dataType.simpleString()
-                                            else col(c)).cast("double").alias("x")) for c in columns])
+    items = F.array(*[F.struct(F.lit(c).alias("column"), _as_number(df, c).alias("x")) for c in columns])
     long = df.select(y.alias("__y"), F.inline(items))
     med = exact_quantiles(long, "x", {"m": 0.5}, ["column"]).withColumnRenamed("column", "__c")
     filled = long.join(F.broadcast(med), F.col("column") == F.col("__c"), "left").withColumn("x", F.coalesce("x", "m"))
@@ -248,23 +310,49 @@ def single_column_auc(df: DataFrame, columns: Sequence[str], y: Column) -> DataF
     return auc.select("column", F.greatest(F.col("auroc"), 1 - F.col("auroc")).alias("auc"))
 
 
-def leakage_check(df: DataFrame, columns: Sequence[str], y: Column, full_auc: float, without_auc: float) -> DataFrame:
-    """(column, auc, suspicious, leaks): a column alone reaching 0.90, and the model losing more than 0.10 without it."""
-    drop = full_auc - without_auc
-    single = single_column_auc(df, columns, y)
+def _as_number(df: DataFrame, c: str) -> Column:
+    return (S.epoch_micros(c) if "timestamp" in df.schema[c].dataType.simpleString() else col(c)).cast("double")
+
+
+def leakage_check(
+    df: DataFrame, columns: Sequence[str], y: Column, features: Sequence[str], key: Sequence[str], folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """(column, auc, full_auc, without_auc, suspicious, leaks) of each id or time column.
+
+    A column is suspicious if it alone reaches an AUC of 0.90, whichever direction.  It leaks
+    if a model on all of ``features`` and ``columns`` also loses more than 0.10 of its out-of-fold
+    AUC without it.  The model with everything and those without one column each are fitted
+    together (``plans.logistic``).
+    """
+    used = [*features, *columns]
+    wide = df.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.lit("all").alias("__task"), y.cast("int").alias("__label"),
+                     *[_as_number(df, c).alias(f"__c{i}") for i, c in enumerate(used)])
+    keys = [f"__k{i}" for i in range(len(key))]
+    probe = materialize(probe_rows(wide, "__task", keys, "__label", [f"__c{i}" for i in range(len(used))], folds, seed))
+    out = [-1, *range(len(features), len(used))]
+    weights, scale = fit_logistic(probe, len(used), folds, out)
+    scored = score_logistic(probe, ["y"], weights, scale, out)
+    aucs = M.auroc(scored, F.col("y") == 1, "score", ["left_out"])
+    whole = aucs.filter("left_out = -1").select(F.coalesce("auroc", F.lit(0.5)).alias("full_auc"))
+    name = F.array(*[F.lit(c) for c in columns])[F.col("left_out") - len(features)]
+    without = aucs.filter("left_out >= 0").select(name.alias("__c"), F.coalesce("auroc", F.lit(0.5)).alias("without_auc")).join(whole)  # one row
     suspicious = F.col("auc") >= LEAK_SINGLE
-    return single.select("column", "auc", suspicious.alias("suspicious"), (suspicious & F.lit(drop > LEAK_DROP)).alias("leaks"))
+    single = single_column_auc(df, columns, y).join(without, F.col("column") == F.col("__c"))
+    return single.select("column", "auc", "full_auc", "without_auc", suspicious.alias("suspicious"),
+                         (suspicious & (F.col("full_auc") - F.col("without_auc") > LEAK_DROP)).alias("leaks"))
+
 
+def linear_probe(rows: DataFrame, task: str, key: Sequence[str], label: str, features: Sequence[str], folds: int = 3, seed: int = 42) -> DataFrame:
+    """(task, auc, easy, hard): mean AUC over the folds of a logistic regression, above 0.8 or below 0.6.
 
-def linear_probe(tasks: dict[str, DataFrame], key: Sequence[str], label: str, features: Sequence[str], folds: int = 3) -> DataFrame:
-    """3-fold logistic regression AUC per task, marked easy (>= 0.9) or hard (<= 0.6)."""
-    rows, spark = [], None
-    for name, df in tasks.items():
-        spark = df.sparkSession
-        row = M.auroc(out_of_fold(df, key, label, features, logistic(), folds), F.col("y") == 1, "score").first()
-        auc = 0.5 if row is None or row["auroc"] is None else row["auroc"]
-        rows.append((name, float(auc), auc >= 0.9, auc <= 0.6))
-    return spark.createDataFrame(rows, "task string, auc double, easy boolean, hard boolean")
+    All tasks and folds of a long table are fitted together (``plans.logistic``).
+    """
+    probe = materialize(probe_rows(rows, task, key, label, features, folds, seed))
+    weights, scale = fit_logistic(probe, len(features), folds)
+    scored = score_logistic(probe, ["task", "fold", "y"], weights, scale)
+    per = M.auroc(scored, F.col("y") == 1, "score", ["task", "fold"])
+    return per.groupBy("task").agg(F.avg("auroc").alias("auc")).select(
+        "task", "auc", (F.col("auc") > 0.8).alias("easy"), (F.col("auc") < 0.6).alias("hard"))
 
 
 # ---------------------------------------------------------------- drift
@@ -306,53 +394,73 @@ def drift_ks(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataF
     return _cumulative(left, right, columns).groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
+def directions(d: int, count: int, seed: int = 42) -> list[list[float]]:
+    """Unit vectors to project on: one for a line, even angles in a plane, else random orthogonal sets."""
+    if d == 1:
+        return [[1.0]]
+    if d == 2:
+        angles = (np.arange(count) + 0.5) * np.pi / count
+        return np.stack([np.cos(angles), np.sin(angles)], axis=1).tolist()
+    rng = np.random.default_rng(seed)
+    sets = [np.linalg.qr(rng.normal(size=(d, d)))[0].T for _ in range(-(-count // d))]
+    return np.concatenate(sets)[:count].tolist()
+
+
+def sphere_constant(d: int) -> float:
+    """Mean of |u . e| over unit vectors u: what a projection keeps of a distance, on average."""
+    return math.exp(math.lgamma(d / 2) - math.lgamma((d + 1) / 2)) / math.sqrt(math.pi)
+
+
 def energy_distance(
-    left: DataFrame, right: DataFrame, columns: Sequence[str], key: Sequence[str], cap: int = 500, seed: int = 42
+    left: DataFrame, right: DataFrame, columns: Sequence[str], key: Sequence[str] = (), count: int = 32, seed: int = 42,
+    cap: int | None = None,
 ) -> DataFrame:
-    """2 E|X-Y| - E|X-X'| - E|Y-Y'| on samples of at most ``cap`` rows, scaled jointly.
-
-    The capped sample is the definition of this statistic; it is a few hundred short vectors,
-    sent to the tasks that measure distances for their own rows.
+    """2 E|X-Y| - E|X-X'| - E|Y-Y'| over all rows, scaled jointly: (n_left, n_right, energy, energy_sqrt, error).
+
+    A distance is the mean of its projections on all directions, up to the constant of the
+    dimension, and on a line the statistic is twice the squared area between the two step
+    functions.  So each direction is solved exactly from running counts of the ordered union,
+    and no pair of rows is formed.  ``error`` is the standard error over the random directions
+    (0 for one column, where one direction says all; in a plane directions are evenly spaced).
+    Null and non-finite values count as 0.  ``cap`` thins each side to that many rows by the hash
+    of ``key``, where a user prefers that; nothing is capped otherwise.
     """
-    def sample(df: DataFrame, side: str) -> DataFrame:
-        h = df.select(S.stable_hash(seed, *key).alias("h"), *[col(k).alias(f"k{i}") for i, k in enumerate(key)],
-                      F.array(*[F.coalesce(S.finite(col(c)), F.lit(0.0)) for c in columns]).alias("x"))
-        order = ["h", *[f"k{i}" for i in range(len(key))]]
-        return h.orderBy(*order).limit(cap).select(F.lit(side).alias("side"), "x")
-
-    both = sample(left, "a").unionByName(sample(right, "b"))
-    local = both.collect()  # at most 2 * cap rows
-    data = np.array([r["x"] for r in local], dtype=float)
-    sides = np.array([r["side"] for r in local])
-    scale = np.maximum(data.std(axis=0, ddof=1), 1e-8)
-    data = (data - data.mean(axis=0)) / scale
-    spark = left.sparkSession
-    points = spark.createDataFrame(pd.DataFrame({"side": sides, "x": list(data)}), "side string, x array<double>")
-    a, b = data[sides == "a"], data[sides == "b"]
-
-    def measure(batches):
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), a.shape[1])
-            to_a = np.sqrt(((x[:, None, :] - a[None, :, :]) ** 2).sum(axis=2)).mean(axis=1)
-            to_b = np.sqrt(((x[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)).mean(axis=1)
-            yield pd.DataFrame({"side": pdf["side"], "to_a": to_a, "to_b": to_b})
-
-    d = points.mapInPandas(measure, "side string, to_a double, to_b double")
-    is_a = F.col("side") == "a"
-    e = (2 * F.avg(F.when(is_a, F.col("to_b"))) - F.avg(F.when(is_a, F.col("to_a"))) - F.avg(F.when(~is_a, F.col("to_b"))))
-    return d.agg(F.sum(is_a.cast("long")).alias("n_left"), F.sum((~is_a).cast("long")).alias("n_right"), e.alias("energy")).withColumn(
-        "energy_sqrt", F.sqrt(F.greatest(F.col("energy"), F.lit(0.0))))
+    if cap is not None:
+        left, right = capped_rows(left, cap, key, seed), capped_rows(right, cap, key, seed)
+    names = [f"x{i}" for i in range(len(columns))]
+    both = None
+    for side, df in ((1, left), (0, right)):
+        part = df.select(F.lit(side).cast("long").alias("na"), F.lit(1 - side).cast("long").alias("nb"),
+                         *[F.coalesce(S.finite(col(c)), F.lit(0.0)).alias(n) for c, n in zip(columns, names)])
+        both = part if both is None else both.unionByName(part)
+    row = both.agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"),
+                   *[f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z = [(F.col(n) - F.lit(row[f"m_{n}"])) / F.lit(max(row[f"s_{n}"] or 0.0, 1e-8)) for n in names]
+    lines = directions(len(columns), count, seed)
+    # an empty side has no distance; its counts still come back
+    items = F.array(*[
+        F.struct(F.lit(i).alias("line"), sum((F.lit(w) * x for w, x in zip(u[1:], z[1:])), F.lit(u[0]) * z[0]).alias("z"))
+        for i, u in enumerate(lines)])
+    cells = both.select("na", "nb", F.inline(items)).groupBy("line", "z").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    steps = prefix_sums(cells, "z", {"ba": "na", "bb": "nb"}, ["line"], {"ta": "na", "tb": "nb"}, previous="prev")
+    gap = F.col("ba") / F.col("ta") - F.col("bb") / F.col("tb")
+    area = F.when((F.col("ta") > 0) & (F.col("tb") > 0), F.coalesce(2 * gap * gap * (F.col("z") - F.col("prev")), F.lit(0.0)))
+    per = steps.groupBy("line").agg((F.sum(area) / F.lit(sphere_constant(len(columns)))).alias("e"))
+    spread = F.coalesce(F.stddev_samp("e"), F.lit(0.0)) / math.sqrt(len(lines)) if len(columns) > 2 else F.lit(0.0)
+    return per.agg(
+        F.lit(row["na"] or 0).cast("long").alias("n_left"), F.lit(row["nb"] or 0).cast("long").alias("n_right"),
+        F.avg("e").alias("energy"), F.sqrt(F.avg("e")).alias("energy_sqrt"), spread.alias("error"))
 
 
 def corpus_compare(
-    pairs: dict[str, tuple[DataFrame, DataFrame]], columns: Sequence[str], key: Sequence[str], cap: int = 300
+    pairs: dict[str, tuple[DataFrame, DataFrame]], columns: Sequence[str], count: int = 32, seed: int = 42
 ) -> DataFrame:
-    """Spectrum, W1, KS and energy distance of each table pair of two corpora."""
+    """Spectrum, W1, KS and energy distance of each table pair of two corpora, over all rows."""
     out = None
     for name, (left, right) in pairs.items():
         w1 = drift_w1(left, right, columns).agg(F.median("w1").alias("w1_p50"))
         ks = drift_ks(left, right, columns).agg(F.median("ks").alias("ks_p50"))
-        en = energy_distance(left, right, columns, key, cap).select("energy_sqrt")
+        en = energy_distance(left, right, columns, count=count, seed=seed).select("energy_sqrt")
         sp = effective_rank(left, columns).select(F.col("eigen_entropy").alias("left_entropy"), F.col("top5_ratio").alias("left_top5"))
         sr = effective_rank(right, columns).select(F.col("eigen_entropy").alias("right_entropy"), F.col("top5_ratio").alias("right_top5"))
         # one-row results side by side
