@@ -62,22 +62,47 @@ def cast_feature(t: Tables):
 
 @query(
     "text_join",
-    """SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY ALL""",
+    """WITH r AS (SELECT conv_id, role, turn, text, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) - 1) // 2 AS part
+                  FROM conversations WHERE text IS NOT NULL)
+       SELECT conv_id, role, part::BIGINT AS part, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM r GROUP BY ALL""",
 )
 def text_join(t: Tables):
+    """Numbered chunks of two rows: no cell grows with its group."""
+    return agg.join_text(t.conversations, ["conv_id", "role"], "text", ["turn", "text"], chunk=2, parts=True)
+
+
+@query(
+    "text_join_whole",
+    """SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY ALL""",
+)
+def text_join_whole(t: Tables):
     joined = agg.join_text(t.conversations, ["conv_id", "role"], "text", ["turn"])
     n = t.conversations.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
     return joined.join(n, ["conv_id", "role"])
 
 
+def _role_tokens(t: Tables):
+    return t.conversations.select("conv_id", "turn", F.split(F.concat_ws(" ", "role", F.col("turn").cast("string")), " ").alias("tokens"))
+
+
 @query(
     "array_flatten",
+    """WITH r AS (SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1) // 4 AS part FROM conversations)
+       SELECT conv_id, part::BIGINT AS part, flatten(list(string_split(role || ' ' || turn::VARCHAR, ' ') ORDER BY turn, role)) AS tokens
+       FROM r GROUP BY ALL""",
+)
+def array_flatten(t: Tables):
+    """Numbered chunks of four lists: no cell grows with its group."""
+    return agg.concat_tokens(_role_tokens(t), ["conv_id"], "tokens", ["turn", "tokens"], chunk=4, parts=True)
+
+
+@query(
+    "array_flatten_whole",
     """SELECT conv_id, flatten(list(string_split(role || ' ' || turn::VARCHAR, ' ') ORDER BY turn)) AS tokens
        FROM conversations GROUP BY 1""",
 )
-def array_flatten(t: Tables):
-    toks = t.conversations.select("conv_id", "turn", F.split(F.concat_ws(" ", "role", F.col("turn").cast("string")), " ").alias("tokens"))
-    return agg.concat_tokens(toks, ["conv_id"], "tokens", ["turn"])
+def array_flatten_whole(t: Tables):
+    return agg.concat_tokens(_role_tokens(t), ["conv_id"], "tokens", ["turn"])
 
 
 _MAYBE = "CASE WHEN embedding[2] > 0.1 THEN NULL ELSE embedding END"

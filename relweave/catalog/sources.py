@@ -129,12 +129,19 @@ def dataset_discover(t: Tables):
 
 @query(
     "peek_table",
-    """SELECT 'l_orderkey' AS "column", 'bigint' AS type, count(*) AS rows, count(l_orderkey) AS present FROM lineitem
-       UNION ALL SELECT 'l_discount', 'double', count(*), count(CASE WHEN l_returnflag <> 'R' THEN 1 END) FROM lineitem""",
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5)
+       SELECT 'l_orderkey' AS "column", 'bigint' AS type, count(*) AS rows, count(l_orderkey) AS present,
+              (SELECT list(l_orderkey::VARCHAR ORDER BY l_orderkey, l_linenumber) FROM f) AS first FROM lineitem
+       UNION ALL SELECT 'l_linenumber', 'int', count(*), count(l_linenumber), (SELECT list(l_linenumber::VARCHAR ORDER BY l_orderkey, l_linenumber) FROM f) FROM lineitem
+       UNION ALL SELECT 'l_discount', 'double', count(*), count(CASE WHEN l_returnflag <> 'R' THEN 1 END),
+              (SELECT list(CASE WHEN l_returnflag <> 'R' THEN 'some' END ORDER BY l_orderkey, l_linenumber) FROM f) FROM lineitem""",
 )
 def peek_table(t: Tables):
-    li = t.lineitem.select("l_orderkey", F.when(F.col("l_returnflag") != "R", F.col("l_discount")).alias("l_discount"))
-    return R.describe_columns(li)
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_returnflag") != "R", F.col("l_discount")).alias("l_discount"))
+    out = R.describe_columns(li, 5, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).filter(~F.col("column").isin("l_partkey", "l_suppkey"))
+    # the text of a double differs between engines, so that column says only whether a value is there
+    some = F.transform("first", lambda v: F.when(v.isNotNull(), "some"))
+    return out.withColumn("first", F.when(F.col("column") == "l_discount", some).otherwise(F.col("first")))
 
 
 @query(

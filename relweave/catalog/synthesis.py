@@ -149,21 +149,48 @@ def dfs_agg_mode(t: Tables):
 
 @query(
     "dfs_agg_join",
-    """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id""",
+    """WITH r AS (SELECT conv_id, turn, role, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 4 AS part
+                  FROM conversations WHERE text IS NOT NULL)
+       SELECT conv_id, part::BIGINT AS part, string_agg(text, chr(10) ORDER BY turn, role, text) AS text FROM r GROUP BY ALL""",
 )
 def dfs_agg_join(t: Tables):
+    """The join of each group as numbered chunks of four rows, so that no cell grows with its group."""
+    return agg.join_text(t.conversations, ["conv_id"], "text", ["turn", "role", "text"], chunk=4, parts=True)
+
+
+@query(
+    "dfs_agg_join_whole",
+    """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id""",
+)
+def dfs_agg_join_whole(t: Tables):
+    """One cell per group, where a user wants that."""
     return agg.join_text(t.conversations, ["conv_id"], "text", ["turn", "role", "text"])
 
 
 @query(
     "dfs_agg_concat",
     """
+    WITH r AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1) // 4 AS part
+               FROM conversations WHERE text IS NOT NULL),
+    k AS (SELECT conv_id, part, turn, text, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) AS pos FROM r)
+    SELECT conv_id, part::BIGINT AS part, count(*) AS n_tokens, list(tok ORDER BY turn, text, pos) AS tokens FROM k GROUP BY ALL
+    """,
+)
+def dfs_agg_concat(t: Tables):
+    tok = t.conversations.withColumn("tokens", F.split("text", " "))
+    out = agg.concat_tokens(tok, ["conv_id"], "tokens", ["turn", "text"], chunk=4, parts=True)
+    return out.select("conv_id", "part", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+
+
+@query(
+    "dfs_agg_concat_whole",
+    """
     WITH k AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS tok,
                       generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations)
     SELECT conv_id, count(*) AS n_tokens, list(tok ORDER BY turn, pos) AS tokens FROM k GROUP BY conv_id
     """,
 )
-def dfs_agg_concat(t: Tables):
+def dfs_agg_concat_whole(t: Tables):
     tok = t.conversations.withColumn("tokens", F.split("text", " "))
     out = agg.concat_tokens(tok, ["conv_id"], "tokens", ["turn"])
     return out.select("conv_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens")

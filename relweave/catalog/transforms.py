@@ -325,15 +325,27 @@ def flat_pipeline(t: Tables):
     return out
 
 
-@query("power_transform")
+_YJ = """CASE WHEN value >= 0 THEN CASE WHEN abs(lam) < 1e-12 THEN ln(1 + value) ELSE (pow(1 + value, lam) - 1) / lam END
+              ELSE CASE WHEN abs(lam - 2) < 1e-12 THEN -ln(1 - value) ELSE -(pow(1 - value, 2 - lam) - 1) / (2 - lam) END END"""
+
+
+def _grid_sql(name: str, grid: str) -> str:
+    return f"""{name} AS (SELECT lam, -count(*) / 2.0 * ln(var_pop({_YJ})) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) AS l
+                         FROM events, ({grid}) WHERE value IS NOT NULL GROUP BY lam)"""
+
+
+@query(
+    "power_transform",
+    f"""WITH {_grid_sql("g", "SELECT i / 10.0 AS lam FROM range(-40, 41) r(i)")},
+        {_grid_sql("h", "SELECT round((SELECT arg_max(lam, l) FROM g) + i / 100.0, 2) AS lam FROM range(-12, 13) r(i)")}
+        SELECT (SELECT count(*) FROM events) AS n, arg_max(lam, l)::DOUBLE AS lambda, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS std, 1.0::DOUBLE AS k, true AS k_marked FROM h""",
+)
 def power_transform(t: Tables):
     ev = t.events.select("event_id", "value", F.lit(1.0).alias("k"))
     fit = T.fit_power(ev, ["value", "k"])
-    out = fit.apply(ev)
-    return out.agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_pop("value"), 6).alias("std"), F.round(F.skewness("value"), 1).alias("skew"),
-        F.min("k").alias("k"), F.lit("k" in fit.marked).alias("k_marked"))
+    return fit.apply(ev).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.lit(fit.lambdas["value"]), 2).alias("lambda"), F.round(F.abs(F.avg("value")), 6).alias("mean"),
+        F.round(F.stddev_pop("value"), 6).alias("std"), F.min("k").alias("k"), F.lit("k" in fit.marked).alias("k_marked"))
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import Window, Column, DataFrame, functions as F
 
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
-from relweave.plans.ordering import bucket_count, numbered, numbered_by_hash, top_per_group
+from relweave.plans.ordering import bucket_count, lowest_hashes, numbered, numbered_by_hash, top_per_group
 from relweave.plans.quantiles import exact_quantile_values
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
@@ -190,12 +190,12 @@ def ovr_labels(df: DataFrame, label: str, classes: Sequence | None = None) -> Da
 
 
 def capped_rows(df: DataFrame, cap: int, key: Sequence[str], seed: int | str) -> DataFrame:
-    """At most ``cap`` rows in hash order of (seed, key): per-partition top-n, then a merge."""
-    return df.withColumn("__h", S.stable_hash(seed, *key)).orderBy("__h", *[col(k) for k in key]).limit(cap).drop("__h")
+    """At most ``cap`` rows in hash order of (seed, key), by a threshold on the hash."""
+    return lowest_hashes(df.withColumn("__h", S.stable_hash(seed, *key)), "__h", key, cap).drop("__h")
 
 
 def capped_per_group(df: DataFrame, by: Sequence[str], cap: int, key: Sequence[str], seed: int | str) -> DataFrame:
-    """At most ``cap`` rows per group; a hot group is cut in sixteen parts first."""
+    """At most ``cap`` rows per group; a hot group is cut in parts first, as many as a shuffle has."""
     h = df.withColumn("__h", S.stable_hash(seed, *by, *key))
     return top_per_group(h, by, [F.col("__h"), *[col(k) for k in key]], cap, "__rn").drop("__h", "__rn")
 
@@ -240,15 +240,21 @@ def entity_cluster_sample(
     """
     counts = df.groupBy(col(entity)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= 2)
     (median,) = exact_quantile_values(counts, "__n", [0.5])
+    hashed = df.withColumn("__h", S.stable_hash(seed, *key))
     if median is None:
-        hashed = df.withColumn("__tier", F.lit(1)).withColumn("__h", S.stable_hash(seed, *key))
+        hashed = hashed.withColumn("__tier", F.lit(1))
     else:
         k = max(1, total // max(2, int(median)))
-        chosen = counts.withColumn("__eh", S.stable_hash(seed, entity)).orderBy("__eh", col(entity)).limit(k)
+        chosen = lowest_hashes(counts.withColumn("__eh", S.stable_hash(seed, entity)), "__eh", [entity], k)
         mark = chosen.select(col(entity).alias("__e"), F.lit(0).alias("__in"))
-        hashed = df.join(mark, col(entity) == F.col("__e"), "left").withColumn(
-            "__tier", F.coalesce("__in", F.lit(1))).drop("__e", "__in").withColumn("__h", S.stable_hash(seed, *key))
-    picked = hashed.orderBy("__tier", "__h", *[col(c) for c in key]).limit(total)
+        hashed = hashed.join(mark, col(entity) == F.col("__e"), "left").withColumn(
+            "__tier", F.coalesce("__in", F.lit(1))).drop("__e", "__in")
+    first, rest = hashed.filter("__tier = 0"), hashed.filter("__tier = 1")
+    whole = first.count()
+    if whole >= total:
+        picked = lowest_hashes(first, "__h", key, total)
+    else:
+        picked = first.unionByName(lowest_hashes(rest, "__h", key, total - whole))
     have = min(total, df.count())
     once = picked.withColumn("copy", F.lit(0))
     if have == total:

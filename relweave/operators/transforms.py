@@ -313,35 +313,79 @@ def yeo_johnson(c: Column, lam: float | Column) -> Column:
     return F.when(c >= 0, pos).otherwise(neg)
 
 
-def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], low: float = -4.0, high: float = 4.0,
-                    points: int = 9, rounds: int = 5) -> dict[str, float | None]:
-    """Maximum-likelihood lambda per column by a shrinking grid; one pass per round for all columns.
-
-    Each value meets every lambda of the round and is combined before the shuffle, so a round
-    exchanges columns x lambdas rows.  None (column unchanged) when the likelihood is never
-    finite, such as a constant column.
+def _box(u: Column, power: float) -> list[Column]:
+    """(e^(power u) - 1) / power and its first two derivatives by the power."""
+    if abs(power) < 1e-3:  # the quotient loses its digits near 0, its series does not
+        def series(skip: int) -> Column:
+            total, fact = F.lit(0.0), 1.0
+            for k in range(12):
+                fact *= k + 1
+                if k >= skip:
+                    fall = math.prod(range(k - skip + 1, k + 1))
+                    total = total + F.lit(fall * power ** (k - skip) / fact) * F.pow(u, F.lit(float(k + 1)))
+            return total
+
+        return [series(0), series(1), series(2)]
+    e = F.exp(F.lit(power) * u)
+    zero = (e - 1) / F.lit(power)
+    one = (u * e - zero) / F.lit(power)
+    return [zero, one, (u * u * e - 2 * one) / F.lit(power)]
+
+
+def _yeo_johnson_parts(x: Column, lam: float) -> list[Column]:
+    """The transform of ``x`` and its first two derivatives by lambda."""
+    up, down = _box(F.log1p(F.abs(x)), lam), _box(F.log1p(F.abs(x)), 2.0 - lam)
+    # below zero the transform is minus the same form in 2 - lambda
+    return [F.when(x >= 0, p).otherwise(sign * q) for p, q, sign in zip(up, down, (-1, 1, -1))]
+
+
+def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-10, passes: int = 60) -> dict[str, float | None]:
+    """Maximum-likelihood lambda per column, by Newton's method on the likelihood's derivatives.
+
+    A pass is one aggregation without a shuffle of rows: the variance of the transform, and the
+    variance and covariances of its derivatives, of every column that still moves.  Steps that
+    leave the bracket of known signs are halved back into it.  None (column unchanged) when
+    the likelihood is never finite, such as for a constant column.
     """
-    span = {c: (low, high) for c in columns}
     best: dict[str, float | None] = {c: None for c in columns}
-    for _ in range(rounds):
-        items = []
-        for i, c in enumerate(columns):
-            a, b = span[c]
-            grid = F.array(*[F.lit(a + (b - a) * k / (points - 1)) for k in range(points)])
-            items.append(F.struct(F.lit(i).alias("i"), S.finite(col(c)).alias("x"), grid.alias("grid")))
-        long = df.select(F.inline(F.array(*items))).filter("x is not null")
-        rows = long.select("i", "x", F.explode("grid").alias("lam")).groupBy("i", "lam").agg(
-            F.count("x").alias("n"), F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v"),
-            F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("j")).collect()
-        for i, c in enumerate(columns):
-            scored = [
-                (-r["n"] / 2 * math.log(r["v"]) + (r["lam"] - 1) * r["j"], -abs(r["lam"] - 1), r["lam"])
-                for r in rows if r["i"] == i and r["v"] is not None and math.isfinite(r["v"]) and r["v"] > 1e-300
-            ]
-            best[c] = max(scored)[2] if scored else None
-            if scored:
-                width = (span[c][1] - span[c][0]) / (points - 1)
-                span[c] = (best[c] - width, best[c] + width)
+    at = dict.fromkeys(columns, 1.0)
+    low: dict[str, float] = {}
+    high: dict[str, float] = {}
+    for _ in range(passes):
+        if not at:
+            break
+        aggs = []
+        for i, (c, lam) in enumerate(at.items()):
+            x = S.finite(col(c))
+            y, y1, y2 = _yeo_johnson_parts(x, lam)
+            aggs += [F.count(x).alias(f"n{i}"), F.var_pop(y).alias(f"v{i}"), F.covar_pop(y, y1).alias(f"c{i}"), F.var_pop(y1).alias(f"w{i}"),
+                     F.covar_pop(y, y2).alias(f"d{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j{i}"),
+                     (F.min(x) == F.max(x)).alias(f"s{i}")]
+        row = df.agg(*aggs).first()
+        for i, (c, lam) in enumerate(list(at.items())):
+            n, v, cov, w, d, j = (row[f"{k}{i}"] for k in "nvcwdj")
+            if not n or row[f"s{i}"]:
+                del at[c]  # no value, or a constant one
+                continue
+            known = all(t is not None and math.isfinite(t) for t in (v, cov, w, d, j)) and v > 1e-300
+            if known:
+                slope = j - n * cov / v
+                bend = -n * ((w + d) / v - 2 * (cov / v) ** 2)
+                (low if slope > 0 else high)[c] = lam
+                step = -slope / bend if bend < 0 else math.copysign(1.0, slope)
+                step = max(-2.0, min(2.0, step))
+                best[c] = lam
+            else:  # the transform leaves the range of doubles: step back towards 1
+                (high if lam > 1.0 else low)[c] = lam
+                step = 1.0 - lam
+            new = lam + step
+            if c in low and c in high and not low[c] < new < high[c]:
+                new = (low[c] + high[c]) / 2
+            if known and abs(new - lam) <= tolerance * max(1.0, abs(lam)):
+                best[c] = new
+                del at[c]
+            else:
+                at[c] = new
     return best
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -14,6 +15,9 @@ TIME_NAMES = ("date", "timestamp", "time", "datetime")
 INTEGER_CATEGORY_BELOW = 100
 STRING_CATEGORY_BELOW = 10_000
 CLASSIFICATION_AT_MOST = 20
+# relative error of the sketches of distinct values, and how near to a bound they are not trusted
+SKETCH_ERROR = 0.01
+SKETCH_MARGIN = 0.1
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,6 +35,33 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return names.join(counts, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("distinct"))
 
 
+def unique_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    """(table, column) of the id columns with one row per value, in two jobs whatever the number of tables.
+
+    A sketch of the distinct values screens every column in one scan of its table; only a column
+    whose sketch comes near the row count is grouped to make sure.
+    """
+    parts = []
+    for t, df in tables.items():
+        ids = [c for c in df.columns if c.lower().endswith("id")]
+        if ids:
+            row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(col(c)).alias(f"{k}{i}") for i, c in enumerate(ids) for k, f in (
+                ("a", lambda c: F.approx_count_distinct(c, SKETCH_ERROR)), ("p", F.count))])
+            items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("approx"), F.col(f"p{i}").alias("present")) for i, c in enumerate(ids)])
+            parts.append(row.select(F.lit(t).alias("t"), "rows", F.inline(items)))
+    if not parts:
+        return []
+    screened = reduce(DataFrame.unionByName, parts).filter(
+        (F.col("rows") > 0) & (F.col("present") == F.col("rows")) & (F.col("approx") >= F.col("rows") * (1 - SKETCH_MARGIN))).collect()
+    maybe = [(r["t"], r["column"]) for r in screened]
+    if not maybe:
+        return []
+    repeats = reduce(DataFrame.unionByName, [
+        tables[t].groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).select(F.lit(t).alias("t"), F.lit(c).alias("column"))
+        for t, c in maybe]).collect()
+    return [m for m in maybe if m not in {(r["t"], r["column"]) for r in repeats}]
+
+
 def infer_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column, role, parent) for primary keys, foreign keys and time columns.
 
@@ -47,12 +78,7 @@ def infer_keys(tables: dict[str, DataFrame]) -> DataFrame:
     called = F.col("low").endswith("id") & ((F.col("low") == "id") | (~F.col("low").isin("_id") & ((short == F.col("table_name")) | (short == stem))))
     marked = columns.withColumn("named", called)
     plain = [r[0] for r in marked.groupBy("table_name").agg(F.bool_or("named").alias("has")).filter("not has").select("table_name").collect()]
-    unique = []
-    for name in plain:  # one scan for each table without a key by name
-        ids = [c for c in tables[name].columns if c.lower().endswith("id")]
-        if ids:
-            rows = tables[name].count()
-            unique += [(name, r["column"]) for r in distinct_counts(tables[name], ids).filter(F.col("distinct") == rows).collect()]
+    unique = unique_columns({t: tables[t] for t in plain})
     by_value = spark.createDataFrame(unique, "table_name string, column string").withColumn("single", F.lit(True))
     keyed = marked.join(by_value, ["table_name", "column"], "left").filter("named or single")
     pk = keyed.groupBy("table_name", "t").agg(F.min_by("column", "c").alias("column"))
@@ -87,18 +113,24 @@ def infer_dtypes(df: DataFrame) -> DataFrame:
     out = spark.createDataFrame(fixed, "column string, dtype string") if fixed else None
     scanned = ints + strings
     if scanned:
-        items = F.array(*[
-            F.struct(
-                F.lit(c).alias("column"), F.lit(c in strings).alias("is_text"), col(c).cast("string").alias("v")
-            )
-            for c in scanned
-        ])
-        values = df.select(F.inline(items)).filter("v is not null").distinct()
-        stats = values.groupBy("column", "is_text").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bool_or(F.col("v").rlike(r"\s")).alias("blank"),
-            F.bool_and(F.expr("try_cast(v AS timestamp)").isNotNull()).alias("is_time"),
-        )
+        # one scan: flags of the text columns and a sketch of every column's distinct values
+        aggs = []
+        for i, c in enumerate(scanned):
+            v = col(c).cast("string")
+            aggs += [F.approx_count_distinct(col(c), SKETCH_ERROR).alias(f"n{i}"), F.count(v).alias(f"p{i}")]
+            if c in strings:
+                aggs += [F.bool_or(v.rlike(r"\s")).alias(f"b{i}"),
+                         F.bool_and(v.try_cast("timestamp").isNotNull() | v.isNull()).alias(f"t{i}")]
+        row = df.agg(*aggs).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(scanned)}
+        # a column near its cut-off is counted exactly: it has few values, so little is exchanged
+        near = [c for c in scanned if abs(counts[c] - (INTEGER_CATEGORY_BELOW if c in ints else STRING_CATEGORY_BELOW))
+                <= SKETCH_MARGIN * counts[c] + 1]
+        if near:
+            counts |= {r["column"]: r["distinct"] for r in distinct_counts(df, near).collect()}
+        facts = [(c, c in strings, counts[c] if row[f"p{i}"] else None, bool(c in strings and row[f"b{i}"]), bool(c in strings and row[f"t{i}"]))
+                 for i, c in enumerate(scanned)]
+        stats = spark.createDataFrame(facts, "column string, is_text boolean, n long, blank boolean, is_time boolean")
         dtype = (
             F.when(~F.col("is_text"), F.when(F.col("n") < INTEGER_CATEGORY_BELOW, "category").otherwise("float"))
             .when(F.col("is_time"), "datetime")
@@ -106,10 +138,9 @@ def infer_dtypes(df: DataFrame) -> DataFrame:
             .when(F.col("n") < STRING_CATEGORY_BELOW, "category")
             .otherwise("text")
         )
-        names = spark.createDataFrame([(c, c in strings) for c in scanned], "column string, is_text boolean")
         # a column of nulls has no values: text is a category, a number stays a number
         empty = F.when(F.col("is_text"), "category").otherwise("float")
-        got = names.join(stats.drop("is_text"), "column", "left").select("column", F.when(F.col("n").isNull(), empty).otherwise(dtype).alias("dtype"))
+        got = stats.select("column", F.when(F.col("n").isNull(), empty).otherwise(dtype).alias("dtype"))
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -90,18 +90,20 @@ def discover(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     )
 
 
-def peek(df: DataFrame, rows: int = 5) -> DataFrame:
-    """First rows of a table."""
-    return df.limit(rows)
+def peek(df: DataFrame, rows: int = 5, order: Sequence[str] = ()) -> DataFrame:
+    """First rows of a table, as it is stored or in the order of some columns."""
+    return (df.orderBy(*[col(c) for c in order]) if order else df).limit(rows)
 
 
-def describe_columns(df: DataFrame) -> DataFrame:
-    """(column, type, rows, present) of a table in one pass."""
+def describe_columns(df: DataFrame, rows: int = 5, order: Sequence[str] = ()) -> DataFrame:
+    """(column, type, rows, present, first): one pass for the counts, and the first values as text."""
     names = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(col(c)).alias(f"__p{i}") for i, c in enumerate(names)])
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(col(c)).alias(f"__p{i}") for i, c in enumerate(names)])
+    top = [r.asDict() for r in peek(df, rows, order).select(*[col(c).cast("string").alias(f"__v{i}") for i, c in enumerate(names)]).collect()]
     items = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
-                 F.col("__rows").alias("rows"), F.col(f"__p{i}").alias("present"))
+                 F.col("__rows").alias("rows"), F.col(f"__p{i}").alias("present"),
+                 F.array(*[F.lit(r[f"__v{i}"]).cast("string") for r in top]).cast("array<string>").alias("first"))
         for i, c in enumerate(names)
     ])
-    return row.select(F.inline(items))
+    return counts.select(F.inline(items))

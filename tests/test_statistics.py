@@ -38,7 +38,7 @@ def test_sign_flip_and_holm(spark):
     d = spark.createDataFrame([(1.0,)] * 4, "d double")
     assert C.sign_flip_p(d, "d").first()["p_value"] == pytest.approx(0.125)
     with pytest.raises(ValueError):
-        C.sign_flip_p(spark.range(21).select(F.lit(1.0).alias("d")), "d")
+        C.sign_flip_p(spark.range(41).select(F.lit(1.0).alias("d")), "d")
     p = spark.createDataFrame([("a", 0.01), ("b", 0.03), ("c", 0.2), ("n", None)], "k string, p double")
     got = {r["k"]: r["holm_p"] for r in C.holm_adjust(p, "p", ["k"]).collect()}
     assert [got["a"], got["b"], got["c"]] == pytest.approx([0.03, 0.06, 0.2]) and got["n"] is None
@@ -259,9 +259,10 @@ def test_drift_of_a_shift_and_of_itself(spark):
 def test_stage_b_zones(spark):
     x = np.random.default_rng(5).normal(size=(600, 2))
     pdf = pd.DataFrame({"k": range(600), "a": x[:, 0], "b": x[:, 1]})
-    good = spark.createDataFrame(pdf.assign(y=(pdf.a > 0).astype(int)))
-    bad = spark.createDataFrame(pdf.assign(y=np.random.default_rng(6).integers(0, 2, 600)))
-    got = {r["task"]: r for r in Q.stage_b({"good": good, "bad": bad}, ["k"], "y", ["a", "b"], trees=8, depth=4, draws=20).collect()}
+    good = pdf.assign(task="good", y=(pdf.a > 0).astype(int))
+    bad = pdf.assign(task="bad", y=np.random.default_rng(6).integers(0, 2, 600))
+    both = spark.createDataFrame(pd.concat([good, bad]))
+    got = {r["task"]: r for r in Q.stage_b(both, "task", ["k"], "y", ["a", "b"], trees=8, depth=4, draws=20).collect()}
     assert got["good"]["b_pass"] and got["good"]["auc"] > 0.9
     assert got["bad"]["auc"] < 0.62
 
