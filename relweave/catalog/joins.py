@@ -95,12 +95,21 @@ def asof_cutoff_rows(t: Tables):
        SELECT DISTINCT p_partkey, cutoff FROM d2 LEFT JOIN part ON p_partkey = l_partkey""",
 )
 def cutoff_propagation(t: Tables):
-    pairs = _user_pairs(t)
-    seen = J.start_visibility(pairs, "o_custkey", "cutoff")
-    seen = J.follow(seen, t.orders, "o_custkey", "o_orderkey", "o_orderdate")
-    seen = J.follow(seen, t.lineitem, "l_orderkey", "l_partkey", "l_shipdate")
-    seen = J.follow(seen, t.part, "p_partkey", "p_partkey", None)
-    return J.expand_visibility(pairs, seen, "o_custkey", "cutoff", "p_partkey")
+    return J.reach(_user_pairs(t), "o_custkey", "cutoff", [
+        (t.orders, "o_custkey", "o_orderkey", "o_orderdate"), (t.lineitem, "l_orderkey", "l_partkey", "l_shipdate"),
+        (t.part, "p_partkey", "p_partkey", None)], "p_partkey")
+
+
+@query(
+    "cutoff_visibility",
+    """WITH p AS (SELECT DISTINCT o_orderstatus AS k, date_trunc('month', o_orderdate)::TIMESTAMP AS cutoff FROM orders)
+       SELECT DISTINCT o.o_custkey, p.cutoff FROM p LEFT JOIN orders o ON o.o_orderstatus = p.k AND o.o_orderdate < p.cutoff""",
+)
+def cutoff_visibility(t: Tables):
+    """Three keys with every month as a cutoff: a hop keeps each node once per key."""
+    months = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("cutoff")
+    pairs = J.cutoff_pairs(t.orders.select(F.col("o_orderstatus").alias("k"), months), "k", "cutoff")
+    return J.reach(pairs, "k", "cutoff", [(t.orders, "o_orderstatus", "o_custkey", "o_orderdate")], "o_custkey")
 
 
 @query(

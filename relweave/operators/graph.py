@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.model import RelationalDataset, TableMeta, TaskMeta
-from relweave.plans.ordering import hot_groups, numbered, top_per_group
+from relweave.plans.ordering import hot_groups, numbered, shuffle_width, top_per_group
 from relweave.session import materialize
 
 EDGE_SCHEMA = ("etype", "src_type", "src", "dst_type", "dst", "ts")
@@ -241,14 +241,14 @@ def lowest_over_time(edges: DataFrame, k: int) -> DataFrame:
 
     def lists(df: DataFrame) -> DataFrame:
         group = ["etype", "dst", "__part"]
-        return df.select(*names[:-1]).repartition(*group).sortWithinPartitions(*group, "__ts", "__h", "src", "eid").mapInArrow(scan, _LISTED)
+        return df.select(*names[:-1]).repartition(shuffle_width(df), *group).sortWithinPartitions(*group, "__ts", "__h", "src", "eid").mapInArrow(scan, _LISTED)
 
     edges = edges.withColumn("__part", F.lit(0))
     hot, small = hot_groups(edges, ["etype", "dst"])
     if hot is not None:
         hot = F.broadcast(hot) if small else hot
         hub = (F.col("etype") == F.col("__k0")) & (F.col("dst") == F.col("__k1"))
-        width = max(16, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        width = max(16, shuffle_width(edges))
         hubs = edges.join(hot, hub, "left_semi").withColumn("__part", F.pmod(F.xxhash64("src", "eid"), F.lit(width)).cast("int"))
         first = lists(hubs).drop("__until").withColumn("__part", F.lit(0))
         edges = edges.join(hot, hub, "left_anti").select(*first.columns).unionByName(first)

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relweave.functions.scalar import col
 from relweave.model import FOREIGN_KEY, ColumnMeta, ForeignKey, RelationalDataset, TableMeta
-from relweave.plans.ordering import running
-from relweave.plans.pointintime import Spec, always, before, clock, instant
+from relweave.plans.ordering import hot_groups, running
+from relweave.plans.pointintime import MANY_CUTOFFS, Spec, always, before, clock, instant
 from relweave.session import materialize
 
 
@@ -180,6 +180,37 @@ def expand_visibility(
     return found.unionByName(blank.select(none.alias(out), col(cutoff))).distinct()
 
 
+def reach(
+    pairs: DataFrame, key: str, cutoff: str, hops: Sequence[tuple[DataFrame, str, str, str | None]], out: str, inclusive: bool = False
+) -> DataFrame:
+    """Distinct (node, cutoff) at the end of a chain of hops ``(table, on, carry, time column)``.
+
+    Keys of few cutoffs join their rows with them, so a row meets at most ``MANY_CUTOFFS``; keys of
+    more go by visibility, where a hop keeps one row per key and node.
+    """
+    def chained(some: DataFrame) -> DataFrame:
+        cur, at = some, key
+        for i, (table, on, carry, ts) in enumerate(hops):
+            step = table.select(col(on).alias("__on"), col(carry).alias(f"__c{i}"), *([col(ts).alias("__when")] if ts else []))
+            cur = propagate_cutoff(cur, step, at, cutoff, "__on", [f"__c{i}"], "__when" if ts else None, False, inclusive)
+            at = f"__c{i}"
+        return cur.select(col(at).alias(out), col(cutoff)).distinct()
+
+    def seen(some: DataFrame) -> DataFrame:
+        vis = start_visibility(some, key, cutoff, [t.schema[ts].dataType for t, _, _, ts in hops if ts])
+        for table, on, carry, ts in hops:
+            vis = follow(vis, table, on, carry, ts)
+        return expand_visibility(some, vis, key, cutoff, out, inclusive)
+
+    many, small = hot_groups(pairs, [key], MANY_CUTOFFS)
+    if many is None:
+        return chained(pairs)
+    many = F.broadcast(many) if small else many
+    # a null key is never many: it sees nothing, whatever its cutoffs
+    few = chained(pairs.join(many, col(key) == F.col("__k0"), "left_anti"))
+    return few.unionByName(seen(pairs.join(many, col(key) == F.col("__k0"), "left_semi"))).distinct()
+
+
 def cutoff_feature_join(
     rows: DataFrame, features: DataFrame, key: str, cutoff: str, feature_key: str, feature_cutoff: str,
     columns: Sequence[str],

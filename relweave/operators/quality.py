@@ -23,7 +23,7 @@ from relweave.operators.joins import shortest_path, walk_keys
 from relweave.operators.splits import capped_rows
 from relweave.operators.structure import LABEL_AGGREGATES, effective_rank
 from relweave.plans.logistic import fit_logistic, score_logistic
-from relweave.plans.ordering import bucket_count, numbered_by_hash, order_bucket, prefix_sums
+from relweave.plans.ordering import bucket_count, numbered_by_hash, order_bucket, prefix_sums, shuffle_width
 from relweave.plans.quantiles import exact_quantile_values, exact_quantiles
 from relweave.session import materialize
 
@@ -228,7 +228,7 @@ def bootstrap_auc(scored: DataFrame, key: Sequence[str], draws: int = 100, seed:
     """
     rows = materialize(scored.select("task", F.concat_ws("|", *[col(k).cast("string") for k in key]).alias("u"), "y", "score"))
     cut = rows.withColumn("b", order_bucket(rows, ["score"], bucket_count(rows)))
-    dealt = cut.repartition("task", "b").sortWithinPartitions("task", "b", "score").select("task", "b", "score", "y", "u")
+    dealt = cut.repartition(shuffle_width(cut), "task", "b").sortWithinPartitions("task", "b", "score").select("task", "b", "score", "y", "u")
 
     def sums(batches):
         here, value = None, None

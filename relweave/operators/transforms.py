@@ -14,7 +14,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions import scalar as S
@@ -23,6 +22,7 @@ from relweave.model import CATEGORY, DATETIME, FLOAT, TEXT, TIMESTAMP, ColumnMet
 from relweave.operators.joins import ensure_parents
 from relweave.plans.ordering import numbered
 from relweave.plans.quantiles import column_quantiles, exact_quantile_values, exact_quantiles, reference_grid
+from relweave.session import materialize
 
 # ---------------------------------------------------------------- codes
 
@@ -430,9 +430,9 @@ def fit_power(df: DataFrame, columns: Sequence[str], standardize: bool = True, t
 def flat_pipeline(df: DataFrame, columns: Sequence[str], method: str = "power", threshold: float = 4.0) -> DataFrame:
     """Standard scale with clip, normalise, then clip outliers.
 
-    Every fit scans its input, so both stage results are kept on the executors.
+    Every fit scans its input, so both stage results are written to the shared folder.
     """
-    x = standard_clip(df, columns).persist(StorageLevel.DISK_ONLY)
+    x = materialize(standard_clip(df, columns))
     if method == "power":
         x = fit_power(x, columns).apply(x, revert=False)
     elif method == "quantile":
@@ -446,7 +446,7 @@ def flat_pipeline(df: DataFrame, columns: Sequence[str], method: str = "power",
         x = robust_scale(x, columns)
     elif method != "none":
         raise ValueError(f"no such way to normalise: {method!r}")
-    x = x.persist(StorageLevel.DISK_ONLY)
+    x = materialize(x)
     return clip_outliers(x, outlier_bounds(x, columns, threshold))
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions.scalar import col
 from relweave.model import CATEGORY, FLOAT, TEXT, TOKENS, ForeignKey, RelationalDataset
-from relweave.operators.aggregates import concat_tokens, join_text
+from relweave.operators.aggregates import concat_tokens, join_text, mode_by
 from relweave.plans.ordering import hot_groups
 from relweave.plans.pointintime import (
-    CHANGING_PRIMITIVES, STATIC_PRIMITIVES, Spec, always, before, clock, during, instant,
+    CHANGING_PRIMITIVES, MANY_CUTOFFS, STATIC_PRIMITIVES, Spec, always, before, clock, during, instant,
 )
 from relweave.session import materialize
 
@@ -29,8 +29,6 @@ DEFAULT_PRIMITIVES = (
 _ARRAY = ("arraymax", "arraymin", "arraymean")
 _CUT = "__cut"
 _NEVER = "0001-01-01 00:00:00"
-# a key of so many cutoffs at most joins its rows with them; beyond, rows and cutoffs are merged
-MANY_CUTOFFS = 32
 
 
 @dataclass(frozen=True)
@@ -183,9 +181,6 @@ def aggregate_column(prim, c: Column, in_size: int = 1) -> Column:
         return F.min(c)
     if prim == "mean":
         return F.avg(c)
-    if prim == "mode":
-        # category columns have bounded cardinality, so the value counts of a group stay small
-        return F.mode(c, deterministic=True)
     if prim in _ARRAY:
         # the dimension is fixed and known, so each position is one plain aggregate:
         # partial aggregation works and no row is exploded
@@ -461,24 +456,32 @@ class _Builder:
         sizes = {f.name: f.in_size for f in sub.features()}
         keys = ["__group"] + ([_CUT] if pairs is not None else [])
         renamed = [F.col(k).alias({"__group": "__gkey", _CUT: "__gcut"}[k]) for k in keys]
-        plain, lists = [], []
+        plain, lists, modes = [], [], []
         for f, p, source in aggs:
             if p in ("join", "concat"):
                 lists.append((f, p, source))
+            elif p == "mode":
+                modes.append((f, source))
             else:
                 c = (F.col(marker) if marker else F.lit(1)) if p == "count" else col(f"f:{source}")
                 plain.append(aggregate_column(p, c, sizes.get(source, 1)).alias(f"f:{f.name}"))
         out = full.groupBy(*renamed).agg(*plain) if plain else full.select(*renamed).distinct()
+        def attach(out: DataFrame, part: DataFrame, value: str, f: Feature) -> DataFrame:
+            right = part.select(*[F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)], F.col(value).alias(f"f:{f.name}"))
+            cond = F.col("__gkey") == F.col("__l0")
+            if pairs is not None:
+                cond = cond & (F.col("__gcut") == F.col("__l1"))
+            return out.join(right, cond, "left").drop("__l0", "__l1")
+
+        for f, source in modes:
+            # values are counted before they meet, so no group's values sit in one buffer
+            out = attach(out, mode_by(full.select(*keys, col(f"f:{source}").alias("__x")), keys, "__x"), "value", f)
         for f, p, source in lists:
             # long lists are built in chunks of bounded length, never as one buffer of a group
             build = join_text if p == "join" else concat_tokens
             x = full.select(*keys, *order, col(f"f:{source}").alias("__x"))
             part = build(x, keys, "__x", order)
-            right = part.select(*[F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)], F.col("__x").alias(f"f:{f.name}"))
-            cond = F.col("__gkey") == F.col("__l0")
-            if pairs is not None:
-                cond = cond & (F.col("__gcut") == F.col("__l1"))
-            out = out.join(right, cond, "left").drop("__l0", "__l1")
+            out = attach(out, part, "__x", f)
         return out
 
 

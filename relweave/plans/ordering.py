@@ -32,6 +32,11 @@ def bucket_count(df: DataFrame) -> int:
     return n
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions of a shuffle; given as a number it is not merged down, which Python stages of few bytes need."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bisect(x: Column, bounds: Sequence[Column]) -> Column:
     """Number of bounds <= x.
 

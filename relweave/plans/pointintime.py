@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from relweave.functions.scalar import col
 from relweave.plans.ordering import FOLDS, numbered, running
 
+# a key of so many cutoffs at most may join its rows with them; beyond, rows and cutoffs are merged
+MANY_CUTOFFS = 32
 STATIC_PRIMITIVES = ("count", "max", "min", "mean", "mode", "arraymax", "arraymin", "arraymean")
 CHANGING_PRIMITIVES = ("max", "min", "mean")
 

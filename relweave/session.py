@@ -48,9 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/relweave-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a result to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a result to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results read such tables lazily, so they stay until ``release`` is called.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote, once every result that reads them is stored."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,8 +6,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tests.oracle import compare, connect, rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
-# fits that loop over folds or methods; their pieces are covered below
-SLOW = {"flat_pipeline", "linear_probe_auc", "quality_stage_b", "corpus_compare", "rebalance_distribution"}
 # their fixed sizes (task counts, class names, sample sizes) need the larger tables
 BIGGER = {"results_pivot", "evaluation_manifest", "stratified_exact", "tail_temporal"}
 MORE = "/root/testdata/sf0.01"
@@ -30,7 +28,7 @@ def test_matches_sql_on_larger_tables(spark, name):
     assert compare(got, rows_of_sql(connect(MORE), oracle_sql()[name])) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_rows_only(spark, name):
     assert rows_of(queries()[name](spark, SF))[1]
 

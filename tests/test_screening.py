@@ -22,7 +22,7 @@ def stay(a, b):
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_visibility_equals_the_chain_of_joins(spark, inclusive):
+def test_visibility_equals_the_chain_of_joins(spark, monkeypatch, inclusive):
     rng = random.Random(2)
     none = lambda v, p=0.15: None if rng.random() < p else v
     pairs = spark.createDataFrame({(none(rng.randint(0, 4)), none(rng.randint(0, 9))) for _ in range(30)}, "k long, cut long").distinct()
@@ -33,6 +33,10 @@ def test_visibility_equals_the_chain_of_joins(spark, inclusive):
     d1 = J.propagate_cutoff(pairs, a, "k", "cut", "k", ["a"], "at", False, inclusive)
     want = J.propagate_cutoff(d1, b, "a", "cut", "a", ["b"], "at", True, inclusive).collect()
     assert stay([tuple(r) for r in got], [tuple(r) for r in want])
+    for many in (0, 4, 32):  # by visibility, both ways, by joins
+        monkeypatch.setattr(J, "MANY_CUTOFFS", many)
+        both = J.reach(pairs, "k", "cut", [(a, "k", "a", "at"), (b, "a", "b", "at")], "b", inclusive).collect()
+        assert stay([tuple(r) for r in both], [tuple(r) for r in want])
 
 
 def test_visibility_keeps_one_row_per_key_and_node(spark):
