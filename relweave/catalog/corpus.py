@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.catalog.base import Tables, query
-from relweave.catalog.sources import split_orders
+from relweave.catalog.sources import _SPLIT_SQL, split_orders
+from relweave.catalog.splits import h
 from relweave.operators import corpus as B
 
 
@@ -18,9 +19,30 @@ def order_block(t: Tables, total: int = 600):
         "o_custkey", ["o_custkey"], parents, total, 5)
 
 
-@query("task_block")
+@query(
+    "task_block",
+    f"""WITH b AS (SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice, c_acctbal, o_orderpriority, o_orderstatus, c_nationkey, {_SPLIT_SQL} AS split
+                     FROM orders JOIN customer ON o_custkey = c_custkey) WHERE split IN ('train', 'test')),
+        m AS (SELECT avg(o_totalprice) AS mp, avg(c_acctbal) AS mb, count(DISTINCT o_orderpriority) AS np FROM b WHERE split = 'train'),
+        cd AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM b WHERE split = 'train')),
+        cl AS (SELECT c, row_number() OVER (ORDER BY {h("'0'", "c")}, c) <= greatest(1, count(*) OVER () // 2) AS low, c = max(c) OVER () AS top, count(*) OVER () AS n
+               FROM (SELECT DISTINCT o_orderstatus AS c FROM b)),
+        y AS (SELECT b.*, {h("'0'", "o_orderkey")} AS hk, (CASE WHEN n = 2 THEN top ELSE low END)::INT AS y0 FROM b JOIN cl ON c = o_orderstatus),
+        z AS (SELECT *, CASE WHEN min(y0) OVER (PARTITION BY split) = max(y0) OVER (PARTITION BY split)
+                              AND row_number() OVER (PARTITION BY split ORDER BY hk, o_orderkey) = 1 THEN 1 - y0 ELSE y0 END AS y FROM y),
+        e AS (SELECT o_custkey, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 2),
+        k AS (SELECT greatest(1, 600 // greatest(2, floor(median(n))::BIGINT)) AS k FROM e),
+        ch AS (SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (ORDER BY {h("'0'", "o_custkey")}, o_custkey) AS rn FROM e), k WHERE rn <= k),
+        p AS (SELECT * FROM z ORDER BY CASE WHEN o_custkey IN (SELECT o_custkey FROM ch) THEN 0 ELSE 1 END, hk, o_orderkey LIMIT 600),
+        u AS (SELECT {h("'0'", "'testdata'", "'status'")} / 1152921504606846976.0 AS u)
+        SELECT 'testdata' AS dataset, 'status' AS task, (row_number() OVER (ORDER BY {h("'0o'", "o_orderkey", "0")}, o_orderkey) - 1)::INTEGER AS row,
+               list_transform([coalesce(o_totalprice, mp)::FLOAT, coalesce(c_acctbal, mb)::FLOAT, coalesce(code, np)::FLOAT, 0, 0], lambda x: round(x::DOUBLE, 2)) AS X, y,
+               3 AS num_features, greatest(1, least(599, round((0.3 + u * 0.5) * 600)))::INTEGER AS single_eval_pos, [o_custkey] AS fk_values, o_custkey AS entity_id,
+               [c_nationkey::BIGINT] AS parent_entity_ids
+        FROM p LEFT JOIN cd ON v = o_orderpriority, m, u""",
+)
 def task_block(t: Tables):
-    return order_block(t).withColumn("X", F.transform("X", lambda x: F.round(x, 3)))
+    return order_block(t).withColumn("X", F.transform("X", lambda x: F.round(x.cast("double"), 2)))
 
 
 @query(

@@ -20,7 +20,7 @@ from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.model import CATEGORY, DATETIME, FLOAT, TEXT, TIMESTAMP, ColumnMeta, RelationalDataset, TableMeta
 from relweave.operators.joins import ensure_parents
-from relweave.plans.ordering import numbered
+from relweave.plans.ordering import numbered, numbered_by_hash
 from relweave.plans.quantiles import column_quantiles, exact_quantile_values, exact_quantiles, reference_grid
 from relweave.session import materialize
 
@@ -570,8 +570,6 @@ def bin_balanced(df: DataFrame, column: str, out: str) -> DataFrame:
 def permute_classes(df: DataFrame, column: str, out: str, seed: int) -> DataFrame:
     """Random relabelling of class codes: codes in hash order of the class value."""
     classes = df.select(col(column).alias("value")).filter("value is not null").distinct()
-    from relweave.plans.ordering import numbered_by_hash
-
     hashed = classes.withColumn("h", S.stable_hash(seed, "value"))
     codes = numbered_by_hash(hashed, "h", ["value"], out="code").select("value", (F.col("code") - 1).alias("code"))
     return apply_codes(df, column, codes, out, None)
@@ -619,10 +617,15 @@ def flat_preprocess(df: DataFrame, numeric: Sequence[str], other: Sequence[str],
     return encode_ordinal(fill_numeric(df, numeric, "median", train), other, -1, train)
 
 
+# categories that become a column each
+WIDEST_ONEHOT = 10_000
+
+
 def encode_categorical(df: DataFrame, columns: Sequence[str], strategy: str = "ordinal", seed: int = 0) -> DataFrame:
     """ordinal, ordinal_shuffled, ordinal_strict_feature_shuffled (rare-aware) or onehot.
 
-    Unseen values are null.  The rare-aware form encodes only columns whose rarest category
+    Unseen values are null.  A column of more than ``WIDEST_ONEHOT`` categories gets the position
+    of its one, ``<column>_index``, in place of a column per category.  The rare-aware form encodes only columns whose rarest category
     has at least ten rows and which have fewer categories than a tenth of the rows.
     """
     if strategy in ("numeric", "none"):
@@ -646,9 +649,12 @@ def encode_categorical(df: DataFrame, columns: Sequence[str], strategy: str = "o
     if strategy == "onehot":
         made: dict[str, Column] = {}
         for c in columns:
-            values = [r["value"] for r in key_codes(df, c).orderBy("code").limit(10_001).collect()]
-            if len(values) > 10_000:
-                raise ValueError(f"{c} has too many categories for one-hot columns")
+            codes = key_codes(df, c)
+            values = [r["value"] for r in codes.orderBy("code").limit(WIDEST_ONEHOT + 1).collect()]
+            if len(values) > WIDEST_ONEHOT:
+                # the position of the one, by a join with the class table: a table has no such width
+                out = apply_codes(out, c, codes, f"{c}_index", None)
+                continue
             shown = values[1:] if len(values) == 2 else values
             made |= {f"{c}_{v}": (col(c).eqNullSafe(F.lit(v))).cast("int") for v in shown}
         return out.withColumns(made).drop(*columns)
@@ -659,14 +665,18 @@ def binarize_labels(df: DataFrame, label: str, out: str, key: Sequence[str], spl
     """Two classes: the larger string is positive; more: a random half.  A one-sided split gets
     its lowest-hash row flipped."""
     y = col(label).cast("string")
-    classes = [r["c"] for r in df.select(y.alias("c")).filter("c is not null").distinct().select(
-        "c", S.stable_hash(seed, "c").alias("h")).orderBy("h", "c").limit(100_001).collect()]
-    if len(classes) < 2:
+    found = df.select(y.alias("__c")).filter("__c is not null").distinct()
+    classes = materialize(found.withColumn("__ch", S.stable_hash(seed, "__c")))
+    n, top = classes.agg(F.count(F.lit(1)), F.max("__c")).first()
+    if n < 2:
         raise ValueError("labels need at least two classes")
-    if len(classes) > 100_000:
-        raise ValueError("not a classification label")
-    positive = [max(classes, key=lambda s: s.encode())] if len(classes) == 2 else classes[: max(1, len(classes) // 2)]
-    out_df = df.withColumn(out, y.isin(positive).cast("int"))
+    if n == 2:
+        marked = classes.select("__c", (F.col("__c") == F.lit(top)).alias("__pos"))
+    else:
+        ranked = numbered_by_hash(classes, "__ch", ["__c"], out="__cr")
+        marked = ranked.select("__c", (F.col("__cr") <= max(1, n // 2)).alias("__pos"))
+    # the class table joins like any other: small ones are broadcast, large ones are not
+    out_df = df.join(marked, y == F.col("__c"), "left").withColumn(out, F.col("__pos").cast("int")).drop("__c", "__pos")
     sides = out_df.groupBy(col(split).alias("s")).agg(
         F.min(out).alias("lo"), F.max(out).alias("hi"),
         F.min(F.struct(S.stable_hash(seed, *key).alias("h"), *[col(k) for k in key])).alias("first"),

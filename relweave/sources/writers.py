@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -58,6 +59,24 @@ def write_csv(df: DataFrame, path: str, null: str = "?") -> str:
     return path
 
 
+def check_shared(spark: SparkSession, folder: str) -> None:
+    """Raise unless the tasks see what the driver writes into the folder."""
+    token = os.path.join(folder, f".seen-{uuid.uuid4().hex}")
+    with open(token, "w") as f:
+        f.write(token)
+
+    def look(batches):
+        for pdf in batches:
+            pdf["seen"] = os.path.exists(token)
+            yield pdf
+
+    n = spark.sparkContext.defaultParallelism
+    blind = spark.range(0, n, 1, n).mapInPandas(look, "id long, seen boolean").filter("NOT seen").count()
+    os.remove(token)
+    if blind:
+        raise ValueError(f"{folder} is not one folder for the driver and all executors")
+
+
 def write_npz(df: DataFrame, folder: str, shard_rows: int = 1_000_000) -> DataFrame:
     """``.npz`` shards of bounded size in a mounted shared folder; returns (path, rows).
 
@@ -68,6 +87,7 @@ def write_npz(df: DataFrame, folder: str, shard_rows: int = 1_000_000) -> DataFr
     if "://" in folder:
         raise ValueError("npz shards need a mounted folder; write parquet to object stores")
     os.makedirs(folder, exist_ok=True)
+    check_shared(df.sparkSession, folder)
 
     def save(batches):
         import numpy as np

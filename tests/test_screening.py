@@ -287,3 +287,26 @@ def test_lambda_is_the_maximum_to_eight_digits(spark):
         slope = (likelihood(x, lam + h) - likelihood(x, lam - h)) / (2 * h)
         bend = (likelihood(x, lam + h) - 2 * likelihood(x, lam) + likelihood(x, lam - h)) / h**2
         assert bend < 0 and abs(slope / bend) < 1e-6, c
+
+
+# ---------------------------------------------------------------- class tables
+
+
+def test_labels_of_many_classes(spark):
+    n = 100_500  # more classes than a list of them should hold
+    df = spark.range(2 * n).select(F.col("id").alias("k"), (F.col("id") % n).alias("y"), F.when(F.col("id") < n, "train").otherwise("test").alias("split"))
+    out = T.binarize_labels(df, "y", "b", ["k"])
+    assert tuple(out.agg(F.sum("b"), F.count("b")).first()) == (n // 2 * 2, 2 * n)
+    assert out.groupBy("y").agg(F.count_distinct("b").alias("d")).filter("d > 1").isEmpty()
+    few = spark.createDataFrame([(1, "no", "train"), (2, "yes", "train"), (3, None, "train"), (4, "yes", "test"), (5, "no", "test")], "k long, y string, split string")
+    assert {r["k"]: r["b"] for r in T.binarize_labels(few, "y", "b", ["k"]).collect()} == {1: 0, 2: 1, 3: None, 4: 1, 5: 0}
+    with pytest.raises(ValueError):
+        T.binarize_labels(few.filter("y = 'no'"), "y", "b", ["k"])
+
+
+def test_onehot_of_many_categories(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"v{i % 5}", "ab"[i % 2]) for i in range(10)] + [(10, None, None)], "k long, c string, d string")
+    monkeypatch.setattr(T, "WIDEST_ONEHOT", 3)
+    out = T.encode_categorical(df, ["c", "d"], "onehot")
+    assert out.columns == ["k", "c_index", "d_b"]
+    assert {r["k"]: (r["c_index"], r["d_b"]) for r in out.collect()} == {i: (i % 5, i % 2) for i in range(10)} | {10: (None, 0)}
