@@ -50,6 +50,46 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return sizes[0], sizes[-1]
 
 
+def witnesses(grams: Sequence[Sequence[str]], threshold: float) -> list[str]:
+    """Words of which every text that reaches ``threshold`` with some bigram set holds at least one.
+
+    A set of n bigrams needs the m of them with 2m/(m + n) >= threshold, so words that touch more
+    than n - m of its bigrams can't all be missing. Words are picked by how many bigrams they
+    touch in the sets that aren't settled yet, long words (the rare ones) first; a word also
+    stands for those that contain it.
+    """
+    rest = {}
+    for i, g in enumerate(grams):
+        need = min(m for m in range(1, len(g) + 1) if 2 * m >= threshold * (m + len(g)))
+        rest[i] = [set(g), len(g) - need]
+    out: list[str] = []
+    for shortest in (6, 4, 1):
+        words = sorted({w for g, _ in rest.values() for b in g for w in b.split(" ") if len(w) >= shortest})
+        while rest:
+            gain = {w: sum(min(left + 1, sum(w in b for b in g)) for g, left in rest.values()) for w in words}
+            best = max(words, key=lambda w: (gain[w], len(w), w), default=None)
+            if best is None or not gain[best]:
+                break
+            out.append(best)
+            for i, (g, left) in list(rest.items()):
+                hit = {b for b in g if best in b}
+                rest[i] = [g - hit, left - len(hit)]
+                if left < len(hit):
+                    del rest[i]
+    return out
+
+
+def _holds_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether a text holds one of the words, lower-cased once."""
+    def one(t: Column) -> Column:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(t, F.lit(w))
+        return hit
+
+    return F.exists(F.array(F.lower(text)), one)
+
+
 def _bigrams(words: Column) -> Column:
     n = F.size(words)
     return F.array_distinct(F.zip_with(
@@ -62,9 +102,10 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     Text is normalised (letters and digits, lower case) and compared unit by unit: every line,
     every paragraph of several lines, and the whole text if it has several paragraphs. A unit
     whose number of words can't give a bigram set inside a template's size bounds is never
-    expanded, and one without any known bigram is compared with no template. No row is
-    shuffled, so hot sources or lines cost nothing extra; ``templates`` is a short list that
-    becomes part of the plan.
+    expanded, and one without any known bigram is compared with no template. Texts and units
+    that hold none of the words that a match can't do without (``witnesses``) end before they
+    are taken apart. No row is shuffled, so hot sources or lines cost nothing extra;
+    ``templates`` is a short list that becomes part of the plan.
 
     Null and empty texts match nothing; repeated rows are scanned each; ties between templates
     are all returned. A null id is carried along.
@@ -73,7 +114,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     known = [(lic, i, b, *size_bounds(len(b), threshold)) for lic, i, b in known if b]
     least = min((k[3] for k in known), default=0)
     every = sorted({g for k in known for g in k[2]})
-    docs = clean(docs, doc_id="long", text="string")
+    marks = witnesses([k[2] for k in known], threshold)
+    docs = clean(docs, doc_id="long", text="string").filter(_holds_any(F.col("text"), marks))
     plain = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}\n]+", " "))
     lines = F.transform(F.split("plain", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("body")))
     parts = F.split("plain", r"\n *\n")
@@ -82,6 +124,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         lambda s: F.contains(F.trim(s["body"], F.lit(" \n")), F.lit("\n")))
     whole = F.when(F.size(parts) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), F.col("plain").alias("body")))).otherwise(F.array())
     units = docs.filter("text is not null").select("doc_id", plain.alias("plain")).select("doc_id", F.explode(F.concat(lines, paragraphs, whole)).alias("u"))
+    units = units.filter(_holds_any(F.col("u.body"), marks))
     body = F.trim(F.regexp_replace("u.body", "[ \n]+", " "))
     units = units.select("doc_id", "u.unit", "u.unit_no", F.split(body, " ").alias("words")).filter(F.size("words") > least)
     units = units.withColumn("grams", _bigrams(F.col("words"))).drop("words")

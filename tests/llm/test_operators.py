@@ -359,6 +359,21 @@ def test_size_bounds_are_tight():
         assert all((2 * min(n, m) / (n + m) >= 0.85) == (lo <= m <= hi) for m in range(1, 200))
 
 
+def test_witnesses_are_in_every_match():
+    rng = random.Random(5)
+    grams = [licenses.template_bigrams(t) for _, t in licenses.TEMPLATES]
+    words = licenses.witnesses(grams, licenses.THRESHOLD)
+    assert words and all(len(w) >= 4 for w in words)
+    for g in grams:
+        for _ in range(300):
+            # any subset that could still reach the threshold, however the missing ones are chosen
+            need = min(m for m in range(1, len(g) + 1) if 2 * m >= licenses.THRESHOLD * (m + len(g)))
+            kept = rng.sample(g, need) if rng.random() < 0.5 else sorted(g, key=lambda b: (any(w in b for w in words), rng.random()))[:need]
+            assert any(w in b for b in kept for w in words)
+    assert licenses.witnesses([["a b"]], 0.85) in (["a"], ["b"])
+    assert licenses.witnesses([], 0.85) == []
+
+
 def test_licence_scan(spark):
     mit = licenses.TEMPLATES[5][1]
     rows = [(1, "prose\nReleased under the MIT license!\nmore"), (2, mit.replace(", ", ",\n")), (3, None), (4, ""), (5, "nothing of the kind"), (None, "Licensed under CC BY-NC 4.0."), (6, "intro\n\n" + mit.replace(" to ", " to\n") + "\n\nend")]
