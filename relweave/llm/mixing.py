@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from relweave.llm.scratch import clean
+from relweave.llm.scratch import Scratch, clean
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows of one source that share a range of the random key, on average
 RANGE_ROWS = 50_000
+#: sources whose targets are broadcast to the rows; more of them are joined
+MOST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -44,8 +46,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     """Words the mix takes of each document: ``(doc_id, size, source, source_size, target, taken)``.
 
     Every document gets a random key from a hash of its id and text. A source's documents are
-    cut into ranges of that key, as many as its rows ask for; range totals give each range its
-    offset, and a running sum inside the range finishes the prefix sum, so a source with a
+    cut into ranges of that key, as many as its rows ask for; the sources' targets come to the rows
+    and not the rows to their source. Range totals give each range its offset, and a running sum inside the range finishes the prefix sum, so a source with a
     third of all rows is spread over many tasks. With a target of ``e`` whole epochs and a
     rest, every document is taken ``e`` times and the rest goes to the head of the order; the
     document at the cut is taken in part, so a source's words are exactly its target rounded down.
@@ -62,11 +64,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "body")
     # 52 random bits: exact as a double, and any SQL engine can derive them
     rows = rows.withColumn("key", F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("long"))
-    goal = source_targets(rows, weights, share, most)
     # null-safe key: the flag keeps the null source apart from every text
     rows = rows.withColumn("s", F.struct(F.col("source").isNull().alias("z"), F.coalesce("source", F.lit("")).alias("v")))
-    goal = goal.select(F.struct(F.col("source").isNull().alias("z"), F.coalesce("source", F.lit("")).alias("v")).alias("s"), "source_size", "target", "n")
-    rows = rows.join(goal, "s")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(rows)  # texts are read and hashed once
+    goal = source_targets(rows, weights, share, most)
+    goal = scratch.save(goal.select(F.struct(F.col("source").isNull().alias("z"), F.coalesce("source", F.lit("")).alias("v")).alias("s"), "source_size", "target", "n"))
+    rows = rows.join(F.broadcast(goal) if goal.count() <= MOST_SOURCES else goal, "s")
     ranges = F.ceil(F.col("n") / RANGE_ROWS)
     at = F.floor(F.col("key") / F.lit(float(2**52)) * ranges).cast("long")
     rows = rows.withColumn("r", at)
