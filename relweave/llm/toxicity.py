@@ -87,7 +87,7 @@ def _log_odds(toxic: np.ndarray, plain: np.ndarray, prior: np.ndarray, n_toxic:
 def _train_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """``(doc_id, y)`` of labelled rows outside the held-out part, about ``most`` at most."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    rows = rows.filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
+    rows = rows.filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = rows.count()
     if n > most:
@@ -183,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
 
     The prior of every token is its document share over *all* documents; class counts come from
     about ``most_rows`` labelled rows at most, which also bounds the broadcast of their labels.
-    Scores used for calibration leave the row's own contribution out. Without any row of one
-    class every score is the share of label 1 (0 without labels).
+    Scores used for calibration leave the row's own contribution out. Labels other than 0 and 1
+    say nothing and are left out. Without any row of one class every score is the share of
+    label 1 (0 without labels).
     """
     docs = clean(docs, doc_id="long", text="string")
     scratch = Scratch(docs.sparkSession)

@@ -339,7 +339,9 @@ def test_mixing_hits_its_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
     again = run()
     key = lambda r: repr(sorted(r.items()))
-    assert sorted(got, key=key) == sorted(again, key=key) and len(got) == len(rows)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)  # targets joined, not broadcast
+    joined = run()
+    assert sorted(got, key=key) == sorted(again, key=key) == sorted(joined, key=key) and len(got) == len(rows)
     total = sum(r["size"] for r in got)
     sources = {r["source"]: (r["source_size"], r["target"]) for r in got}
     assert abs(sum(t for _, t in sources.values()) - 1.5 * total) < 1e-6
@@ -427,6 +429,8 @@ def test_toxicity_learns_and_keeps_clean_rows(spark):
     assert out[900]["score"] < 0.5 and out[901]["n_words"] == 0 and out[902]["score"] < 0.7
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and {900, 901, 902, 3} <= {r["doc_id"] for r in kept.select("doc_id").collect()}
+    odd = lab.unionByName(spark.createDataFrame([(10_000 + i, v) for i, v in enumerate((2, -1, 7))] + [(i, 2) for i in range(0, 30)], "doc_id long, toxic int"))
+    assert toxicity.fit(df, odd).score.tolist() == model.score.tolist()  # other labels say nothing
     nothing = toxicity.fit(df, lab.limit(0))
     assert all(r["score"] == pytest.approx(0.0, abs=1e-9) for r in toxicity.score_documents(df.limit(5), nothing).collect())
     assert toxicity.score_documents(empty(spark), model).count() == 0
