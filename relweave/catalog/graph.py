@@ -24,10 +24,23 @@ def shop(t: Tables) -> RelationalDataset:
 
 @query(
     "build_nodes",
+    """SELECT 'nation' AS node_type, n_nationkey::BIGINT AS node, n_name AS label, NULL::DOUBLE AS amount FROM nation
+       UNION ALL SELECT 'supplier', s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT 'part', p_partkey, p_name, p_retailprice FROM part""",
+)
+def build_nodes(t: Tables):
+    nodes = G.build_nodes(shop(t))
+    shown = {"nation": ("n_name", None), "supplier": ("s_name", "s_acctbal"), "part": ("p_name", "p_retailprice")}
+    parts = [nodes[n].select(F.lit(n).alias("node_type"), "node", F.col(a).alias("label"), (F.col(b) if b else F.lit(None)).cast("double").alias("amount"))
+             for n, (a, b) in shown.items() if set(nodes) == set(shown)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "node_counts",
     """SELECT 'nation' AS node_type, count(*) AS n FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier
        UNION ALL SELECT 'part', count(*) FROM part""",
 )
-def build_nodes(t: Tables):
+def node_counts(t: Tables):
     return G.node_counts(G.build_nodes(shop(t)))
 
 

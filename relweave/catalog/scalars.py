@@ -139,20 +139,16 @@ def flatten_feature_frame(t: Tables):
 @query(
     "row_fingerprint",
     """WITH r AS (SELECT event_id, event_type, floor(value)::BIGINT AS v FROM events),
-       d AS (SELECT *, row_number() OVER (PARTITION BY event_type, v ORDER BY event_id) - 1 AS k FROM r)
-       SELECT count(*) AS n_rows, count(DISTINCT (event_type, v)) AS n_values, count(*) AS n_fingerprints,
-              true AS in_range FROM d""",
+       d AS (SELECT *, row_number() OVER (PARTITION BY event_type, v ORDER BY event_id) - 1 AS k FROM r),
+       f AS (SELECT *, sha256(coalesce(event_type, '') || '|' || coalesce(v::VARCHAR, '') || '|' || (7 + k)) AS own,
+                    sha256(coalesce(event_type, '') || '|' || coalesce(v::VARCHAR, '') || '|7') AS plain FROM d)
+       SELECT event_id, ('0x' || substr(own, 52, 13))::BIGINT / 4503599627370496.0 AS fingerprint,
+              ('0x' || substr(plain, 52, 13))::BIGINT / 4503599627370496.0 AS plain FROM f""",
 )
 def row_fingerprint(t: Tables):
     rows = t.events.select("event_id", "event_type", F.floor("value").alias("v"))
     fp = X.row_fingerprint(rows, ["event_type", "v"], "event_id", salt=7)
-    plain = X.row_fingerprint(rows, ["event_type", "v"], "event_id", salt=7, training=False)
-    distinct = plain.select("fingerprint").distinct().agg(F.count(F.lit(1)).alias("n_values"))
-    unique = fp.select("fingerprint").distinct().agg(F.count(F.lit(1)).alias("n_fingerprints"))
-    stats = fp.agg(F.count(F.lit(1)).alias("n_rows"),
-                   ((F.min("fingerprint") >= 0) & (F.max("fingerprint") < 1)).alias("in_range"))
-    # three one-row results side by side
-    return stats.join(distinct).join(unique)
+    return X.row_fingerprint(fp, ["event_type", "v"], "event_id", salt=7, training=False, out="plain").select("event_id", "fingerprint", "plain")
 
 
 @query(

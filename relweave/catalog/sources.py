@@ -94,9 +94,9 @@ def sink_csv_splits(t: Tables):
 
 @query(
     "dataset_save",
-    """SELECT 'customer' AS table_name, count(*) AS n_rows, 4 AS n_cols FROM customer
-       UNION ALL SELECT 'orders', count(*), 6 FROM orders
-       UNION ALL SELECT 'task:status', count(*), 4 FROM orders""",
+    f"""SELECT 'customer' AS table_name, count(*) AS n_rows, 4 AS n_cols, sum(c_custkey)::BIGINT AS keys, sum(('0x' || substr(md5(c_custkey || ':' || c_name), 1, 8))::BIGINT)::BIGINT AS content FROM customer
+       UNION ALL SELECT 'orders', count(*), 6, sum(o_orderkey)::BIGINT, sum(('0x' || substr(md5(o_orderkey || ':' || o_orderpriority), 1, 8))::BIGINT)::BIGINT FROM orders
+       UNION ALL SELECT 'task:status', count(*), 4, sum(o_orderkey)::BIGINT, sum(('0x' || substr(md5(o_orderkey || ':' || split), 1, 8))::BIGINT)::BIGINT FROM (SELECT o_orderkey, {_SPLIT_SQL} AS split FROM orders)""",
 )
 def dataset_save(t: Tables):
     ds = testdata_dataset(t.spark, t.sf_dir, ["customer", "orders"])
@@ -105,9 +105,12 @@ def dataset_save(t: Tables):
     back = W.load_dataset(t.spark, W.save_dataset(ds, shared_dir(t.spark)))
     named = {**back.tables, **{f"task:{n}": df for n, (_, df) in back.tasks.items()}}
     out = None
+    shown = {"customer": ("c_custkey", "c_name"), "orders": ("o_orderkey", "o_orderpriority"), "task:status": ("o_orderkey", "split")}
     for name, df in named.items():
-        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"))
+        key, value = shown[name]
+        cell = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.col(value))), 1, 8), 16, 10).cast("long")
+        part = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(key).alias("keys"), F.sum(cell).alias("content")).select(
+            F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"), "keys", "content")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -257,9 +260,9 @@ def entity_task_narrow(t: Tables):
 
 @query(
     "flat_to_rdb",
-    """SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders
-       UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders
-       UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders""",
+    """SELECT 'orders' AS table_name, NULL AS key, count(*) AS n_rows, 4 AS n_cols FROM orders
+       UNION ALL SELECT DISTINCT 'o_custkey', o_custkey::VARCHAR, 1, 1 FROM orders WHERE o_custkey IS NOT NULL
+       UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority, 1, 1 FROM orders WHERE o_orderpriority IS NOT NULL""",
 )
 def flat_to_rdb(t: Tables):
     ds = W.flat_to_dataset(t.orders, "orders", {
@@ -267,7 +270,9 @@ def flat_to_rdb(t: Tables):
         "o_orderdate": "datetime"}, "o_orderdate")
     out = None
     for name, df in ds.tables.items():
-        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        key = F.lit(None) if name == "orders" else F.col("key")
+        part = df.groupBy(key.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "key", "n_rows", F.lit(len(df.columns)).alias("n_cols"))
         out = part if out is None else out.unionByName(part)
     return out
 
