@@ -23,9 +23,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         over = labels.select(F.col("node").alias("via"), F.col("comp").alias("far"))
         new = scratch.save(step.join(over, step.up == over.via, "left").select("node", F.least("up", F.coalesce("far", "up")).alias("comp"), "old"))
         changed = new.filter("comp <> old").limit(1).count()
-        scratch.drop(labels)
+        scratch.delete(labels)
         labels = new.select("node", "comp")
         labels.scratch_path = new.scratch_path
         if not changed:
-            scratch.drop(both)
+            scratch.delete(both)
             return labels

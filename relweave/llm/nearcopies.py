@@ -33,8 +33,9 @@ _PIECE = 1 << 13
 AGREE = 40
 #: rounds of comparing the members of a bucket with one of them, before all that are left meet
 ROUNDS = 2
-#: members of a bucket in one block; two blocks meet in a task
-BLOCK_ROWS = 512
+#: members of a bucket in one block, and characters of their texts; two blocks meet in a task
+BLOCK_ROWS = 1024
+BLOCK_CHARS = 1 << 24
 #: pairs that share a centre and a task
 CENTRE_ROWS = 512
 
@@ -128,7 +129,7 @@ def jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> f
     return float(both / total) if total else 0.0
 
 
-_SIGNED = "doc_id long, one long, two long, bands array<long>, sig array<int>"
+_SIGNED = "doc_id long, one long, two long, chars long, bands array<long>, sig array<int>"
 
 
 def _sign(docs: DataFrame, tools) -> DataFrame:
@@ -145,7 +146,7 @@ def _sign(docs: DataFrame, tools) -> DataFrame:
                 keys = band_keys(sig).view(np.int64)
                 full = w.counts() > 0
                 yield arrow(_SIGNED, doc_id=b.column("doc_id")[lo:hi], one=one.view(np.int64), two=two.view(np.int64),
-                            bands=[k if f else None for k, f in zip(list(keys), full)], sig=list(sig.view(np.int32)))
+                            chars=[len(t or "") for t in part], bands=[k if f else None for k, f in zip(list(keys), full)], sig=list(sig.view(np.int32)))
 
     return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED)
 
@@ -190,8 +191,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     similarity of their five-word shingles (repeats times a rarity weight counted over the
     whole corpus) is at least 0.8. Nodes that share a band of samples are candidates. In a
     bucket every member is first compared with one centre, twice; in buckets whose members are
-    not all in one class after that, every two members of different classes are, by samples in
-    bounded blocks and then by text, until no such pair is left. A class is a connected component.
+    not all in one class after that, every two members of different classes are, by samples and
+    then by text, inside bounded blocks that give away no more than a link per member. A class is
+    a connected component.
 
     A text without words is a class of its own, as is any text like no other. A null id takes no
     part and gets a null class. Rows that repeat an id are one document: its class joins the near
@@ -204,18 +206,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     tools = spark.sparkContext.broadcast((shingle_weights(docs), draw_tables()))
     signed = scratch.save(_sign(known, tools))
     worded = signed.filter("bands is not null")
-    nodes = scratch.save(worded.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    nodes = scratch.save(worded.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.max("chars").alias("chars"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     same = worded.join(nodes.select("one", "two", "node"), ["one", "two"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     links = [scratch.save(same)]
     scratch.drop(signed)
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    members = nodes.select("node", "chars", F.explode("bands").alias("key"))
     # totals are written before they are joined to their rows, so that a hot key can be split
     full = scratch.save(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = scratch.save(members.join(full, "key").distinct())
     wanted = members.select("node").distinct()
     texts = known.join(wanted, known.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = scratch.save(texts.dropDuplicates())
-    prints = scratch.save(nodes.join(wanted, "node").select("node", "bands", "sig"))
+    prints = scratch.save(nodes.join(wanted, "node").select("node", "sig"))
     scratch.drop(nodes, full)
     comps = None
     tested = None
@@ -224,26 +226,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         links.append(scratch.save(_verify(pairs, texts, tools, scratch)))
         comps = components(_union(links), scratch)
-    left = scratch.save(_untested(_meet(_open(members, comps, scratch), prints, scratch), tested))
-    # one pair of two classes, then one of a node and a class, then all that are still apart;
-    # all at once if they are no more than the nodes
-    few = prints.count()
-    for by in (["low", "high"], ["a", "far"], None):
-        left = scratch.save(_apart(left, comps))
-        n = left.count()
-        if not n:
-            break
-        pairs = left
-        if by and n > few:
-            best = left.groupBy(*by).agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p"))
-            pairs = scratch.save(best.select("p.a", "p.b").distinct())
-            left = _untested(left, pairs)
-        else:
-            left = left.limit(0)
-        new = scratch.save(_verify(pairs.select("a", "b"), texts, tools, scratch))
-        if new.limit(1).count():
-            links.append(new)
-            comps = components(_union(links), scratch)
+    left = scratch.save(_candidates(_open(members, comps, scratch), prints, scratch))
+    links.append(scratch.save(_forest(left, texts, tools)))
+    comps = components(_union(links), scratch)
+    scratch.drop(left)
     scratch.drop(members, texts, prints)
     return docs.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
@@ -269,83 +255,128 @@ def _pairs(members: DataFrame, turn: int, tested: DataFrame | None, prints: Data
     return pairs.join(sig("a"), "a").join(sig("b"), "b").filter(same >= AGREE).select("a", "b").distinct()
 
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` with ``a < b`` that ``tested`` holds in neither order."""
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+_MEMBER = "key long, i int, j int, part int, node long, comp long, sig array<int>"
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different classes: ``low`` and ``high``, with ``far`` that of ``b``."""
-    side = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-    rows = pairs.select("a", "b", "same").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rows = rows.select("a", "b", "same", F.coalesce("a_comp", "a").alias("near"), F.coalesce("b_comp", "b").alias("far")).filter("near <> far")
-    return rows.select("a", "b", "same", "far", F.least("near", "far").alias("low"), F.greatest("near", "far").alias("high"))
+def _groups(batches, fn):
+    """``fn`` of the rows of each ``(key, i, j)``, which arrive together."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        if not len(t):
+            continue
+        cols = [t[c].to_numpy() for c in ("key", "i", "j")]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], cuts.tolist()):
+            yield from fn(t.slice(lo, hi - lo))
+        rest = t.slice(int(cuts[-1]) if len(cuts) else 0)
+    if rest is not None and len(rest):
+        yield from fn(rest)
 
 
-def _meet(members: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(a, b, same)``: every two members of a bucket that are in different classes and agree in
-    enough samples, each pair in its first common band only.
+class _Block:
+    """Members of two blocks of a bucket, and who is a candidate of whom."""
+
+    def __init__(self, t: pa.Table):
+        self.key, self.i, self.j = t["key"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
+        self.node, self.comp, self.of = (t[c].to_numpy() for c in ("node", "comp", "part"))
+        self.several = len(t) > 1 and self.comp.min() != self.comp.max()
+        if self.several:
+            self.sig = np.ascontiguousarray(t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES))
+            self.bands = band_keys(self.sig).view(np.int64)
+            self.left, self.right = np.flatnonzero(self.of == self.i), np.flatnonzero(self.of == self.j)
+
+    def partners(self, row: int, label: np.ndarray) -> np.ndarray:
+        """Members of the other block (behind ``row``, if it is the same) with another label that
+        agree with ``row`` in enough samples and have this bucket as the first in common."""
+        near = self.right[self.right > row] if self.i == self.j else self.right
+        near = near[label[near] != label[row]]
+        near = near[(self.sig[near] == self.sig[row]).sum(axis=1) >= AGREE]
+        return near[self.bands[row][(self.bands[near] == self.bands[row]).argmax(axis=1)] == self.key]
+
+
+def _candidates(members: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of a bucket, by pair of blocks, that have a candidate of another class there.
 
     A bucket is dealt into blocks by node, and every two blocks meet in a group of their own, so
-    no task holds more than two blocks at a time, however many members a bucket has.
+    no task holds more than two blocks at a time, however many members a bucket has. Samples
+    decide here, so that only texts with a candidate have to be moved. A group gives away its own
+    members at most, never its pairs.
     """
-    size = scratch.save(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")))
+    rows, chars = F.count("*") / BLOCK_ROWS, F.sum("chars") / BLOCK_CHARS
+    size = scratch.save(members.groupBy("key").agg(F.ceil(F.greatest(rows, chars)).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = members.join(prints.select("node", "sig"), "node").join(size, "key").withColumn("part", part)
+    dealt = members.join(prints, "node").join(size, "key").withColumn("part", part)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "sig")
-    schema = "a long, b long, same int"
 
     def group(t):
-        key, i, j = t["key"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
-        node, comp, of = (t[c].to_numpy() for c in ("node", "comp", "part"))
-        if comp.min() == comp.max():
+        block = _Block(t)
+        if not block.several:
             return
-        sig = np.ascontiguousarray(t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES))
-        x, y = np.flatnonzero(of == i), np.flatnonzero(of == j)
-        left, right = np.ascontiguousarray(sig[x].T), np.ascontiguousarray(sig[y].T)
-        same = np.zeros((len(x), len(y)), np.uint8)
-        for p, q in zip(left, right):
-            same += p[:, None] == q[None, :]
-        r, c = np.nonzero((same >= AGREE) & (comp[x][:, None] != comp[y][None, :]))
-        if i == j:
-            r, c = r[r < c], c[r < c]
-        if not len(r):
+        keep = np.zeros(len(t), bool)
+        for row in block.left:
+            near = block.partners(row, block.comp)
+            keep[near] = True
+            keep[row] |= len(near) > 0
+        if keep.any():
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: _groups(batches, group), _MEMBER)
+
+
+def _forest(candidates: DataFrame, texts: DataFrame, tools) -> DataFrame:
+    """Links ``(a, b)`` that connect what is similar in each pair of blocks: every two members of
+    different classes are compared by text unless links already connect them, so a group gives
+    away fewer links than it has members, and nothing about the pairs that aren't similar."""
+    schema = "a long, b long"
+    rows = candidates.join(texts, "node").select("key", "i", "j", "part", "node", "comp", "sig", "text")
+
+    def group(t):
+        block = _Block(t)
+        if not block.several:
             return
-        bands = band_keys(sig).view(np.int64)
-        for lo in range(0, len(r), _BLOCK):
-            rr, cc = r[lo:lo + _BLOCK], c[lo:lo + _BLOCK]
-            ours, theirs = bands[x[rr]], bands[y[cc]]
-            own = ours[np.arange(len(rr)), (ours == theirs).argmax(axis=1)] == key
-            a, b, n = node[x[rr[own]]], node[y[cc[own]]], same[rr[own], cc[own]]
-            if len(a):
-                yield arrow(schema, a=np.minimum(a, b), b=np.maximum(a, b), same=n.astype(np.int32))
-
-    def meet(batches):
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            if not len(t):
+        weights, held = tools.value[0], t["text"].to_pylist()
+        parts = []
+        for lo, hi in slices(held):
+            d, h, w = weighted_shingles(held[lo:hi], weights)
+            parts.append((d + lo, h, w))
+        d, h, w = (np.concatenate(x) for x in zip(*parts))
+        at = np.searchsorted(d, np.arange(len(t) + 1))
+        count, total = np.diff(at), np.add.reduceat(w, at[:-1])
+        known, place = np.unique(h, return_inverse=True)
+        own = np.zeros(len(known))
+        label = block.comp.copy()
+        a, b = [], []
+        for row in block.left:
+            near = block.partners(row, label)
+            if not len(near):
                 continue
-            cols = [t[c].to_numpy() for c in ("key", "i", "j")]
-            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-            for lo, hi in zip([0, *cuts.tolist()], cuts.tolist()):
-                yield from group(t.slice(lo, hi - lo))
-            rest = t.slice(int(cuts[-1]) if len(cuts) else 0)
-        if rest is not None and len(rest):
-            yield from group(rest)
-
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, schema)
+            mine = slice(at[row], at[row + 1])
+            own[place[mine]] = w[mine]
+            n = count[near]
+            begin = np.cumsum(n) - n
+            e = np.repeat(at[near] - begin, n) + np.arange(n.sum())
+            both = np.add.reduceat(np.minimum(w[e], own[place[e]]), begin)
+            own[place[mine]] = 0
+            for x in near[both / (total[row] + total[near] - both) >= SIMILARITY]:
+                if label[x] != label[row]:
+                    a.append(block.node[row])
+                    b.append(block.node[x])
+                    label[label == label[x]] = label[row]
+        if a:
+            yield arrow(schema, a=a, b=b)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: _groups(batches, group), schema)
 
 
 def _open(members: DataFrame, comps: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Members of buckets that span several classes, with their class; without classes yet,
     each node is one."""
     if comps is None:
-        return members.select("node", "key", F.col("node").alias("comp"))
-    rows = members.select("node", "key").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return members.withColumn("comp", F.col("node"))
+    rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = scratch.save(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
     return scratch.save(rows.join(split, "key"))
 

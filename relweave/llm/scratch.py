@@ -31,10 +31,13 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def delete(self, *tables: DataFrame) -> None:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        self.delete(*tables)
         for _ in range(2):  # what the first round frees still holds the last shuffles
             gc.collect()
             self.spark._jvm.System.gc()

@@ -162,6 +162,25 @@ def test_near_copies_in_buckets_of_a_shared_passage(spark):
     assert got == brute_classes(rows, nearcopies.shingle_weights(df)) and got[4054] == 2547
 
 
+def test_rows_made_grow_in_line_with_a_group(spark, monkeypatch):
+    """A group of texts alike but no copies: what leaves the blocks is members, never pairs."""
+    seen = []
+    plain = nearcopies._forest
+
+    def forest(candidates, texts, tools):
+        out = plain(candidates, texts, tools)
+        seen.append((candidates.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "_forest", forest)
+    rng = random.Random(21)
+    passage = prose(rng, 90)
+    for n in (60, 240):
+        rows = [(i, passage + " " + prose(rng, 13)) for i in range(n)]
+        assert nearcopies.near_copies(docs_frame(spark, rows)).select("class_id").distinct().count() == n
+    assert all(rows <= n * nearcopies.BANDS and links == 0 for n, (rows, links) in zip((60, 240), seen)) and seen[0][0] > 60
+
+
 def test_blocks_of_a_bucket_meet_all_others(spark, monkeypatch):
     rng = random.Random(9)
     first = prose(rng, 80)
