@@ -12,6 +12,10 @@ from relweave.llm.scratch import arrow, clean, map_batches
 #: lines of one sliding window, and text a window has at a surge
 WINDOW = 3
 SURGE_CHARS = 80
+#: a line in an article or main element weighs as much as a line this many times as long
+HOME_WEIGHT = 4
+#: a surge has at least this part of the heaviest window
+SURGE_SHARE = 0.25
 
 # Elements and names with a meaning of their own in web pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,6 +32,11 @@ AWAY_NAMES = frozenset(
     "disclaimer search skip".split())
 TALK_NAMES = frozenset("comment comments reply replies disqus discussion respond".split())
 TOP_NAMES = frozenset("header masthead topbar".split())
+#: words that name the shape of a container, not what it holds
+SHAPE_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons card col column container content entry form group header heading "
+    "icon icons inline inner item items left link links list main meta outer page panel post posts right row section site "
+    "slot small stories story text thread title top unit wrap wrapper".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
 
@@ -53,14 +62,24 @@ def _kind(name: str, raw: str, inside: bool) -> str | None:
         return "away"
     if a.get("role") in AWAY_ROLES:
         return "away"
-    names = set(_NAME.findall(a.get("class", "") + " " + a.get("id", "")))
-    if names & TALK_NAMES:
+    if len(name) == 2 and name[0] == "h" and name[1].isdigit():
+        return None
+    # generators make the ids of an article's sections from its headings
+    tokens = a.get("class", "").split() + ([] if inside and name == "section" else a.get("id", "").split())
+    names = [set(_NAME.findall(t)) for t in tokens]
+    if any(_says(x, TALK_NAMES) for x in names):
         return "talk"
-    if name != "article" and (names & AWAY_NAMES or (names & TOP_NAMES and not inside)):
+    if name != "article" and any(_says(x, AWAY_NAMES) or (not inside and _says(x, TOP_NAMES)) for x in names):
         return "away"
     return None
 
 
+def _says(words: set[str], wanted: frozenset[str]) -> bool:
+    """Whether a class or id is one of the wanted words, alone or with words that only add a
+    shape: ``related-posts`` but not ``related-work``."""
+    return bool(words & wanted) and words <= wanted | AWAY_NAMES | SHAPE_NAMES
+
+
 class _Line:
     __slots__ = ("text", "linked", "home", "heading")
 
@@ -160,46 +179,59 @@ def page_lines(html: str) -> list[_Line]:
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, joined by one line end; empty if none.
 
-    The text length of each line, without links, is summed over sliding windows of lines. A
-    window with a good deal of text is a surge; from there the text runs to the dives, the
-    windows without any text, on either side. Headings right before a surge belong to it. If
-    the page marks an article or main element, that element with the most text outside of
-    links bounds the distribution, and the surge and dive lie on its first and last text.
+    The text length of each line, without links, is summed over sliding windows of lines; lines
+    of an article or main element weigh more. Windows of at least a quarter of the heaviest one
+    are surges. The text runs from the dive before the first surge to the dive behind the last
+    one, with everything between, lines of links too. A dive is the edge of the windows without
+    text; where the heaviest window lies in an article or main element, that element's edge.
+    Headings right before a surge belong to it. No surge of another kind of place counts: if
+    the heaviest window lies outside of such elements, those between are left out.
     """
     if not html:
         return ""
-    lines = page_lines(html)
-    weight = [0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked for x in lines]
-    home: dict[int, int] = {}
-    for x, w in zip(lines, weight):
-        if x.home:
-            home[x.home] = home.get(x.home, 0) + w
-    best = max(home, key=lambda k: (home[k], -k), default=0)
-    if best and home[best]:
-        return "\n".join(x.text for x in lines if x.home == best and x.text)
-    # a line that only links is a dive; without lines that the page leaves blank
-    kept = [(x, w) for x, w in zip(lines, weight) if x.text]
-    sums = [sum(w for _, w in kept[i:i + WINDOW]) for i in range(len(kept))]
-    regions: list[tuple[int, int, int]] = []
-    i = 0
-    while i < len(kept):
-        if not sums[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(kept) and sums[j]:
-            j += 1
-        if max(sums[i:j]) >= SURGE_CHARS:
-            regions.append((sum(w for _, w in kept[i:j]), -i, j))
-        i = j
-    if regions:
-        _, start, stop = max(regions)
-        kept = kept[-start:stop]
-    while kept and not kept[0][1] and not kept[0][0].heading:
-        kept = kept[1:]
-    while kept and not kept[-1][1]:
-        kept = kept[:-1]
-    return "\n".join(x.text for x, w in kept if w or x.heading)
+    lines = [x for x in page_lines(html) if x.text]
+    chosen = distribution([_weight(x) for x in lines], [x.home for x in lines], [x.heading for x in lines])
+    return "\n".join(lines[i].text for i in chosen)
+
+
+def distribution(weight: list[int], home: list[int], heading: list[bool]) -> list[int]:
+    """Numbers of the lines between the dives around the first and the last surge.
+
+    ``weight`` is a line's text outside of links, ``home`` numbers its article or main element.
+    """
+    n = len(weight)
+
+    def windows(of):
+        return [sum(of[i:i + WINDOW]) for i in range(n)]
+
+    lifted = [w * (HOME_WEIGHT if h else 1) for w, h in zip(weight, home)]
+    sums = windows(lifted)
+    peak = max(sums, default=0)
+    if not peak:
+        return []
+    heaviest = [max(range(i, min(i + WINDOW, n)), key=lambda k: (lifted[k], -k)) for i in range(n)]
+    surges = [i for i in range(n) if sums[i] >= max(peak * SURGE_SHARE, min(SURGE_CHARS, peak))]
+    if home[heaviest[sums.index(peak)]]:
+        homes = {home[heaviest[i]] for i in surges} - {0}
+        return [k for k in range(n) if home[k] in homes]
+    plain = windows([0 if h else w for w, h in zip(weight, home)])
+    surges = [i for i in surges if not home[heaviest[i]]]
+    start, stop = surges[0], surges[-1]
+    while start and plain[start - 1]:
+        start -= 1
+    while stop < n and plain[stop]:
+        stop += 1
+    kept = [k for k in range(start, stop) if not home[k]]
+    while kept and not weight[kept[0]] and not heading[kept[0]]:
+        kept.pop(0)
+    while kept and not weight[kept[-1]]:
+        kept.pop()
+    return kept
+
+
+def _weight(line: _Line) -> int:
+    """Characters outside of links, none for a line that is mostly link."""
+    return 0 if 2 * line.linked > len(line.text) else len(line.text) - line.linked
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
