@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -153,35 +154,38 @@ def _sign(docs: DataFrame, tools) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, tools, scratch: Scratch) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the similarity. Pairs of one ``b`` share tasks in
-    bounded parts, and its shingles are made once per part."""
-    share = F.pmod(F.xxhash64("a"), F.col("parts"))
+    bounded parts, where its shingles are made once; a text moves once to each ``b`` that asks."""
     size = scratch.save(pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_ROWS).alias("parts")))
-    left = pairs.join(size, "b").withColumn("part", share).join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    right = size.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("b", "part", "right")
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")
+    left = pairs.join(size, "b").select(F.col("a").alias("node"), "b", part, F.lit(1).alias("role"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    right = size.select(F.col("b").alias("node"), "b", every, F.lit(0).alias("role"))
+    asks = scratch.save(left.unionByName(right))
     schema = "a long, b long"
 
     def check(batches):
         weights = tools.value[0]
-        centre, ch, cw = None, None, None
-        for b in batches:
-            a_ids, b_ids = b.column("a").to_pylist(), b.column("b").to_pylist()
-            lefts, rights = b.column("left").to_pylist(), b.column("right")
+        now, centres = None, []
+        for batch in batches:
+            node, b, part, role = (batch.column(c).to_pylist() for c in ("node", "b", "part", "role"))
+            held = batch.column("text").to_pylist()
             keep = []
-            for lo, hi in slices(lefts):
-                d, h, w = weighted_shingles(lefts[lo:hi], weights)
+            for lo, hi in slices(held):
+                d, h, w = weighted_shingles(held[lo:hi], weights)
                 bounds = np.searchsorted(d, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    if b_ids[lo + i] != centre:
-                        centre = b_ids[lo + i]
-                        _, ch, cw = weighted_shingles([rights[lo + i].as_py()], weights)
-                    x, z = bounds[i], bounds[i + 1]
-                    if jaccard(h[x:z], w[x:z], ch, cw) >= SIMILARITY:
-                        keep.append(lo + i)
+                for i in range(lo, hi):
+                    mine = slice(bounds[i - lo], bounds[i - lo + 1])
+                    if now != (b[i], part[i]):
+                        now, centres = (b[i], part[i]), []
+                    if not role[i]:  # the centre's texts come before all others
+                        centres.append((h[mine], w[mine]))
+                    elif any(jaccard(h[mine], w[mine], *c) >= SIMILARITY for c in centres):
+                        keep.append(i)
             if keep:
-                yield arrow(schema, a=[a_ids[i] for i in keep], b=[b_ids[i] for i in keep])
+                yield arrow(schema, a=[node[i] for i in keep], b=[b[i] for i in keep])
 
-    return left.join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(check, schema)
+    rows = asks.join(texts, "node").select("node", "b", "part", "role", "text")
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(check, schema)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -255,7 +259,7 @@ def _pairs(members: DataFrame, turn: int, tested: DataFrame | None, prints: Data
     return pairs.join(sig("a"), "a").join(sig("b"), "b").filter(same >= AGREE).select("a", "b").distinct()
 
 
-_MEMBER = "key long, i int, j int, part int, node long, comp long, sig array<int>"
+_MEMBER = "key long, i int, j int, part int, node long, comp long"
 
 
 def _groups(batches, fn):
@@ -278,12 +282,12 @@ def _groups(batches, fn):
 class _Block:
     """Members of two blocks of a bucket, and who is a candidate of whom."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, sig: Callable[[], np.ndarray]):
         self.key, self.i, self.j = t["key"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
         self.node, self.comp, self.of = (t[c].to_numpy() for c in ("node", "comp", "part"))
         self.several = len(t) > 1 and self.comp.min() != self.comp.max()
         if self.several:
-            self.sig = np.ascontiguousarray(t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES))
+            self.sig = np.ascontiguousarray(sig())
             self.bands = band_keys(self.sig).view(np.int64)
             self.left, self.right = np.flatnonzero(self.of == self.i), np.flatnonzero(self.of == self.j)
 
@@ -312,7 +316,7 @@ def _candidates(members: DataFrame, prints: DataFrame, scratch: Scratch) -> Data
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "sig")
 
     def group(t):
-        block = _Block(t)
+        block = _Block(t, lambda: t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES))
         if not block.several:
             return
         keep = np.zeros(len(t), bool)
@@ -321,7 +325,7 @@ def _candidates(members: DataFrame, prints: DataFrame, scratch: Scratch) -> Data
             keep[near] = True
             keep[row] |= len(near) > 0
         if keep.any():
-            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from t.drop_columns(["sig"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: _groups(batches, group), _MEMBER)
 
@@ -331,18 +335,19 @@ def _forest(candidates: DataFrame, texts: DataFrame, tools) -> DataFrame:
     different classes are compared by text unless links already connect them, so a group gives
     away fewer links than it has members, and nothing about the pairs that aren't similar."""
     schema = "a long, b long"
-    rows = candidates.join(texts, "node").select("key", "i", "j", "part", "node", "comp", "sig", "text")
+    rows = candidates.join(texts, "node").select("key", "i", "j", "part", "node", "comp", "text")
 
     def group(t):
-        block = _Block(t)
-        if not block.several:
-            return
-        weights, held = tools.value[0], t["text"].to_pylist()
+        weights, tables = tools.value
+        held = t["text"].to_pylist()
         parts = []
         for lo, hi in slices(held):
             d, h, w = weighted_shingles(held[lo:hi], weights)
             parts.append((d + lo, h, w))
         d, h, w = (np.concatenate(x) for x in zip(*parts))
+        block = _Block(t, lambda: signatures(len(t), d, h, w, tables).view(np.int32))
+        if not block.several:
+            return
         at = np.searchsorted(d, np.arange(len(t) + 1))
         count, total = np.diff(at), np.add.reduceat(w, at[:-1])
         known, place = np.unique(h, return_inverse=True)
