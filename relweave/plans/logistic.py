@@ -27,11 +27,12 @@ class Model:
 
 def _scaled(batch: pa.RecordBatch, scale: dict[str, tuple[np.ndarray, np.ndarray]]):
     """(task, rows, X with a leading one, y, fold) per task of a batch."""
-    tasks = np.array(batch.column("task").to_pylist(), dtype=object)
-    x = np.array(batch.column("x").to_pylist(), dtype=float)
+    tasks = batch.column("task").dictionary_encode()
+    codes, names = tasks.indices.to_numpy(zero_copy_only=False), tasks.dictionary.to_pylist()
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
     y, fold = batch.column("y").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False)
-    for t in dict.fromkeys(tasks.tolist()):
-        at = np.flatnonzero(tasks == t)
+    for code, t in enumerate(names):
+        at = np.flatnonzero(codes == code)
         mean, std = scale[t]
         yield t, at, np.hstack([np.ones((len(at), 1)), (x[at] - mean) / std]), y[at], fold[at]
 
@@ -104,8 +105,9 @@ def score_logistic(rows: DataFrame, keep: Sequence[str], weights: dict, scale: d
             for c in left_out:
                 score = np.empty(b.num_rows)
                 for t, at, x, _, fold in _scaled(b, scale):
-                    w = np.stack([weights[Model(t, int(k), c)] for k in fold]) if len(fold) else np.zeros((0, x.shape[1]))
-                    score[at] = (x * w).sum(axis=1)
+                    for k in np.unique(fold):
+                        mine = fold == k
+                        score[at[mine]] = (x[mine] * weights[Model(t, int(k), c)]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(k) for k in keep] + [pa.array([c] * b.num_rows, pa.int32()), pa.array(1.0 / (1.0 + np.exp(-np.clip(score, -700, 700))))],
                     names=[*keep, "left_out", "score"])
