@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relweave.catalog.base import Tables, query, testdata_dataset
+from relweave.catalog.base import ORACLE, Tables, query, testdata_dataset
 from relweave.model import ColumnMeta, RelationalDataset, TableMeta
 from relweave.operators import joins as J
 from relweave.plans.pointintime import Spec
@@ -59,12 +59,25 @@ def _user_pairs(t: Tables):
 
 @query(
     "asof_cutoff_join",
+    """SELECT p.o_custkey, p.cutoff, o.o_orderkey, o.o_totalprice
+       FROM (SELECT DISTINCT o_custkey, o_orderdate AS cutoff FROM orders) p
+       LEFT JOIN orders o ON o.o_custkey = p.o_custkey AND o.o_orderdate < p.cutoff""",
+)
+def asof_cutoff_join(t: Tables):
+    """Every row before each cutoff: as many as pairs of a cutoff and an earlier row."""
+    return J.asof_join(
+        _user_pairs(t), t.orders, "o_custkey", "cutoff", "o_custkey", "o_orderdate", ["o_orderkey", "o_totalprice"]
+    )
+
+
+@query(
+    "asof_cutoff_aggregate",
     """SELECT p.o_custkey, p.cutoff, count(o.o_orderkey) AS n_before, round(avg(o.o_totalprice), 6) AS mean_price,
               max(o.o_totalprice) AS max_price, min(o.o_totalprice) AS min_price
        FROM (SELECT DISTINCT o_custkey, o_orderdate AS cutoff FROM orders) p
        LEFT JOIN orders o ON o.o_custkey = p.o_custkey AND o.o_orderdate < p.cutoff GROUP BY 1, 2""",
 )
-def asof_cutoff_join(t: Tables):
+def asof_cutoff_aggregate(t: Tables):
     out = J.asof_aggregate(
         _user_pairs(t), t.orders, "o_custkey", "cutoff", "o_custkey", "o_orderdate",
         [Spec("n_before", "count", "o_orderkey"), Spec("mean_price", "mean", "o_totalprice"),
@@ -72,17 +85,10 @@ def asof_cutoff_join(t: Tables):
     return out.withColumn("mean_price", F.round("mean_price", 6))
 
 
-@query(
-    "asof_cutoff_rows",
-    """SELECT p.o_custkey, p.cutoff, o.o_orderkey, o.o_totalprice
-       FROM (SELECT DISTINCT o_custkey, o_orderdate AS cutoff FROM orders) p
-       LEFT JOIN orders o ON o.o_custkey = p.o_custkey AND o.o_orderdate < p.cutoff""",
-)
+@query("asof_cutoff_rows", ORACLE["asof_cutoff_join"])
 def asof_cutoff_rows(t: Tables):
-    """The rows themselves, where a user wants them: as many as pairs of a cutoff and an earlier row."""
-    return J.asof_join(
-        _user_pairs(t), t.orders, "o_custkey", "cutoff", "o_custkey", "o_orderdate", ["o_orderkey", "o_totalprice"]
-    )
+    """The same rows under their second name."""
+    return asof_cutoff_join(t)
 
 
 @query(
