@@ -254,6 +254,19 @@ def test_bootstrap_auc_equals_each_draw(spark):
     assert got["ci_high"] == pytest.approx(np.percentile(aucs, 97.5))
 
 
+def test_bootstrap_auc_over_many_batches(spark):
+    rng = np.random.default_rng(4)
+    n, draws = 9000, 20
+    pdf = pd.DataFrame({"task": rng.choice(["s", "t"], n), "k": range(n), "y": rng.integers(0, 2, n), "score": np.round(rng.normal(size=n), 2)})
+    pdf.loc[:5000, "score"] = 0.25  # a score whose rows fill more than one batch
+    got = {r["task"]: r for r in Q.bootstrap_auc(spark.createDataFrame(pdf), ["k"], draws, 5).collect()}
+    for task, mine in pdf.groupby("task"):
+        w = C.poisson_weights_of([str(k) for k in mine.k], draws, 5)
+        assert (w[:50] == np.stack([C.poisson_weights(str(k), draws, 5) for k in mine.k[:50]])).all()
+        aucs = [weighted_auc(mine.score.to_numpy(), mine.y.to_numpy(), w[:, d].astype(float)) for d in range(draws)]
+        assert got[task]["auc"] == pytest.approx(np.mean(aucs)) and got[task]["ci_low"] == pytest.approx(np.percentile(aucs, 2.5))
+
+
 def test_verdicts_fail_closed(spark):
     rules = spark.createDataFrame([("d", "a", "", True), ("d", "b", "a3_rows", False), ("d", "c", "", True), ("d", "e", "", True)],
                                   "db string, task string, failures string, a_pass boolean")
