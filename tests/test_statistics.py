@@ -267,6 +267,11 @@ def test_stage_b_zones(spark):
     assert got["bad"]["auc"] < 0.62
 
 
+def test_forests_keep_the_nodes_of_rows(spark):
+    model = Q.forest(8, 4)()
+    assert model.getCacheNodeIds() and model.getNumTrees() == 8 and model.getMaxDepth() == 4
+
+
 def test_bootstrap_interval_covers_the_median(spark):
     df = spark.range(400).select(F.col("id").alias("u"), F.lit(0.0).alias("l"), (F.col("id") / 400).alias("r"))
     row = C.bootstrap_median_interval(df, "u", "l", "r", 100).first()
