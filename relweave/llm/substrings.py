@@ -18,6 +18,8 @@ FIRST = 24
 WINDOW = LENGTH - FIRST + 1
 #: window starts that one run holds at most, so that its first and last window cover it
 RUN = WINDOW
+#: positions whose buckets are refined at once
+_BLOCK = 1 << 14
 #: bits of the filter of shared buckets (128 MB at most); fuller, it only lets more rows through
 MOST_BITS = 1 << 30
 _A, _B, _C, _D = (int(x) for x in mix(np.arange(11, 15, dtype=np.uint64)) | np.uint64(1))
@@ -45,7 +47,11 @@ def bucket_ids(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(buf) < FIRST:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     raw = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=np.ascontiguousarray(buf), strides=(1,)).copy()
-    return raw, _refine(_refine(raw[:-8], raw[8:])[:-8], raw[16:])
+    first = np.empty(len(raw) - 16, np.uint64)
+    for lo in range(0, len(first), _BLOCK):  # a block's intermediate arrays stay in the processor's cache
+        part = raw[lo:lo + _BLOCK + 16]
+        first[lo:lo + _BLOCK] = _refine(_refine(part[:-8], part[8:])[:-8], part[16:])
+    return raw, first
 
 
 def string_ids(first: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -83,8 +89,10 @@ def text_runs(texts: list[str | None]):
         return z, z.astype(np.uint64), z.astype(np.uint64), z, z, raw
     _, first = bucket_ids(buf)
     least = _sliding_min(first, WINDOW)
-    change = np.flatnonzero(least[1:] != least[:-1]) + 1
-    head = np.union1d(change, at[:-1][at[:-1] < len(least)])
+    begins = np.empty(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=begins[1:])
+    begins[at[:-1][at[:-1] < len(least)]] = True
+    head = np.flatnonzero(begins)
     doc = np.searchsorted(at[1:], head, side="right")
     limit = at[1:][doc] - LENGTH + 1  # first start whose window would leave the text
     stop = np.minimum(np.append(head[1:], len(least)), limit)

@@ -453,3 +453,13 @@ def test_toxicity_learns_and_keeps_clean_rows(spark):
     nothing = toxicity.fit(df, lab.limit(0))
     assert all(r["score"] == pytest.approx(0.0, abs=1e-9) for r in toxicity.score_documents(df.limit(5), nothing).collect())
     assert toxicity.score_documents(empty(spark), model).count() == 0
+
+
+def test_buckets_of_blocks_are_those_of_the_whole():
+    from relweave.llm import substrings
+
+    b = np.random.default_rng(1).integers(0, 3, 2 * substrings._BLOCK + substrings.FIRST + 5).astype(np.uint8)
+    _, first = substrings.bucket_ids(b)
+    at = np.array([0, substrings._BLOCK - 1, substrings._BLOCK, 2 * substrings._BLOCK, len(first) - 1])
+    assert len(first) == len(b) - substrings.FIRST + 1
+    assert [substrings.bucket_ids(b[i:i + substrings.FIRST])[1][0] for i in at] == first[at].tolist()
