@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from relweave.llm.bloom import bits_for, key_filter, key_positions, test_bits
 from relweave.llm.graph import components
 from relweave.llm.kernel import distinct_per_doc, mix, sequence_hash, shingles, slices, words
-from relweave.llm.scratch import Scratch, add_blocks, arrow, clean, rows_per_task, share_of
+from relweave.llm.scratch import Scratch, add_blocks, arrow, clean, map_batches, rows_per_task, share_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +38,8 @@ ROUNDS = 2
 #: members of a bucket in one block, and characters of their texts; two blocks meet in a task
 BLOCK_ROWS = 1024
 BLOCK_CHARS = 1 << 24
+#: bits of the filter of nodes whose texts are compared (128 MB at most); fuller, it only lets more texts through
+MOST_BITS = 1 << 30
 #: pairs that share a centre and a task
 CENTRE_ROWS = 512
 
@@ -218,8 +221,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # totals are written before they are joined to their rows, so that a hot key can be split
     full = scratch.save(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = scratch.save(members.join(full, "key").distinct())
-    wanted = members.select("node").distinct()
-    texts = known.join(wanted, known.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
+    wanted = scratch.save(members.select("node").distinct())
+    likely = _likely(known, wanted)
+    texts = likely.join(wanted, likely.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = scratch.save(texts.dropDuplicates())
     prints = scratch.save(nodes.join(wanted, "node").select("node", "sig"))
     scratch.drop(nodes, full)
@@ -239,6 +243,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be a node of ``wanted``: a filter of the nodes spares most other texts the shuffle."""
+    bits = bits_for(wanted.count(), 10, MOST_BITS)
+    hashed = wanted.select(F.xxhash64("node").alias("h"))
+    held = docs.sparkSession.sparkContext.broadcast(key_filter(hashed, "h", bits))
+    schema = "doc_id long, text string"
+
+    def own(b):
+        h = b.column("h").to_numpy().view(np.uint64)
+        keep = b.filter(pa.array(test_bits(held.value, key_positions(h, bits))))
+        yield arrow(schema, doc_id=keep.column("doc_id"), text=keep.column("text"))
+
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), own, schema)
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

@@ -463,3 +463,9 @@ def test_buckets_of_blocks_are_those_of_the_whole():
     at = np.array([0, substrings._BLOCK - 1, substrings._BLOCK, 2 * substrings._BLOCK, len(first) - 1])
     assert len(first) == len(b) - substrings.FIRST + 1
     assert [substrings.bucket_ids(b[i:i + substrings.FIRST])[1][0] for i in at] == first[at].tolist()
+
+
+def test_texts_that_no_bucket_wants_are_not_moved(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    got = {r["doc_id"]: r["text"] for r in nearcopies._likely(docs, spark.range(0, 2000, 10).withColumnRenamed("id", "node")).collect()}
+    assert set(range(0, 2000, 10)) <= set(got) and len(got) < 250 and got[10] == "t10"
