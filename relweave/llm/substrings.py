@@ -77,7 +77,8 @@ def _encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes
 
 
 def text_runs(texts: list[str | None]):
-    """``(text, bucket, identity, first start, starts)`` of the runs of window starts.
+    """``(text, bucket, identity, first start, starts)`` of the runs of window starts, each text's
+    bytes, the 24-byte buckets of all texts in a row and each text's offset there.
 
     Every 50-byte string belongs to the least 24-byte bucket inside it, whatever surrounds it;
     consecutive starts with the same least bucket make a run. Equal identities of a bucket are
@@ -86,7 +87,7 @@ def text_runs(texts: list[str | None]):
     buf, at, raw = _encode(texts)
     z = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
-        return z, z.astype(np.uint64), z.astype(np.uint64), z, z, raw
+        return z, z.astype(np.uint64), z.astype(np.uint64), z, z, raw, z.astype(np.uint64), at
     _, first = bucket_ids(buf)
     least = _sliding_min(first, WINDOW)
     begins = np.empty(len(least), bool)
@@ -105,7 +106,7 @@ def text_runs(texts: list[str | None]):
         stop = np.minimum(stop, head + RUN)
     n = stop - head
     identity = _refine(_refine(string_ids(first, head), string_ids(first, stop - 1)), n.astype(np.uint64))
-    return doc, least[head], identity, head - at[doc], n, raw
+    return doc, least[head], identity, head - at[doc], n, raw, first, at
 
 
 _RUNS = "g long, t long, doc long, run long"
@@ -116,6 +117,16 @@ def _pack(version: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (version.astype(np.int64) << 46) | (start.astype(np.int64) << 6) | n
 
 
+def _versions(raw: list[bytes]) -> np.ndarray:
+    """16 bits of each text's checksum, which tell the rows of one id apart."""
+    return np.fromiter((zlib.crc32(r) & 0xFFFF for r in raw), np.int64, len(raw))
+
+
+def _place_keys(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys of documents and first starts, for the filter of runs that are compared string by string."""
+    return _refine(mix(doc.view(np.uint64)), start.view(np.uint64))
+
+
 def _unpack(run):
     return F.shiftrightunsigned(run, 46).alias("v"), F.shiftrightunsigned(run, 6).bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), run.bitwiseAND(F.lit(63)).alias("n")
 
@@ -129,7 +140,7 @@ def _runs(docs: DataFrame, known=None) -> DataFrame:
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts):
-                d, g, t, s, n, raw = text_runs(texts[lo:hi])
+                d, g, t, s, n, raw, _, _ = text_runs(texts[lo:hi])
                 if not len(d):
                     continue
                 doc = ids[lo:hi][d]
@@ -138,8 +149,8 @@ def _runs(docs: DataFrame, known=None) -> DataFrame:
                 else:
                     own = test_bits(known.value, key_positions(g, len(known.value) << 3))
                     d, g, t, s, n, doc = d[own], g[own], t[own], s[own], n[own], doc[own]
-                    version = np.array([zlib.crc32(r) & 0xFFFF for r in raw], np.int64)[d]
-                    yield arrow(schema, g=pa.array(g.view(np.int64)), t=pa.array(t.view(np.int64)), doc=pa.array(doc), run=pa.array(_pack(version, s, n)))
+                    run = _pack(_versions(raw)[d], s, n)
+                    yield arrow(schema, g=pa.array(g.view(np.int64)), t=pa.array(t.view(np.int64)), doc=pa.array(doc), run=pa.array(run))
 
     return docs.mapInArrow(emit, schema)
 
@@ -152,7 +163,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
        smaller document has is repeated as a whole.
     3. What is left differs somewhere from every smaller document with the bucket: only the
        smallest holder of each identity matters, and its 50-byte strings are compared one by one
-       if two filters, of strings seen and seen again, can't rule them out.
+       if two filters, of strings seen and seen again, can't rule them out. A filter of these runs
+       goes to the texts, so no text is shuffled for it; a run it lets through by chance only
+       adds strings that are there.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -168,52 +181,52 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     known = scratch.save(holders.join(mixed, "g", "left"))
     state = scratch.save(runs.join(known, ["g", "t"]).filter("holder < doc or mixed").select(
         "doc", *_unpack(F.col("run")), (F.col("holder") < F.col("doc")).alias("whole")))
-    scratch.drop(runs, holders)
-    edges = state.filter("not whole").distinct()
-    bits = bits_for(edges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 4, MOST_BITS >> 1)
-    edges = edges.groupBy(F.col("doc").alias("doc_id"), "v").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
-    keyed = docs.withColumn("v", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFF)))
-    asked = keyed.join(edges, ["doc_id", "v"]).select("doc_id", "v", "text", "s", "n")
+    scratch.drop(runs, holders, known)
+    edges = state.filter("not whole")
+    many, strings_of = edges.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    place_bits, bits = bits_for(many, 16, MOST_BITS), bits_for(strings_of, 4, MOST_BITS >> 1)
+
+    def place(b):
+        doc, start = (b.column(c).to_numpy() for c in ("doc", "s"))
+        yield arrow("k long", k=pa.array(_place_keys(doc, start).view(np.int64)))
+
+    asked = spark.sparkContext.broadcast(key_filter(map_batches(edges.select("doc", "s"), place, "k long"), "k", place_bits))
 
     def strings(b):
-        """Identifier, row and start of every string of the runs in a batch, slice by slice."""
-        texts = b.column("text").to_pylist()
-        s, n = b.column("s"), b.column("n")
+        """Identifier, document, version and start of every string of the asked runs in a batch, slice by slice."""
+        texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy(zero_copy_only=False)
         for lo, hi in slices(texts):
-            buf, at, _ = _encode(texts[lo:hi])
-            _, first = bucket_ids(buf)
-            part, many = s.slice(lo, hi - lo), n.slice(lo, hi - lo).flatten().to_numpy()
-            row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
-            begin, row = np.repeat(part.flatten().to_numpy(), many), np.repeat(row, many)
-            begin = begin + np.arange(len(begin)) - np.repeat(np.cumsum(many) - many, many)
-            yield string_ids(first, begin + at[row]), lo + row, begin
+            d, _, _, s, n, raw, first, at = text_runs(texts[lo:hi])
+            own = test_bits(asked.value, key_positions(_place_keys(ids[lo:hi][d], s), place_bits))
+            d, s, n = d[own], s[own], n[own]
+            row, begin = np.repeat(d, n), np.repeat(s, n)
+            begin = begin + np.arange(len(begin)) - np.repeat(np.cumsum(n) - n, n)
+            yield string_ids(first, begin + at[row]), ids[lo:hi][row], _versions(raw)[row], begin
 
     def twice_seen(batches):
         once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
         for b in batches:
-            for w, _, _ in strings(b):
+            for w, _, _, _ in strings(b):
                 w, count = np.unique(w, return_counts=True)
                 see(once, twice, key_positions(w, bits), count > 1)
         yield from twice_blocks(once, twice)
 
-    maybe = spark.sparkContext.broadcast(fold_bits(asked.mapInArrow(twice_seen, "block int, data binary"), bits, "twice"))
+    maybe = spark.sparkContext.broadcast(fold_bits(docs.mapInArrow(twice_seen, "block int, data binary"), bits, "twice"))
     scratch.drop()
     schema = "w long, doc long, at long"
 
     def windows(b):
-        ids, versions = b.column("doc_id").to_numpy(), b.column("v").to_numpy()
-        for w, row, begin in strings(b):
+        for w, doc, version, begin in strings(b):
             own = test_bits(maybe.value, key_positions(w, bits))
-            row = row[own]
-            yield arrow(schema, w=pa.array(w[own].view(np.int64)), doc=pa.array(ids[row]), at=pa.array((versions[row] << 40) | begin[own]))
+            yield arrow(schema, w=pa.array(w[own].view(np.int64)), doc=pa.array(doc[own]), at=pa.array((version[own] << 40) | begin[own]))
 
-    single = scratch.save(map_batches(asked, windows, schema))
+    single = scratch.save(map_batches(docs, windows, schema))
     least = scratch.save(single.groupBy("w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("w", "a"))
     hit = single.join(least, "w").filter("a < doc").select(
         "doc", F.shiftrightunsigned("at", 40).alias("v"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), F.lit(1).cast("long").alias("n"))
     spans = state.filter("whole").select("doc", "v", "s", "n").unionByName(hit)
     spans = scratch.save(spans.groupBy("doc", "v").agg(F.collect_list(F.struct("s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))).alias("spans")))
-    scratch.drop(state, single)
+    scratch.drop(state, single, least)
     return spans
 
 

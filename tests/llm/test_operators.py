@@ -63,6 +63,17 @@ def test_repeated_strings_match_brute_force(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_texts_of_runs_compared_string_by_string_are_not_moved(spark, monkeypatch):
+    read, plain = [], substrings.map_batches
+    monkeypatch.setattr(substrings, "map_batches", lambda df, fn, schema: read.append(df) or plain(df, fn, schema))
+    rng = random.Random(5)
+    shared = prose(rng, 30)
+    docs = spark.createDataFrame([(i, prose(rng, 20) + shared[i:] + prose(rng, 5)) for i in range(12)], "doc_id long, text string")
+    assert substrings.repeated_spans(docs).count() == 11
+    texts = [df for df in read if "text" in df.columns]
+    assert texts and all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in texts)
+
+
 # ---------------------------------------------------------------- lines
 
 
