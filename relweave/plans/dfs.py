@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relweave.functions.scalar import col
 from relweave.model import CATEGORY, FLOAT, TEXT, TOKENS, ForeignKey, RelationalDataset
 from relweave.operators.aggregates import concat_tokens, join_text, mode_by
-from relweave.plans.ordering import hot_groups
+from relweave.plans.ordering import hot_groups, widen
 from relweave.plans.pointintime import (
     CHANGING_PRIMITIVES, MANY_CUTOFFS, STATIC_PRIMITIVES, Spec, always, before, clock, during, instant,
 )
@@ -192,6 +192,12 @@ def aggregate_column(prim, c: Column, in_size: int = 1) -> Column:
     raise ValueError(f"unknown aggregation primitive {prim!r}")
 
 
+def visited(v: Visit) -> set[str]:
+    """Tables that the visit reads, itself included."""
+    out = {v.table}.union(*[visited(sub) for _, sub, _ in v.parents], *[visited(sub) for _, sub, _ in v.children])
+    return out | {hop.child for path, _, _ in v.children for hop in path}
+
+
 def moves(ds: RelationalDataset, v: Visit) -> bool:
     """Whether features of the visit depend on the instant they are seen at."""
     return any(ds.meta[r.parent].time_column or moves(ds, sub) for r, sub, _ in v.parents) or any(
@@ -563,6 +569,7 @@ def synthesize(
     builder = _Builder(ds, uniform, cutoff is not None, latest, inclusive, clock(kinds) if cutoff else "time")
     rows = task
     if builder.per_row:
+        widen(task.sparkSession, [task, *[ds.tables[t] for t in sorted(visited(root)) if t in ds.tables]])
         # no row is before the first instant, so it stands for a missing cutoff
         never = F.lit(_NEVER).cast(task.schema[cutoff].dataType)
         rows = task.withColumn(_CUT, F.coalesce(col(cutoff), never))

@@ -47,6 +47,21 @@ def test_visibility_keeps_one_row_per_key_and_node(spark):
     assert seen.nodes.count() == 7
 
 
+def test_shuffles_of_cutoffs_start_with_partitions_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SHUFFLE_ROWS", 10)
+    pairs = spark.range(20).select((F.col("id") % 4).alias("k"), F.col("id").alias("cut"))
+    rows = spark.range(1000).select((F.col("id") % 4).alias("k"), F.col("id").alias("a"), (F.col("id") % 20).alias("at"))
+    own = spark.conf.get(ordering._INITIAL, None)
+    try:
+        spark.conf.unset(ordering._INITIAL)
+        out = J.reach(pairs, "k", "cut", [(rows, "k", "a", "at")], "a")
+        assert int(spark.conf.get(ordering._INITIAL)) == 100
+        assert out.count() == len({(a, c) for a in range(1000) for c in range(20) if a % 4 == c % 4 and a % 20 < c} | {(None, c) for c in range(4)})
+        assert ordering.widen(spark, [rows.limit(5)]) < 100 == int(spark.conf.get(ordering._INITIAL))  # never lowered
+    finally:
+        spark.conf.unset(ordering._INITIAL) if own is None else spark.conf.set(ordering._INITIAL, own)
+
+
 def test_point_in_time_aggregates_of_odd_pairs(spark):
     pairs = spark.createDataFrame([(1, 5), (1, 0), (2, 5), (None, 5), (1, None)], "k long, cut long")
     rows = spark.createDataFrame([(1, 1, 2.0), (1, 5, 4.0), (2, None, 1.0), (None, 1, 1.0), (1, 3, None)], "k long, at long, v double")
