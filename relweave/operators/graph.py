@@ -9,13 +9,14 @@ import heapq
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions import scalar as S
 from relweave.functions.scalar import col
 from relweave.model import RelationalDataset, TableMeta, TaskMeta
-from relweave.plans.ordering import hot_groups, numbered, shuffle_width, top_per_group
+from relweave.plans.ordering import hot_groups, numbered, shuffle_width, top_per_group, widen
 from relweave.session import materialize
 
 EDGE_SCHEMA = ("etype", "src_type", "src", "dst_type", "dst", "ts")
@@ -197,6 +198,8 @@ def neighbor_sample(
 
 #: before every time: neighbours without one suit every seed
 _UNTIMED = -(1 << 62)
+#: no end to an edge's time on a list
+_FOR_GOOD = (1 << 63) - 1
 _LISTED = "etype string, src_type string, src long, dst_type string, dst long, eid long, __ts long, __h long, __part int, __until long"
 
 
@@ -211,45 +214,62 @@ def lowest_over_time(edges: DataFrame, k: int) -> DataFrame:
     the whole list too.
     """
     names = [f.split(" ")[0] for f in _LISTED.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-    types = [kinds[f.split(" ")[1]] for f in _LISTED.split(", ")]
-
-    def record(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def scan(batches):
-        node, top, arrival = None, [], 0
+        held = None  # the lowest of the node that the last batch ended in
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            done = []
-            for i, (etype, src, dst, eid, ts, h, part) in enumerate(zip(*[cols[j] for j in (0, 2, 4, 5, 6, 7, 8)])):
-                if (etype, dst, part) != node:
-                    done += [(*e[1], None) for e in top]
-                    node, top = (etype, dst, part), []
-                arrival += 1
-                key = (-h, -src, -eid, -arrival)  # the worst edge kept is on top of the heap
-                if len(top) < k:
-                    heapq.heappush(top, (key, tuple(c[i] for c in cols)))
-                elif top[0][0] < key:
-                    gone = heapq.heapreplace(top, (key, tuple(c[i] for c in cols)))[1]
-                    if gone[6] < ts:
-                        done.append((*gone, ts))
-            if done:
-                yield record(done)
-        if top:
-            yield record([(*e[1], None) for e in top])
+            open_rows = held.num_rows if held else 0
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if open_rows else b
+            n = b.num_rows
+            if not n:
+                continue
+            dst, ts, h, part = (b.column(j).to_numpy() for j in (4, 6, 7, 8))
+            etype = b.column(0).dictionary_encode().indices.to_numpy()
+            new = (etype[1:] != etype[:-1]) | (dst[1:] != dst[:-1]) | (part[1:] != part[:-1])
+            ends = np.append(np.flatnonzero(new) + 1, n)
+            begins = np.append(0, ends[:-1])
+            listed, until = np.ones(n, bool), np.full(n, _FOR_GOOD)
+            hashes, times = h.tolist(), ts.tolist()
+            srcs, eids = b.column(2).to_pylist(), b.column(5).to_pylist()
+            large = ends - begins > k  # others keep all their edges
+            for lo, hi in zip(begins[large].tolist(), ends[large].tolist()):
+                top = [(-hashes[i], -srcs[i], -eids[i], -i) for i in range(lo, lo + k)]
+                heapq.heapify(top)  # the worst edge kept is on top of the heap
+                for i in range(lo + k, hi):
+                    if hashes[i] > -top[0][0]:
+                        listed[i] = False
+                        continue
+                    key = (-hashes[i], -srcs[i], -eids[i], -i)
+                    if top[0] < key:
+                        gone = -heapq.heapreplace(top, key)[3]
+                        until[gone] = times[i]
+                        listed[gone] = times[gone] < times[i]
+                    else:
+                        listed[i] = False
+            last = np.arange(n) >= begins[-1]
+            still = np.flatnonzero(last & listed & (until == _FOR_GOOD))
+            held = b.take(pa.array(still))
+            listed[still] = False
+            yield ended(b.take(pa.array(np.flatnonzero(listed))), until[listed])
+        if held:
+            yield ended(held, np.full(held.num_rows, _FOR_GOOD))
+
+    def ended(rows: pa.RecordBatch, until: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(until, mask=until == _FOR_GOOD)], names=names)
+
+    width = widen(edges.sparkSession, [edges])
 
     def lists(df: DataFrame) -> DataFrame:
         group = ["etype", "dst", "__part"]
-        return df.select(*names[:-1]).repartition(shuffle_width(df), *group).sortWithinPartitions(*group, "__ts", "__h", "src", "eid").mapInArrow(scan, _LISTED)
+        return df.select(*names[:-1]).repartition(width, *group).sortWithinPartitions(*group, "__ts", "__h", "src", "eid").mapInArrow(scan, _LISTED)
 
     edges = edges.withColumn("__part", F.lit(0))
     hot, small = hot_groups(edges, ["etype", "dst"])
     if hot is not None:
         hot = F.broadcast(hot) if small else hot
         hub = (F.col("etype") == F.col("__k0")) & (F.col("dst") == F.col("__k1"))
-        width = max(16, shuffle_width(edges))
-        hubs = edges.join(hot, hub, "left_semi").withColumn("__part", F.pmod(F.xxhash64("src", "eid"), F.lit(width)).cast("int"))
+        parts = max(16, shuffle_width(edges))
+        hubs = edges.join(hot, hub, "left_semi").withColumn("__part", F.pmod(F.xxhash64("src", "eid"), F.lit(parts)).cast("int"))
         first = lists(hubs).drop("__until").withColumn("__part", F.lit(0))
         edges = edges.join(hot, hub, "left_anti").select(*first.columns).unionByName(first)
     return lists(edges).drop("__part")
@@ -271,8 +291,11 @@ def neighbor_sample_temporal(
     timed = timed.withColumn("__ts", F.coalesce("__ts", F.lit(_UNTIMED).cast("long")))
     frontier = seeds.select("node_type", "node", "seed_ts").distinct()
     blocks = None
+    widen(edges.sparkSession, [edges, seeds])
     for hop, fanout in enumerate(reversed(list(fanouts))):
-        reached = _in_edges(timed, frontier.select("node_type", "node").distinct())
+        # written, as the lists, their check for hubs and the sampling read them
+        frontier = materialize(frontier)
+        reached = materialize(_in_edges(timed, frontier.select("node_type", "node").distinct()))
         if fanout is None or fanout < 0:
             listed = reached.withColumn("__until", F.lit(None).cast("long"))
         else:

@@ -72,6 +72,22 @@ def test_point_in_time_aggregates_of_odd_pairs(spark):
 # ---------------------------------------------------------------- sampling over time
 
 
+def test_lists_over_time_go_on_across_batches(spark):
+    rng = random.Random(9)
+    edges = [("a", "s", rng.randint(0, 9), "d", rng.choice([0, 0, 0, 1, 2, 3]), i, rng.randint(0, 20)) for i in range(120)]
+    df = spark.createDataFrame(edges, "etype string, src_type string, src long, dst_type string, dst long, eid long, ts long")
+    hashed = G._hashed(df, 1).withColumnRenamed("ts", "__ts")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, found = spark.conf.get(batch), []
+    try:
+        for n in (10_000, 1, 4):
+            spark.conf.set(batch, n)
+            found.append(sorted((r["dst"], r["eid"], r["__until"] is None, r["__until"] or 0) for r in G.lowest_over_time(hashed, 3).collect()))
+    finally:
+        spark.conf.set(batch, own)
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0] if r[2]} == {0, 1, 2, 3}
+
+
 @pytest.mark.parametrize("hot", [1_000_000, 20])
 def test_lists_over_time_hold_every_sample(spark, monkeypatch, hot):
     monkeypatch.setattr(ordering, "HOT_GROUP_ROWS", hot)
