@@ -31,8 +31,9 @@ def _digests(text: str | None, least: int) -> list[tuple[bytes, int]]:
         if len(line) >= least:
             key = line.strip(STRIP)
             if len(key) >= least:
-                key = key.lower() if key.isascii() else key.translate(_LOWER)
-                out.append((hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest(), i))
+                # bytes.lower changes A-Z only, as line_key does, but not a character at a time
+                key = key.encode("utf-8", "replace").lower()
+                out.append((hashlib.blake2b(key, digest_size=16).digest(), i))
     return out
 
 
@@ -79,13 +80,12 @@ def dropped_lines(docs: DataFrame, least: int = 40, documents: int = 5, scratch:
     def suspects(b):
         ids, keys = [], []
         for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-            own = list({x for x, _ in _digests(t.as_py(), least)})
-            if own:
-                hit = test_bits(known.value, _probes(own, bits))
-                keys.extend(x for x, h in zip(own, hit) if h)
-                ids.extend([d] * int(hit.sum()))
-        if ids:
-            yield arrow(schema, doc_id=ids, digest=keys)
+            own = {x for x, _ in _digests(t.as_py(), least)}
+            keys.extend(own)
+            ids.extend([d] * len(own))
+        hit = np.flatnonzero(test_bits(known.value, _probes(keys, bits))).tolist()
+        if hit:
+            yield arrow(schema, doc_id=[ids[i] for i in hit], digest=[keys[i] for i in hit])
 
     found = map_batches(docs, suspects, schema)
     scratch = scratch or Scratch(spark)

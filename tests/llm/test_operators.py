@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+import timeit
 import zlib
 
 import numpy as np
@@ -109,6 +111,18 @@ def test_lines_match_brute_force(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_keys_of_lines_beyond_ascii_cost_about_as_much_as_others():
+    def seconds(text):
+        return min(timeit.repeat(lambda: lines._digests(text, 40), number=1, repeat=7, timer=time.process_time))
+
+    plain = "\n".join(["An Ordinary line of Words " * 12] * 3000)
+    other = "\n".join(["\u00c4n Ordin\u00e4ry \u0130 line \u212a " * 12] * 3000)
+    assert seconds(other) < 8 * seconds(plain)
+    keys = [lines.line_key(x).encode() for x in (plain + "\n" + other).split("\n")]
+    want = [(hashlib.blake2b(k, digest_size=16).digest(), i) for i, k in enumerate(keys)]
+    assert lines._digests(plain + "\n" + other, 40) == want
+
+
 # ---------------------------------------------------------------- near copies
 
 
