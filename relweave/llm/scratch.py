@@ -31,6 +31,17 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def save_shares(self, df: DataFrame, key: str, n: int) -> list[DataFrame]:
+        """The rows in ``n`` parts by their keys, for work that takes one part at a time; all are one table for ``drop``."""
+        share = F.pmod(F.col(key), F.lit(n)).cast("int")
+        path = f"{self.base}/{uuid.uuid4().hex}"
+        df.withColumn("share", share).write.partitionBy("share").parquet(path)
+        out = self.spark.read.schema(df.withColumn("share", share).schema).parquet(path)
+        parts = [out.filter(F.col("share") == i).drop("share") for i in range(n)]
+        for part in parts:
+            part.scratch_path = path
+        return parts
+
     def delete(self, *tables: DataFrame) -> None:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)

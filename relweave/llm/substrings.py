@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from relweave.llm.bloom import bits_for, fold_bits, key_filter, key_positions, see, test_bits, twice_blocks
 from relweave.llm.kernel import mix, slices
-from relweave.llm.scratch import Scratch, arrow, clean, map_batches
+from relweave.llm.scratch import Scratch, arrow, clean, map_batches, rows_per_task
+from relweave.plans.packing import pack_sorted, unpack_sorted
+from relweave.session import shuffles_freed
 
 LENGTH = 50
 #: length of the strings that make the buckets whose holders are compared
@@ -22,6 +25,13 @@ RUN = WINDOW
 _BLOCK = 1 << 14
 #: bits of the filter of shared buckets (128 MB at most); fuller, it only lets more rows through
 MOST_BITS = 1 << 30
+#: bits of a bucket's key when shared buckets are looked for, and those of them that deal the keys out
+_KEY_BITS, _DEAL_BITS = 40, 12
+_SLICE_BYTES = 1 << 18
+#: keys that a task holds before it packs them
+_HELD = 1 << 20
+#: runs and strings are compared in so many shares at most, of about so many buckets or strings at least
+SHARES, SHARE_ROWS = 8, 1 << 18
 _A, _B, _C, _D = (int(x) for x in mix(np.arange(11, 15, dtype=np.uint64)) | np.uint64(1))
 
 
@@ -112,6 +122,11 @@ def text_runs(texts: list[str | None]):
 _RUNS = "g long, t long, doc long, run long"
 
 
+def _key(g: np.ndarray) -> np.ndarray:
+    """A bucket's key: so many bits that a strange bucket hardly ever has the same."""
+    return g >> np.uint64(64 - _KEY_BITS)
+
+
 def _pack(version: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Version, first start and number of starts of a run in one long."""
     return (version.astype(np.int64) << 46) | (start.astype(np.int64) << 6) | n
@@ -131,57 +146,131 @@ def _unpack(run):
     return F.shiftrightunsigned(run, 46).alias("v"), F.shiftrightunsigned(run, 6).bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), run.bitwiseAND(F.lit(63)).alias("n")
 
 
-def _runs(docs: DataFrame, known=None) -> DataFrame:
-    """Buckets and documents of all runs, or the whole runs of the buckets in a filter."""
-    narrow = known is None
-    schema = "g long, doc long" if narrow else _RUNS
+def _shared(docs: DataFrame) -> DataFrame:
+    """``(n, keys)``: keys of the buckets that two texts hold, packed; of a text that comes twice, all.
+
+    A task gives away each key once, or twice if it met the key in two documents. What comes
+    twice in all is shared. A key is dealt by its high bits and travels as the step from the one before.
+    """
+    low = _KEY_BITS - _DEAL_BITS
+
+    def pack(held):
+        k, doc = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(k, kind="stable")
+        k, doc = k[order], doc[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        k = np.repeat(k[start], 1 + (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)))
+        share, cut = np.unique(k >> np.uint64(low), return_index=True)
+        k = (k & np.uint64((1 << low) - 1)).astype(np.uint32)
+        return arrow("share int, keys binary", share=share.astype(np.int32), keys=[pack_sorted(x) for x in np.split(k, cut[1:])])
+
+    def emit(batches):
+        held, n = [], 0
+        for b in batches:
+            for texts, ids in _slices(b):
+                d, g, *_ = text_runs(texts)
+                if len(d):
+                    held.append((_key(g), ids[d]))
+                    n += len(d)
+                if n >= _HELD:
+                    yield pack(held)
+                    held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def twice(share, held):
+        k = np.sort(np.concatenate(held))
+        k = np.unique(k[1:][k[1:] == k[:-1]])
+        full = (np.uint64(share) << np.uint64(low)) | k.astype(np.uint64)
+        return arrow("n long, keys binary", n=[len(k)], keys=[pack_sorted(full)])
+
+    def count(batches):
+        here, held = None, []
+        for b in batches:
+            for share, keys in zip(b.column("share").to_pylist(), b.column("keys").to_pylist()):
+                if share != here and held:
+                    yield twice(here, held)
+                    held = []
+                here = share
+                held.append(unpack_sorted(keys, np.uint32))
+        if held:
+            yield twice(here, held)
+
+    dealt = docs.mapInArrow(emit, "share int, keys binary").repartition(rows_per_task(docs), "share")
+    return dealt.sortWithinPartitions("share").mapInArrow(count, "n long, keys binary")
+
+
+def _runs(docs: DataFrame, known) -> DataFrame:
+    """All runs of the buckets in a filter."""
 
     def emit(batches):
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi in slices(texts):
-                d, g, t, s, n, raw, _, _ = text_runs(texts[lo:hi])
+            for texts, ids in _slices(b):
+                d, g, t, s, n, raw, _, _ = text_runs(texts)
                 if not len(d):
                     continue
-                doc = ids[lo:hi][d]
-                if narrow:
-                    yield arrow(schema, g=pa.array(g.view(np.int64)), doc=pa.array(doc))
-                else:
-                    own = test_bits(known.value, key_positions(g, len(known.value) << 3))
-                    d, g, t, s, n, doc = d[own], g[own], t[own], s[own], n[own], doc[own]
-                    run = _pack(_versions(raw)[d], s, n)
-                    yield arrow(schema, g=pa.array(g.view(np.int64)), t=pa.array(t.view(np.int64)), doc=pa.array(doc), run=pa.array(run))
+                own = test_bits(known.value, key_positions(_key(g), len(known.value) << 3))
+                d, g, t, s, n = d[own], g[own], t[own], s[own], n[own]
+                run = _pack(_versions(raw)[d], s, n)
+                yield arrow(_RUNS, g=pa.array(g.view(np.int64)), t=pa.array(t.view(np.int64)), doc=pa.array(ids[d]), run=pa.array(run))
+
+    return docs.mapInArrow(emit, _RUNS)
 
-    return docs.mapInArrow(emit, schema)
+
+def _slices(batch: pa.RecordBatch):
+    """Texts and ids of a batch, about a quarter of a megabyte at a time."""
+    for at in range(0, batch.num_rows, 1000):
+        texts, ids = batch.column("text").slice(at, 1000).to_pylist(), batch.column("doc_id").slice(at, 1000).to_numpy(zero_copy_only=False)
+        for lo, hi in slices(texts, _SLICE_BYTES):
+            yield texts[lo:hi], ids[lo:hi]
+
+
+def _shares(n: int) -> int:
+    return max(1, min(SHARES, n // SHARE_ROWS))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc, v, spans)``: starts and ends of repeated strings of each document, unmerged.
 
     1. Buckets of 24 bytes that two documents share; all others end here.
-    2. Runs of the shared buckets (a filter of them spares most others the shuffle), each with the identity of its bytes. A run whose bytes a
-       smaller document has is repeated as a whole.
+    2. Runs of the shared buckets (a filter of them goes to the texts; a run it lets through by
+       chance is alone in its bucket and ends in 3), each with the identity of its bytes. A run whose
+       bytes a smaller document has is repeated as a whole.
     3. What is left differs somewhere from every smaller document with the bucket: only the
        smallest holder of each identity matters, and its 50-byte strings are compared one by one
        if two filters, of strings seen and seen again, can't rule them out. A filter of these runs
        goes to the texts, so no text is shuffled for it; a run it lets through by chance only
        adds strings that are there.
+
+    Runs and strings are compared a share of their keys at a time, and a share's shuffles go before the next.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    shared = _runs(docs).groupBy("g").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("g")
-    shared = scratch.save(shared)
-    scratch.drop()
-    bits = bits_for(shared.count(), 10, MOST_BITS)
-    known = spark.sparkContext.broadcast(key_filter(shared, "g", bits))
-    runs = scratch.save(_runs(docs, known).join(shared, "g"))
+    with shuffles_freed(spark):
+        return _spans(docs, Scratch(spark))
+
+
+def _spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
+    shared = scratch.save(_shared(docs))
+    many = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def unpack(b):
+        for keys in b.column("keys").to_pylist():
+            yield arrow("k long", k=pa.array(unpack_sorted(keys, np.int64)))
+
+    bits = bits_for(many, 10, MOST_BITS)
+    known = spark.sparkContext.broadcast(key_filter(map_batches(shared.select("keys"), unpack, "k long"), "k", bits))
+    runs = scratch.save_shares(_runs(docs, known), "g", _shares(many))
     scratch.drop(shared)
-    holders = scratch.save(runs.groupBy("g", "t").agg(F.min("doc").alias("holder")))
-    mixed = holders.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", F.lit(True).alias("mixed"))
-    known = scratch.save(holders.join(mixed, "g", "left"))
-    state = scratch.save(runs.join(known, ["g", "t"]).filter("holder < doc or mixed").select(
-        "doc", *_unpack(F.col("run")), (F.col("holder") < F.col("doc")).alias("whole")))
-    scratch.drop(runs, holders, known)
+    states = []
+    for part in runs:
+        holders = scratch.save(part.groupBy("g", "t").agg(F.min("doc").alias("holder")))
+        mixed = holders.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", F.lit(True).alias("mixed"))
+        states.append(scratch.save(part.join(holders.join(mixed, "g", "left"), ["g", "t"]).filter("holder < doc or mixed").select(
+            "doc", *_unpack(F.col("run")), (F.col("holder") < F.col("doc")).alias("whole"))))
+        scratch.delete(holders)
+    scratch.drop(runs[0])
+    state = reduce(DataFrame.unionByName, states)
     edges = state.filter("not whole")
     many, strings_of = edges.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     place_bits, bits = bits_for(many, 16, MOST_BITS), bits_for(strings_of, 4, MOST_BITS >> 1)
@@ -194,14 +283,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def strings(b):
         """Identifier, document, version and start of every string of the asked runs in a batch, slice by slice."""
-        texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_numpy(zero_copy_only=False)
-        for lo, hi in slices(texts):
-            d, _, _, s, n, raw, first, at = text_runs(texts[lo:hi])
-            own = test_bits(asked.value, key_positions(_place_keys(ids[lo:hi][d], s), place_bits))
+        for texts, ids in _slices(b):
+            d, _, _, s, n, raw, first, at = text_runs(texts)
+            own = test_bits(asked.value, key_positions(_place_keys(ids[d], s), place_bits))
             d, s, n = d[own], s[own], n[own]
             row, begin = np.repeat(d, n), np.repeat(s, n)
             begin = begin + np.arange(len(begin)) - np.repeat(np.cumsum(n) - n, n)
-            yield string_ids(first, begin + at[row]), ids[lo:hi][row], _versions(raw)[row], begin
+            yield string_ids(first, begin + at[row]), ids[row], _versions(raw)[row], begin
 
     def twice_seen(batches):
         once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
@@ -220,13 +308,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             own = test_bits(maybe.value, key_positions(w, bits))
             yield arrow(schema, w=pa.array(w[own].view(np.int64)), doc=pa.array(doc[own]), at=pa.array((version[own] << 40) | begin[own]))
 
-    single = scratch.save(map_batches(docs, windows, schema))
-    least = scratch.save(single.groupBy("w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("w", "a"))
-    hit = single.join(least, "w").filter("a < doc").select(
-        "doc", F.shiftrightunsigned("at", 40).alias("v"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), F.lit(1).cast("long").alias("n"))
-    spans = state.filter("whole").select("doc", "v", "s", "n").unionByName(hit)
+    single = scratch.save_shares(map_batches(docs, windows, schema), "w", _shares(strings_of >> 3))
+    hits = []
+    for part in single:
+        least = part.groupBy("w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("w", "a")
+        hits.append(scratch.save(part.join(least, "w").filter("a < doc").select(
+            "doc", F.shiftrightunsigned("at", 40).alias("v"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("s"), F.lit(1).cast("long").alias("n"))))
+    scratch.drop(single[0])
+    spans = reduce(DataFrame.unionByName, [state.filter("whole").select("doc", "v", "s", "n"), *hits])
     spans = scratch.save(spans.groupBy("doc", "v").agg(F.collect_list(F.struct("s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))).alias("spans")))
-    scratch.drop(state, single, least)
+    scratch.drop(*states, *hits)
     return spans
 
 
@@ -240,13 +331,38 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = clean(docs, doc_id="long", text="string")
     spans = repeated_spans(docs.filter("doc_id is not null and text is not null"))
+    bits = bits_for(spans.count(), 10, MOST_BITS)
+    with shuffles_freed(docs.sparkSession):
+        cut_of = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "doc", bits))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
+    def asked(batch):
+        """Ids and texts of a batch, as bytes, and the places of those that may lose some, a thousand rows at a time."""
+        for at in range(0, batch.num_rows, 1000):
+            ids, texts = (batch.column(c).slice(at, 1000) for c in ("doc_id", "text"))
+            raw = [(t or "").encode("utf-8", "replace") for t in texts.to_pylist()]
+            known = ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield ids, raw, test_bits(cut_of.value, key_positions(known, bits)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def whole(b):
+        for ids, raw, some in asked(b):
+            at = np.flatnonzero(~some)
+            n = [len(raw[i]) for i in at]
+            yield arrow(schema, doc_id=ids.take(pa.array(at)), n_bytes=n, n_removed=[0] * len(n), n_spans=[0] * len(n), kept=[raw[i] for i in at])
+
+    moved = "doc_id long, v long, size long, data binary"
+
+    def move(b):
+        for ids, raw, some in asked(b):
+            at = np.flatnonzero(some)
+            raw = [raw[i] for i in at]
+            yield arrow(moved, doc_id=ids.take(pa.array(at)), v=pa.array(_versions(raw)), size=[len(r) for r in raw],
+                        data=[pa.compress(r, "zstd", asbytes=True) for r in raw])
+
     def cut(b):
-        n, removed, count, kept = [], [], [], []
-        for text, own in zip(b.column("text"), b.column("spans")):
-            raw = (text.as_py() or "").encode("utf-8", "replace")
-            n.append(len(raw))
+        n, removed, count, kept = b.column("size").to_pylist(), [], [], []
+        for size, data, own in zip(n, b.column("data").to_pylist(), b.column("spans")):
+            raw = pa.decompress(data, size, "zstd", asbytes=True) if size else b""
             if not own.is_valid or not len(own.values):
                 removed.append(0)
                 count.append(0)
@@ -262,6 +378,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
         yield arrow(schema, doc_id=b.column("doc_id"), n_bytes=n, n_removed=removed, n_spans=count, kept=kept)
 
-    keyed = docs.withColumn("v", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFF)))
-    joined = keyed.join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "v"], "left")
-    return map_batches(joined.select("doc_id", "text", "spans"), cut, schema)
+    # only texts that lose something are shuffled, each compressed
+    joined = map_batches(docs, move, moved).join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "v"], "left")
+    return map_batches(docs, whole, schema).unionByName(map_batches(joined.select("doc_id", "size", "data", "spans"), cut, schema))
